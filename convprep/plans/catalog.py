@@ -61,3 +61,210 @@ def q_sender_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
     ts, _ = sender_training_set(msgs, _SENDER)
     return ts.select("row_id", "conv_id", "turn", "n_tokens", ids_text("token_ids").alias("ids"))
+
+
+# --------------------------------------------------- rows: P1-P10, A1, A2, T6
+
+
+@register(
+    "sender_messages",
+    with_views(
+        """select conv_id, turn, content as text from v_messages
+where sender_name = 'assistant' and content is not null and type = 'Generic'""",
+        "v_messages",
+    ),
+)
+def q_sender_messages(spark, sf_dir):
+    from convprep.operators.rows import rename_text
+    from convprep.plans.training_set import select_sender_messages
+
+    msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
+    return rename_text(select_sender_messages(msgs, "assistant"), "content").select("conv_id", "turn", "text")
+
+
+@register(
+    "message_counts",
+    with_views(
+        """select sender_name, type, cast(count(*) as bigint) as n_rows from v_messages
+where content is not null group by sender_name, type""",
+        "v_messages",
+    ),
+)
+def q_message_counts(spark, sf_dir):
+    from convprep.operators.rows import count_rows, drop_missing_text
+
+    msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
+    return count_rows(drop_missing_text(msgs, "content"), by=["sender_name", "type"])
+
+
+@register(
+    "dense_index_documents",
+    """select doc_id, cast(row_number() over (order by n_chars desc, doc_id) - 1 as bigint) as row_id
+from documents""",
+)
+def q_dense_index_documents(spark, sf_dir):
+    from convprep.operators.index import dense_index
+
+    docs = fx.load(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return dense_index(docs, [F.desc("n_chars"), "doc_id"], out="row_id").select("doc_id", "row_id")
+
+
+_SEQ_ORACLE_BASE = ("v_tokens", "v_vocab", "v_sequences")
+
+
+def _encoded_documents(spark, sf_dir):
+    """v_sequences in Spark: blank tokens -> fitted vocabulary -> ids."""
+    from convprep.operators.tokens import encode, fit_vocabulary, tokenize
+
+    docs = tokenize(fx.load(spark, sf_dir, "documents").select("doc_id", "text"), "text", "tokens")
+    vocab = fit_vocabulary(docs, ["tokens"])
+    return encode(docs, ["doc_id"], ["tokens"], ["ids"], vocab), vocab
+
+
+@register(
+    "vocabulary",
+    with_views("select tok, id, cast(n as bigint) as n from v_vocab", "v_tokens", "v_vocab"),
+)
+def q_vocabulary(spark, sf_dir):
+    from convprep.operators.tokens import fit_vocabulary, tokenize
+
+    docs = tokenize(fx.load(spark, sf_dir, "documents").select("text"), "text", "tokens")
+    return fit_vocabulary(docs, ["tokens"])
+
+
+@register(
+    "encode_documents",
+    with_views(
+        """select d.doc_id, cast(coalesce(len(s.ids), 0) as bigint) as n_ids,
+       coalesce(array_to_string(s.ids, ','), '') as ids
+from documents d left join v_sequences s using (doc_id)""",
+        *_SEQ_ORACLE_BASE,
+    ),
+)
+def q_encode_documents(spark, sf_dir):
+    from convprep.functions.arrays import size_of
+
+    enc, _ = _encoded_documents(spark, sf_dir)
+    return enc.select("doc_id", size_of("ids").alias("n_ids"), ids_text("ids").alias("ids"))
+
+
+@register(
+    "decode_documents",
+    """select doc_id, array_to_string(regexp_extract_all(text, '(\\S+)', 1), ' ') as decoded from documents""",
+)
+def q_decode_documents(spark, sf_dir):
+    from convprep.operators.tokens import decode
+
+    enc, vocab = _encoded_documents(spark, sf_dir)
+    return decode(enc.select("doc_id", "ids"), ["doc_id"], "ids", vocab).select("doc_id", "decoded")
+
+
+@register(
+    "word_pretokens",
+    """select doc_id, cast(len(w) as bigint) as n_pretokens, cast(len(list_distinct(w)) as bigint) as n_distinct,
+       md5(array_to_string(w, '|')) as digest
+from (select doc_id, regexp_extract_all(text, '( ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+)', 1) as w
+      from documents)""",
+)
+def q_word_pretokens(spark, sf_dir):
+    from convprep.functions.text import pretokenize
+
+    docs = fx.load(spark, sf_dir, "documents").select("doc_id", pretokenize("text", "words").alias("w"))
+    return docs.select(
+        "doc_id",
+        F.size("w").cast("bigint").alias("n_pretokens"),
+        F.size(F.array_distinct("w")).cast("bigint").alias("n_distinct"),
+        F.md5(F.array_join("w", "|")).alias("digest"),
+    )
+
+
+@register(
+    "truncated_sequences",
+    with_views(
+        """select doc_id, cast(len(ids) as bigint) as n_before, cast(len(ids[1:1023]) as bigint) as n_after,
+       array_to_string(ids[1:1023], ',') as ids
+from v_sequences where len(ids[1:1023]) >= 2""",
+        *_SEQ_ORACLE_BASE,
+    ),
+)
+def q_truncated_sequences(spark, sf_dir):
+    from convprep.functions.arrays import size_of, truncate_sequence
+    from convprep.operators.rows import drop_short_sequences
+
+    enc, _ = _encoded_documents(spark, sf_dir)
+    cut = enc.select("doc_id", size_of("ids").alias("n_before"), truncate_sequence("ids", 1023).alias("ids"))
+    kept = drop_short_sequences(cut, "ids", 2)
+    return kept.select("doc_id", "n_before", size_of("ids").alias("n_after"), ids_text("ids").alias("ids"))
+
+
+@register(
+    "empty_sequences",
+    """select doc_id as row_id from documents where len(regexp_extract_all(text, '(\\S+)', 1)) = 0""",
+)
+def q_empty_sequences(spark, sf_dir):
+    from convprep.operators.rows import find_empty_sequences
+
+    enc, _ = _encoded_documents(spark, sf_dir)
+    return find_empty_sequences(enc.withColumnRenamed("doc_id", "row_id"), "ids", "row_id")
+
+
+@register(
+    "sequence_length_stats",
+    """select lang, cast(min(n) as bigint) as min_len, cast(max(n) as bigint) as max_len,
+       round(avg(n), 6) as avg_len, cast(count(*) as bigint) as n_rows,
+       cast(quantile_cont(n, 0.5) as double) as median_len
+from (select lang, len(regexp_extract_all(text, '(\\S+)', 1)) as n from documents) group by lang""",
+)
+def q_sequence_length_stats(spark, sf_dir):
+    from convprep.functions.text import pretokenize
+    from convprep.operators.rows import length_stats
+
+    docs = fx.load(spark, sf_dir, "documents").select("lang", pretokenize("text").alias("tokens"))
+    return length_stats(docs, "tokens", by=["lang"])
+
+
+@register(
+    "row_range",
+    """select doc_id, row_id from (
+  select doc_id, cast(row_number() over (order by doc_id) - 1 as bigint) as row_id from documents)
+where row_id >= 100 and row_id < 200""",
+)
+def q_row_range(spark, sf_dir):
+    from convprep.operators.index import dense_index
+    from convprep.operators.rows import limit_rows
+
+    docs = dense_index(fx.load(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+    return limit_rows(docs, 100, 200).select("doc_id", "row_id")
+
+
+@register(
+    "tokenized_documents",
+    with_views(
+        """select d.doc_id as id, cast(len(regexp_extract_all(d.text, '(\\S+)', 1)) as bigint) as n_tokenized,
+       coalesce(array_to_string(s.ids, ','), '') as token_ids
+from documents d left join v_sequences s using (doc_id)""",
+        *_SEQ_ORACLE_BASE,
+    ),
+)
+def q_tokenized_documents(spark, sf_dir):
+    from convprep.operators.rows import project_schema
+    from convprep.operators.tokens import fit_vocabulary, tokenize, tokenize_dataset
+
+    docs = fx.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    vocab = fit_vocabulary(tokenize(docs, "text", "tokens"), ["tokens"])
+    d11 = project_schema(tokenize_dataset(docs, vocab), "tokenized")
+    return d11.select("id", F.size("tokenized_text").cast("bigint").alias("n_tokenized"),
+                      ids_text("token_ids").alias("token_ids"))
+
+
+@register(
+    "text_windows",
+    """select doc_id, cast(k - 1 as bigint) as chunk, cast(len(w[s + 1: s + 128]) as bigint) as n_tokens,
+       array_to_string(w[s + 1: s + 128], ' ') as text
+from (select doc_id, w, unnest(range(0, len(w), 100)) as s, generate_subscripts(range(0, len(w), 100), 1) as k
+      from (select doc_id, regexp_extract_all(text, '(\\S+)', 1) as w from documents) where len(w) > 0)""",
+)
+def q_text_windows(spark, sf_dir):
+    from convprep.sources.tables import chunk_text
+
+    return chunk_text(fx.load(spark, sf_dir, "documents"), "doc_id", "text", size=128, step=100)
