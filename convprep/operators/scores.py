@@ -142,11 +142,16 @@ def sample_by_group(
         staged = softmax_by_group(df, gcols, score, out="_cp_w")
     else:
         staged = df.withColumn("_cp_w", F.col(weight).cast("double"))
-    staged = cumulative_share(staged, gcols, cand, score, "_cp_w", out="_cp_cum")
+    staged = staged.withColumn("_cp_sort", F.col(score))
+    staged = cumulative_share(staged, gcols, cand, "_cp_sort", "_cp_w", out="_cp_cum")
     staged = staged.withColumn("_cp_tot", F.max("_cp_cum").over(Window.partitionBy(*gcols)))
+    # Interval start = the running share before the candidate (exact, no
+    # subtraction), so "last start below x" = "first cum reaching x".
+    order = Window.partitionBy(*gcols).orderBy(*_desc_order("_cp_sort", cand))
+    staged = staged.withColumn("_cp_start", F.coalesce(F.lag("_cp_cum").over(order), F.lit(0.0)))
     starts = staged.where(F.col("_cp_w") > 0).select(
         *gcols,
-        (F.col("_cp_cum") - F.col("_cp_w")).alias("_cp_x"),
+        F.col("_cp_start").alias("_cp_x"),
         F.lit(1).alias("_cp_kind"),
         F.col(cand).alias("_cp_c"),
         F.lit(None).cast("int").alias("draw"),

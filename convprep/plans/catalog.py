@@ -268,3 +268,354 @@ def q_text_windows(spark, sf_dir):
     from convprep.sources.tables import chunk_text
 
     return chunk_text(fx.load(spark, sf_dir, "documents"), "doc_id", "text", size=128, step=100)
+
+
+# ------------------------------------- keywords: P11, H4, H6, H14, T5, J1, C2, C3
+
+_KW_DEDUPE = "list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+_SYN_MAP = "MAP {'quality': 'good', 'toxic': 'harmful'}"
+
+# K: keywords with cluster names, sentiment stripped (C2, cluster=True).
+_KEYWORD_CTES = (
+    ("kt", """select doc_id as id,
+      list_transform(list_filter(topic_links, lambda x: len(x.type) > 0), lambda x: rtrim(x.type, '+-')) as t,
+      list_transform(list_filter(topic_links, lambda x: len(x.cluster) > 0), lambda x: x.cluster) as c
+      from v_topic_links"""),
+    ("k", "select id, list_concat(" + _KW_DEDUPE.format(l="t") + ", " + _KW_DEDUPE.format(l="c") + ") as k from kt"),
+)
+
+
+def _keyword_source(spark, sf_dir):
+    docs = fx.load(spark, sf_dir, "documents")
+    links = fx.topic_links_view(docs, fx.load(spark, sf_dir, "labels"))
+    return links.join(docs.select("doc_id", "text"), "doc_id")
+
+
+def _keywords(spark, sf_dir, sentiment=False, cluster=True):
+    from convprep.operators.keywords import prepare_keywords
+
+    return prepare_keywords(_keyword_source(spark, sf_dir), "doc_id", "text", "topic_links",
+                            sentiment=sentiment, cluster=cluster)
+
+
+@register(
+    "topic_keywords",
+    with_views(
+        "select doc_id as id, array_to_string(" + _KW_DEDUPE.format(l="t") + ", '|') as keywords from ("
+        "select doc_id, list_transform(list_filter(topic_links, lambda x: len(x.type) > 0), "
+        "lambda x: rtrim(x.type, '+-')) as t from v_topic_links)",
+        "v_topic_links",
+    ),
+)
+def q_topic_keywords(spark, sf_dir):
+    kw = _keywords(spark, sf_dir, sentiment=False, cluster=False)
+    return kw.select("id", F.array_join("keywords", "|").alias("keywords"))
+
+
+@register(
+    "topic_keywords_cluster",
+    with_views(
+        "select doc_id as id, array_to_string(list_concat(" + _KW_DEDUPE.format(l="t") + ", "
+        + _KW_DEDUPE.format(l="c") + "), '|') as keywords from ("
+        "select doc_id, list_transform(list_filter(topic_links, lambda x: len(x.type) > 0), lambda x: x.type) as t, "
+        "list_transform(list_filter(topic_links, lambda x: len(x.cluster) > 0), lambda x: x.cluster) as c "
+        "from v_topic_links)",
+        "v_topic_links",
+    ),
+)
+def q_topic_keywords_cluster(spark, sf_dir):
+    kw = _keywords(spark, sf_dir, sentiment=True, cluster=True)
+    return kw.select("id", F.array_join("keywords", "|").alias("keywords"))
+
+
+def _translated_sql(pick: str, translate: bool) -> str:
+    r = f"list_transform({pick}, lambda x: coalesce({_SYN_MAP}[x], x))" if translate else pick
+    used = _KW_DEDUPE.format(l="r") if translate else "r"
+    return with_views(
+        f"select id, array_to_string({used}, '|') as used_keywords from (select id, {r} as r from k)",
+        "v_topic_links",
+        extra=_KEYWORD_CTES,
+    )
+
+
+@register("translated_keywords", _translated_sql("list_reverse(k)", True))
+def q_translated_keywords(spark, sf_dir):
+    from convprep.operators.keywords import translate_keywords
+
+    out = translate_keywords(_keywords(spark, sf_dir), fx.synonyms_view(spark), None)
+    return out.select("id", F.array_join("used_keywords", "|").alias("used_keywords"))
+
+
+@register("translated_keywords_last1", _translated_sql("list_reverse(k)[1:1]", True))
+def q_translated_keywords_last1(spark, sf_dir):
+    from convprep.operators.keywords import translate_keywords
+
+    out = translate_keywords(_keywords(spark, sf_dir), fx.SYNONYMS, 1)
+    return out.select("id", F.array_join("used_keywords", "|").alias("used_keywords"))
+
+
+@register("picked_keywords", _translated_sql("list_reverse(k)[1:2]", False))
+def q_picked_keywords(spark, sf_dir):
+    from convprep.operators.keywords import translate_keywords
+
+    out = translate_keywords(_keywords(spark, sf_dir), None, 2)
+    return out.select("id", F.array_join("used_keywords", "|").alias("used_keywords"))
+
+
+# D10 in DuckDB: used keywords (translated), their tokens and ids (-1 = unknown).
+_D10_CTES = _KEYWORD_CTES + (
+    ("kw", "select id, " + _KW_DEDUPE.format(l="r") + " as used from (select id, "
+     f"list_transform(list_reverse(k), lambda x: coalesce({_SYN_MAP}[x], x)) as r from k)"),
+    ("ktok", "select id, flatten(list_transform(used, lambda x: regexp_extract_all(x, '(\\S+)', 1))) as tk from kw"),
+    ("ku", "select id, i, tk[i] as tok from (select id, tk, unnest(range(1, len(tk) + 1)) as i from ktok)"),
+    ("ki", "select id, list(coalesce(v.vid, -1) order by i) as kids from ku "
+     "left join (select tok, id as vid from v_vocab) v using (tok) group by id"),
+    ("d10", """select k.id, k.k as keywords, kw.used, ktok.tk, coalesce(ki.kids, []) as kids,
+       coalesce(s.ids, []) as tids, d.text
+      from k join kw using (id) join ktok using (id) left join ki using (id)
+      left join v_sequences s on s.doc_id = k.id join documents d on d.doc_id = k.id"""),
+)
+_D10_VIEWS = ("v_topic_links", "v_tokens", "v_vocab", "v_sequences")
+
+
+def _d10(spark, sf_dir):
+    from convprep.operators.tokens import fit_vocabulary, tokenize, tokenize_dataset
+
+    docs = tokenize(fx.load(spark, sf_dir, "documents").select("text"), "text", "tokens")
+    vocab = fit_vocabulary(docs, ["tokens"])
+    return tokenize_dataset(_keywords(spark, sf_dir), vocab, synonyms=fx.SYNONYMS), vocab
+
+
+@register(
+    "tokenized_keywords",
+    with_views(
+        """select id, array_to_string(keywords, '|') as keywords, array_to_string(used, '|') as used_keywords,
+       array_to_string(tk, '|') as tokenized_keywords, array_to_string(kids, ',') as keyword_ids,
+       cast(len(tids) as bigint) as n_text_ids, array_to_string(tids, ',') as text_ids from d10""",
+        *_D10_VIEWS,
+        extra=_D10_CTES,
+    ),
+)
+def q_tokenized_keywords(spark, sf_dir):
+    d10, _ = _d10(spark, sf_dir)
+    return d10.select(
+        "id",
+        F.array_join("keywords", "|").alias("keywords"),
+        F.array_join("used_keywords", "|").alias("used_keywords"),
+        F.array_join("tokenized_keywords", "|").alias("tokenized_keywords"),
+        ids_text("keyword_ids").alias("keyword_ids"),
+        F.size("text_ids").cast("bigint").alias("n_text_ids"),
+        ids_text("text_ids").alias("text_ids"),
+    )
+
+
+# ------------------------------------------------- examples: C5, C8, C9, H5
+
+
+@register(
+    "examples_prepend_nospace",
+    with_views(
+        """select id, cast(len(kids) + len(tids) as bigint) as n_ids,
+       array_to_string(list_concat(kids, tids), ',') as ids from d10""",
+        *_D10_VIEWS,
+        extra=_D10_CTES,
+    ),
+)
+def q_examples_prepend_nospace(spark, sf_dir):
+    from convprep.operators.examples import prepend_control_examples
+
+    d10, _ = _d10(spark, sf_dir)
+    ex = prepend_control_examples(d10)
+    return ex.select("id", F.size("ids").cast("bigint").alias("n_ids"), ids_text("ids").alias("ids"))
+
+
+@register(
+    "examples_keyword",
+    with_views(
+        "select id, array_to_string(tids, ',') as text_ids, array_to_string(kids, ',') as keyword_ids from d10",
+        *_D10_VIEWS,
+        extra=_D10_CTES,
+    ),
+)
+def q_examples_keyword(spark, sf_dir):
+    from convprep.operators.examples import bag_of_words_examples
+
+    d10, _ = _d10(spark, sf_dir)
+    ex = bag_of_words_examples(d10)
+    return ex.select("id", ids_text("text_ids").alias("text_ids"), ids_text("keyword_ids").alias("keyword_ids"))
+
+
+@register(
+    "examples_prepend_space",
+    with_views(
+        """select id, cast(count(*) as bigint) as n_ids, array_to_string(list(coalesce(v.vid, -1) order by i), ',') as ids
+from (select id, i, w[i] as tok from (
+        select id, w, unnest(range(1, len(w) + 1)) as i from (
+          select id, regexp_extract_all(array_to_string(list_concat(list_reverse(keywords), [text]), ' '),
+                                        '(\\S+)', 1) as w from d10)))
+left join (select tok, id as vid from v_vocab) v using (tok) group by id""",
+        *_D10_VIEWS,
+        extra=_D10_CTES,
+    ),
+)
+def q_examples_prepend_space(spark, sf_dir):
+    from convprep.operators.examples import format_examples
+
+    d10, vocab = _d10(spark, sf_dir)
+    ex = format_examples(d10, "prepend_space", vocab=vocab)
+    return ex.select("id", F.size("ids").cast("bigint").alias("n_ids"), ids_text("ids").alias("ids"))
+
+
+@register(
+    "prepended_text",
+    with_views(
+        "select id, md5(array_to_string(list_concat(list_reverse(keywords), [text]), ' ')) as digest from d10",
+        *_D10_VIEWS,
+        extra=_D10_CTES,
+    ),
+)
+def q_prepended_text(spark, sf_dir):
+    from convprep.functions.text import prepend_text
+
+    kw = _keywords(spark, sf_dir)
+    return kw.select("id", F.md5(prepend_text("text", "keywords")).alias("digest"))
+
+
+# --------------------------------------- batches: W6, T4, P4, A7, H10, C6, C7, A8, F2
+
+
+def _batch_sql(seqs_sql: str, batch_size: int, epochs: int, seed: int, final: str, views=_SEQ_ORACLE_BASE) -> str:
+    return with_views(
+        final,
+        *views,
+        extra=(
+            ("seqs", seqs_sql),
+            ("ep", f"select id, ids, unnest(range(0, {epochs})) as epoch from seqs"),
+            ("rn", f"""select *, row_number() over (partition by epoch
+                   order by md5(concat_ws(':', {seed}, epoch, id)), id) - 1 as rn from ep"""),
+            ("b", f"select *, rn // {batch_size} as batch_id, rn % {batch_size} as pos_in_batch from rn"),
+            ("w", "select *, max(len(ids)) over (partition by epoch, batch_id) as width from b"),
+        ),
+    )
+
+
+_TRAIN_SEQS = "select doc_id as id, ids[1:1023] as ids from v_sequences where len(ids[1:1023]) >= 2"
+_PADDED_FINAL = """select cast(epoch as bigint) as epoch, cast(batch_id as bigint) as batch_id,
+       cast(pos_in_batch as bigint) as pos_in_batch, id, cast(width as bigint) as width,
+       array_to_string(ids, ',') || repeat(',0', cast(width - len(ids) as integer)) as padded_ids from w"""
+
+
+def _training_sequences(spark, sf_dir):
+    from convprep.functions.arrays import truncate_sequence
+    from convprep.operators.rows import drop_short_sequences
+
+    enc, _ = _encoded_documents(spark, sf_dir)
+    seqs = enc.select(F.col("doc_id").alias("id"), truncate_sequence("ids", 1023).alias("ids"))
+    return drop_short_sequences(seqs, "ids", 2)
+
+
+def _padded_out(df):
+    return df.select(
+        F.col("epoch").cast("bigint").alias("epoch"), "batch_id", "pos_in_batch", "id",
+        F.col("width").cast("bigint").alias("width"), ids_text("padded_ids").alias("padded_ids"),
+    )
+
+
+@register("padded_batches", _batch_sql(_TRAIN_SEQS, 4, 3, 7, _PADDED_FINAL))
+def q_padded_batches(spark, sf_dir):
+    from convprep.operators.examples import pad_batches
+    from convprep.operators.index import assign_batches
+
+    seqs = _training_sequences(spark, sf_dir)
+    assigned = assign_batches(seqs.select("id"), batch_size=4, epochs=3, seed=7, row_id="id")
+    return _padded_out(pad_batches(assigned, seqs, "ids", pad_id=0, key="id"))
+
+
+@register(
+    "epoch_rollup",
+    _batch_sql(
+        _TRAIN_SEQS, 4, 3, 7,
+        """select cast(epoch as bigint) as epoch, round(sum(v) / sum(n), 6) as epoch_loss,
+       round(avg(v), 6) as mean_batch_loss, cast(count(*) as bigint) as n_batches, cast(sum(n) as bigint) as n_samples
+from (select epoch, batch_id, avg(len(ids)) as v, count(*) as n from b group by epoch, batch_id) group by epoch""",
+    ),
+)
+def q_epoch_rollup(spark, sf_dir):
+    from convprep.operators.index import assign_batches
+    from convprep.operators.scores import epoch_rollup
+
+    seqs = _training_sequences(spark, sf_dir)
+    assigned = assign_batches(seqs.select("id"), batch_size=4, epochs=3, seed=7, row_id="id")
+    sizes = seqs.select("id", F.size("ids").alias("n_ids"))
+    metrics = assigned.join(sizes, "id").groupBy("epoch", "batch_id").agg(
+        F.avg("n_ids").alias("value"), F.count(F.lit(1)).alias("n_samples"))
+    out = epoch_rollup(metrics)
+    return out.select(
+        F.col("epoch").cast("bigint").alias("epoch"), F.round("epoch_loss", 6).alias("epoch_loss"),
+        F.round("mean_batch_loss", 6).alias("mean_batch_loss"), "n_batches", "n_samples",
+    )
+
+
+@register(
+    "batch_summaries",
+    _batch_sql(
+        _TRAIN_SEQS, 4, 3, 7,
+        """select cast(epoch as bigint) as epoch, cast(batch_id as bigint) as batch_id, cast(count(*) as bigint) as n_rows,
+       cast(max(width) as bigint) as width, cast(sum(len(ids)) as bigint) as n_ids from w group by epoch, batch_id""",
+    ),
+)
+def q_batch_summaries(spark, sf_dir):
+    import pandas as pd
+
+    from convprep.operators.examples import apply_batch, pad_batches
+    from convprep.operators.index import assign_batches
+
+    seqs = _training_sequences(spark, sf_dir)
+    assigned = assign_batches(seqs.select("id"), batch_size=4, epochs=3, seed=7, row_id="id")
+    padded = pad_batches(assigned, seqs.withColumn("n_ids", F.size("ids")), "ids", key="id", keep=["n_ids"])
+
+    def collate(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({
+            "epoch": [int(pdf["epoch"].iloc[0])], "batch_id": [int(pdf["batch_id"].iloc[0])],
+            "n_rows": [len(pdf)], "width": [int(pdf["padded_ids"].map(len).max())],
+            "n_ids": [int(pdf["n_ids"].sum())],
+        })
+
+    schema = "epoch bigint, batch_id bigint, n_rows bigint, width bigint, n_ids bigint"
+    return apply_batch(padded.select("epoch", "batch_id", "padded_ids", "n_ids"), collate, schema)
+
+
+# --------------------------------------------------------- pairs: W5
+
+
+@register(
+    "next_token_pairs",
+    with_views(
+        """select doc_id, cast(pos as bigint) as pos, context, tok as target from (
+  select doc_id, pos, tok, lag(tok) over (partition by doc_id order by pos) as context from v_tokens)
+where pos >= 1""",
+        "v_tokens",
+    ),
+)
+def q_next_token_pairs(spark, sf_dir):
+    from convprep.functions.text import pretokenize
+    from convprep.operators.examples import token_pairs
+
+    docs = fx.load(spark, sf_dir, "documents").select("doc_id", pretokenize("text").alias("tokens"))
+    return token_pairs(docs, ["doc_id"], "tokens")
+
+
+@register(
+    "control_token_pairs",
+    with_views(
+        """select doc_id, cast(pos as bigint) as pos,
+       lag(tok, 1, '<ctrl>') over (partition by doc_id order by pos) as context, tok as target from v_tokens""",
+        "v_tokens",
+    ),
+)
+def q_control_token_pairs(spark, sf_dir):
+    from convprep.functions.text import pretokenize
+    from convprep.operators.examples import token_pairs
+
+    docs = fx.load(spark, sf_dir, "documents").select("doc_id", pretokenize("text").alias("tokens"))
+    return token_pairs(docs, ["doc_id"], "tokens", ctrl="<ctrl>")
