@@ -245,7 +245,8 @@ def sample_candidates(
     scaled = df.withColumn("_cp_s", F.col(score) / F.lit(float(temperature)))
     if (k is None or k <= 0) and (p is None or p <= 0):
         best = argmax_by_group(scaled, gcols, cand, "_cp_s", out=cand)
-        return best.select(*gcols, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).cast("int").alias("draw"), cand)
+        best = best.select(*gcols, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), cand)
+        return best.select(*gcols, F.col("draw").cast("int").alias("draw"), cand)
     cut = top_k_filter(scaled, gcols, "_cp_s", k)
     cut = top_p_filter(cut, gcols, cand, "_cp_s", p, min_keep)
     return sample_by_group(cut, gcols, cand, "_cp_s", seed=seed, draws=draws, out=cand)

@@ -619,3 +619,175 @@ def q_control_token_pairs(spark, sf_dir):
 
     docs = fx.load(spark, sf_dir, "documents").select("doc_id", pretokenize("text").alias("tokens"))
     return token_pairs(docs, ["doc_id"], "tokens", ctrl="<ctrl>")
+
+
+# ------------------------------------ scores: W1-W4, T1-T3, A9, C12 on v_logits
+
+_LOGIT_CTES = (
+    ("e1", "select *, exp(l - max(l) over (partition by vec_id)) as e from v_logits"),
+    ("sm", "select *, e / sum(e) over (partition by vec_id) as p from e1"),
+    ("cs", """select *, sum(p) over (partition by vec_id order by l desc, tok
+                 rows between unbounded preceding and current row) as cum,
+             row_number() over (partition by vec_id order by l desc, tok) as rk from sm"""),
+    ("cp", "select *, lag(cum) over (partition by vec_id order by l desc, tok) as prev from cs"),
+)
+
+
+def _logits(spark, sf_dir):
+    return fx.logits_view(fx.load(spark, sf_dir, "embeddings"))
+
+
+def _logit_sql(final: str, extra=()) -> str:
+    return with_views(final, "v_logits", extra=_LOGIT_CTES + tuple(extra))
+
+
+@register("softmax_scores", _logit_sql("select vec_id, tok, round(p, 6) as p from sm"))
+def q_softmax_scores(spark, sf_dir):
+    from convprep.operators.scores import softmax_by_group
+
+    out = softmax_by_group(_logits(spark, sf_dir), "vec_id", "l")
+    return out.select("vec_id", "tok", F.round("p", 6).alias("p"))
+
+
+@register("top_k_scores", _logit_sql(
+    "select vec_id, tok from (select *, rank() over (partition by vec_id order by l desc) as r from v_logits) where r <= 5"))
+def q_top_k_scores(spark, sf_dir):
+    from convprep.operators.scores import top_k_filter
+
+    return top_k_filter(_logits(spark, sf_dir), "vec_id", "l", 5).select("vec_id", "tok")
+
+
+@register("cumulative_shares", _logit_sql("select vec_id, tok, round(cum, 6) as cum from cs"))
+def q_cumulative_shares(spark, sf_dir):
+    from convprep.operators.scores import cumulative_share, softmax_by_group
+
+    sm = softmax_by_group(_logits(spark, sf_dir), "vec_id", "l")
+    out = cumulative_share(sm, "vec_id", "tok", "l", "p")
+    return out.select("vec_id", "tok", F.round("cum", 6).alias("cum"))
+
+
+@register("sorted_scores", _logit_sql("select vec_id, tok, cast(rk as bigint) as rk from cs"))
+def q_sorted_scores(spark, sf_dir):
+    from convprep.operators.scores import sort_scores
+
+    return sort_scores(_logits(spark, sf_dir), "vec_id", "tok", "l").select("vec_id", "tok", "rk")
+
+
+@register("top_p_scores", _logit_sql("select vec_id, tok from cp where rk = 1 or prev <= 0.5"))
+def q_top_p_scores(spark, sf_dir):
+    from convprep.operators.scores import top_p_filter
+
+    return top_p_filter(_logits(spark, sf_dir), "vec_id", "tok", "l", p=0.5).select("vec_id", "tok")
+
+
+@register("top_p_min_keep", _logit_sql("select vec_id, tok from cp where rk = 1 or prev <= 0.01 or rk <= 4"))
+def q_top_p_min_keep(spark, sf_dir):
+    from convprep.operators.scores import top_p_filter
+
+    return top_p_filter(_logits(spark, sf_dir), "vec_id", "tok", "l", p=0.01, min_keep=3).select("vec_id", "tok")
+
+
+@register("argmax_scores", _logit_sql("select vec_id, tok from cs where rk = 1"))
+def q_argmax_scores(spark, sf_dir):
+    from convprep.operators.scores import argmax_by_group
+
+    return argmax_by_group(_logits(spark, sf_dir), "vec_id", "tok", "l", out="tok")
+
+
+def _draw_sql(src: str, seed: int, draws: int) -> tuple:
+    from convprep.functions.random import uniform_sql
+
+    u = uniform_sql(str(seed), "vec_id", "draw")
+    return (
+        ("dc", f"select *, max(cum) over (partition by vec_id) as tot from {src}"),
+        ("dd", f"""select vec_id, draw, {u} * tot as x from (
+               select vec_id, max(tot) as tot, unnest(range(0, {draws})) as draw from dc group by vec_id)"""),
+        ("dp", """select dd.vec_id, cast(dd.draw as integer) as draw, arg_min(dc.tok, dc.cum) as tok
+               from dd join dc on dd.vec_id = dc.vec_id and dc.cum >= dd.x group by dd.vec_id, dd.draw"""),
+    )
+
+
+@register("sampled_scores", _logit_sql("select vec_id, draw, tok from dp", _draw_sql("cs", 11, 3)))
+def q_sampled_scores(spark, sf_dir):
+    from convprep.operators.scores import sample_by_group
+
+    return sample_by_group(_logits(spark, sf_dir), "vec_id", "tok", "l", seed=11, draws=3, out="tok")
+
+
+@register(
+    "cross_entropy_scores",
+    _logit_sql("""select vec_id, round(ln(sum(exp(l - m))) + max(m) - max(case when tok = label then l end), 6) as loss
+from (select *, max(l) over (partition by vec_id) as m from v_logits) group by vec_id"""),
+)
+def q_cross_entropy_scores(spark, sf_dir):
+    from convprep.operators.scores import cross_entropy
+
+    out = cross_entropy(_logits(spark, sf_dir), "vec_id", "tok", "l", "label")
+    return out.select("vec_id", F.round("loss", 6).alias("loss"))
+
+
+@register(
+    "mean_cross_entropy",
+    _logit_sql("""select round(avg(loss), 6) as mean_loss, cast(count(*) as bigint) as n from (
+  select vec_id, ln(sum(exp(l - m))) + max(m) - max(case when tok = label then l end) as loss
+  from (select *, max(l) over (partition by vec_id) as m from v_logits) group by vec_id)"""),
+)
+def q_mean_cross_entropy(spark, sf_dir):
+    from convprep.operators.scores import cross_entropy, mean_cross_entropy
+
+    out = mean_cross_entropy(cross_entropy(_logits(spark, sf_dir), "vec_id", "tok", "l", "label"))
+    return out.select(F.round("mean_loss", 6).alias("mean_loss"), "n")
+
+
+# Top-k 10, nucleus 0.9 on the renormalised kept scores, seeded draws.
+_C12_CTES = (
+    ("k1", "select * from (select *, rank() over (partition by vec_id order by l desc) as r from v_logits) where r <= 10"),
+    ("k2", "select *, exp(l - max(l) over (partition by vec_id)) as e from k1"),
+    ("k3", "select *, e / sum(e) over (partition by vec_id) as p from k2"),
+    ("k4", """select *, sum(p) over (partition by vec_id order by l desc, tok
+                rows between unbounded preceding and current row) as cum0,
+            row_number() over (partition by vec_id order by l desc, tok) as rk0 from k3"""),
+    ("k5", "select *, lag(cum0) over (partition by vec_id order by l desc, tok) as prev0 from k4"),
+    ("k6", "select vec_id, tok, l from k5 where rk0 = 1 or prev0 <= 0.9"),
+    ("k7", "select *, exp(l - max(l) over (partition by vec_id)) as e from k6"),
+    ("k8", "select *, e / sum(e) over (partition by vec_id) as p from k7"),
+    ("k9", """select *, sum(p) over (partition by vec_id order by l desc, tok
+                rows between unbounded preceding and current row) as cum from k8"""),
+)
+
+
+@register("sampled_candidates", _logit_sql("select vec_id, draw, tok from dp", _C12_CTES + _draw_sql("k9", 5, 2)))
+def q_sampled_candidates(spark, sf_dir):
+    from convprep.operators.scores import sample_candidates
+
+    return sample_candidates(_logits(spark, sf_dir), "vec_id", "tok", "l", k=10, p=0.9, seed=5, draws=2)
+
+
+@register(
+    "greedy_candidates",
+    _logit_sql("select vec_id, cast(0 as integer) as draw, tok from cs where rk = 1"),
+)
+def q_greedy_candidates(spark, sf_dir):
+    from convprep.operators.scores import sample_candidates
+
+    return sample_candidates(_logits(spark, sf_dir), "vec_id", "tok", "l")
+
+
+@register(
+    "lineitem_nucleus",
+    """select l_orderkey, l_linenumber, l_partkey, l_suppkey from (
+  select *, row_number() over w as rk, lag(cum) over w as prev from (
+    select *, sum(share) over (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_partkey, l_suppkey
+                               rows between unbounded preceding and current row) as cum
+    from (select *, l_extendedprice / sum(l_extendedprice) over (partition by l_orderkey) as share from lineitem))
+  window w as (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_partkey, l_suppkey))
+where rk = 1 or prev <= 0.5""",
+)
+def q_lineitem_nucleus(spark, sf_dir):
+    from convprep.operators.scores import top_p_filter
+
+    li = fx.load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    cut = top_p_filter(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "l_extendedprice",
+                       p=0.5, weight="l_extendedprice")
+    return cut.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
