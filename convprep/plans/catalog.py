@@ -791,3 +791,281 @@ def q_lineitem_nucleus(spark, sf_dir):
     cut = top_p_filter(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "l_extendedprice",
                        p=0.5, weight="l_extendedprice")
     return cut.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+# ------------------------------------------- vectors: J2, A4, A5, H17, C11
+
+_CTRL_SEED = 13
+
+
+@register(
+    "control_vectors",
+    with_views(
+        """select m.row_id, cast(coalesce(a.n, 0) as bigint) as n_vectors, cast(d.dim as bigint) as dim,
+       round(coalesce(a.value, {u}), 6) as value
+from m cross join (select unnest(range(0, 64)) as dim) d
+left join a on a.row_id = m.row_id and a.dim = d.dim""",
+        extra=(
+            ("m", "select conv_id, turn, text, row_number() over (order by conv_id, turn) - 1 as row_id from conversations"),
+            ("t", "select row_id, unnest(regexp_extract_all(text, '(\\S+)', 1)) as tok from m"),
+            ("v", "select tok, row_number() over (order by n desc, tok) - 1 as id from (select tok, count(*) as n from t group by tok)"),
+            ("f", "select t.row_id, e.embedding from t join v using (tok) join embeddings e on e.vec_id = v.id"),
+            ("a", """select row_id, i - 1 as dim, avg(embedding[i]::double) as value, count(*) as n
+               from (select row_id, embedding, unnest(range(1, len(embedding) + 1)) as i from f) group by row_id, i"""),
+        ),
+    ).replace("{u}", __import__("convprep.functions.random", fromlist=["uniform_sql"]).uniform_sql(
+        str(_CTRL_SEED), "m.row_id", "d.dim")),
+)
+def q_control_vectors(spark, sf_dir):
+    from convprep.functions.text import pretokenize
+    from convprep.operators.index import dense_index
+    from convprep.operators.tokens import encode, fit_vocabulary
+    from convprep.operators.vectors import control_vectors
+
+    conv = fx.load(spark, sf_dir, "conversations").select("conv_id", "turn", pretokenize("text").alias("tokens"))
+    rows = dense_index(conv, ["conv_id", "turn"], out="row_id")
+    vocab = fit_vocabulary(rows, ["tokens"])
+    enc = encode(rows, ["row_id"], ["tokens"], ["ids"], vocab)
+    emb = fx.load(spark, sf_dir, "embeddings")
+    vec = control_vectors(enc.select("row_id", "ids"), "row_id", emb, ids="ids", dim=64, seed=_CTRL_SEED,
+                          emb_key="vec_id")
+    return vec.select("row_id", "n_vectors", F.posexplode("vector").alias("dim", "value")).select(
+        "row_id", "n_vectors", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@register(
+    "control_prefixed_inputs",
+    """select vec_id, cast(len(embedding) + 1 as bigint) as n_positions, round(embedding[1]::double, 6) as first_value
+from embeddings""",
+)
+def q_control_prefixed_inputs(spark, sf_dir):
+    from convprep.operators.vectors import prefix_control
+
+    emb = fx.load(spark, sf_dir, "embeddings")
+    # Each embedding's first value acts as its control element (a position-0 slot).
+    staged = emb.select("vec_id", F.element_at("embedding", 1).alias("vector"),
+                        F.transform("embedding", lambda x: F.array(x)).alias("vectors"))
+    staged = staged.withColumn("vector", F.array("vector"))
+    out = prefix_control(staged, "vector", "vectors", "inputs")
+    return out.select("vec_id", F.size("inputs").cast("bigint").alias("n_positions"),
+                      F.round(F.element_at(F.element_at("inputs", 1), 1).cast("double"), 6).alias("first_value"))
+
+
+# -------------------------------------------------------------- corpus: A6
+
+
+@register(
+    "conversation_corpus",
+    """select conv_id, md5(' ' || string_agg(text, ' ' order by turn)) as digest,
+       cast(length(' ' || string_agg(text, ' ' order by turn)) as bigint) as n_chars
+from conversations group by conv_id""",
+)
+def q_conversation_corpus(spark, sf_dir):
+    from convprep.operators.corpus import concat_corpus
+
+    conv = fx.load(spark, sf_dir, "conversations")
+    out = concat_corpus(conv, "text", ["turn"], ["conv_id"])
+    return out.select("conv_id", F.md5("corpus").alias("digest"), F.length("corpus").cast("bigint").alias("n_chars"))
+
+
+# ------------------------------------------------- text: H4, H7, H8
+
+
+@register(
+    "message_text_functions",
+    with_views(
+        """select conv_id, turn, left(content, instr(content, '.')) as stop_cut,
+       case when instr(content, '.') = 0 then content else left(content, instr(content, '.')) end as kept_cut,
+       concat_ws(' ', sender_name, left(content, instr(content, '.'))) as prompted
+from v_messages where content is not null""",
+        "v_messages",
+    ),
+)
+def q_message_text_functions(spark, sf_dir):
+    from convprep.functions.text import prefix_prompt, truncate_at_stop
+
+    msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations")).dropna(subset=["content"])
+    return msgs.select(
+        "conv_id", "turn",
+        truncate_at_stop("content", ".").alias("stop_cut"),
+        truncate_at_stop("content", ".", keep_if_missing=True).alias("kept_cut"),
+        prefix_prompt("sender_name", truncate_at_stop("content", ".")).alias("prompted"),
+    )
+
+
+@register(
+    "stripped_types",
+    with_views(
+        """select doc_id, i - 1 as link, topic_links[i].type as raw_type, rtrim(topic_links[i].type, '+-') as keyword
+from (select doc_id, topic_links, unnest(range(1, len(topic_links) + 1)) as i from v_topic_links)""",
+        "v_topic_links",
+    ),
+)
+def q_stripped_types(spark, sf_dir):
+    from convprep.functions.text import strip_sentiment
+
+    links = fx.topic_links_view(fx.load(spark, sf_dir, "documents"), fx.load(spark, sf_dir, "labels"))
+    ex = links.select("doc_id", F.posexplode("topic_links").alias("link", "x"))
+    return ex.select("doc_id", F.col("link").cast("bigint").alias("link"), F.col("x.type").alias("raw_type"),
+                     strip_sentiment(F.col("x.type")).alias("keyword"))
+
+
+# ------------------------------- sources and sinks: S1-S4, S7-S10, U1, C1, C7
+# These write a Spark-derived stage into the shared checkpoint folder and read
+# it back through the source operator under test.
+
+
+@register(
+    "message_export_roundtrip",
+    with_views(
+        """select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as bigint) as pos,
+       turn, sender_name, content, type from v_messages""",
+        "v_messages",
+    ),
+)
+def q_message_export_roundtrip(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    from convprep.session import scratch_path
+    from convprep.sources.messages import MESSAGE_FIELDS, read_message_export
+
+    msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
+    exports = msgs.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "sender_name", "content", "type"))).alias("messages"))
+    path = scratch_path(spark, "exports")
+    exports.write.partitionBy("conv_id").json(path)
+    fields = T.StructType([T.StructField("turn", T.LongType())] + MESSAGE_FIELDS.fields)
+    back = read_message_export(spark, f"{path}/conv_id=*/*.json", fields)
+    return back.select(
+        F.regexp_extract("file_name", r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id"),
+        "pos", "turn", "sender_name", "content", "type")
+
+
+@register(
+    "records_roundtrip",
+    with_views(
+        """select cast(row_number() over (order by conv_id, turn) - 1 as bigint) as row_id, conv_id, turn,
+       content as text from v_messages where content is not null""",
+        "v_messages",
+    ),
+)
+def q_records_roundtrip(spark, sf_dir):
+    from convprep.session import scratch_path
+    from convprep.sources.messages import load_comments
+
+    msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
+    path = scratch_path(spark, "records")
+    msgs.write.json(path)
+    schema = "conv_id bigint, turn bigint, sender_name string, content string, type string"
+    out = load_comments(spark, path, "content", order=["conv_id", "turn"], kind="records", schema=schema)
+    return out.select("row_id", "conv_id", "turn", "text")
+
+
+@register(
+    "keyed_records_roundtrip",
+    with_views(
+        """select cast(conv_id as varchar) || '_' || cast(turn as varchar) as id, content as text, sender_name
+from v_messages where content is not null""",
+        "v_messages",
+    ),
+)
+def q_keyed_records_roundtrip(spark, sf_dir):
+    from convprep.operators.rows import drop_missing_text
+    from convprep.session import scratch_path
+    from convprep.sources.messages import read_keyed_records
+
+    msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
+    keyed = msgs.groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")),
+        F.struct("content", "sender_name"))))).alias("value"))
+    path = scratch_path(spark, "keyed")
+    keyed.write.partitionBy("conv_id").text(path)
+    out = read_keyed_records(spark, f"{path}/conv_id=*/*.txt", "struct<content:string,sender_name:string>", "content")
+    return drop_missing_text(out, "text").select("id", "text", "sender_name")
+
+
+@register(
+    "per_sender_store",
+    with_views("select conv_id, turn, sender_name, content, type from v_messages where sender_name = 'system'",
+               "v_messages"),
+)
+def q_per_sender_store(spark, sf_dir):
+    from convprep.operators.rows import filter_sender
+    from convprep.session import scratch_path
+    from convprep.sources.sinks import write_per_sender
+
+    msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
+    path = scratch_path(spark, "senders")
+    write_per_sender(msgs, path)
+    back = filter_sender(spark.read.parquet(path), "system")  # partition pruning
+    return back.select("conv_id", "turn", "sender_name", "content", "type")
+
+
+@register("stored_sequence_batches", _batch_sql(_TRAIN_SEQS, 2, 1, 3, _PADDED_FINAL))
+def q_stored_sequence_batches(spark, sf_dir):
+    from convprep.operators.examples import stored_sequences
+    from convprep.session import scratch_path
+    from convprep.sources.sinks import write_csv_table, write_dataset
+    from convprep.sources.tables import read_csv_table
+
+    seqs = _training_sequences(spark, sf_dir).select("id", F.col("ids").alias("token_ids"))
+    stage = scratch_path(spark, "stage")
+    write_dataset(seqs, stage)                      # S9: parquet stage
+    csv = scratch_path(spark, "csv")
+    write_csv_table(spark.read.parquet(stage), csv)  # S7: lists as JSON text
+    stored = read_csv_table(spark, csv, schema="id bigint, token_ids string")  # S2
+    return _padded_out(stored_sequences(stored, "token_ids", "id", batch_size=2, epochs=1, seed=3))
+
+
+@register(
+    "run_manifest",
+    ORACLE["sender_training_set"].split("\nselect r.row_id")[0] + """
+select 'conversations' as source, 'user' as sender, '1023' as max_tokens, '2' as min_tokens,
+       cast(count(*) as bigint) as n_rows, cast(min(len(ids[1:1023])) as bigint) as min_len,
+       cast(max(len(ids[1:1023])) as bigint) as max_len
+from r join q using (row_id) where len(ids) >= 2""",
+)
+def q_run_manifest(spark, sf_dir):
+    from convprep.sources.sinks import run_manifest
+
+    msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
+    ts, _ = sender_training_set(msgs, _SENDER)
+    params = {"source": "conversations", "sender": _SENDER, "max_tokens": 1023, "min_tokens": 2}
+    return run_manifest(spark, params, ts, "token_ids")
+
+
+# ------------------------------------------------------ UDF hook: F1
+
+
+@register(
+    "udf_tokenize",
+    """select doc_id, cast(len(w) as bigint) as n_tokens, md5(array_to_string(w, ' ')) as digest
+from (select doc_id, regexp_extract_all(text, '(\\S+)', 1) as w from documents)""",
+)
+def q_udf_tokenize(spark, sf_dir):
+    from convprep.operators.tokens import apply_tokenizer, ascii_blank_split
+
+    docs = apply_tokenizer(fx.load(spark, sf_dir, "documents").select("doc_id", "text"), "text", ascii_blank_split)
+    return docs.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"),
+                       F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+# ------------------------------------------------------- sub-words: H3, H2
+
+
+@register("subword_merges", None)
+def q_subword_merges(spark, sf_dir):
+    from convprep.operators.tokens import fit_subword_merges
+
+    return fit_subword_merges(fx.load(spark, sf_dir, "documents"), "text", n_merges=10)
+
+
+@register("subword_pieces", None)
+def q_subword_pieces(spark, sf_dir):
+    from convprep.operators.tokens import fit_subword_merges, subword_pieces
+
+    docs = fx.load(spark, sf_dir, "documents").select("doc_id", "text")
+    merges = fit_subword_merges(docs, "text", n_merges=10)
+    out = subword_pieces(docs, ["doc_id"], merges, "text")
+    return out.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"),
+                      F.md5(F.array_join("pieces", "")).alias("digest"))
