@@ -53,25 +53,32 @@ def dense_index(
     parts = list(partition_by)
     sort = [F.col(p).asc() for p in parts] + _sort_exprs(order)
     n = _num_buckets(df, num_buckets)
-    ranged = (
-        df.repartitionByRange(n, *sort)
-        .sortWithinPartitions(*sort)
-        .withColumn("_cp_mid", F.monotonically_increasing_id())
-        .withColumn("_cp_b", F.shiftright("_cp_mid", _LOCAL_BITS))
-        .withColumn("_cp_local", F.col("_cp_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-        .drop("_cp_mid")
-    )
+    # REPARTITION_BY_NUM: AQE neither coalesces nor splits these partitions,
+    # so partition index = bucket in both branches below (they share the
+    # exchange).
+    ranged = df.repartitionByRange(n, *sort)
     keys = parts + ["_cp_b"]
-    sizes = ranged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_cp_n"), F.min("_cp_local").alias("_cp_first")
+    # Bucket sizes per group: counting needs no sort. Rows of a bucket are
+    # sorted by the group columns first, so a group's first local index in a
+    # bucket is the size of the earlier groups in that bucket.
+    sizes = ranged.groupBy(*parts, F.spark_partition_id().alias("_cp_b")).agg(
+        F.count(F.lit(1)).alias("_cp_n")
     )
-    w = Window.partitionBy(*parts).orderBy("_cp_b").rowsBetween(Window.unboundedPreceding, -1)
+    before_in_bucket = Window.partitionBy("_cp_b").orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    before_bucket = Window.partitionBy(*parts).orderBy("_cp_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *keys,
-        "_cp_first",
-        F.coalesce(F.sum("_cp_n").over(w), F.lit(0)).alias("_cp_off"),
+        F.coalesce(F.sum("_cp_n").over(before_in_bucket), F.lit(0)).alias("_cp_first"),
+        F.coalesce(F.sum("_cp_n").over(before_bucket), F.lit(0)).alias("_cp_off"),
+    )
+    local = (
+        ranged.sortWithinPartitions(*sort)
+        .withColumn("_cp_mid", F.monotonically_increasing_id())
+        .withColumn("_cp_b", F.shiftright("_cp_mid", _LOCAL_BITS).cast("int"))
+        .withColumn("_cp_local", F.col("_cp_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+        .drop("_cp_mid")
     )
-    joined = ranged.join(F.broadcast(offsets), keys)
+    joined = local.join(F.broadcast(offsets), keys)
     return joined.withColumn(
         out, (F.col("_cp_off") + F.col("_cp_local") - F.col("_cp_first")).cast("bigint")
     ).drop("_cp_b", "_cp_local", "_cp_first", "_cp_off")

@@ -59,16 +59,25 @@ def lookup_arrays(
     the element type of the input arrays. Pass column names in ``cols``.
     """
     key = list(key)
-    base = df.repartition(*[F.col(k) for k in key])
+    # Null keys cannot be grouped back to one row; filtering them here also
+    # makes this branch equal to the exploded one (which gets the inferred
+    # join filter), so both read one shared exchange.
+    not_null = None
+    for k in key:
+        c = F.col(k).isNotNull()
+        not_null = c if not_null is None else not_null & c
+    base = df.where(not_null).repartition(*[F.col(k) for k in key])
     no_keys = F.array().cast(f"array<{key_type}>")
     tagged = [
         F.transform(F.coalesce(c if isinstance(c, Column) else F.col(c), no_keys), _tagger(j))
         for j, c in enumerate(cols)
     ]
     allc = tagged[0] if len(tagged) == 1 else F.concat(*tagged)
-    exploded = base.select(*key, F.explode(allc).alias("_cp_e")).select(
-        *key, "_cp_e.c", "_cp_e.p", F.col("_cp_e.k").alias("_cp_k")
-    )
+    # explode_outer: a plain explode makes Catalyst add size()/isnotnull()
+    # filters that evaluate the array expression again per row.
+    exploded = base.select(*key, F.explode_outer(allc).alias("_cp_e")).where(
+        F.col("_cp_e").isNotNull()
+    ).select(*key, "_cp_e.c", "_cp_e.p", F.col("_cp_e.k").alias("_cp_k"))
     t = table.select(F.col(table_key).alias("_cp_k"), F.col(table_value).cast(value_type).alias("_cp_v"))
     if table_rows is not None and table_rows <= max_broadcast_rows:
         t = F.broadcast(t)

@@ -46,7 +46,9 @@ def fit_vocabulary(
     """
     toks = None
     for c in cols:
-        part = df.select(F.explode(F.col(c)).alias("tok"))
+        # explode_outer + filter: avoids re-evaluating the array per row in
+        # filters Catalyst would infer for a plain explode.
+        part = df.select(F.explode_outer(F.col(c)).alias("tok"))
         toks = part if toks is None else toks.unionByName(part)
     counts = toks.where(F.col("tok").isNotNull()).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
     if min_count > 1:
