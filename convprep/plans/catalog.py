@@ -1069,3 +1069,38 @@ def q_subword_pieces(spark, sf_dir):
     out = subword_pieces(docs, ["doc_id"], merges, "text")
     return out.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"),
                       F.md5(F.array_join("pieces", "")).alias("digest"))
+
+
+# --------------------------------------------- streaming parity (optional)
+
+
+@register(
+    "streamed_sender_tokens",
+    with_views(
+        """select conv_id, turn, cast(len(w[1:1023]) as bigint) as n_tokens, array_to_string(w[1:1023], ' ') as tokens
+from (select conv_id, turn, regexp_extract_all(content, '(\\S+)', 1) as w from v_messages
+      where sender_name = 'user' and content is not null and type = 'Generic')
+where len(w[1:1023]) >= 2""",
+        "v_messages",
+    ),
+)
+def q_streamed_sender_tokens(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    from convprep.session import scratch_path
+    from convprep.sources.messages import MESSAGE_FIELDS
+    from convprep.streaming.messages import read_message_stream, run_available_now, sender_tokens
+
+    msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
+    exports = msgs.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "sender_name", "content", "type"))).alias("messages"))
+    src = scratch_path(spark, "stream-src")
+    exports.write.partitionBy("conv_id").json(src)
+    fields = T.StructType([T.StructField("turn", T.LongType())] + MESSAGE_FIELDS.fields)
+    stream = sender_tokens(read_message_stream(spark, f"{src}/conv_id=*/", fields), _SENDER)
+    out = scratch_path(spark, "stream-out")
+    run_available_now(stream, out, scratch_path(spark, "stream-ckpt"))
+    back = spark.read.parquet(out)
+    return back.select(
+        F.regexp_extract("file_name", r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id"),
+        "turn", "n_tokens", F.array_join("tokens", " ").alias("tokens"))
