@@ -60,10 +60,12 @@ def bag_of_words_examples(df: DataFrame) -> DataFrame:
     return format_examples(df, "keyword")
 
 
-def max_len_per_batch(df: DataFrame, ids: str = "ids", out: str = "width") -> DataFrame:
-    """The padding width, the longest list of the batch."""
+def max_len_per_batch(df: DataFrame, ids: str | None = "ids", out: str = "width", sizes: str | None = None) -> DataFrame:
+    """The padding width, the longest list of the batch (from the list
+    column ``ids``, or from a precomputed size column ``sizes``)."""
     w = Window.partitionBy("epoch", "batch_id")
-    return df.withColumn(out, F.max(F.size(ids)).over(w).cast("int"))
+    n = F.col(sizes) if sizes is not None else F.size(ids)
+    return df.withColumn(out, F.max(n).over(w).cast("int"))
 
 
 def pad_batches(
@@ -84,9 +86,7 @@ def pad_batches(
     """
     sizes = examples.select(key, F.size(ids).alias("_cp_n"))
     narrow = assigned.select("epoch", "batch_id", "pos_in_batch", key).join(sizes, key)
-    narrow = narrow.withColumn(
-        "width", F.max("_cp_n").over(Window.partitionBy("epoch", "batch_id")).cast("int")
-    ).drop("_cp_n")
+    narrow = max_len_per_batch(narrow, None, "width", sizes="_cp_n").drop("_cp_n")
     wide = narrow.join(examples.select(key, ids, *keep), key)
     return wide.select(
         "epoch", "batch_id", "pos_in_batch", key, "width",
@@ -130,7 +130,10 @@ def token_pairs(
         tgt = seq
         offset = 0
     zipped = F.arrays_zip(ctx.alias("context"), tgt.alias("target"))
-    return df.select(*key, F.posexplode(zipped).alias("_cp_i", "_cp_z")).select(
+    # posexplode_outer + filter: a plain posexplode makes Catalyst add
+    # filters that rebuild the zipped arrays once more per row.
+    exploded = df.select(*key, F.posexplode_outer(zipped).alias("_cp_i", "_cp_z")).where(F.col("_cp_z").isNotNull())
+    return exploded.select(
         *key,
         (F.col("_cp_i") + offset).cast("bigint").alias("pos"),
         F.col("_cp_z.context").alias("context"),

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convprep.functions.arrays import take_last
+from convprep.functions.arrays import map_lookup_or_self, take_last
 from convprep.functions.text import strip_sentiment
 from convprep.operators.lookup import SELF, lookup_arrays
 
@@ -87,7 +87,7 @@ def translate_keywords(
         if not synonyms:
             return df.withColumn(out, F.array_distinct(picked))
         m = F.create_map(*[F.lit(x) for kv in sorted(synonyms.items()) for x in kv])
-        translated = F.transform(picked, lambda k: F.coalesce(F.try_element_at(m, k), k))
+        translated = F.transform(picked, lambda k: map_lookup_or_self(k, m))
         return df.withColumn(out, F.array_distinct(translated))
     if isinstance(synonyms, Mapping):
         spark = df.sparkSession

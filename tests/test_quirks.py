@@ -193,3 +193,48 @@ def test_control_vector_random_when_no_keyword(spark):
     assert got[2]["n_vectors"] == 0 and all(0 <= x < 1 for x in got[2]["vector"])
     again = {r["id"]: r for r in control_vectors(rows, "id", emb, dim=2, seed=3).collect()}
     assert again[2]["vector"] == got[2]["vector"]  # seeded, repeatable
+
+
+def test_lookup_row_and_union_and_shuffle(spark):
+    from convprep.operators.index import shuffle_rows
+    from convprep.operators.rows import lookup_row
+    from convprep.sources.messages import union_exports
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "row_id long, text string")
+    assert [r["text"] for r in lookup_row(df, 7, ["text"]).collect()] == ["t7"]
+    a = spark.createDataFrame([(1, "x")], "id long, a string")
+    b = spark.createDataFrame([(2, "y")], "id long, b string")
+    u = union_exports([a, b, a])
+    assert u.count() == 3 and sorted(u.columns) == ["a", "b", "id"]
+    s1 = shuffle_rows(df, seed=5, epoch=0).toPandas().sort_values("rn")
+    s2 = shuffle_rows(df, seed=5, epoch=1).toPandas().sort_values("rn")
+    assert sorted(s1["row_id"]) == list(range(20)) and list(s1["rn"]) == list(range(20))
+    assert list(s1["row_id"]) != list(s2["row_id"])
+
+
+def test_max_len_per_batch(spark):
+    from convprep.operators.examples import max_len_per_batch
+
+    df = spark.createDataFrame([(0, 0, [1]), (0, 0, [1, 2, 3]), (0, 1, [4, 5])], "epoch int, batch_id long, ids array<int>")
+    got = sorted((r["batch_id"], r["width"]) for r in max_len_per_batch(df).collect())
+    assert got == [(0, 3), (0, 3), (1, 2)]
+
+
+def test_map_lookup_or_self(spark):
+    from convprep.functions.arrays import map_lookup_or_self
+
+    df = spark.createDataFrame([("a",), ("z",)], "k string")
+    m = F.create_map(F.lit("a"), F.lit("A"))
+    assert [r[0] for r in df.select(map_lookup_or_self("k", m)).collect()] == ["A", "z"]
+
+
+def test_prepare_keyword_dataset_registers(spark, links):
+    from convprep.operators.tokens import fit_vocabulary, tokenize
+    from convprep.plans.keyword_set import prepare_keyword_dataset
+    from convprep.sources.sinks import dataset
+
+    vocab = fit_vocabulary(tokenize(links, "text", "t"), ["t"])
+    key, d10 = prepare_keyword_dataset(links, "doc_id", "text", vocab, key="kw_set", cluster=True)
+    assert key == "kw_set" and dataset(spark, key).count() == links.count()
+    assert d10.columns == ["id", "text", "keywords", "used_keywords", "tokenized_text",
+                           "tokenized_keywords", "text_ids", "keyword_ids"]
