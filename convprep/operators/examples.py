@@ -75,18 +75,23 @@ def pad_batches(
     pad_id: int = 0,
     key: str = "id",
     keep: Sequence[str] = (),
+    sizes: str | None = None,
 ) -> DataFrame:
     """Padded batches from a batch assignment (W6) and examples.
 
-    Only narrow columns take the batch-wide steps: list sizes join the
-    assignment, the width is a window max per ``(epoch, batch_id)``, and the
-    wide lists are joined once at the end. ``keep`` carries extra example
-    columns unpadded (the ragged keyword ids of the ``keyword`` kind).
-    Output ``epoch, batch_id, pos_in_batch, key, width, padded_ids, keep...``.
+    Only narrow columns take the batch-wide steps: the width is a window max
+    per ``(epoch, batch_id)`` over list sizes, and the wide lists are joined
+    once at the end. When ``assigned`` already carries the list size in a
+    ``sizes`` column (assign batches on ``(key, size)``), no size join is
+    needed. ``keep`` carries extra example columns unpadded (the ragged
+    keyword ids of the ``keyword`` kind). Output ``epoch, batch_id,
+    pos_in_batch, key, width, padded_ids, keep...``.
     """
-    sizes = examples.select(key, F.size(ids).alias("_cp_n"))
-    narrow = assigned.select("epoch", "batch_id", "pos_in_batch", key).join(sizes, key)
-    narrow = max_len_per_batch(narrow, None, "width", sizes="_cp_n").drop("_cp_n")
+    narrow = assigned.select("epoch", "batch_id", "pos_in_batch", key, *([sizes] if sizes else []))
+    if not sizes:
+        sizes = "_cp_n"
+        narrow = narrow.join(examples.select(key, F.size(ids).alias(sizes)), key)
+    narrow = max_len_per_batch(narrow, None, "width", sizes=sizes).drop(sizes)
     wide = narrow.join(examples.select(key, ids, *keep), key)
     return wide.select(
         "epoch", "batch_id", "pos_in_batch", key, "width",
@@ -105,8 +110,8 @@ def stored_sequences(
 ) -> DataFrame:
     """A stored set with id lists as text -> parsed -> padded batches."""
     parsed = stored.select(F.col(key), parse_id_list(sample_column).alias("ids")).where(F.col("ids").isNotNull())
-    assigned = assign_batches(parsed.select(key), batch_size, epochs, seed, row_id=key)
-    return pad_batches(assigned, parsed, "ids", pad_id, key)
+    assigned = assign_batches(parsed.select(key, F.size("ids").alias("_cp_n")), batch_size, epochs, seed, row_id=key)
+    return pad_batches(assigned, parsed, "ids", pad_id, key, sizes="_cp_n")
 
 
 def token_pairs(

@@ -4,10 +4,12 @@ W6 epoch batches.
 ``dense_index`` is the two-level index: the table is range-partitioned on
 the order key (Spark samples the key, so a hot leading value is split
 across buckets as long as the full key is unique), each bucket is sorted
-locally and numbered by ``monotonically_increasing_id``, the per-bucket
-sizes (one row per bucket, so the table is bounded by the bucket count) give
-running offsets, and a broadcast join of those offsets makes the numbers
-global. No step funnels the table through one task.
+locally and numbered by ``monotonically_increasing_id``, and that stage is
+written once to the shared checkpoint folder. The per-bucket sizes (one row
+per bucket and group, a bounded table) give running offsets, and a broadcast
+join of those offsets makes the numbers global. No step funnels the table
+through one task. Pass narrow frames (keys and what must travel with them):
+the bucketed stage is written.
 
 The order key must be unique: ties would be numbered in arbitrary order.
 """
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convprep.functions.random import md5_key
+from convprep.session import cut_lineage
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row
 
@@ -53,31 +56,25 @@ def dense_index(
     parts = list(partition_by)
     sort = [F.col(p).asc() for p in parts] + _sort_exprs(order)
     n = _num_buckets(df, num_buckets)
-    # REPARTITION_BY_NUM: AQE neither coalesces nor splits these partitions,
-    # so partition index = bucket in both branches below (they share the
-    # exchange).
-    ranged = df.repartitionByRange(n, *sort)
-    keys = parts + ["_cp_b"]
-    # Bucket sizes per group: counting needs no sort. Rows of a bucket are
-    # sorted by the group columns first, so a group's first local index in a
-    # bucket is the size of the earlier groups in that bucket.
-    sizes = ranged.groupBy(*parts, F.spark_partition_id().alias("_cp_b")).agg(
-        F.count(F.lit(1)).alias("_cp_n")
-    )
-    before_in_bucket = Window.partitionBy("_cp_b").orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
-    before_bucket = Window.partitionBy(*parts).orderBy("_cp_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys,
-        F.coalesce(F.sum("_cp_n").over(before_in_bucket), F.lit(0)).alias("_cp_first"),
-        F.coalesce(F.sum("_cp_n").over(before_bucket), F.lit(0)).alias("_cp_off"),
-    )
     local = (
-        ranged.sortWithinPartitions(*sort)
+        df.repartitionByRange(n, *sort)
+        .sortWithinPartitions(*sort)
         .withColumn("_cp_mid", F.monotonically_increasing_id())
         .withColumn("_cp_b", F.shiftright("_cp_mid", _LOCAL_BITS).cast("int"))
         .withColumn("_cp_local", F.col("_cp_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
         .drop("_cp_mid")
     )
+    # Written once: the range bounds come from a sample whose seed depends on
+    # the exchange instance, so the sizes and the numbering must read one
+    # materialized stage, not two exchanges (column pruning can stop Spark
+    # from reusing one). The written stage also cuts the lineage.
+    local = cut_lineage(local)
+    keys = parts + ["_cp_b"]
+    sizes = local.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_cp_n"), F.min("_cp_local").alias("_cp_first")
+    )
+    before = Window.partitionBy(*parts).orderBy("_cp_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_cp_first", F.coalesce(F.sum("_cp_n").over(before), F.lit(0)).alias("_cp_off"))
     joined = local.join(F.broadcast(offsets), keys)
     return joined.withColumn(
         out, (F.col("_cp_off") + F.col("_cp_local") - F.col("_cp_first")).cast("bigint")

@@ -27,6 +27,17 @@ DEFAULT_MAX_BROADCAST_ROWS = 5_000_000
 SELF = object()  # default marker: a miss keeps the looked-up element
 
 
+def partition_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows with a non-null key, hash-partitioned by it: the exact exchange
+    :func:`lookup_arrays` uses, so other branches built on this frame (a
+    vocabulary fit, say) read the same shuffle instead of a second scan."""
+    not_null = None
+    for k in key:
+        c = F.col(k).isNotNull()
+        not_null = c if not_null is None else not_null & c
+    return df.where(not_null).repartition(*[F.col(k) for k in key])
+
+
 def _tagger(j: int):
     return lambda x, i: F.struct(F.lit(j).alias("c"), i.alias("p"), x.alias("k"))
 
@@ -52,55 +63,54 @@ def lookup_arrays(
 ) -> DataFrame:
     """Map every element of each array in ``cols`` through ``table``.
 
-    ``key`` must identify rows uniquely. A miss gives ``default``: None keeps
-    null, :data:`SELF` keeps the element, else a literal. ``inner=True``
-    drops misses instead. Null input arrays stay null, empty ones give empty
-    arrays. ``table`` must have unique ``table_key`` values. ``key_type`` is
-    the element type of the input arrays. Pass column names in ``cols``.
+    ``cols`` are column names or array expressions (e.g. ``pretokenize``);
+    expressions are evaluated once, after the rows are partitioned by key,
+    so the shuffle moves the raw rows and the work runs in parallel.
+    ``key`` must identify rows uniquely; rows with a null key are dropped.
+    A miss gives ``default``: None keeps null, :data:`SELF` keeps the
+    element, else a literal; ``inner=True`` drops misses instead. Null input
+    arrays give null, empty ones empty arrays. ``table`` must have unique
+    ``table_key`` values; ``key_type`` is the element type of the inputs.
     """
     key = list(key)
-    # Null keys cannot be grouped back to one row; filtering them here also
-    # makes this branch equal to the exploded one (which gets the inferred
-    # join filter), so both read one shared exchange.
-    not_null = None
-    for k in key:
-        c = F.col(k).isNotNull()
-        not_null = c if not_null is None else not_null & c
-    base = df.where(not_null).repartition(*[F.col(k) for k in key])
+    # Null keys cannot be grouped back to one row. The same filter is
+    # inferred for the other join branch, so both read one shared exchange.
+    base = partition_rows(df, key)
+    staged = base.select(*key, *[(F.col(c) if isinstance(c, str) else c).alias(f"_cp_in{j}")
+                                 for j, c in enumerate(cols)])
     no_keys = F.array().cast(f"array<{key_type}>")
-    tagged = [
-        F.transform(F.coalesce(c if isinstance(c, Column) else F.col(c), no_keys), _tagger(j))
-        for j, c in enumerate(cols)
-    ]
+    tagged = [F.transform(F.coalesce(F.col(f"_cp_in{j}"), no_keys), _tagger(j)) for j in range(len(cols))]
     allc = tagged[0] if len(tagged) == 1 else F.concat(*tagged)
-    # explode_outer: a plain explode makes Catalyst add size()/isnotnull()
-    # filters that evaluate the array expression again per row.
-    exploded = base.select(*key, F.explode_outer(allc).alias("_cp_e")).where(
-        F.col("_cp_e").isNotNull()
-    ).select(*key, "_cp_e.c", "_cp_e.p", F.col("_cp_e.k").alias("_cp_k"))
+    flags = [F.col(f"_cp_in{j}").isNull().alias(f"_cp_null{j}") for j in range(len(cols))]
+    # explode_outer keeps rows with no element (so every key reaches the
+    # aggregate) and, unlike explode, makes Catalyst add no filter that would
+    # evaluate the array expression a second time.
+    exploded = staged.select(*key, *flags, F.explode_outer(allc).alias("_cp_e")).select(
+        *key, *[f"_cp_null{j}" for j in range(len(cols))],
+        "_cp_e.c", "_cp_e.p", F.col("_cp_e.k").alias("_cp_k"),
+    )
     t = table.select(F.col(table_key).alias("_cp_k"), F.col(table_value).cast(value_type).alias("_cp_v"))
     if table_rows is not None and table_rows <= max_broadcast_rows:
         t = F.broadcast(t)
-    joined = exploded.join(t, "_cp_k", "inner" if inner else "left")
+    joined = exploded.join(t, "_cp_k", "left")
     if default is None or inner:
         v = F.col("_cp_v")
     elif default is SELF:
         v = F.coalesce(F.col("_cp_v"), F.col("_cp_k").cast(value_type))
     else:
         v = F.coalesce(F.col("_cp_v"), F.lit(default).cast(value_type))
+    keep = F.col("c").isNotNull()
+    if inner:
+        keep = keep & F.col("_cp_v").isNotNull()
     grouped = joined.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("c", "p", v.alias("v")))).alias("_cp_arr")
+        *[F.max(f"_cp_null{j}").alias(f"_cp_null{j}") for j in range(len(cols))],
+        F.array_sort(F.collect_list(F.when(keep, F.struct("c", "p", v.alias("v"))))).alias("_cp_arr"),
     )
+    empty = F.array().cast(f"array<{value_type}>")
     sel = [*key]
     for j, out in enumerate(outs):
-        sel.append(
-            F.transform(F.filter("_cp_arr", _is_tag(j)), lambda x: x["v"]).alias(out)
-        )
+        picked = F.transform(F.filter("_cp_arr", _is_tag(j)), lambda x: x["v"])
+        sel.append(F.when(F.col(f"_cp_null{j}"), F.lit(None).cast(f"array<{value_type}>"))
+                   .otherwise(F.coalesce(picked, empty)).alias(out))
     arrays = grouped.select(*sel)
-    res = base.join(arrays, key, "left")
-    empty = F.array().cast(f"array<{value_type}>")
-    for c, out in zip(cols, outs):
-        src = c if isinstance(c, Column) else F.col(c)
-        res = res.withColumn(out, F.when(src.isNull(), F.lit(None).cast(f"array<{value_type}>"))
-                             .otherwise(F.coalesce(F.col(out), empty)))
-    return res
+    return base.join(arrays, key, "inner")

@@ -38,7 +38,8 @@ def fit_vocabulary(
 ) -> DataFrame:
     """A10: ``(tok, id int, n bigint)``, ids by count desc then token asc.
 
-    Tokens come from one or more ``array<string>`` columns. Counting is a
+    Tokens come from one or more ``array<string>`` columns (names or
+    expressions such as ``pretokenize("text")``). Counting is a
     partial + final hash aggregate (hot tokens collapse map-side), the ids
     come from the range-partitioned dense index, never a global window.
     ``max_size`` keeps the most frequent tokens and bounds the table, which
@@ -48,7 +49,7 @@ def fit_vocabulary(
     for c in cols:
         # explode_outer + filter: avoids re-evaluating the array per row in
         # filters Catalyst would infer for a plain explode.
-        part = df.select(F.explode_outer(F.col(c)).alias("tok"))
+        part = df.select(F.explode_outer(F.col(c) if isinstance(c, str) else c).alias("tok"))
         toks = part if toks is None else toks.unionByName(part)
     counts = toks.where(F.col("tok").isNotNull()).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
     if min_count > 1:

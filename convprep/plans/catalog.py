@@ -114,11 +114,13 @@ _SEQ_ORACLE_BASE = ("v_tokens", "v_vocab", "v_sequences")
 
 def _encoded_documents(spark, sf_dir):
     """v_sequences in Spark: blank tokens -> fitted vocabulary -> ids."""
-    from convprep.operators.tokens import encode, fit_vocabulary, tokenize
+    from convprep.functions.text import pretokenize
+    from convprep.operators.lookup import partition_rows
+    from convprep.operators.tokens import encode, fit_vocabulary
 
-    docs = tokenize(fx.load(spark, sf_dir, "documents").select("doc_id", "text"), "text", "tokens")
-    vocab = fit_vocabulary(docs, ["tokens"])
-    return encode(docs, ["doc_id"], ["tokens"], ["ids"], vocab), vocab
+    docs = partition_rows(fx.load(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    vocab = fit_vocabulary(docs, [pretokenize("text")])
+    return encode(docs, ["doc_id"], [pretokenize("text")], ["ids"], vocab), vocab
 
 
 @register(
@@ -509,9 +511,13 @@ def _training_sequences(spark, sf_dir):
     from convprep.functions.arrays import truncate_sequence
     from convprep.operators.rows import drop_short_sequences
 
+    from convprep.session import cut_lineage
+
     enc, _ = _encoded_documents(spark, sf_dir)
     seqs = enc.select(F.col("doc_id").alias("id"), truncate_sequence("ids", 1023).alias("ids"))
-    return drop_short_sequences(seqs, "ids", 2)
+    # The training set is a stored stage (written once to the shared
+    # checkpoint folder), as the reference stores it between steps.
+    return cut_lineage(drop_short_sequences(seqs, "ids", 2))
 
 
 def _padded_out(df):
@@ -527,8 +533,9 @@ def q_padded_batches(spark, sf_dir):
     from convprep.operators.index import assign_batches
 
     seqs = _training_sequences(spark, sf_dir)
-    assigned = assign_batches(seqs.select("id"), batch_size=4, epochs=3, seed=7, row_id="id")
-    return _padded_out(pad_batches(assigned, seqs, "ids", pad_id=0, key="id"))
+    assigned = assign_batches(seqs.select("id", F.size("ids").alias("n_ids")), batch_size=4, epochs=3, seed=7,
+                              row_id="id")
+    return _padded_out(pad_batches(assigned, seqs, "ids", pad_id=0, key="id", sizes="n_ids"))
 
 
 @register(
@@ -545,9 +552,9 @@ def q_epoch_rollup(spark, sf_dir):
     from convprep.operators.scores import epoch_rollup
 
     seqs = _training_sequences(spark, sf_dir)
-    assigned = assign_batches(seqs.select("id"), batch_size=4, epochs=3, seed=7, row_id="id")
-    sizes = seqs.select("id", F.size("ids").alias("n_ids"))
-    metrics = assigned.join(sizes, "id").groupBy("epoch", "batch_id").agg(
+    assigned = assign_batches(seqs.select("id", F.size("ids").alias("n_ids")), batch_size=4, epochs=3, seed=7,
+                              row_id="id")
+    metrics = assigned.groupBy("epoch", "batch_id").agg(
         F.avg("n_ids").alias("value"), F.count(F.lit(1)).alias("n_samples"))
     out = epoch_rollup(metrics)
     return out.select(
@@ -571,8 +578,10 @@ def q_batch_summaries(spark, sf_dir):
     from convprep.operators.index import assign_batches
 
     seqs = _training_sequences(spark, sf_dir)
-    assigned = assign_batches(seqs.select("id"), batch_size=4, epochs=3, seed=7, row_id="id")
-    padded = pad_batches(assigned, seqs.withColumn("n_ids", F.size("ids")), "ids", key="id", keep=["n_ids"])
+    assigned = assign_batches(seqs.select("id", F.size("ids").alias("n")), batch_size=4, epochs=3, seed=7,
+                              row_id="id")
+    padded = pad_batches(assigned, seqs.withColumn("n_ids", F.size("ids")), "ids", key="id", keep=["n_ids"],
+                         sizes="n")
 
     def collate(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({

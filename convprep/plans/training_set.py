@@ -22,6 +22,7 @@ from convprep.operators.rows import (
     filter_sender,
     rename_text,
 )
+from convprep.operators.lookup import partition_rows
 from convprep.operators.tokens import encode, fit_vocabulary
 
 # The reference's sequence limits.
@@ -53,11 +54,12 @@ def sender_training_set(
     """
     picked = rename_text(select_sender_messages(messages, sender), "content")
     picked = drop_missing_text(picked, "text")
-    rows = dense_index(picked.select(*order, "text"), list(order), out="row_id")
-    rows = rows.withColumn("tokenized_text", pretokenize("text", pattern))
+    rows = partition_rows(dense_index(picked.select(*order, "text"), list(order), out="row_id"), ["row_id"])
+    # Tokens are computed after the key exchange, in the fit branch and in
+    # the encode branch, which both read that one shuffle.
     if vocab is None:
-        vocab = fit_vocabulary(rows, ["tokenized_text"])
-    enc = encode(rows, ["row_id"], ["tokenized_text"], ["token_ids"], vocab, vocab_rows=vocab_rows)
+        vocab = fit_vocabulary(rows, [pretokenize("text", pattern)])
+    enc = encode(rows, ["row_id"], [pretokenize("text", pattern)], ["token_ids"], vocab, vocab_rows=vocab_rows)
     cut = enc.withColumn("token_ids", truncate_sequence("token_ids", max_len))
     kept = drop_short_sequences(cut, "token_ids", min_len)
     out = kept.select("row_id", *order, "text", "token_ids", size_of("token_ids").alias("n_tokens"))

@@ -90,3 +90,22 @@ def test_shares_sum_to_one_and_top_p_keeps_one(spark):
     for p in [1e-12, 0.3, 0.99]:
         kept = top_p_filter(logits, "vec_id", "tok", "l", p=p).groupBy("vec_id").count()
         assert kept.count() == logits.select("vec_id").distinct().count()
+
+
+@pytest.mark.parametrize("checkpointed", [False, True])
+def test_dense_index_consistent_when_columns_are_pruned(spark, checkpointed):
+    """Payload columns unused by the size count must not change bucket
+    numbering (regression: two range exchanges sampled different bounds)."""
+    from convprep.session import cut_lineage
+
+    df = spark.range(0, 3000).withColumnRenamed("id", "row_id").withColumn("payload", F.col("row_id") % 11)
+    if checkpointed:
+        df = cut_lineage(df)
+    a = assign_batches(df, 4, 3, 7, num_buckets=8).toPandas()
+    assert a["batch_id"].min() == 0
+    assert a.groupby(["epoch", "batch_id", "pos_in_batch"]).size().max() == 1
+    assert (a.groupby("epoch")["row_id"].nunique() == 3000).all()
+    d = dense_index(df, [F.desc("payload"), "row_id"], out="rank", num_buckets=8).toPandas()
+    assert sorted(d["rank"]) == list(range(3000))
+    exp = d.sort_values(["payload", "row_id"], ascending=[False, True])["rank"].tolist()
+    assert exp == list(range(3000))
