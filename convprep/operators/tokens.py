@@ -153,55 +153,82 @@ def _merge_regex(left: str, right: str) -> tuple[str, str]:
     return pattern, replacement
 
 
+def _best_pair(words: DataFrame, min_pair_count: int):
+    syms = F.split(F.expr("substring(sym, 2, length(sym) - 2)"), _SEP)
+    pairs = words.where(F.size(syms) >= 2).select(
+        "n",
+        F.explode_outer(
+            F.transform(
+                F.sequence(F.lit(1), F.size(syms) - 1),
+                lambda i: F.struct(F.element_at(syms, i).alias("a"), F.element_at(syms, i + 1).alias("b")),
+            )
+        ).alias("pr"),
+    )
+    best = (
+        pairs.groupBy(F.col("pr.a").alias("a"), F.col("pr.b").alias("b"))
+        .agg(F.sum("n").alias("cnt"))
+        .where(F.col("cnt") >= min_pair_count)
+        .orderBy(F.desc("cnt"), F.asc("a"), F.asc("b"))
+        .limit(1)
+        .collect()
+    )
+    return best[0] if best else None
+
+
 def fit_subword_merges(
     df: DataFrame,
     col: str = "text",
     n_merges: int = 10,
     pattern: str = "words",
     min_pair_count: int = 2,
+    checkpoint_every: int = 5,
 ) -> DataFrame:
     """H3: learn ``n_merges`` byte-pair style merges from the corpus.
 
     Work is on the distinct pre-tokens with their counts (a fraction of the
     corpus). Each round is one Spark job: count adjacent symbol pairs
-    weighted by word count (partial + final aggregate), fetch the single best
-    pair (highest count, then smallest pair), rewrite every word with a
-    left-to-right regular-expression merge, and checkpoint the word table
-    to the shared folder. Returns ``(rank, left, right, merged, n)``.
+    weighted by word count (partial + final aggregate) and fetch the single
+    best pair (highest count, then smallest pair); the chosen merge rewrites
+    every word with a left-to-right regular-expression replace. The word
+    table is cached between rounds (the next round's job fills the cache)
+    and written to the shared checkpoint folder every ``checkpoint_every``
+    rounds, which bounds the lineage an executor loss can replay.
+    Returns ``(rank, left, right, merged, n)``.
     """
+    from pyspark import StorageLevel
+
     spark = df.sparkSession
     words = (
-        df.select(F.explode(pretokenize(F.regexp_replace(col, _SEP, ""), pattern)).alias("w"))
+        df.select(F.explode_outer(pretokenize(F.regexp_replace(col, _SEP, ""), pattern)).alias("w"))
+        .where(F.col("w").isNotNull())
         .groupBy("w").agg(F.count(F.lit(1)).alias("n"))
         .select(_symbols(F.col("w")).alias("sym"), "n")
     )
-    words = cut_lineage(words)
+    # A fixed partition count (AQE does not coalesce it) keeps every round
+    # parallel; each round's pair count reads these partitions.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = cut_lineage(words.repartition(parts, "sym"))
+    cached: list[DataFrame] = []
     merges: list[tuple[int, str, str, str, int]] = []
     for rank in range(n_merges):
-        syms = F.split(F.expr(f"substring(sym, 2, length(sym) - 2)"), _SEP)
-        pairs = words.select(
-            "n",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.size(syms) - 1),
-                    lambda i: F.struct(F.element_at(syms, i).alias("a"), F.element_at(syms, i + 1).alias("b")),
-                )
-            ).alias("pr"),
-        ).where(F.size(syms) >= 2)
-        best = (
-            pairs.groupBy(F.col("pr.a").alias("a"), F.col("pr.b").alias("b"))
-            .agg(F.sum("n").alias("cnt"))
-            .where(F.col("cnt") >= min_pair_count)
-            .orderBy(F.desc("cnt"), F.asc("a"), F.asc("b"))
-            .limit(1)
-            .collect()
-        )
-        if not best:
+        best = _best_pair(words, min_pair_count)
+        for old in cached[:-1]:
+            old.unpersist()
+        cached = cached[-1:]
+        if best is None:
             break
-        a, b, cnt = best[0]["a"], best[0]["b"], int(best[0]["cnt"])
+        a, b, cnt = best["a"], best["b"], int(best["cnt"])
         merges.append((rank, a, b, a + b, cnt))
         pat, rep = _merge_regex(a, b)
-        words = cut_lineage(words.withColumn("sym", F.regexp_replace("sym", F.lit(pat), F.lit(rep))))
+        nxt = words.withColumn("sym", F.regexp_replace("sym", F.lit(pat), F.lit(rep)))
+        if (rank + 1) % checkpoint_every == 0:
+            nxt = cut_lineage(nxt)
+        else:
+            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(nxt)
+        words = nxt
+    for old in cached:
+        old.unpersist()
     schema = "rank int, left string, right string, merged string, n bigint"
     return spark.createDataFrame(merges, schema)
 

@@ -924,30 +924,48 @@ def q_stripped_types(spark, sf_dir):
 # it back through the source operator under test.
 
 
+# Conversations per export file in the round trips (the reference reads a
+# handful of large export files, each with a long message list).
+_CONVS_PER_EXPORT = 50
+
+
+def _write_exports(spark, sf_dir, name):
+    """Export files from v_messages: ``{"messages": [...]}`` per file, each
+    holding the messages of 50 consecutive conversations in order."""
+    from convprep.session import scratch_path
+
+    msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
+    exports = msgs.groupBy(F.floor(F.col("conv_id") / _CONVS_PER_EXPORT).alias("export")).agg(
+        F.array_sort(F.collect_list(F.struct("conv_id", "turn", "sender_name", "content", "type"))).alias("messages"))
+    path = scratch_path(spark, name)
+    exports.write.partitionBy("export").json(path)
+    return path
+
+
+def _export_fields():
+    from pyspark.sql import types as T
+
+    from convprep.sources.messages import MESSAGE_FIELDS
+
+    return T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType())]
+                        + MESSAGE_FIELDS.fields)
+
+
 @register(
     "message_export_roundtrip",
     with_views(
-        """select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as bigint) as pos,
+        f"""select conv_id, cast(row_number() over (partition by conv_id // {_CONVS_PER_EXPORT}
+                                          order by conv_id, turn) - 1 as bigint) as pos,
        turn, sender_name, content, type from v_messages""",
         "v_messages",
     ),
 )
 def q_message_export_roundtrip(spark, sf_dir):
-    from pyspark.sql import types as T
-
-    from convprep.session import scratch_path
-    from convprep.sources.messages import MESSAGE_FIELDS, read_message_export
+    from convprep.sources.messages import read_message_export
 
-    msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
-    exports = msgs.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "sender_name", "content", "type"))).alias("messages"))
-    path = scratch_path(spark, "exports")
-    exports.write.partitionBy("conv_id").json(path)
-    fields = T.StructType([T.StructField("turn", T.LongType())] + MESSAGE_FIELDS.fields)
-    back = read_message_export(spark, f"{path}/conv_id=*/*.json", fields)
-    return back.select(
-        F.regexp_extract("file_name", r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id"),
-        "pos", "turn", "sender_name", "content", "type")
+    path = _write_exports(spark, sf_dir, "exports")
+    back = read_message_export(spark, f"{path}/export=*/*.json", _export_fields())
+    return back.select("conv_id", "pos", "turn", "sender_name", "content", "type")
 
 
 @register(
@@ -1094,22 +1112,12 @@ where len(w[1:1023]) >= 2""",
     ),
 )
 def q_streamed_sender_tokens(spark, sf_dir):
-    from pyspark.sql import types as T
-
     from convprep.session import scratch_path
-    from convprep.sources.messages import MESSAGE_FIELDS
     from convprep.streaming.messages import read_message_stream, run_available_now, sender_tokens
 
-    msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
-    exports = msgs.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "sender_name", "content", "type"))).alias("messages"))
-    src = scratch_path(spark, "stream-src")
-    exports.write.partitionBy("conv_id").json(src)
-    fields = T.StructType([T.StructField("turn", T.LongType())] + MESSAGE_FIELDS.fields)
-    stream = sender_tokens(read_message_stream(spark, f"{src}/conv_id=*/", fields), _SENDER)
+    src = _write_exports(spark, sf_dir, "stream-src")
+    stream = sender_tokens(read_message_stream(spark, f"{src}/export=*/", _export_fields()), _SENDER)
     out = scratch_path(spark, "stream-out")
     run_available_now(stream, out, scratch_path(spark, "stream-ckpt"))
     back = spark.read.parquet(out)
-    return back.select(
-        F.regexp_extract("file_name", r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id"),
-        "turn", "n_tokens", F.array_join("tokens", " ").alias("tokens"))
+    return back.select("conv_id", "turn", "n_tokens", F.array_join("tokens", " ").alias("tokens"))
