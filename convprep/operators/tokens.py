@@ -153,26 +153,22 @@ def _merge_regex(left: str, right: str) -> tuple[str, str]:
     return pattern, replacement
 
 
-def _best_pair(words: DataFrame, min_pair_count: int):
+def _pair_rows(words: DataFrame, sign: int = 1) -> DataFrame:
+    """Every adjacent symbol pair of every word, weighted by ``sign * n``."""
     syms = F.split(F.expr("substring(sym, 2, length(sym) - 2)"), _SEP)
-    pairs = words.where(F.size(syms) >= 2).select(
-        "n",
-        F.explode_outer(
-            F.transform(
-                F.sequence(F.lit(1), F.size(syms) - 1),
-                lambda i: F.struct(F.element_at(syms, i).alias("a"), F.element_at(syms, i + 1).alias("b")),
-            )
-        ).alias("pr"),
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.size(syms) - 1),
+        lambda i: F.struct(F.element_at(syms, i).alias("a"), F.element_at(syms, i + 1).alias("b")),
     )
-    best = (
-        pairs.groupBy(F.col("pr.a").alias("a"), F.col("pr.b").alias("b"))
-        .agg(F.sum("n").alias("cnt"))
-        .where(F.col("cnt") >= min_pair_count)
-        .orderBy(F.desc("cnt"), F.asc("a"), F.asc("b"))
-        .limit(1)
-        .collect()
+    return (
+        words.where(F.size(syms) >= 2)
+        .select((F.col("n") * sign).alias("cnt"), F.explode_outer(pairs).alias("pr"))
+        .select(F.col("pr.a").alias("a"), F.col("pr.b").alias("b"), "cnt")
     )
-    return best[0] if best else None
+
+
+def _count_pairs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("a", "b").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") != 0)
 
 
 def fit_subword_merges(
@@ -186,47 +182,60 @@ def fit_subword_merges(
     """H3: learn ``n_merges`` byte-pair style merges from the corpus.
 
     Work is on the distinct pre-tokens with their counts (a fraction of the
-    corpus). Each round is one Spark job: count adjacent symbol pairs
-    weighted by word count (partial + final aggregate) and fetch the single
-    best pair (highest count, then smallest pair); the chosen merge rewrites
-    every word with a left-to-right regular-expression replace. The word
-    table is cached between rounds (the next round's job fills the cache)
-    and written to the shared checkpoint folder every ``checkpoint_every``
+    corpus). Pair counts (adjacent symbols, weighted by word count) are
+    computed once; each round then fetches the single best pair (highest
+    count, then smallest pair) and updates the counts incrementally: only
+    words holding the pair (a substring test) are rewritten with a
+    left-to-right regular-expression replace, their old pairs subtracted and
+    new pairs added. Word and pair tables are cached between rounds and
+    written to the shared checkpoint folder every ``checkpoint_every``
     rounds, which bounds the lineage an executor loss can replay.
     Returns ``(rank, left, right, merged, n)``.
     """
     from pyspark import StorageLevel
 
     spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = (
         df.select(F.explode_outer(pretokenize(F.regexp_replace(col, _SEP, ""), pattern)).alias("w"))
         .where(F.col("w").isNotNull())
         .groupBy("w").agg(F.count(F.lit(1)).alias("n"))
         .select(_symbols(F.col("w")).alias("sym"), "n")
     )
-    # A fixed partition count (AQE does not coalesce it) keeps every round
-    # parallel; each round's pair count reads these partitions.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A fixed partition count (AQE does not coalesce it) keeps rounds parallel.
     words = cut_lineage(words.repartition(parts, "sym"))
+    pairs = cut_lineage(_count_pairs(_pair_rows(words)))
     cached: list[DataFrame] = []
     merges: list[tuple[int, str, str, str, int]] = []
     for rank in range(n_merges):
-        best = _best_pair(words, min_pair_count)
-        for old in cached[:-1]:
+        best = (
+            pairs.where(F.col("cnt") >= min_pair_count)
+            .orderBy(F.desc("cnt"), F.asc("a"), F.asc("b"))
+            .limit(1)
+            .collect()
+        )
+        # The tables of two rounds ago are no longer read by anything.
+        for old in cached[:-2]:
             old.unpersist()
-        cached = cached[-1:]
-        if best is None:
+        cached = cached[-2:]
+        if not best:
             break
-        a, b, cnt = best["a"], best["b"], int(best["cnt"])
+        a, b, cnt = best[0]["a"], best[0]["b"], int(best[0]["cnt"])
         merges.append((rank, a, b, a + b, cnt))
         pat, rep = _merge_regex(a, b)
-        nxt = words.withColumn("sym", F.regexp_replace("sym", F.lit(pat), F.lit(rep)))
+        hit = F.instr("sym", _SEP + a + _SEP + b + _SEP) > 0
+        merged = F.regexp_replace("sym", F.lit(pat), F.lit(rep))
+        affected = words.where(hit)
+        delta = _pair_rows(affected.withColumn("sym", merged)).unionByName(_pair_rows(affected, -1))
+        nxt_pairs = _count_pairs(pairs.unionByName(delta))
+        nxt_words = words.withColumn("sym", F.when(hit, merged).otherwise(F.col("sym")))
         if (rank + 1) % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
+            nxt_words, nxt_pairs = cut_lineage(nxt_words), cut_lineage(nxt_pairs)
         else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(nxt)
-        words = nxt
+            nxt_words = nxt_words.persist(StorageLevel.MEMORY_AND_DISK)
+            nxt_pairs = nxt_pairs.persist(StorageLevel.MEMORY_AND_DISK)
+            cached += [nxt_words, nxt_pairs]
+        words, pairs = nxt_words, nxt_pairs
     for old in cached:
         old.unpersist()
     schema = "rank int, left string, right string, merged string, n bigint"
