@@ -28,6 +28,10 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "co
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CONVPREP_DRIVER_MEMORY", "16g"))
     )
+    if os.environ.get("CONVPREP_NO_AUTO_BROADCAST"):
+        # Plan shapes of large data: no size-based broadcast, shuffle joins.
+        builder = builder.config("spark.sql.autoBroadcastJoinThreshold", "-1").config(
+            "spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
