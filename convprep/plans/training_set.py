@@ -53,15 +53,20 @@ def sender_training_set(
     the reference, so ``row_id`` may have gaps.
     """
     picked = rename_text(select_sender_messages(messages, sender), "content")
-    picked = drop_missing_text(picked, "text")
-    rows = partition_rows(dense_index(picked.select(*order, "text"), list(order), out="row_id"), ["row_id"])
-    # Tokens are computed after the key exchange, in the fit branch and in
-    # the encode branch, which both read that one shuffle.
+    picked = drop_missing_text(picked, "text").select(*order, "text")
+    # Encode on the natural unique key, straight from the filtered scan: the
+    # fit branch, the token branch and the join-back all read one key
+    # exchange, and tokens are computed after it.
+    rows = partition_rows(picked, list(order))
     if vocab is None:
         vocab = fit_vocabulary(rows, [pretokenize("text", pattern)])
-    enc = encode(rows, ["row_id"], [pretokenize("text", pattern)], ["token_ids"], vocab, vocab_rows=vocab_rows)
+    enc = encode(rows, list(order), [pretokenize("text", pattern)], ["token_ids"], vocab, vocab_rows=vocab_rows)
     cut = enc.withColumn("token_ids", truncate_sequence("token_ids", max_len))
-    kept = drop_short_sequences(cut, "token_ids", min_len)
+    # Row ids over the narrow keys only (the index writes its bucketed
+    # stage); joined onto rows already partitioned by these keys, so only
+    # the narrow side moves.
+    ids = dense_index(picked.select(*order), list(order), out="row_id")
+    kept = drop_short_sequences(cut.join(ids, list(order)), "token_ids", min_len)
     out = kept.select("row_id", *order, "text", "token_ids", size_of("token_ids").alias("n_tokens"))
     return out, vocab
 

@@ -238,3 +238,10 @@ def test_prepare_keyword_dataset_registers(spark, links):
     assert key == "kw_set" and dataset(spark, key).count() == links.count()
     assert d10.columns == ["id", "text", "keywords", "used_keywords", "tokenized_text",
                            "tokenized_keywords", "text_ids", "keyword_ids"]
+
+
+def test_clean_decoded_blanks(spark):
+    from convprep.functions.text import clean_decoded
+
+    df = spark.createDataFrame([("hello , world ! ok .",)], "t string")
+    assert df.select(clean_decoded("t")).first()[0] == "hello, world! ok."
