@@ -1121,3 +1121,33 @@ def q_streamed_sender_tokens(spark, sf_dir):
     run_available_now(stream, out, scratch_path(spark, "stream-ckpt"))
     back = spark.read.parquet(out)
     return back.select("conv_id", "turn", "n_tokens", F.array_join("tokens", " ").alias("tokens"))
+
+
+# ----------------------------------------------- randomness: T4, A5 alone
+
+
+@register(
+    "shuffled_documents",
+    """select doc_id, cast(row_number() over (order by md5(concat_ws(':', 42, 0, doc_id)), doc_id) - 1 as bigint) as rn
+from documents""",
+)
+def q_shuffled_documents(spark, sf_dir):
+    from convprep.operators.index import shuffle_rows
+
+    docs = fx.load(spark, sf_dir, "documents").select("doc_id")
+    return shuffle_rows(docs, seed=42, epoch=0, row_id="doc_id", out="rn").select("doc_id", "rn")
+
+
+@register(
+    "random_vectors",
+    "select vec_id, cast(d - 1 as bigint) as dim, round({u}, 6) as value "
+    "from (select vec_id, unnest(range(1, len(embedding) + 1)) as d from embeddings)".replace(
+        "{u}", __import__("convprep.functions.random", fromlist=["uniform_sql"]).uniform_sql("21", "vec_id", "d - 1")),
+)
+def q_random_vectors(spark, sf_dir):
+    from convprep.operators.vectors import random_vector
+
+    emb = fx.load(spark, sf_dir, "embeddings")
+    vec = emb.select("vec_id", random_vector(21, "vec_id", 64).alias("v"))
+    return vec.select("vec_id", F.posexplode("v").alias("dim", "value")).select(
+        "vec_id", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
