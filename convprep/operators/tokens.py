@@ -242,17 +242,37 @@ def fit_subword_merges(
     return spark.createDataFrame(merges, schema)
 
 
-def apply_merges(word: str, merges: Sequence[tuple[str, str]]) -> list[str]:
-    """Replay merges in rank order on one word (left to right, no overlap)."""
+def merge_ranks(merges: Sequence[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    """``(left, right) -> rank`` for :func:`apply_merges`."""
+    ranks: dict[tuple[str, str], int] = {}
+    for r, pair in enumerate(merges):
+        ranks.setdefault(tuple(pair), r)
+    return ranks
+
+
+def apply_merges(word: str, merges) -> list[str]:
+    """Split ``word`` into learned pieces: repeatedly merge every occurrence
+    (left to right) of the adjacent pair with the lowest rank.
+
+    Same result as replaying the merges in rank order (a merge only creates
+    pairs learned after it), but the work grows with the word, not with the
+    number of merges. ``merges`` is a rank dict or a list of pairs.
+    """
+    ranks = merges if isinstance(merges, dict) else merge_ranks(merges)
     syms = list(word)
-    for a, b in merges:
-        if len(syms) < 2:
+    while len(syms) > 1:
+        best = None
+        for i in range(len(syms) - 1):
+            r = ranks.get((syms[i], syms[i + 1]))
+            if r is not None and (best is None or r < best):
+                best = r
+        if best is None:
             break
         out = []
         i = 0
         while i < len(syms):
-            if i + 1 < len(syms) and syms[i] == a and syms[i + 1] == b:
-                out.append(a + b)
+            if i + 1 < len(syms) and ranks.get((syms[i], syms[i + 1])) == best:
+                out.append(syms[i] + syms[i + 1])
                 i += 2
             else:
                 out.append(syms[i])
@@ -276,14 +296,15 @@ def subword_pieces(
     once per task); pieces are joined back to every occurrence and
     re-collected per key in order.
     """
-    merge_list = [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
+    # The merge list is bounded by n_merges; it ships to tasks with the closure.
+    ranks = merge_ranks([(r["left"], r["right"]) for r in merges.orderBy("rank").collect()])
     key = list(key)
     exploded = df.select(*key, F.posexplode(pretokenize(F.regexp_replace(col, _SEP, ""), pattern)).alias("p", "w"))
     distinct_words = exploded.select("w").distinct()
 
     def _replay(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pd.DataFrame({"w": pdf["w"], "pieces": [apply_merges(w, merge_list) for w in pdf["w"]]})
+            yield pd.DataFrame({"w": pdf["w"], "pieces": [apply_merges(w, ranks) for w in pdf["w"]]})
 
     pieces = distinct_words.mapInPandas(_replay, "w string, pieces array<string>")
     joined = exploded.join(pieces, "w")

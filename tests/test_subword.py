@@ -69,3 +69,27 @@ def test_pieces_concatenate_back_to_pretokens(spark):
 
 def test_separator_char_is_removed_from_input():
     assert re.escape("\u0001") is not None
+
+
+def test_rank_first_equals_sequential_replay():
+    import random
+
+    def replay(word, merges):
+        syms = list(word)
+        for a, b in merges:
+            out, i = [], 0
+            while i < len(syms):
+                if i + 1 < len(syms) and syms[i] == a and syms[i + 1] == b:
+                    out.append(a + b)
+                    i += 2
+                else:
+                    out.append(syms[i])
+                    i += 1
+            syms = out
+        return syms
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    merges = [m[:2] for m in brute_force(words, 15, min_pair_count=1)]
+    for w in words:
+        assert apply_merges(w, merges) == replay(w, merges), w
