@@ -38,6 +38,37 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "co
     return spark
 
 
+def recommended_conf(
+    input_bytes: int,
+    executors: int,
+    cores_per_executor: int,
+    target_partition_bytes: int = 1024**3,
+    max_partitions: int = 100_000,
+) -> dict[str, str]:
+    """Settings that keep tasks spill-friendly for an input of ``input_bytes``.
+
+    Shuffle partitions are sized so one partition of the largest shuffle
+    (token triples run about 2-3x the text) stays near
+    ``target_partition_bytes``, with at least two waves of tasks and at most
+    ``max_partitions`` (beyond that the map x reduce block count, not data,
+    dominates; sorts and aggregates spill instead). The dense index and the
+    lookups take their bucket counts from this value. AQE coalesces small
+    partitions and splits skewed join partitions at run time.
+    """
+    slots = max(1, executors * cores_per_executor)
+    shuffle_bytes = 3 * input_bytes
+    partitions = min(max_partitions, max(2 * slots, -(-shuffle_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(int(partitions)),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
