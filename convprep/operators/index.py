@@ -34,12 +34,6 @@ def _sort_exprs(order: Sequence) -> list[Column]:
     return out
 
 
-def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
-    if num_buckets:
-        return int(num_buckets)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def dense_index(
     df: DataFrame,
     order: Sequence,
@@ -55,9 +49,12 @@ def dense_index(
     """
     parts = list(partition_by)
     sort = [F.col(p).asc() for p in parts] + _sort_exprs(order)
-    n = _num_buckets(df, num_buckets)
+    # Without an explicit count, AQE may coalesce adjacent ranges to its
+    # advisory size (still in key order), so small tables do not get one
+    # task per configured shuffle partition.
+    ranged = df.repartitionByRange(int(num_buckets), *sort) if num_buckets else df.repartitionByRange(*sort)
     local = (
-        df.repartitionByRange(n, *sort)
+        ranged
         .sortWithinPartitions(*sort)
         .withColumn("_cp_mid", F.monotonically_increasing_id())
         .withColumn("_cp_b", F.shiftright("_cp_mid", _LOCAL_BITS).cast("int"))

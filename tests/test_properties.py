@@ -109,3 +109,20 @@ def test_dense_index_consistent_when_columns_are_pruned(spark, checkpointed):
     assert sorted(d["rank"]) == list(range(3000))
     exp = d.sort_values(["payload", "row_id"], ascending=[False, True])["rank"].tolist()
     assert exp == list(range(3000))
+
+
+def test_dense_index_with_coalesced_ranges(spark):
+    """Default bucket count (the session's shuffle partitions) with AQE free
+    to coalesce adjacent ranges: numbering stays dense and ordered."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(0, 5000).select(F.col("id").alias("k"), (F.col("id") * 7919 % 5000).alias("v"))
+        got = dense_index(df, ["v", "k"], out="rn").toPandas().sort_values("rn")
+        assert list(got["rn"]) == list(range(5000))
+        assert list(got["v"]) == sorted(got["v"])
+        a = assign_batches(df.withColumnRenamed("k", "row_id"), 3, 2, 5).toPandas()
+        assert a.groupby(["epoch", "batch_id", "pos_in_batch"]).size().max() == 1
+        assert (a.groupby("epoch")["row_id"].nunique() == 5000).all()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
