@@ -42,9 +42,10 @@ def format_examples(
     if kind == "prepend_space":
         if vocab is None:
             raise ValueError("prepend_space re-encodes text: give vocab")
-        staged = df.select("id", pretokenize(prepend_text("text", "keywords"), pattern).alias("_cp_t"))
-        enc = encode(staged, ["id"], ["_cp_t"], ["ids"], vocab, unk_id=unk_id, vocab_rows=vocab_rows)
-        return enc.select("id", "ids")
+        staged = df.select("id", "text", "keywords")
+        staged = staged.select("id", pretokenize(prepend_text("text", "keywords"), pattern).alias("_cp_t"))
+        return encode(staged, ["id"], ["_cp_t"], ["ids"], vocab, unk_id=unk_id, vocab_rows=vocab_rows,
+                      join_back=False)
     if kind == "keyword":
         return df.select("id", "text_ids", "keyword_ids")
     raise ValueError(f"unknown kind {kind!r}; one of {KINDS}")

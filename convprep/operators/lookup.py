@@ -60,6 +60,7 @@ def lookup_arrays(
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     inner: bool = False,
     key_type: str = "string",
+    join_back: bool = True,
 ) -> DataFrame:
     """Map every element of each array in ``cols`` through ``table``.
 
@@ -71,6 +72,9 @@ def lookup_arrays(
     element, else a literal; ``inner=True`` drops misses instead. Null input
     arrays give null, empty ones empty arrays. ``table`` must have unique
     ``table_key`` values; ``key_type`` is the element type of the inputs.
+    With ``join_back=False`` only ``key`` and ``outs`` are returned: every
+    key reaches the aggregate, so the join back to the rows (and a second
+    evaluation of an expensive input) is skipped.
     """
     key = list(key)
     # Null keys cannot be grouped back to one row. The same filter is
@@ -113,4 +117,6 @@ def lookup_arrays(
         sel.append(F.when(F.col(f"_cp_null{j}"), F.lit(None).cast(f"array<{value_type}>"))
                    .otherwise(F.coalesce(picked, empty)).alias(out))
     arrays = grouped.select(*sel)
+    if not join_back:
+        return arrays
     return base.join(arrays, key, "inner")

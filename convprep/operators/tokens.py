@@ -69,16 +69,18 @@ def encode(
     unk_id: int | None = UNK_ID,
     vocab_rows: int | None = None,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    join_back: bool = True,
 ) -> DataFrame:
     """Token arrays -> id arrays through ``vocab(tok, id)``.
 
     Several token columns are encoded in one pass. Unknown tokens get
     ``unk_id`` (None keeps a null). ``vocab_rows``, when known (for instance
-    the ``max_size`` of the fit), allows a broadcast join.
+    the ``max_size`` of the fit), allows a broadcast join. ``join_back=False``
+    returns only ``key`` and the id columns.
     """
     return lookup_arrays(
         df, key, tokens, outs, vocab, "tok", "id", "int",
-        default=unk_id, table_rows=vocab_rows, max_broadcast_rows=max_broadcast_rows,
+        default=unk_id, table_rows=vocab_rows, max_broadcast_rows=max_broadcast_rows, join_back=join_back,
     )
 
 
@@ -91,14 +93,17 @@ def decode(
     joiner: str = " ",
     vocab_rows: int | None = None,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    join_back: bool = True,
 ) -> DataFrame:
     """Id arrays -> text, tokens joined by ``joiner`` in position order.
 
-    Unknown ids are skipped (``array_join`` drops nulls).
+    Unknown ids are skipped (``array_join`` drops nulls). ``join_back=False``
+    returns only ``key`` and the text.
     """
     looked = lookup_arrays(
         df, key, [ids], ["_cp_toks"], vocab, "id", "tok", "string",
         default=None, table_rows=vocab_rows, max_broadcast_rows=max_broadcast_rows, key_type="int",
+        join_back=join_back,
     )
     return looked.withColumn(out, F.array_join("_cp_toks", joiner)).drop("_cp_toks")
 

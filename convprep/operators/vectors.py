@@ -60,20 +60,39 @@ def control_vectors(
     emb_key: str = "token_id",
     emb_col: str = "embedding",
     emb_rows: int | None = None,
+    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """C11: the bag-of-words control vector of each row: the mean embedding
-    of its ids (J2 + A4), or a seeded random vector (A5) when no id has an
-    embedding (empty list). Output ``key, n_vectors, vector``."""
+    of its ids (J2 + A4), or a seeded random vector (A5) when none of its ids
+    has an embedding (or the list is empty). Output ``key, n_vectors, vector``.
+
+    One pass, no join back: ``explode_outer`` keeps rows without ids, a left
+    join finds embeddings, and one aggregate per key takes the mean over all
+    exploded rows with misses as zero vectors plus both counts; the mean of
+    the found vectors is ``mean_all * n_all / n_found``.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     if dim is None:
         dim = len(emb.select(emb_col).first()[0])
-    exploded = df.select(key, F.explode(ids).alias("token_id"))
-    found = lookup_embeddings(exploded, emb, "token_id", emb_key, emb_col, emb_rows)
-    means = mean_vector(found, [key], "embedding", "vector")
-    allrows = df.select(key).join(means, key, "left")
-    return allrows.select(
+    exploded = df.select(key, F.explode_outer(ids).alias("token_id"))
+    table = emb.select(F.col(emb_key).alias("token_id"), F.col(emb_col).cast("array<double>").alias("_cp_e"))
+    if emb_rows is not None and emb_rows <= max_broadcast_rows:
+        table = F.broadcast(table)
+    found = exploded.join(table, "token_id", "left")
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    agg = found.groupBy(key).agg(
+        Summarizer.mean(array_to_vector(F.coalesce(F.col("_cp_e"), zeros))).alias("_cp_m"),
+        F.count(F.lit(1)).alias("_cp_all"),
+        F.count("_cp_e").cast("bigint").alias("n_vectors"),
+    )
+    scale = F.col("_cp_all") / F.col("n_vectors")
+    mean = F.transform(vector_to_array("_cp_m"), lambda x: x * scale)
+    return agg.select(
         key,
-        F.coalesce("n_vectors", F.lit(0).cast("bigint")).alias("n_vectors"),
-        F.coalesce(F.col("vector"), random_vector(seed, key, dim)).alias("vector"),
+        "n_vectors",
+        F.when(F.col("n_vectors") > 0, mean).otherwise(random_vector(seed, key, dim)).alias("vector"),
     )
 
 

@@ -158,7 +158,7 @@ def q_decode_documents(spark, sf_dir):
     from convprep.operators.tokens import decode
 
     enc, vocab = _encoded_documents(spark, sf_dir)
-    return decode(enc.select("doc_id", "ids"), ["doc_id"], "ids", vocab).select("doc_id", "decoded")
+    return decode(enc.select("doc_id", "ids"), ["doc_id"], "ids", vocab, join_back=False)
 
 
 @register(
@@ -383,9 +383,14 @@ _D10_VIEWS = ("v_topic_links", "v_tokens", "v_vocab", "v_sequences")
 def _d10(spark, sf_dir):
     from convprep.operators.tokens import fit_vocabulary, tokenize, tokenize_dataset
 
+    from convprep.session import cut_lineage
+
     docs = tokenize(fx.load(spark, sf_dir, "documents").select("text"), "text", "tokens")
     vocab = fit_vocabulary(docs, ["tokens"])
-    return tokenize_dataset(_keywords(spark, sf_dir), vocab, synonyms=fx.SYNONYMS), vocab
+    # The prepared data set is a stored stage (the reference keeps prepared
+    # sets in a registry); example formats read it instead of recomputing.
+    d10 = cut_lineage(tokenize_dataset(_keywords(spark, sf_dir), vocab, synonyms=fx.SYNONYMS))
+    return d10, vocab
 
 
 @register(
@@ -834,10 +839,9 @@ def q_control_vectors(spark, sf_dir):
     conv = fx.load(spark, sf_dir, "conversations").select("conv_id", "turn", pretokenize("text").alias("tokens"))
     rows = dense_index(conv, ["conv_id", "turn"], out="row_id")
     vocab = fit_vocabulary(rows, ["tokens"])
-    enc = encode(rows, ["row_id"], ["tokens"], ["ids"], vocab)
+    enc = encode(rows, ["row_id"], ["tokens"], ["ids"], vocab, join_back=False)
     emb = fx.load(spark, sf_dir, "embeddings")
-    vec = control_vectors(enc.select("row_id", "ids"), "row_id", emb, ids="ids", dim=64, seed=_CTRL_SEED,
-                          emb_key="vec_id")
+    vec = control_vectors(enc, "row_id", emb, ids="ids", dim=64, seed=_CTRL_SEED, emb_key="vec_id")
     return vec.select("row_id", "n_vectors", F.posexplode("vector").alias("dim", "value")).select(
         "row_id", "n_vectors", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
 
