@@ -3,15 +3,20 @@
 This is the equi-join behind encode (token -> id), decode (id -> token) and
 keyword translation (keyword -> synonym). Plan:
 
-1. hash-partition the input rows by their unique key (one shuffle of the
-   rows, text included, which is cheaper than shuffling token triples);
-2. ``posexplode`` the arrays (narrow: partitioning is kept);
+1. hash-partition the input rows by their unique key: the raw rows move
+   once, and array expressions (tokenizing) run after the exchange, in
+   parallel (Spark drops this exchange when the input is already
+   partitioned by the key);
+2. ``explode_outer`` the arrays (narrow: partitioning is kept; rows without
+   elements still reach the aggregate);
 3. join the table: broadcast when its row count is known and under
    ``max_broadcast_rows``, otherwise a shuffle join (AQE may still turn it
-   into a broadcast at run time and splits skewed keys);
+   into a broadcast at run time and splits skewed keys, e.g. a token that
+   is a third of all tokens);
 4. re-collect per key in position order: with a broadcast table the
    aggregation needs no exchange, since rows are still partitioned by key;
-5. join the arrays back on the key: both sides share the partitioning.
+5. join the arrays back to the rows on the key (same partitioning), or,
+   with ``join_back=False``, return key and arrays only.
 """
 
 from __future__ import annotations

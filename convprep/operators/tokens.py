@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from convprep.functions.text import pretokenize
 from convprep.operators.index import dense_index
@@ -354,7 +353,6 @@ def ascii_blank_split(text: str) -> list[str]:
 
 
 __all__ = [
-    "T",
     "UNK_ID",
     "apply_merges",
     "apply_tokenizer",
@@ -363,6 +361,7 @@ __all__ = [
     "encode",
     "fit_subword_merges",
     "fit_vocabulary",
+    "merge_ranks",
     "subword_pieces",
     "tokenize",
     "tokenize_dataset",

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from convprep.functions.arrays import size_of, truncate_sequence
 from convprep.functions.text import pretokenize
@@ -71,4 +70,4 @@ def sender_training_set(
     return out, vocab
 
 
-__all__ = ["MAX_LEN", "MIN_LEN", "select_sender_messages", "sender_training_set", "F"]
+__all__ = ["MAX_LEN", "MIN_LEN", "select_sender_messages", "sender_training_set"]
