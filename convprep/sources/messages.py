@@ -85,9 +85,18 @@ def from_table(df: DataFrame, text_field: str) -> DataFrame:
 
 def select_source(spark: SparkSession, source, text_field: str, kind: str | None = None, **kw) -> DataFrame:
     """Dispatch on the source: a DataFrame, or a path with ``kind`` in
-    ``records`` / ``keyed`` / ``export``. Anything else raises TypeError."""
+    ``records`` / ``keyed`` / ``export`` / ``corpus`` (plain text files, read
+    whole and cut into token windows by S6; ``size`` and ``step`` in ``kw``).
+    Anything else raises TypeError."""
     if isinstance(source, DataFrame):
         return from_table(source, text_field)
+    if isinstance(source, str) and kind == "corpus":
+        from convprep.sources.tables import chunk_text
+
+        files = spark.read.text(source, wholetext=True).select(
+            F.col("_metadata.file_path").alias("file_name"), F.col("value").alias("text"))
+        chunks = chunk_text(files, "file_name", "text", size=kw.get("size", 128), step=kw.get("step", 128))
+        return chunks.select("file_name", F.col("chunk").alias("pos"), "text")
     if isinstance(source, str):
         if kind == "records":
             return read_records(spark, source, text_field, **kw)
@@ -95,7 +104,7 @@ def select_source(spark: SparkSession, source, text_field: str, kind: str | None
             return read_keyed_records(spark, source, kw.pop("record_schema"), text_field)
         if kind == "export":
             return rename_text(read_message_export(spark, source, **kw), text_field)
-        raise ValueError("a path source needs kind='records', 'keyed' or 'export'")
+        raise ValueError("a path source needs kind='records', 'keyed', 'export' or 'corpus'")
     raise TypeError(f"unsupported source type: {type(source).__name__}")
 
 

@@ -96,3 +96,12 @@ def test_chunk_text_windows(spark):
     got = [(r["chunk"], r["text"]) for r in chunk_text(df, "id", size=4, step=3).orderBy("chunk").collect()]
     expected = [(i, " ".join(words[s:s + 4])) for i, s in enumerate(range(0, 10, 3))]
     assert got == expected
+
+
+def test_corpus_source_chunks_and_indexes(spark, tmp_dir):
+    words = [f"w{i}" for i in range(10)]
+    with open(os.path.join(tmp_dir, "corpus.txt"), "w") as f:
+        f.write(" ".join(words[:5]) + "\n" + " ".join(words[5:]))
+    rows = load_comments(spark, os.path.join(tmp_dir, "corpus.txt"), "text", kind="corpus", size=4, step=4)
+    got = [(r["row_id"], r["text"]) for r in rows.orderBy("row_id").collect()]
+    assert got == [(0, "w0 w1 w2 w3"), (1, "w4 w5 w6 w7"), (2, "w8 w9")]
