@@ -1155,3 +1155,35 @@ def q_random_vectors(spark, sf_dir):
     vec = emb.select("vec_id", random_vector(21, "vec_id", 64).alias("v"))
     return vec.select("vec_id", F.posexplode("v").alias("dim", "value")).select(
         "vec_id", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
+
+
+# ------------------------------------------ bounded vocabulary (A10 + J3)
+
+_TOP = 5000
+
+
+@register(
+    "encode_bounded_vocabulary",
+    with_views(
+        f"""select d.doc_id, cast(coalesce(len(s.ids), 0) as bigint) as n_ids,
+       cast(coalesce(list_count(list_filter(s.ids, lambda x: x = -1)), 0) as bigint) as n_unknown,
+       coalesce(array_to_string(s.ids, ','), '') as ids
+from documents d left join (
+  select doc_id, list(case when id < {_TOP} then id else -1 end order by pos) as ids
+  from v_tokens join v_vocab using (tok) group by doc_id) s using (doc_id)""",
+        "v_tokens", "v_vocab",
+    ),
+)
+def q_encode_bounded_vocabulary(spark, sf_dir):
+    from convprep.functions.text import pretokenize
+    from convprep.operators.lookup import partition_rows
+    from convprep.operators.tokens import encode, fit_vocabulary
+
+    docs = partition_rows(fx.load(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    vocab = fit_vocabulary(docs, [pretokenize("text")], max_size=_TOP)
+    # max_size bounds the table: the lookup may broadcast it.
+    enc = encode(docs, ["doc_id"], [pretokenize("text")], ["ids"], vocab, vocab_rows=_TOP, join_back=False)
+    return enc.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_ids"),
+        F.size(F.filter("ids", lambda x: x == -1)).cast("bigint").alias("n_unknown"),
+        ids_text("ids").alias("ids"))
