@@ -120,7 +120,8 @@ def _encoded_documents(spark, sf_dir):
 
     docs = partition_rows(fx.load(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     vocab = fit_vocabulary(docs, [pretokenize("text")])
-    return encode(docs, ["doc_id"], [pretokenize("text")], ["ids"], vocab, join_back=False), vocab
+    n = vocab.count()  # cheap: the fit wrote its stage; proves the broadcast bound
+    return encode(docs, ["doc_id"], [pretokenize("text")], ["ids"], vocab, vocab_rows=n, join_back=False), vocab
 
 
 @register(

@@ -59,6 +59,9 @@ def sender_training_set(
     rows = partition_rows(picked, list(order))
     if vocab is None:
         vocab = fit_vocabulary(rows, [pretokenize("text", pattern)])
+        # The fit wrote its stage; counting it is cheap and proves the bound
+        # that lets the lookup broadcast (up to DEFAULT_MAX_BROADCAST_ROWS).
+        vocab_rows = vocab.count() if vocab_rows is None else vocab_rows
     enc = encode(rows, list(order), [pretokenize("text", pattern)], ["token_ids"], vocab, vocab_rows=vocab_rows)
     cut = enc.withColumn("token_ids", truncate_sequence("token_ids", max_len))
     # Row ids over the narrow keys only (the index writes its bucketed
