@@ -26,6 +26,7 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "co
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("CONVPREP_DRIVER_MEMORY", "16g"))
     )
     if os.environ.get("CONVPREP_NO_AUTO_BROADCAST"):

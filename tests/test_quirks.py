@@ -245,3 +245,19 @@ def test_clean_decoded_blanks(spark):
 
     df = spark.createDataFrame([("hello , world ! ok .",)], "t string")
     assert df.select(clean_decoded("t")).first()[0] == "hello, world! ok."
+
+
+def test_apply_tokenizer_factory_builds_state_once_per_worker(spark):
+    import re
+
+    from convprep.operators.tokens import apply_tokenizer
+
+    def factory():
+        pattern = re.compile(r"[a-z]+")  # state built once per Python worker
+        return pattern.findall
+
+    df = spark.createDataFrame([(1, "ab cd, ef"), (2, None), (3, "")], "id long, text string")
+    got = {r["id"]: r["tokens"] for r in apply_tokenizer(df, "text", factory=factory).collect()}
+    assert got == {1: ["ab", "cd", "ef"], 2: None, 3: []}
+    with pytest.raises(ValueError):
+        apply_tokenizer(df, "text")
