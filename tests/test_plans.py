@@ -46,3 +46,20 @@ def test_single_partition_exchange_only_over_bucket_sizes(spark):
         if "Exchange SinglePartition" in line:
             below = "\n".join(lines[i + 1:i + 4])
             assert "HashAggregate" in below, below
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SKIP))
+def test_single_partition_steps_are_over_aggregates(spark, name):
+    """No query funnels rows into one task: every single-partition exchange
+    reads an aggregate's output (bucket sizes, a global count)."""
+    plan = _plan(entry.queries()[name](spark, SF_SMALL))
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            below = []
+            for nxt in lines[i + 1:]:
+                if "Exchange" in nxt or "Scan" in nxt:
+                    below.append(nxt)
+                    break
+                below.append(nxt)
+            assert any("Aggregate" in b for b in below), (name, "\n".join(below))
