@@ -261,3 +261,28 @@ def test_apply_tokenizer_factory_builds_state_once_per_worker(spark):
     assert got == {1: ["ab", "cd", "ef"], 2: None, 3: []}
     with pytest.raises(ValueError):
         apply_tokenizer(df, "text")
+
+
+def test_topic_link_field_argument_is_honoured(spark, links):
+    """Q6: the reference ignores the argument and reads a fixed column."""
+    renamed = links.withColumnRenamed("topic_links", "my_links")
+    got = _collect(prepare_keywords(renamed, "doc_id", "text", topic_link_field="my_links"))
+    assert got[1] == ["quality", "toxic"]
+
+
+def test_cross_entropy_padding_counts_unless_masked(spark):
+    """Q14: padding targets count in the loss by default; mask_padding drops them."""
+    import math
+
+    from convprep.operators.scores import cross_entropy, mean_cross_entropy
+
+    rows = []
+    for g, target in [(0, 1), (1, 0)]:  # group 1 has the pad id (0) as target
+        for c, s in enumerate([0.5, 2.0, -1.0]):
+            rows.append((g, c, s, target))
+    df = spark.createDataFrame(rows, "g int, cand int, score double, target int")
+    lse = math.log(sum(math.exp(x) for x in [0.5, 2.0, -1.0]))
+    got = {r["g"]: r["loss"] for r in cross_entropy(df, "g", "cand", "score", "target").collect()}
+    assert abs(got[0] - (lse - 2.0)) < 1e-12 and abs(got[1] - (lse - 0.5)) < 1e-12
+    masked = mean_cross_entropy(cross_entropy(df, "g", "cand", "score", "target", mask_padding=True)).first()
+    assert masked["n"] == 1 and abs(masked["mean_loss"] - (lse - 2.0)) < 1e-12
