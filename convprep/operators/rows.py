@@ -84,9 +84,10 @@ def count_rows(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def length_stats(df: DataFrame, col: str, by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """A2: min / max / mean / count / median of list lengths.
 
-    The median is exact (``percentile``) unless ``approx``; the exact form
-    keeps a per-group buffer of lengths, fine for bounded groups, while the
-    approximate form is a fixed-size sketch.
+    The median is exact (``percentile``) unless ``approx``: its buffer maps
+    each distinct length to a count and aggregates partially, so memory is
+    bounded by the number of distinct lengths, not rows, even for a group
+    holding a third of the table; ``approx`` uses a fixed-size sketch.
     """
     n = F.size(col)
     median = F.percentile_approx(n, 0.5) if approx else F.percentile(n, F.lit(0.5))

@@ -67,6 +67,8 @@ def recommended_conf(
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        # Written stages (dense index, sub-word rounds) are removed once unreferenced.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
 
 
