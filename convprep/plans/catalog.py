@@ -526,10 +526,10 @@ def _training_sequences(spark, sf_dir):
     return cut_lineage(drop_short_sequences(seqs, "ids", 2))
 
 
-def _padded_out(df):
+def _padded_out(df, extra=()):
     return df.select(
         F.col("epoch").cast("bigint").alias("epoch"), "batch_id", "pos_in_batch", "id",
-        F.col("width").cast("bigint").alias("width"), ids_text("padded_ids").alias("padded_ids"),
+        F.col("width").cast("bigint").alias("width"), ids_text("padded_ids").alias("padded_ids"), *extra,
     )
 
 
@@ -1188,3 +1188,32 @@ def q_encode_bounded_vocabulary(spark, sf_dir):
         "doc_id", F.size("ids").cast("bigint").alias("n_ids"),
         F.size(F.filter("ids", lambda x: x == -1)).cast("bigint").alias("n_unknown"),
         ids_text("ids").alias("ids"))
+
+
+# ------------------------- bag-of-words batches: C9 + C6 with ragged keyword ids
+
+
+@register(
+    "keyword_batches",
+    with_views(
+        """select cast(epoch as bigint) as epoch, cast(batch_id as bigint) as batch_id,
+       cast(pos_in_batch as bigint) as pos_in_batch, id, cast(width as bigint) as width,
+       array_to_string(ids, ',') || repeat(',0', cast(width - len(ids) as integer)) as padded_ids,
+       array_to_string(kids, ',') as keyword_ids
+from (select *, max(len(ids)) over (partition by epoch, batch_id) as width from (
+  select *, rn // 2 as batch_id, rn % 2 as pos_in_batch from (
+    select *, row_number() over (partition by epoch order by md5(concat_ws(':', 9, epoch, id)), id) - 1 as rn
+    from (select id, tids as ids, kids, unnest(range(0, 2)) as epoch from d10))))""",
+        *_D10_VIEWS,
+        extra=_D10_CTES,
+    ),
+)
+def q_keyword_batches(spark, sf_dir):
+    from convprep.operators.examples import bag_of_words_examples, pad_batches
+    from convprep.operators.index import assign_batches
+
+    d10, _ = _d10(spark, sf_dir)
+    ex = bag_of_words_examples(d10).withColumnRenamed("text_ids", "ids")
+    assigned = assign_batches(ex.select("id", F.size("ids").alias("n")), batch_size=2, epochs=2, seed=9, row_id="id")
+    padded = pad_batches(assigned, ex, "ids", pad_id=0, key="id", keep=["keyword_ids"], sizes="n")
+    return _padded_out(padded, extra=[ids_text("keyword_ids").alias("keyword_ids")])
