@@ -832,37 +832,64 @@ left join a on a.row_id = m.row_id and a.dim = d.dim""",
         str(_CTRL_SEED), "m.row_id", "d.dim")),
 )
 def q_control_vectors(spark, sf_dir):
+    from convprep.operators.vectors import control_vectors
+
+    enc = _conversation_ids(spark, sf_dir)
+    emb = fx.load(spark, sf_dir, "embeddings")
+    vec = control_vectors(enc, "row_id", emb, ids="ids", dim=64, seed=_CTRL_SEED, emb_key="vec_id")
+    return vec.select("row_id", "n_vectors", F.posexplode("vector").alias("dim", "value")).select(
+        "row_id", "n_vectors", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
+
+
+def _conversation_ids(spark, sf_dir):
+    """Messages with dense row ids, encoded with a vocabulary fitted on them."""
     from convprep.functions.text import pretokenize
     from convprep.operators.index import dense_index
     from convprep.operators.tokens import encode, fit_vocabulary
-    from convprep.operators.vectors import control_vectors
 
     conv = fx.load(spark, sf_dir, "conversations").select("conv_id", "turn", pretokenize("text").alias("tokens"))
     rows = dense_index(conv, ["conv_id", "turn"], out="row_id")
     vocab = fit_vocabulary(rows, ["tokens"])
-    enc = encode(rows, ["row_id"], ["tokens"], ["ids"], vocab, join_back=False)
-    emb = fx.load(spark, sf_dir, "embeddings")
-    vec = control_vectors(enc, "row_id", emb, ids="ids", dim=64, seed=_CTRL_SEED, emb_key="vec_id")
-    return vec.select("row_id", "n_vectors", F.posexplode("vector").alias("dim", "value")).select(
-        "row_id", "n_vectors", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
+    return encode(rows, ["row_id"], ["tokens"], ["ids"], vocab, vocab_rows=vocab.count(), join_back=False)
 
 
 @register(
     "control_prefixed_inputs",
-    """select vec_id, cast(len(embedding) + 1 as bigint) as n_positions, round(embedding[1]::double, 6) as first_value
-from embeddings""",
+    with_views(
+        """select m.row_id, cast(1 + coalesce(a.n, 0) as bigint) as n_positions,
+       round(coalesce(a.first_mean, {u}), 6) as first_value,
+       round(coalesce(a.last_first, coalesce(a.first_mean, {u})), 6) as last_value
+from m left join a using (row_id)""",
+        extra=(
+            ("m", "select conv_id, turn, text, row_number() over (order by conv_id, turn) - 1 as row_id from conversations"),
+            ("t", """select row_id, i - 1 as pos, w[i] as tok
+               from (select row_id, w, unnest(range(1, len(w) + 1)) as i
+                     from (select row_id, regexp_extract_all(text, '(\\S+)', 1) as w from m))"""),
+            ("v", "select tok, row_number() over (order by n desc, tok) - 1 as id from (select tok, count(*) as n from t group by tok)"),
+            ("f", "select t.row_id, t.pos, e.embedding from t join v using (tok) join embeddings e on e.vec_id = v.id"),
+            ("a", """select row_id, count(*) as n, avg(embedding[1]::double) as first_mean,
+                      arg_max(embedding[1]::double, pos) as last_first from f group by row_id"""),
+        ),
+    ).replace("{u}", __import__("convprep.functions.random", fromlist=["uniform_sql"]).uniform_sql(
+        str(_CTRL_SEED), "m.row_id", "0")),
 )
 def q_control_prefixed_inputs(spark, sf_dir):
-    from convprep.operators.vectors import prefix_control
+    from convprep.operators.lookup import lookup_arrays
+    from convprep.operators.vectors import control_vectors, prefix_control
 
+    enc = _conversation_ids(spark, sf_dir)
     emb = fx.load(spark, sf_dir, "embeddings")
-    # Each embedding's first value acts as its control element (a position-0 slot).
-    staged = emb.select("vec_id", F.element_at("embedding", 1).alias("vector"),
-                        F.transform("embedding", lambda x: F.array(x)).alias("vectors"))
-    staged = staged.withColumn("vector", F.array("vector"))
-    out = prefix_control(staged, "vector", "vectors", "inputs")
-    return out.select("vec_id", F.size("inputs").cast("bigint").alias("n_positions"),
-                      F.round(F.element_at(F.element_at("inputs", 1), 1).cast("double"), 6).alias("first_value"))
+    ctrl = control_vectors(enc, "row_id", emb, ids="ids", dim=64, seed=_CTRL_SEED, emb_key="vec_id")
+    # J2 per position: the token vectors in order, ids without a vector dropped.
+    tokvecs = lookup_arrays(enc, ["row_id"], ["ids"], ["vectors"], emb, "vec_id", "embedding", "array<double>",
+                            inner=True, key_type="int", join_back=False)
+    inputs = prefix_control(ctrl.join(tokvecs, "row_id"), "vector", "vectors", "inputs")
+    return inputs.select(
+        "row_id",
+        F.size("inputs").cast("bigint").alias("n_positions"),
+        F.round(F.element_at(F.element_at("inputs", 1), 1), 6).alias("first_value"),
+        F.round(F.element_at(F.element_at("inputs", -1), 1), 6).alias("last_value"),
+    )
 
 
 # -------------------------------------------------------------- corpus: A6
