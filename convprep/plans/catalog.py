@@ -290,8 +290,7 @@ _KEYWORD_CTES = (
 
 def _keyword_source(spark, sf_dir):
     docs = fx.load(spark, sf_dir, "documents")
-    links = fx.topic_links_view(docs, fx.load(spark, sf_dir, "labels"))
-    return links.join(docs.select("doc_id", "text"), "doc_id")
+    return fx.topic_links_view(docs, fx.load(spark, sf_dir, "labels"), keep=("text",))
 
 
 def _keywords(spark, sf_dir, sentiment=False, cluster=True):
@@ -390,7 +389,8 @@ def _d10(spark, sf_dir):
     vocab = fit_vocabulary(docs, ["tokens"])
     # The prepared data set is a stored stage (the reference keeps prepared
     # sets in a registry); example formats read it instead of recomputing.
-    d10 = cut_lineage(tokenize_dataset(_keywords(spark, sf_dir), vocab, synonyms=fx.SYNONYMS))
+    d10 = cut_lineage(tokenize_dataset(_keywords(spark, sf_dir), vocab, synonyms=fx.SYNONYMS,
+                                       vocab_rows=vocab.count()))
     return d10, vocab
 
 

@@ -31,9 +31,9 @@ def synonyms_view(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(SYNONYMS.items()), "keyword string, translation string")
 
 
-def topic_links_view(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def topic_links_view(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """v_topic_links: three links per labelled document (one with an empty
-    cluster, one with an empty type)."""
+    cluster, one with an empty type); ``keep`` carries document columns."""
     def link(cluster, type_):
         return F.struct(
             cluster.alias("cluster"), F.col("lang").alias("phrase"), F.col("lang").alias("phrase_synonym"),
@@ -45,6 +45,7 @@ def topic_links_view(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.join(labels, "doc_id").select(
         "doc_id",
         F.array(link(F.col("source"), q), link(F.lit(""), t), link(F.col("source"), F.lit(""))).alias("topic_links"),
+        *keep,
     )
 
 
