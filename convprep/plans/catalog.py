@@ -389,9 +389,9 @@ def _d10(spark, sf_dir):
     vocab = fit_vocabulary(docs, ["tokens"])
     # The prepared data set is a stored stage (the reference keeps prepared
     # sets in a registry); example formats read it instead of recomputing.
-    d10 = cut_lineage(tokenize_dataset(_keywords(spark, sf_dir), vocab, synonyms=fx.SYNONYMS,
-                                       vocab_rows=vocab.count()))
-    return d10, vocab
+    n = vocab.count()  # cheap: the fit wrote its stage; proves the broadcast bound
+    d10 = cut_lineage(tokenize_dataset(_keywords(spark, sf_dir), vocab, synonyms=fx.SYNONYMS, vocab_rows=n))
+    return d10, vocab, n
 
 
 @register(
@@ -405,7 +405,7 @@ def _d10(spark, sf_dir):
     ),
 )
 def q_tokenized_keywords(spark, sf_dir):
-    d10, _ = _d10(spark, sf_dir)
+    d10, _, _ = _d10(spark, sf_dir)
     return d10.select(
         "id",
         F.array_join("keywords", "|").alias("keywords"),
@@ -432,7 +432,7 @@ def q_tokenized_keywords(spark, sf_dir):
 def q_examples_prepend_nospace(spark, sf_dir):
     from convprep.operators.examples import prepend_control_examples
 
-    d10, _ = _d10(spark, sf_dir)
+    d10, _, _ = _d10(spark, sf_dir)
     ex = prepend_control_examples(d10)
     return ex.select("id", F.size("ids").cast("bigint").alias("n_ids"), ids_text("ids").alias("ids"))
 
@@ -448,7 +448,7 @@ def q_examples_prepend_nospace(spark, sf_dir):
 def q_examples_keyword(spark, sf_dir):
     from convprep.operators.examples import bag_of_words_examples
 
-    d10, _ = _d10(spark, sf_dir)
+    d10, _, _ = _d10(spark, sf_dir)
     ex = bag_of_words_examples(d10)
     return ex.select("id", ids_text("text_ids").alias("text_ids"), ids_text("keyword_ids").alias("keyword_ids"))
 
@@ -469,8 +469,8 @@ left join (select tok, id as vid from v_vocab) v using (tok) group by id""",
 def q_examples_prepend_space(spark, sf_dir):
     from convprep.operators.examples import format_examples
 
-    d10, vocab = _d10(spark, sf_dir)
-    ex = format_examples(d10, "prepend_space", vocab=vocab)
+    d10, vocab, n = _d10(spark, sf_dir)
+    ex = format_examples(d10, "prepend_space", vocab=vocab, vocab_rows=n)
     return ex.select("id", F.size("ids").cast("bigint").alias("n_ids"), ids_text("ids").alias("ids"))
 
 
@@ -1239,7 +1239,7 @@ def q_keyword_batches(spark, sf_dir):
     from convprep.operators.examples import bag_of_words_examples, pad_batches
     from convprep.operators.index import assign_batches
 
-    d10, _ = _d10(spark, sf_dir)
+    d10, _, _ = _d10(spark, sf_dir)
     ex = bag_of_words_examples(d10).withColumnRenamed("text_ids", "ids")
     assigned = assign_batches(ex.select("id", F.size("ids").alias("n")), batch_size=2, epochs=2, seed=9, row_id="id")
     padded = pad_batches(assigned, ex, "ids", pad_id=0, key="id", keep=["keyword_ids"], sizes="n")
