@@ -126,3 +126,12 @@ def test_dense_index_with_coalesced_ranges(spark):
         assert (a.groupby("epoch")["row_id"].nunique() == 5000).all()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_vocabulary_min_count_and_max_size(spark, docs):
+    full = fit_vocabulary(docs, ["tokens"]).toPandas()
+    pruned = fit_vocabulary(docs, ["tokens"], min_count=3).toPandas()
+    assert set(pruned["tok"]) == set(full.loc[full["n"] >= 3, "tok"])
+    assert sorted(pruned["id"]) == list(range(len(pruned)))
+    top = fit_vocabulary(docs, ["tokens"], max_size=50).toPandas().sort_values("id")
+    assert list(top["tok"]) == list(full.sort_values("id")["tok"][:50])

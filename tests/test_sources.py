@@ -105,3 +105,14 @@ def test_corpus_source_chunks_and_indexes(spark, tmp_dir):
     rows = load_comments(spark, os.path.join(tmp_dir, "corpus.txt"), "text", kind="corpus", size=4, step=4)
     got = [(r["row_id"], r["text"]) for r in rows.orderBy("row_id").collect()]
     assert got == [(0, "w0 w1 w2 w3"), (1, "w4 w5 w6 w7"), (2, "w8 w9")]
+
+
+def test_export_as_json_lines(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "lines.json")
+    with open(path, "w") as f:
+        f.write(json.dumps({"messages": [{"sender_name": "a", "content": "x", "type": "Generic"}]}) + "\n")
+        f.write(json.dumps({"messages": [{"sender_name": "b", "content": "y", "type": "Generic"},
+                                         {"sender_name": "c", "type": "Share"}]}) + "\n")
+    df = read_message_export(spark, path, multi_line=False)
+    assert sorted((r["pos"], r["sender_name"], r["content"]) for r in df.collect()) == [
+        (0, "a", "x"), (0, "b", "y"), (1, "c", None)]
