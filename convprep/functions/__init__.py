@@ -3,6 +3,7 @@
 from convprep.functions.arrays import (  # noqa: F401
     concat_ids,
     dedupe,
+    distinct_elements,
     flatten_ids,
     format_id_list,
     ids_text,

@@ -87,3 +87,7 @@ def prefix_vector(ctrl, vectors) -> Column:
 def ids_text(ids) -> Column:
     """Ids as ``'1,2,3'`` text: the comparison form for oracles."""
     return F.array_join(F.transform(_col(ids), lambda x: x.cast("string")), ",")
+
+
+# Inventory name: distinct elements per row, first occurrence kept.
+distinct_elements = dedupe

@@ -153,3 +153,13 @@ def apply_batch(
     """the open collate hook: ``fn(pandas.DataFrame) -> pandas.DataFrame``
     once per batch (groups are bounded by the batch size)."""
     return df.groupBy(*keys).applyInPandas(fn, schema)
+
+
+def next_token_pairs(df: DataFrame, key: Sequence[str], col: str) -> DataFrame:
+    """W5, plain form: ``(t[i], t[i+1])`` pairs."""
+    return token_pairs(df, key, col)
+
+
+def previous_token_pairs(df: DataFrame, key: Sequence[str], col: str, ctrl: str | int = "<ctrl>") -> DataFrame:
+    """W5, control form: the control element predicts token 0."""
+    return token_pairs(df, key, col, ctrl=ctrl)

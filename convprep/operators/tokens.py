@@ -366,3 +366,9 @@ __all__ = [
     "tokenize",
     "tokenize_dataset",
 ]
+
+
+# Inventory names for the same operators.
+encode_by_vocabulary = encode
+decode_by_vocabulary = decode
+__all__ += ["decode_by_vocabulary", "encode_by_vocabulary"]

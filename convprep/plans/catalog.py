@@ -614,10 +614,10 @@ where pos >= 1""",
 )
 def q_next_token_pairs(spark, sf_dir):
     from convprep.functions.text import pretokenize
-    from convprep.operators.examples import token_pairs
+    from convprep.operators.examples import next_token_pairs
 
     docs = fx.load(spark, sf_dir, "documents").select("doc_id", pretokenize("text").alias("tokens"))
-    return token_pairs(docs, ["doc_id"], "tokens")
+    return next_token_pairs(docs, ["doc_id"], "tokens")
 
 
 @register(
@@ -630,10 +630,10 @@ def q_next_token_pairs(spark, sf_dir):
 )
 def q_control_token_pairs(spark, sf_dir):
     from convprep.functions.text import pretokenize
-    from convprep.operators.examples import token_pairs
+    from convprep.operators.examples import previous_token_pairs
 
     docs = fx.load(spark, sf_dir, "documents").select("doc_id", pretokenize("text").alias("tokens"))
-    return token_pairs(docs, ["doc_id"], "tokens", ctrl="<ctrl>")
+    return previous_token_pairs(docs, ["doc_id"], "tokens", ctrl="<ctrl>")
 
 
 # ------------------------------------ scores: W1-W4, T1-T3, A9, C12 on v_logits
