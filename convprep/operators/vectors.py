@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convprep.functions.random import uniform
-from convprep.operators.lookup import DEFAULT_MAX_BROADCAST_ROWS
+from convprep.operators.lookup import max_broadcast_rows_for
+
+
+def _vector_rows_bound(dim: int) -> int:
+    """Broadcast row bound for vectors of ``dim`` doubles (plus key/overhead)."""
+    return max_broadcast_rows_for(8 * dim + 64)
 
 
 def lookup_embeddings(
@@ -18,12 +23,13 @@ def lookup_embeddings(
     emb_key: str = "token_id",
     emb_col: str = "embedding",
     emb_rows: int | None = None,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    dim: int | None = None,
 ) -> DataFrame:
     """Gather embedding rows by id (inner equi-join; repeated ids keep
-    their multiplicity). Broadcast when ``emb_rows`` is known and small."""
+    their multiplicity). Broadcast when ``emb_rows`` is known and the table
+    (``emb_rows`` x ``dim`` doubles) fits the broadcast byte budget."""
     table = emb.select(F.col(emb_key).alias(id_col), F.col(emb_col).alias("embedding"))
-    if emb_rows is not None and emb_rows <= max_broadcast_rows:
+    if emb_rows is not None and dim is not None and emb_rows <= _vector_rows_bound(dim):
         table = F.broadcast(table)
     return ids.join(table, id_col)
 
@@ -60,7 +66,6 @@ def control_vectors(
     emb_key: str = "token_id",
     emb_col: str = "embedding",
     emb_rows: int | None = None,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """C11: the bag-of-words control vector of each row: the mean embedding
     of its ids (J2 + A4), or a seeded random vector (A5) when none of its ids
@@ -78,7 +83,7 @@ def control_vectors(
         dim = len(emb.select(emb_col).first()[0])
     exploded = df.select(key, F.explode_outer(ids).alias("token_id"))
     table = emb.select(F.col(emb_key).alias("token_id"), F.col(emb_col).cast("array<double>").alias("_cp_e"))
-    if emb_rows is not None and emb_rows <= max_broadcast_rows:
+    if emb_rows is not None and emb_rows <= _vector_rows_bound(dim):
         table = F.broadcast(table)
     found = exploded.join(table, "token_id", "left")
     zeros = F.array_repeat(F.lit(0.0), dim)
