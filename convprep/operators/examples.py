@@ -101,7 +101,7 @@ def pad_batches(
 
 
 def stored_sequences(
-    stored: DataFrame,
+    stored: DataFrame | str,
     sample_column: str = "token_ids",
     key: str = "id",
     batch_size: int = 2,
@@ -109,7 +109,17 @@ def stored_sequences(
     seed: int = 0,
     pad_id: int = 0,
 ) -> DataFrame:
-    """A stored set with id lists as text -> parsed -> padded batches."""
+    """A stored set with id lists as text -> parsed -> padded batches.
+
+    ``stored`` is a DataFrame or the path of a stored CSV set (S2); rows whose
+    list does not parse are left out.
+    """
+    if isinstance(stored, str):
+        from pyspark.sql import SparkSession
+
+        from convprep.sources.tables import read_csv_table
+
+        stored = read_csv_table(SparkSession.getActiveSession(), stored)
     parsed = stored.select(F.col(key), parse_id_list(sample_column).alias("ids")).where(F.col("ids").isNotNull())
     assigned = assign_batches(parsed.select(key, F.size("ids").alias("_cp_n")), batch_size, epochs, seed, row_id=key)
     return pad_batches(assigned, parsed, "ids", pad_id, key, sizes="_cp_n")

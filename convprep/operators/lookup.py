@@ -51,6 +51,15 @@ def partition_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.where(not_null).repartition(*[F.col(k) for k in key])
 
 
+def null_key_salt(key: Sequence[str], key_type: str) -> Column:
+    """A join key for rows without a real one, spread over partitions by
+    the row key: a string starting with NUL, or a negative number below -1."""
+    h = F.xxhash64(*[F.col(k) for k in key])
+    if key_type == "string":
+        return F.concat(F.lit("\u0000"), h.cast("string"))
+    return (F.lit(-2) - F.pmod(h, F.lit(1 << 30))).cast(key_type)
+
+
 def _tagger(j: int):
     return lambda x, i: F.struct(F.lit(j).alias("c"), i.alias("p"), x.alias("k"))
 
@@ -109,6 +118,11 @@ def lookup_arrays(
     t = table.select(F.col(table_key).alias("_cp_k"), F.col(table_value).cast(value_type).alias("_cp_v"))
     if table_rows is not None and table_rows <= max_broadcast_rows:
         t = F.broadcast(t)
+    else:
+        # Rows without elements would all carry a null join key, i.e. one hot
+        # shuffle partition; a per-row salt spreads them. Whatever a salt may
+        # match is discarded below (those rows have no element tag).
+        exploded = exploded.withColumn("_cp_k", F.coalesce(F.col("_cp_k"), null_key_salt(key, key_type)))
     joined = exploded.join(t, "_cp_k", "left")
     if default is None or inner:
         v = F.col("_cp_v")

@@ -81,11 +81,20 @@ def control_vectors(
 
     if dim is None:
         dim = len(emb.select(emb_col).first()[0])
-    exploded = df.select(key, F.explode_outer(ids).alias("token_id"))
-    table = emb.select(F.col(emb_key).alias("token_id"), F.col(emb_col).cast("array<double>").alias("_cp_e"))
+    exploded = df.select(key, F.explode_outer(ids).alias("_cp_id"))
+    table = emb.select(F.col(emb_key).alias("token_id"), F.col(emb_col).cast("array<double>").alias("_cp_t"))
     if emb_rows is not None and emb_rows <= _vector_rows_bound(dim):
         table = F.broadcast(table)
-    found = exploded.join(table, "token_id", "left")
+        exploded = exploded.withColumn("token_id", F.col("_cp_id"))
+    else:
+        # Rows without ids get a spread-out salt instead of one hot null key;
+        # a salt's match is dropped just below.
+        from convprep.operators.lookup import null_key_salt
+
+        salt = null_key_salt([key], exploded.schema["_cp_id"].dataType.simpleString())
+        exploded = exploded.withColumn("token_id", F.coalesce(F.col("_cp_id"), salt))
+    found = exploded.join(table, "token_id", "left").withColumn(
+        "_cp_e", F.when(F.col("_cp_id").isNotNull(), F.col("_cp_t")))
     zeros = F.array_repeat(F.lit(0.0), dim)
     agg = found.groupBy(key).agg(
         Summarizer.mean(array_to_vector(F.coalesce(F.col("_cp_e"), zeros))).alias("_cp_m"),

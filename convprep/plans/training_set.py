@@ -35,7 +35,7 @@ def select_sender_messages(messages: DataFrame, sender: str, kind: str = "Generi
 
 
 def sender_training_set(
-    messages: DataFrame,
+    messages: DataFrame | str,
     sender: str,
     order: Sequence[str] = ("conv_id", "turn"),
     vocab: DataFrame | None = None,
@@ -44,13 +44,23 @@ def sender_training_set(
     min_len: int = MIN_LEN,
     pattern: str = "blank",
 ) -> tuple[DataFrame, DataFrame]:
-    """Returns ``(training_set, vocab)``.
+    """Returns ``(training_set, vocab)``. ``messages`` is a message frame or
+    a chat export path (then ``order`` is the file and message position).
 
     ``training_set``: ``row_id`` (dense, in ``order``) + ``order`` columns +
     ``text, token_ids, n_tokens``. Without ``vocab`` one is fitted on the
     selected messages. Ids are numbered before short rows are dropped, as in
     the reference, so ``row_id`` may have gaps.
     """
+    if isinstance(messages, str):
+        # A chat export path or glob (S1); its order columns are the file and
+        # the position in the file's message list.
+        from pyspark.sql import SparkSession
+
+        from convprep.sources.messages import read_message_export
+
+        messages = read_message_export(SparkSession.getActiveSession(), messages)
+        order = ("file_name", "pos")
     picked = rename_text(select_sender_messages(messages, sender), "content")
     picked = drop_missing_text(picked, "text").select(*order, "text")
     # Encode on the natural unique key, straight from the filtered scan: the

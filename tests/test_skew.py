@@ -27,6 +27,11 @@ def test_hot_token_encode_decode(spark, no_broadcast):
     rows = [(i, " ".join(["hot" if j % 3 == 0 else f"w{(i * 7 + j) % 97}" for j in range(3 + i % 6)]))
             for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, text string").withColumn("toks", F.split("text", " "))
+    # plus a third as many rows without tokens (empty and null lists): their
+    # join keys are salted instead of all hashing to one null partition
+    blanks = spark.createDataFrame([(3000 + i, "" if i % 2 else None) for i in range(1000)], "id long, text string")
+    blanks = blanks.withColumn("toks", F.when(F.col("text").isNotNull(), F.array().cast("array<string>")))
+    df = df.unionByName(blanks)
     vocab = fit_vocabulary(df, ["toks"])
     assert vocab.where(F.col("id") == 0).first()["tok"] == "hot"
     enc = encode(df, ["id"], ["toks"], ["ids"], vocab)
@@ -34,7 +39,9 @@ def test_hot_token_encode_decode(spark, no_broadcast):
     assert "SortMergeJoin" in plan  # token join is a shuffle join here (AQE splits the hot partition)
     dec = decode(enc, ["id"], "ids", vocab)
     assert dec.where(F.col("decoded") != F.col("text")).count() == 0
-    assert dec.count() == 3000
+    assert dec.count() == 4000
+    blank_ids = {r["id"]: r["ids"] for r in enc.where(F.col("id") >= 3000).collect()}
+    assert all(v == [] if k % 2 else v is None for k, v in blank_ids.items())
 
 
 def test_hot_leading_order_value(spark):

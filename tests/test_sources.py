@@ -116,3 +116,23 @@ def test_export_as_json_lines(spark, tmp_dir):
     df = read_message_export(spark, path, multi_line=False)
     assert sorted((r["pos"], r["sender_name"], r["content"]) for r in df.collect()) == [
         (0, "a", "x"), (0, "b", "y"), (1, "c", None)]
+
+
+def test_training_set_from_export_path_and_stored_csv(spark, tmp_dir):
+    from convprep.operators.examples import stored_sequences
+    from convprep.plans.training_set import sender_training_set
+
+    for i in range(2):
+        _write(os.path.join(tmp_dir, f"message_{i}.json"), {"messages": [
+            {"sender_name": "u", "content": f"hello world {i} again", "type": "Generic"},
+            {"sender_name": "u", "content": "one", "type": "Generic"},
+            {"sender_name": "v", "content": "not me", "type": "Generic"},
+        ]})
+    ts, vocab = sender_training_set(os.path.join(tmp_dir, "message_*.json"), "u")
+    rows = sorted((r["file_name"].rsplit("/", 1)[-1], r["pos"], r["n_tokens"]) for r in ts.collect())
+    assert rows == [("message_0.json", 0, 4), ("message_1.json", 0, 4)]  # "one" is too short
+    csv = os.path.join(tmp_dir, "stored")
+    write_csv_table(ts.select(F.col("row_id").alias("id"), "token_ids"), csv)
+    batches = stored_sequences(csv, "token_ids", "id", batch_size=2, epochs=1, seed=0)
+    got = batches.collect()
+    assert len(got) == 2 and all(len(r["padded_ids"]) == r["width"] == 4 for r in got)
