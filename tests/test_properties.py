@@ -135,3 +135,22 @@ def test_vocabulary_min_count_and_max_size(spark, docs):
     assert sorted(pruned["id"]) == list(range(len(pruned)))
     top = fit_vocabulary(docs, ["tokens"], max_size=50).toPandas().sort_values("id")
     assert list(top["tok"]) == list(full.sort_values("id")["tok"][:50])
+
+
+@pytest.mark.parametrize("name", [
+    "sender_training_set", "padded_batches", "sampled_candidates", "tokenized_keywords",
+    "control_vectors", "shuffled_documents", "lineitem_nucleus",
+])
+def test_queries_independent_of_shuffle_partitions(spark, name):
+    import __spark_entry__ as entry
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for parts in ["1", "8", "64"]:
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows = entry.queries()[name](spark, SF_SMALL).collect()
+            results.append(sorted(tuple(r) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1] == results[2]
