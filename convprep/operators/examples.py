@@ -111,8 +111,9 @@ def stored_sequences(
 ) -> DataFrame:
     """A stored set with id lists as text -> parsed -> padded batches.
 
-    ``stored`` is a DataFrame or the path of a stored CSV set (S2); rows whose
-    list does not parse are left out.
+    ``stored`` is a DataFrame (lists as text, or native arrays from a Parquet
+    stage) or the path of a stored CSV set (S2); rows whose list does not
+    parse are left out.
     """
     if isinstance(stored, str):
         from pyspark.sql import SparkSession
@@ -120,7 +121,13 @@ def stored_sequences(
         from convprep.sources.tables import read_csv_table
 
         stored = read_csv_table(SparkSession.getActiveSession(), stored)
-    parsed = stored.select(F.col(key), parse_id_list(sample_column).alias("ids")).where(F.col("ids").isNotNull())
+    from pyspark.sql import types as T
+
+    if isinstance(stored.schema[sample_column].dataType, T.ArrayType):
+        ids = F.col(sample_column).cast("array<int>")  # Parquet stage (S9): native lists
+    else:
+        ids = parse_id_list(sample_column)  # CSV stage (S7): lists as text
+    parsed = stored.select(F.col(key), ids.alias("ids")).where(F.col("ids").isNotNull())
     assigned = assign_batches(parsed.select(key, F.size("ids").alias("_cp_n")), batch_size, epochs, seed, row_id=key)
     return pad_batches(assigned, parsed, "ids", pad_id, key, sizes="_cp_n")
 

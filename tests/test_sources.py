@@ -136,3 +136,14 @@ def test_training_set_from_export_path_and_stored_csv(spark, tmp_dir):
     batches = stored_sequences(csv, "token_ids", "id", batch_size=2, epochs=1, seed=0)
     got = batches.collect()
     assert len(got) == 2 and all(len(r["padded_ids"]) == r["width"] == 4 for r in got)
+
+
+def test_stored_sequences_from_parquet_stage(spark, tmp_dir):
+    from convprep.operators.examples import stored_sequences
+    from convprep.sources.sinks import write_dataset
+
+    df = spark.createDataFrame([(0, [1, 2]), (1, [3, 4, 5]), (2, [6])], "id long, token_ids array<int>")
+    write_dataset(df, os.path.join(tmp_dir, "stage"))
+    out = stored_sequences(spark.read.parquet(os.path.join(tmp_dir, "stage")), "token_ids", "id", batch_size=3)
+    got = {r["id"]: r["padded_ids"] for r in out.collect()}
+    assert got == {0: [1, 2, 0], 1: [3, 4, 5], 2: [6, 0, 0]}
