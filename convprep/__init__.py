@@ -78,6 +78,7 @@ from convprep.operators.tokens import (  # noqa: F401,E402
     decode_by_vocabulary,
     encode,
     encode_by_vocabulary,
+    encode_subwords,
     fit_subword_merges,
     fit_vocabulary,
     subword_pieces,

@@ -319,6 +319,26 @@ def subword_pieces(
     )
 
 
+def encode_subwords(
+    df: DataFrame,
+    key: Sequence[str],
+    merges: DataFrame,
+    col: str = "text",
+    vocab: DataFrame | None = None,
+    out: str = "ids",
+    pattern: str = "words",
+) -> tuple[DataFrame, DataFrame]:
+    """H2, sub-word form end to end: pieces (distinct pre-tokens replayed
+    once), a piece vocabulary (fitted when not given) and the id lists.
+    Returns ``(df with pieces and out, vocab)``."""
+    pieces = subword_pieces(df, key, merges, col, "pieces", pattern)
+    rows = None
+    if vocab is None:
+        vocab = fit_vocabulary(pieces, ["pieces"])
+        rows = vocab.count()  # the fit wrote its stage: a cheap, proven bound
+    return encode(pieces, key, ["pieces"], [out], vocab, vocab_rows=rows), vocab
+
+
 # ---------------------------------------------------------------- UDF hook
 
 
@@ -359,6 +379,7 @@ __all__ = [
     "ascii_blank_split",
     "decode",
     "encode",
+    "encode_subwords",
     "fit_subword_merges",
     "fit_vocabulary",
     "merge_ranks",

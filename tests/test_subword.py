@@ -93,3 +93,15 @@ def test_rank_first_equals_sequential_replay():
     merges = [m[:2] for m in brute_force(words, 15, min_pair_count=1)]
     for w in words:
         assert apply_merges(w, merges) == replay(w, merges), w
+
+
+def test_encode_subwords_round_trip(spark):
+    from convprep.operators.tokens import decode, encode_subwords
+
+    docs = fx.load(spark, SF_SMALL, "documents").select("doc_id", "text")
+    merges = fit_subword_merges(docs, "text", n_merges=8)
+    enc, vocab = encode_subwords(docs, ["doc_id"], merges)
+    dec = decode(enc, ["doc_id"], "ids", vocab, out="back", joiner="")
+    joined = dec.select(F.col("back"), F.array_join(F.regexp_extract_all("text", F.lit(WORD_PATTERN), 1), "").alias("b"))
+    assert joined.where(F.col("back") != F.col("b")).count() == 0
+    assert enc.where(F.array_contains("ids", -1)).count() == 0
