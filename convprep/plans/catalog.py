@@ -1119,6 +1119,16 @@ def q_subword_merges(spark, sf_dir):
     return fit_subword_merges(fx.load(spark, sf_dir, "documents"), "text", n_merges=10)
 
 
+@register("subword_encode", None)
+def q_subword_encode(spark, sf_dir):
+    from convprep.operators.tokens import encode_subwords, fit_subword_merges
+
+    docs = fx.load(spark, sf_dir, "documents").select("doc_id", "text")
+    merges = fit_subword_merges(docs, "text", n_merges=10)
+    enc, _ = encode_subwords(docs, ["doc_id"], merges)
+    return enc.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(ids_text("ids")).alias("digest"))
+
+
 @register("subword_pieces", None)
 def q_subword_pieces(spark, sf_dir):
     from convprep.operators.tokens import fit_subword_merges, subword_pieces
