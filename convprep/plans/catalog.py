@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convprep.functions.arrays import ids_text
+from convprep.functions.random import uniform_sql
 from convprep.plans import fixtures as fx
 from convprep.plans.fixtures import with_views
 from convprep.plans.training_set import sender_training_set
@@ -710,8 +711,6 @@ def q_argmax_scores(spark, sf_dir):
 
 
 def _draw_sql(src: str, seed: int, draws: int) -> tuple:
-    from convprep.functions.random import uniform_sql
-
     u = uniform_sql(str(seed), "vec_id", "draw")
     return (
         ("dc", f"select *, max(cum) over (partition by vec_id) as tot from {src}"),
@@ -828,7 +827,7 @@ left join a on a.row_id = m.row_id and a.dim = d.dim""",
             ("a", """select row_id, i - 1 as dim, avg(embedding[i]::double) as value, count(*) as n
                from (select row_id, embedding, unnest(range(1, len(embedding) + 1)) as i from f) group by row_id, i"""),
         ),
-    ).replace("{u}", __import__("convprep.functions.random", fromlist=["uniform_sql"]).uniform_sql(
+    ).replace("{u}", uniform_sql(
         str(_CTRL_SEED), "m.row_id", "d.dim")),
 )
 def q_control_vectors(spark, sf_dir):
@@ -870,7 +869,7 @@ from m left join a using (row_id)""",
             ("a", """select row_id, count(*) as n, avg(embedding[1]::double) as first_mean,
                       arg_max(embedding[1]::double, pos) as last_first from f group by row_id"""),
         ),
-    ).replace("{u}", __import__("convprep.functions.random", fromlist=["uniform_sql"]).uniform_sql(
+    ).replace("{u}", uniform_sql(
         str(_CTRL_SEED), "m.row_id", "0")),
 )
 def q_control_prefixed_inputs(spark, sf_dir):
@@ -1184,7 +1183,7 @@ def q_shuffled_documents(spark, sf_dir):
     "random_vectors",
     "select vec_id, cast(d - 1 as bigint) as dim, round({u}, 6) as value "
     "from (select vec_id, unnest(range(1, len(embedding) + 1)) as d from embeddings)".replace(
-        "{u}", __import__("convprep.functions.random", fromlist=["uniform_sql"]).uniform_sql("21", "vec_id", "d - 1")),
+        "{u}", uniform_sql("21", "vec_id", "d - 1")),
 )
 def q_random_vectors(spark, sf_dir):
     from convprep.operators.vectors import random_vector
