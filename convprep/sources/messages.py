@@ -123,5 +123,11 @@ def load_comments(
     """
     df = drop_missing_text(select_source(spark, source, text_field, kind, **kw), "text")
     if order is None:
-        order = ["file_name", "pos"] if {"file_name", "pos"} <= set(df.columns) else ["id"]
+        if {"file_name", "pos"} <= set(df.columns):
+            order = ["file_name", "pos"]
+        elif "id" in df.columns:
+            order = ["id"]
+        else:
+            # JSON lines and CSV carry no row position Spark could read back.
+            raise ValueError("give order=[...] (unique columns) for a source without file/pos or id")
     return dense_index(df, order, out="row_id")

@@ -147,3 +147,12 @@ def test_stored_sequences_from_parquet_stage(spark, tmp_dir):
     out = stored_sequences(spark.read.parquet(os.path.join(tmp_dir, "stage")), "token_ids", "id", batch_size=3)
     got = {r["id"]: r["padded_ids"] for r in out.collect()}
     assert got == {0: [1, 2, 0], 1: [3, 4, 5], 2: [6, 0, 0]}
+
+
+def test_load_comments_needs_an_order(spark):
+    import pytest
+
+    df = spark.createDataFrame([("a",), ("b",)], "body string")
+    with pytest.raises(ValueError):
+        load_comments(spark, df, "body")
+    assert load_comments(spark, df, "body", order=["text"]).count() == 2
