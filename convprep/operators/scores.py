@@ -93,7 +93,9 @@ def top_p_filter(
         wcol = "_cp_p"
     else:
         tot = F.sum(weight).over(Window.partitionBy(*gcols))
-        staged = df.withColumn("_cp_p", F.col(weight) / tot)
+        # try_divide: a group whose weights are all 0 keeps only its first row
+        # instead of failing under ANSI division.
+        staged = df.withColumn("_cp_p", F.try_divide(F.col(weight).cast("double"), tot.cast("double")))
         wcol = "_cp_p"
     order = Window.partitionBy(*gcols).orderBy(*_desc_order(score, cand))
     staged = cumulative_share(staged, gcols, cand, score, wcol, out="_cp_cum")

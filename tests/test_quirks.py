@@ -286,3 +286,9 @@ def test_cross_entropy_padding_counts_unless_masked(spark):
     assert abs(got[0] - (lse - 2.0)) < 1e-12 and abs(got[1] - (lse - 0.5)) < 1e-12
     masked = mean_cross_entropy(cross_entropy(df, "g", "cand", "score", "target", mask_padding=True)).first()
     assert masked["n"] == 1 and abs(masked["mean_loss"] - (lse - 2.0)) < 1e-12
+
+
+def test_top_p_on_zero_weights_keeps_first(spark):
+    df = spark.createDataFrame([(1, 0, 0.0), (1, 1, 0.0), (2, 0, 3.0), (2, 1, 1.0)], "g int, c int, w double")
+    got = sorted((r["g"], r["c"]) for r in top_p_filter(df, "g", "c", "w", p=0.5, weight="w").collect())
+    assert got == [(1, 0), (2, 0)]
