@@ -1253,3 +1253,21 @@ def q_keyword_batches(spark, sf_dir):
     assigned = assign_batches(ex.select("id", F.size("ids").alias("n")), batch_size=2, epochs=2, seed=9, row_id="id")
     padded = pad_batches(assigned, ex, "ids", pad_id=0, key="id", keep=["keyword_ids"], sizes="n")
     return _padded_out(padded, extra=[ids_text("keyword_ids").alias("keyword_ids")])
+
+
+# ------------------------------ vocabulary over the letter/number split (A10, H1)
+
+
+@register(
+    "word_vocabulary",
+    """select tok, cast(row_number() over (order by n desc, tok) - 1 as integer) as id, cast(n as bigint) as n
+from (select tok, count(*) as n from (
+        select unnest(regexp_extract_all(text, '( ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+)', 1)) as tok
+        from documents) group by tok)""",
+)
+def q_word_vocabulary(spark, sf_dir):
+    from convprep.functions.text import pretokenize
+    from convprep.operators.tokens import fit_vocabulary
+
+    docs = fx.load(spark, sf_dir, "documents").select("text")
+    return fit_vocabulary(docs, [pretokenize("text", "words")])
