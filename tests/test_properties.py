@@ -154,3 +154,18 @@ def test_queries_independent_of_shuffle_partitions(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1] == results[2]
+
+
+def test_empty_inputs(spark):
+    from convprep.operators.scores import sample_candidates, softmax_by_group
+
+    empty = spark.createDataFrame([], "id long, text string")
+    assert dense_index(empty, ["id"]).count() == 0
+    toks = tokenize(empty, "text", "tokens")
+    vocab = fit_vocabulary(toks, ["tokens"])
+    assert vocab.count() == 0
+    assert encode(toks, ["id"], ["tokens"], ["ids"], vocab).count() == 0
+    assert assign_batches(empty.select(F.col("id").alias("row_id")), 2, 3, 1).count() == 0
+    logits = spark.createDataFrame([], "g long, cand int, score double")
+    assert softmax_by_group(logits, "g").count() == 0
+    assert sample_candidates(logits, "g", "cand", "score", k=3, p=0.5).count() == 0
