@@ -45,19 +45,43 @@ def sort_scores(df: DataFrame, group, cand: str = "cand", score: str = "score",
     return df.withColumn(out, F.row_number().over(w).cast("bigint"))
 
 
-def top_k_filter(df: DataFrame, group, score: str = "score", k: int | None = None) -> DataFrame:
+def top_k_filter(
+    df: DataFrame, group, score: str = "score", k: int | None = None, hot_groups: bool = False, cand=None
+) -> DataFrame:
     """Keep scores not below the k-th largest (``rank``: ties with the
-    k-th survive). ``k`` None or <= 0: no cut."""
+    k-th survive). ``k`` None or <= 0: no cut.
+
+    ``hot_groups=True`` (needs ``cand``) serves groups too large for one
+    task: positions come from :func:`ranked_running_sum`, and the k-th score
+    of each group is the threshold (``score >= kth`` is ``rank <= k``).
+    """
     if k is None or k <= 0:
         return df
+    if hot_groups:
+        from convprep.operators.ranked import ranked_running_sum
+
+        gcols = _g(group)
+        r = ranked_running_sum(df, gcols, cand, score)
+        kth = r.where(F.col("_rn") == k).select(*gcols, F.col(score).alias("_cp_kth"))
+        kept = r.join(kth, gcols, "left").where(F.col("_cp_kth").isNull() | (F.col(score) >= F.col("_cp_kth")))
+        return kept.select(*df.columns)
     w = Window.partitionBy(*_g(group)).orderBy(F.col(score).desc())
     return df.withColumn("_cp_r", F.rank().over(w)).where(F.col("_cp_r") <= k).drop("_cp_r")
 
 
 def cumulative_share(
-    df: DataFrame, group, cand: str = "cand", score: str = "score", weight: str = "p", out: str = "cum"
+    df: DataFrame, group, cand: str = "cand", score: str = "score", weight: str = "p", out: str = "cum",
+    hot_groups: bool = False,
 ) -> DataFrame:
-    """Running sum of ``weight`` in descending score order."""
+    """Running sum of ``weight`` in descending score order.
+
+    ``hot_groups=True`` computes it with :func:`ranked_running_sum` (range
+    partitions instead of one task per group)."""
+    if hot_groups:
+        from convprep.operators.ranked import ranked_running_sum
+
+        r = ranked_running_sum(df, _g(group), cand, score, weight)
+        return r.withColumnRenamed("_cum", out).drop("_rn", "_prev")
     w = (
         Window.partitionBy(*_g(group))
         .orderBy(*_desc_order(score, cand))
@@ -74,6 +98,7 @@ def top_p_filter(
     p: float | None = None,
     min_keep: int = 1,
     weight: str | None = None,
+    hot_groups: bool = False,
 ) -> DataFrame:
     """Nucleus cut. Candidates in descending order are kept while the
     share *before* them is at most ``p``; the first is always kept. With
@@ -86,6 +111,8 @@ def top_p_filter(
     if p is None or p <= 0:
         return df
     gcols = _g(group)
+    if hot_groups:
+        return _top_p_hot(df, gcols, cand, score, p, min_keep, weight)
     staged = df
     wcol = weight
     if weight is None:
@@ -108,6 +135,25 @@ def top_p_filter(
     return staged.where(keep).drop("_cp_p", "_cp_cum", "_cp_rk", "_cp_prev")
 
 
+def _top_p_hot(df: DataFrame, gcols, cand, score: str, p: float, min_keep: int, weight: str | None) -> DataFrame:
+    """W4 for groups too large for one task: group statistics come from
+    partial aggregates, running shares from :func:`ranked_running_sum`."""
+    from convprep.operators.ranked import ranked_running_sum
+
+    if weight is None:
+        m = df.groupBy(*gcols).agg(F.max(score).alias("_cp_m"))
+        staged = df.join(m, gcols).withColumn("_cp_wt", F.exp(F.col(score) - F.col("_cp_m"))).drop("_cp_m")
+    else:
+        staged = df.withColumn("_cp_wt", F.col(weight).cast("double"))
+    tot = staged.groupBy(*gcols).agg(F.sum("_cp_wt").alias("_cp_tot"))
+    r = ranked_running_sum(staged, gcols, cand, score, "_cp_wt").join(tot, gcols)
+    prev_share = F.try_divide(F.col("_prev"), F.col("_cp_tot"))
+    keep = (F.col("_rn") == 1) | (prev_share <= F.lit(float(p)))
+    if min_keep > 1:
+        keep = keep | (F.col("_rn") <= min_keep + 1)
+    return r.where(keep).select(*df.columns)
+
+
 def argmax_by_group(df: DataFrame, group, cand: str = "cand", score: str = "score", out: str = "cand") -> DataFrame:
     """Greedy pick, the lowest candidate id among equal best scores.
 

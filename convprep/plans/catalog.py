@@ -1271,3 +1271,29 @@ def q_word_vocabulary(spark, sf_dir):
 
     docs = fx.load(spark, sf_dir, "documents").select("text")
     return fit_vocabulary(docs, [pretokenize("text", "words")])
+
+
+# -------------------- nucleus cut in hot-group mode (W4 over range partitions)
+
+
+@register(
+    "supplier_nucleus_hot",
+    """select l_suppkey, l_orderkey, l_linenumber, l_partkey from (
+  select *, row_number() over w as rk,
+         coalesce(sum(l_extendedprice) over (w rows between unbounded preceding and 1 preceding), 0)
+           / sum(l_extendedprice) over (partition by l_suppkey) as prev
+  from lineitem
+  window w as (partition by l_suppkey order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey))
+where rk = 1 or prev <= 0.5""",
+)
+def q_supplier_nucleus_hot(spark, sf_dir):
+    from convprep.operators.scores import top_p_filter
+
+    li = fx.load(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey",
+                                                   "l_extendedprice")
+    # Per supplier: the lines that cover half its revenue. A supplier may
+    # hold a large share of all lines, so the running shares come from range
+    # partitions rather than one task per supplier.
+    cut = top_p_filter(li, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"], "l_extendedprice",
+                       p=0.5, weight="l_extendedprice", hot_groups=True)
+    return cut.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
