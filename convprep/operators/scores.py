@@ -27,12 +27,24 @@ def _desc_order(score: str, cand) -> list[Column]:
 
 
 def softmax_by_group(
-    df: DataFrame, group, score: str = "score", temperature: float = 1.0, out: str = "p"
+    df: DataFrame, group, score: str = "score", temperature: float = 1.0, out: str = "p",
+    hot_groups: bool = False,
 ) -> DataFrame:
     """``exp(s - max s) / sum exp(s - max s)`` per group, ``s`` the score
-    divided by ``temperature``."""
+    divided by ``temperature``.
+
+    ``hot_groups=True`` takes the group max and sum from partial aggregates
+    joined back to the rows (a hot group collapses map-side; AQE splits its
+    join partition or broadcasts small statistics) instead of windows."""
     if temperature <= 0:
         raise ValueError("temperature must be positive")
+    if hot_groups:
+        gcols = _g(group)
+        s = F.col(score) / F.lit(float(temperature))
+        m = df.groupBy(*gcols).agg(F.max(s).alias("_cp_m"))
+        staged = df.join(m, gcols).withColumn("_cp_e", F.exp(s - F.col("_cp_m")))
+        z = staged.groupBy(*gcols).agg(F.sum("_cp_e").alias("_cp_z"))
+        return staged.join(z, gcols).withColumn(out, F.col("_cp_e") / F.col("_cp_z")).select(*df.columns, out)
     g = Window.partitionBy(*_g(group))
     s = F.col(score) / F.lit(float(temperature))
     e = F.exp(s - F.max(s).over(g))
@@ -240,13 +252,19 @@ def cross_entropy(
     target: str = "target",
     mask_padding: bool = False,
     pad_id: int = 0,
+    hot_groups: bool = False,
 ) -> DataFrame:
     """Per group ``logsumexp(score) - score[target]`` (max subtracted
     for stability). With ``mask_padding`` groups whose target is ``pad_id``
-    are left out (the reference counts them)."""
+    are left out (the reference counts them). ``hot_groups=True`` takes the
+    group max from a partial aggregate joined back instead of a window."""
     gcols = _g(group)
-    g = Window.partitionBy(*gcols)
-    staged = df.withColumn("_cp_m", F.max(score).over(g))
+    if hot_groups:
+        m = df.groupBy(*gcols).agg(F.max(score).alias("_cp_m"))
+        staged = df.join(m, gcols)
+    else:
+        g = Window.partitionBy(*gcols)
+        staged = df.withColumn("_cp_m", F.max(score).over(g))
     if mask_padding:
         staged = staged.where(F.col(target) != F.lit(pad_id))
     return staged.groupBy(*gcols).agg(

@@ -74,3 +74,17 @@ def test_top_p_softmax_hot(spark):
     a = top_p_filter(big, "g", "c", "l", p=0.5)
     b = top_p_filter(big, "g", "c", "l", p=0.5, hot_groups=True)
     assert sorted(r["c"] for r in a.collect()) == sorted(r["c"] for r in b.collect())
+
+
+def test_softmax_and_cross_entropy_hot(spark):
+    from convprep.operators.scores import cross_entropy, softmax_by_group
+
+    logits = fx.logits_view(fx.load(spark, SF_MID, "embeddings"))
+    big = logits.withColumn("g", F.col("vec_id") % 4).withColumn("c", F.col("vec_id") * 100 + F.col("tok"))
+    a = {r["c"]: round(r["p"], 12) for r in softmax_by_group(big, "g", "l").collect()}
+    b = {r["c"]: round(r["p"], 12) for r in softmax_by_group(big, "g", "l", hot_groups=True).collect()}
+    assert a == b
+    ta = big.withColumn("target", F.col("vec_id") * 100 + F.col("label"))
+    x = {r["g"]: round(r["loss"], 9) for r in cross_entropy(ta, "g", "c", "l", "target").collect()}
+    y = {r["g"]: round(r["loss"], 9) for r in cross_entropy(ta, "g", "c", "l", "target", hot_groups=True).collect()}
+    assert x == y
