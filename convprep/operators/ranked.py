@@ -104,3 +104,75 @@ def group_totals(df: DataFrame, group, weight: str) -> DataFrame:
 
 
 __all__ = ["group_totals", "ranked_running_sum"]
+
+
+def ranked_draws(
+    cands: DataFrame, group, cand: str, start: str, total: DataFrame, seed: int, draws: int
+) -> DataFrame:
+    """Inverse-CDF draws for groups too large for one task.
+
+    ``cands`` holds one row per candidate with its interval ``start`` (the
+    running share before it; positive width assumed), ``total`` one row per
+    group with ``_tot``. Draw ``d`` of a group sits at ``u(seed, group, d) *
+    _tot`` and takes the last candidate whose start lies below it. Starts
+    and draw points are range-partitioned together on (group, position);
+    each sorted partition carries its last candidate forward in pandas, and
+    a per-(group, bucket) table of last candidates covers draws whose
+    candidate lies in an earlier bucket. Output ``(group..., draw, cand)``.
+    """
+    from convprep.functions.random import uniform
+
+    gcols = _g(group)
+    ctype = cands.schema[cand].dataType
+    gkey = gcols[0] if len(gcols) == 1 else F.concat_ws("/", *[F.col(c).cast("string") for c in gcols])
+    pts = total.select(*gcols, "_tot", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    pts = pts.select(
+        *gcols, (uniform(seed, gkey, "draw") * F.col("_tot")).alias("_cp_x"), F.lit(0).alias("_cp_kind"),
+        F.lit(None).cast(ctype).alias("_cp_c"), F.col("draw").cast("int").alias("_cp_d"),
+    )
+    starts = cands.select(
+        *gcols, F.col(start).cast("double").alias("_cp_x"), F.lit(1).alias("_cp_kind"),
+        F.col(cand).alias("_cp_c"), F.lit(None).cast("int").alias("_cp_d"),
+    )
+    sort = [F.col(c).asc() for c in gcols] + [F.col(c).asc() for c in ("_cp_x", "_cp_kind", "_cp_c", "_cp_d")]
+    ranged = starts.unionByName(pts).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    schema = T.StructType(ranged.schema.fields + [
+        T.StructField("_cp_b", T.IntegerType()), T.StructField("_cp_last", ctype),
+    ])
+
+    def carry_last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        carry_key, carry = None, None  # last candidate seen, and its group
+        for pdf in batches:
+            if pdf.empty:
+                yield pdf.assign(_cp_b=part, _cp_last=pdf["_cp_c"])
+                continue
+            kdf = pdf[gcols].reset_index(drop=True)
+            seg = (kdf != kdf.shift()).any(axis=1).cumsum()
+            seen = pdf["_cp_c"].reset_index(drop=True).astype(object)
+            seen = seen.where(pdf["_cp_kind"].reset_index(drop=True) == 1, None)
+            if carry is not None and tuple(kdf.iloc[0]) == carry_key and seen.iloc[0] is None:
+                seen.iloc[0] = carry  # the group continues from the previous batch
+            last = seen.groupby(seg).ffill()
+            tail = last[seg == seg.iloc[-1]].dropna()
+            carry_key = tuple(kdf.iloc[-1])
+            carry = tail.iloc[-1] if len(tail) else None
+            yield pdf.assign(_cp_b=part, _cp_last=last.to_numpy())
+
+    stage = cut_lineage(ranged.mapInPandas(carry_last, schema))
+    keys = gcols + ["_cp_b"]
+    # Every (group, bucket) present, with its last candidate if it has one;
+    # a bucket holding only draws takes the last candidate of earlier ones.
+    last_in_bucket = stage.where(F.col("_cp_kind") == 1).groupBy(*keys).agg(
+        F.max_by("_cp_c", F.struct("_cp_x", "_cp_c")).alias("_cp_bl"))
+    buckets = stage.select(*keys).distinct().join(last_in_bucket, keys, "left")
+    before = Window.partitionBy(*gcols).orderBy("_cp_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.select(*keys, F.last("_cp_bl", ignorenulls=True).over(before).alias("_cp_carry"))
+    first = cands.groupBy(*gcols).agg(F.min_by(F.col(cand), F.struct(F.col(start), F.col(cand))).alias("_cp_first"))
+    picked = stage.where(F.col("_cp_kind") == 0).join(carried, keys, "left").join(first, gcols, "left")
+    return picked.select(
+        *gcols, F.col("_cp_d").alias("draw"),
+        F.coalesce("_cp_last", "_cp_carry", "_cp_first").alias(cand),
+    )

@@ -187,9 +187,11 @@ def sample_by_group(
     draws: int = 1,
     weight: str | None = None,
     out: str = "cand",
+    hot_groups: bool = False,
 ) -> DataFrame:
     """``draws`` seeded draws per group from ``softmax(score)`` (or from
-    ``weight``), by inverse CDF.
+    ``weight``), by inverse CDF. ``hot_groups=True`` uses range partitions
+    for groups too large for one task (:func:`ranked_draws`).
 
     Draw ``d`` of group ``g`` uses ``u = md5(seed:g:d)`` and picks the first
     candidate in descending order whose running share reaches ``u * total``.
@@ -198,6 +200,18 @@ def sample_by_group(
     with every candidate. Result ``(group..., draw, out)``.
     """
     gcols = _g(group)
+    if hot_groups:
+        from convprep.operators.ranked import ranked_draws, ranked_running_sum
+
+        if weight is None:
+            staged = softmax_by_group(df, gcols, score, out="_cp_w", hot_groups=True)
+        else:
+            staged = df.withColumn("_cp_w", F.col(weight).cast("double"))
+        r = ranked_running_sum(staged, gcols, cand, score, "_cp_w")
+        tot = r.groupBy(*gcols).agg(F.max("_cum").alias("_tot"))
+        cands = r.where(F.col("_cp_w") > 0)
+        picked = ranked_draws(cands, gcols, cand, "_prev", tot, seed, draws)
+        return picked.withColumnRenamed(cand, out) if out != cand else picked
     if weight is None:
         staged = softmax_by_group(df, gcols, score, out="_cp_w")
     else:
@@ -303,16 +317,18 @@ def sample_candidates(
     seed: int = 0,
     draws: int = 1,
     temperature: float = 1.0,
+    hot_groups: bool = False,
 ) -> DataFrame:
     """One generation step for every group: top-k, then nucleus on the
     renormalised scores, then a seeded draw; greedy arg-max when neither cut
-    is set. Result ``(group..., draw, cand)``."""
+    is set. Result ``(group..., draw, cand)``. ``hot_groups=True`` runs each
+    step over range partitions (groups too large for one task)."""
     gcols = _g(group)
     scaled = df.withColumn("_cp_s", F.col(score) / F.lit(float(temperature)))
     if (k is None or k <= 0) and (p is None or p <= 0):
         best = argmax_by_group(scaled, gcols, cand, "_cp_s", out=cand)
         best = best.select(*gcols, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), cand)
         return best.select(*gcols, F.col("draw").cast("int").alias("draw"), cand)
-    cut = top_k_filter(scaled, gcols, "_cp_s", k)
-    cut = top_p_filter(cut, gcols, cand, "_cp_s", p, min_keep)
-    return sample_by_group(cut, gcols, cand, "_cp_s", seed=seed, draws=draws, out=cand)
+    cut = top_k_filter(scaled, gcols, "_cp_s", k, hot_groups=hot_groups, cand=cand)
+    cut = top_p_filter(cut, gcols, cand, "_cp_s", p, min_keep, hot_groups=hot_groups)
+    return sample_by_group(cut, gcols, cand, "_cp_s", seed=seed, draws=draws, out=cand, hot_groups=hot_groups)

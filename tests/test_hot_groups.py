@@ -11,6 +11,23 @@ from convprep.plans import fixtures as fx
 CAND = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def spread(spark):
+    """Many small range partitions and Arrow batches, so groups cross both
+    partition and batch boundaries (the carried running state is exercised)."""
+    confs = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+             "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}
+    old = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
 @pytest.fixture(scope="module")
 def hot(spark):
     li = fx.load(spark, SF_MID, "lineitem").select(*CAND, "l_quantity")
@@ -88,3 +105,34 @@ def test_softmax_and_cross_entropy_hot(spark):
     x = {r["g"]: round(r["loss"], 9) for r in cross_entropy(ta, "g", "c", "l", "target").collect()}
     y = {r["g"]: round(r["loss"], 9) for r in cross_entropy(ta, "g", "c", "l", "target", hot_groups=True).collect()}
     assert x == y
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_draws_hot(spark, hot, weighted):
+    from convprep.operators.scores import sample_by_group
+
+    if weighted:
+        df = hot.withColumn("c", F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("l_partkey") % 10)
+        df = df.dropDuplicates(["g", "c"])
+        kw = dict(weight="l_quantity")
+        score = "l_quantity"
+    else:
+        logits = fx.logits_view(fx.load(spark, SF_MID, "embeddings"))
+        df = logits.withColumn("g", F.col("vec_id") % 4).withColumn("c", F.col("vec_id") * 100 + F.col("tok"))
+        kw = {}
+        score = "l"
+    a = sample_by_group(df, "g", "c", score, seed=3, draws=25, out="c", **kw)
+    b = sample_by_group(df, "g", "c", score, seed=3, draws=25, out="c", hot_groups=True, **kw)
+    ra = sorted((r["g"], r["draw"], r["c"]) for r in a.collect())
+    rb = sorted((r["g"], r["draw"], r["c"]) for r in b.collect())
+    assert ra == rb
+
+
+def test_sample_candidates_hot(spark):
+    from convprep.operators.scores import sample_candidates
+
+    logits = fx.logits_view(fx.load(spark, SF_MID, "embeddings"))
+    df = logits.withColumn("g", F.col("vec_id") % 4).withColumn("c", F.col("vec_id") * 100 + F.col("tok"))
+    a = sample_candidates(df, "g", "c", "l", k=400, p=0.8, seed=5, draws=10)
+    b = sample_candidates(df, "g", "c", "l", k=400, p=0.8, seed=5, draws=10, hot_groups=True)
+    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
