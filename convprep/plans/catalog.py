@@ -1297,3 +1297,30 @@ def q_supplier_nucleus_hot(spark, sf_dir):
     cut = top_p_filter(li, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"], "l_extendedprice",
                        p=0.5, weight="l_extendedprice", hot_groups=True)
     return cut.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@register(
+    "supplier_draws_hot",
+    """with c as (
+  select l_suppkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey) as line,
+         sum(l_extendedprice) over (partition by l_suppkey
+             order by l_extendedprice desc, concat_ws('-', l_orderkey, l_linenumber, l_partkey)
+             rows between unbounded preceding and current row) as cum
+  from lineitem),
+t as (select l_suppkey, max(cum) as tot from c group by l_suppkey),
+d as (select l_suppkey, unnest(range(0, 5)) as draw, tot from t),
+dx as (select l_suppkey, draw, """ + uniform_sql("17", "l_suppkey", "draw") + """ * tot as x from d)
+select dx.l_suppkey, cast(dx.draw as integer) as draw, arg_min(c.line, c.cum) as line
+from dx join c on c.l_suppkey = dx.l_suppkey and c.cum >= dx.x
+group by dx.l_suppkey, dx.draw""",
+)
+def q_supplier_draws_hot(spark, sf_dir):
+    from convprep.operators.scores import sample_by_group
+
+    li = fx.load(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_extendedprice",
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("line"))
+    # Five seeded draws per supplier, proportional to line revenue; a supplier
+    # may hold a large share of all lines, so the draw runs over range partitions.
+    return sample_by_group(li, "l_suppkey", "line", "l_extendedprice", seed=17, draws=5,
+                           weight="l_extendedprice", out="line", hot_groups=True)

@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 from conftest import SF_SMALL
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas")
-PYTHON_OK = {"udf_tokenize", "batch_summaries", "subword_pieces", "subword_encode", "supplier_nucleus_hot"}
+PYTHON_OK = {"udf_tokenize", "batch_summaries", "subword_pieces", "subword_encode", "supplier_nucleus_hot",
+             "supplier_draws_hot"}
 # Iterative sub-word queries (their plans hold a Python replay by design).
 SKIP = {"subword_merges", "subword_pieces", "subword_encode"}
 
