@@ -815,10 +815,10 @@ _CTRL_SEED = 13
 @register(
     "control_vectors",
     with_views(
-        """select m.row_id, cast(coalesce(a.n, 0) as bigint) as n_vectors, cast(d.dim as bigint) as dim,
+        """select d.row_id, cast(coalesce(a.n, 0) as bigint) as n_vectors, cast(d.dim as bigint) as dim,
        round(coalesce(a.value, {u}), 6) as value
-from m cross join (select unnest(range(0, 64)) as dim) d
-left join a on a.row_id = m.row_id and a.dim = d.dim""",
+from (select row_id, unnest(range(0, 64)) as dim from m) d
+left join a on a.row_id = d.row_id and a.dim = d.dim""",
         extra=(
             ("m", "select conv_id, turn, text, row_number() over (order by conv_id, turn) - 1 as row_id from conversations"),
             ("t", "select row_id, unnest(regexp_extract_all(text, '(\\S+)', 1)) as tok from m"),
@@ -828,7 +828,7 @@ left join a on a.row_id = m.row_id and a.dim = d.dim""",
                from (select row_id, embedding, unnest(range(1, len(embedding) + 1)) as i from f) group by row_id, i"""),
         ),
     ).replace("{u}", uniform_sql(
-        str(_CTRL_SEED), "m.row_id", "d.dim")),
+        str(_CTRL_SEED), "d.row_id", "d.dim")),
 )
 def q_control_vectors(spark, sf_dir):
     from convprep.operators.vectors import control_vectors
