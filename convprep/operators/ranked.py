@@ -34,7 +34,8 @@ def ranked_running_sum(
     """Adds ``_rn`` (1-based position in descending ``score`` order, ties by
     ``cand``), ``_cum`` (running sum of ``weight`` up to the row) and
     ``_prev`` (the sum before it; 0 for the first row) within each group.
-    Without ``weight`` only ``_rn`` is added (``_cum`` counts rows)."""
+    Without ``weight`` the sums count rows. ``(group, cand)`` must be unique:
+    the order, and so the written stage, is then the same on every run."""
     gcols, ccols = _g(group), _g(cand)
     w = weight or "_cp_one"
     staged = df if weight else df.withColumn("_cp_one", F.lit(1.0))

@@ -72,6 +72,8 @@ def top_k_filter(
     if hot_groups:
         from convprep.operators.ranked import ranked_running_sum
 
+        if cand is None:
+            raise ValueError("hot_groups=True needs cand (a unique candidate key for the order)")
         gcols = _g(group)
         r = ranked_running_sum(df, gcols, cand, score)
         kth = r.where(F.col("_rn") == k).select(*gcols, F.col(score).alias("_cp_kth"))
