@@ -292,3 +292,13 @@ def test_top_p_on_zero_weights_keeps_first(spark):
     df = spark.createDataFrame([(1, 0, 0.0), (1, 1, 0.0), (2, 0, 3.0), (2, 1, 1.0)], "g int, c int, w double")
     got = sorted((r["g"], r["c"]) for r in top_p_filter(df, "g", "c", "w", p=0.5, weight="w").collect())
     assert got == [(1, 0), (2, 0)]
+
+
+def test_recommended_conf_bounds():
+    from convprep.session import recommended_conf
+
+    big = recommended_conf(100 * 2**40, executors=1000, cores_per_executor=8)
+    assert big["spark.sql.shuffle.partitions"] == "100000"  # capped
+    small = recommended_conf(2**30, executors=2, cores_per_executor=4)
+    assert int(small["spark.sql.shuffle.partitions"]) >= 16  # at least two waves
+    assert big["spark.cleaner.referenceTracking.cleanCheckpoints"] == "true"
