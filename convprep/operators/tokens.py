@@ -175,6 +175,36 @@ def _count_pairs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") != 0)
 
 
+def _safe_batch(top: list, cutoff: int) -> list:
+    """The longest prefix of ``top`` (pairs in merge order with counts) that
+    the one-merge-per-round fit would also take, in this order.
+
+    Pair i joins when every pair that could compete with it is listed
+    (count above ``cutoff``, the last listed count), its symbols are untouched
+    by the earlier merges of the batch (so its count is unchanged), and no
+    listed pair with count >= its count continues an earlier merge (``(x,
+    a_j)`` or ``(b_j, y)``): pairs a merge creates are bounded by those
+    counts, so none can overtake pair i. Earlier pairs drop to count 0.
+    """
+    chosen = [top[0]]
+    for i in range(1, len(top)):
+        a, b, c = top[i]
+        if c <= cutoff:
+            break
+        touched = set()
+        for aj, bj, _ in chosen:
+            touched |= {aj, bj, aj + bj}
+        if a in touched or b in touched:
+            break
+        rights = {aj for aj, _, _ in chosen}
+        lefts = {bj for _, bj, _ in chosen}
+        picked = {(aj, bj) for aj, bj, _ in chosen}
+        if any(cq >= c and (aq, bq) not in picked and (bq in rights or aq in lefts) for aq, bq, cq in top):
+            break
+        chosen.append(top[i])
+    return chosen
+
+
 def fit_subword_merges(
     df: DataFrame,
     col: str = "text",
@@ -182,19 +212,23 @@ def fit_subword_merges(
     pattern: str = "words",
     min_pair_count: int = 2,
     checkpoint_every: int = 5,
+    batch: int = 32,
 ) -> DataFrame:
     """H3: learn ``n_merges`` byte-pair style merges from the corpus.
 
     Work is on the distinct pre-tokens with their counts (a fraction of the
     corpus). Pair counts (adjacent symbols, weighted by word count) are
-    computed once; each round then fetches the single best pair (highest
-    count, then smallest pair) and updates the counts incrementally: only
-    words holding the pair (a substring test) are rewritten with a
-    left-to-right regular-expression replace, their old pairs subtracted and
-    new pairs added. Word and pair tables are cached between rounds and
-    written to the shared checkpoint folder every ``checkpoint_every``
-    rounds, which bounds the lineage an executor loss can replay.
-    Returns ``(rank, left, right, merged, n)``.
+    computed once; each round fetches the ``batch`` best pairs (highest
+    count, then smallest pair), keeps the prefix that the one-at-a-time fit
+    would merge next in the same order (:func:`_safe_batch`; the merges of a
+    prefix touch disjoint symbols and commute), and updates the counts
+    incrementally: only words holding a merged pair (a substring test) are
+    rewritten with left-to-right regular-expression replaces, their old
+    pairs subtracted and new pairs added. ``batch=1`` is one merge per round.
+    Word and pair tables are cached between rounds and written to the shared
+    checkpoint folder every ``checkpoint_every`` rounds, which bounds the
+    lineage an executor loss can replay. Returns ``(rank, left, right,
+    merged, n)``.
     """
     from pyspark import StorageLevel
 
@@ -211,29 +245,39 @@ def fit_subword_merges(
     pairs = cut_lineage(_count_pairs(_pair_rows(words)))
     cached: list[DataFrame] = []
     merges: list[tuple[int, str, str, str, int]] = []
-    for rank in range(n_merges):
-        best = (
+    rounds = 0
+    while len(merges) < n_merges:
+        want = max(1, min(batch, n_merges - len(merges)))
+        fetch = 1 if want == 1 else want + 1  # one extra row: the cutoff count
+        top = (
             pairs.where(F.col("cnt") >= min_pair_count)
             .orderBy(F.desc("cnt"), F.asc("a"), F.asc("b"))
-            .limit(1)
+            .limit(fetch)
             .collect()
         )
         # The tables of two rounds ago are no longer read by anything.
         for old in cached[:-2]:
             old.unpersist()
         cached = cached[-2:]
-        if not best:
+        if not top:
             break
-        a, b, cnt = best[0]["a"], best[0]["b"], int(best[0]["cnt"])
-        merges.append((rank, a, b, a + b, cnt))
-        pat, rep = _merge_regex(a, b)
-        hit = F.instr("sym", _SEP + a + _SEP + b + _SEP) > 0
-        merged = F.regexp_replace("sym", F.lit(pat), F.lit(rep))
+        listed = [(r["a"], r["b"], int(r["cnt"])) for r in top]
+        cutoff = listed[-1][2] if len(listed) == fetch and fetch > 1 else 0
+        chosen = _safe_batch(listed[:want], cutoff)
+        hit = None
+        sym = F.col("sym")
+        for a, b, cnt in chosen:
+            merges.append((len(merges), a, b, a + b, cnt))
+            pat, rep = _merge_regex(a, b)
+            h = F.instr("sym", _SEP + a + _SEP + b + _SEP) > 0
+            hit = h if hit is None else hit | h
+            sym = F.regexp_replace(sym, F.lit(pat), F.lit(rep))
         affected = words.where(hit)
-        delta = _pair_rows(affected.withColumn("sym", merged)).unionByName(_pair_rows(affected, -1))
+        delta = _pair_rows(affected.withColumn("sym", sym)).unionByName(_pair_rows(affected, -1))
         nxt_pairs = _count_pairs(pairs.unionByName(delta))
-        nxt_words = words.withColumn("sym", F.when(hit, merged).otherwise(F.col("sym")))
-        if (rank + 1) % checkpoint_every == 0:
+        nxt_words = words.withColumn("sym", F.when(hit, sym).otherwise(F.col("sym")))
+        rounds += 1
+        if rounds % checkpoint_every == 0:
             nxt_words, nxt_pairs = cut_lineage(nxt_words), cut_lineage(nxt_pairs)
         else:
             nxt_words = nxt_words.persist(StorageLevel.MEMORY_AND_DISK)

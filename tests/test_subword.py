@@ -4,6 +4,7 @@ fixture taken from the documents table."""
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -105,3 +106,27 @@ def test_encode_subwords_round_trip(spark):
     joined = dec.select(F.col("back"), F.array_join(F.regexp_extract_all("text", F.lit(WORD_PATTERN), 1), "").alias("b"))
     assert joined.where(F.col("back") != F.col("b")).count() == 0
     assert enc.where(F.array_contains("ids", -1)).count() == 0
+
+
+@pytest.mark.parametrize("n", [12, 40])
+def test_batched_rounds_equal_one_merge_per_round(spark, n):
+    docs = fx.load(spark, SF_SMALL, "documents").orderBy("doc_id").limit(200)
+    texts = [r["text"] for r in docs.collect()]
+    batched = fit_subword_merges(docs, "text", n_merges=n).orderBy("rank").collect()
+    single = fit_subword_merges(docs, "text", n_merges=n, batch=1).orderBy("rank").collect()
+    exp = brute_force(texts, n)
+    assert [(r["left"], r["right"], r["n"]) for r in batched] == exp
+    assert [(r["left"], r["right"], r["n"]) for r in single] == exp
+
+
+def test_safe_batch_rules():
+    from convprep.operators.tokens import _safe_batch
+
+    # disjoint symbols, nothing continuing the first merge above 50: both taken
+    assert len(_safe_batch([("a", "b", 100), ("c", "d", 60), ("x", "y", 10)], 5)) == 3
+    # second pair shares a symbol with the first: stop
+    assert len(_safe_batch([("a", "b", 100), ("b", "c", 60)], 5)) == 1
+    # a listed pair (x, a) with count >= 60 could create (x, ab) above 60: stop
+    assert len(_safe_batch([("a", "b", 100), ("x", "a", 70), ("c", "d", 60)], 5)) == 1
+    # the cutoff hides competitors: stop
+    assert len(_safe_batch([("a", "b", 100), ("c", "d", 60)], 60)) == 1
