@@ -166,12 +166,14 @@ def ranked_draws(
     keys = gcols + ["_cp_b"]
     # Every (group, bucket) present, with its last candidate if it has one;
     # a bucket holding only draws takes the last candidate of earlier ones.
+    # Starts strictly increase within a group (positive widths), so ordering
+    # by the start alone is exact and keeps these hash aggregates.
     last_in_bucket = stage.where(F.col("_cp_kind") == 1).groupBy(*keys).agg(
-        F.max_by("_cp_c", F.struct("_cp_x", "_cp_c")).alias("_cp_bl"))
+        F.max_by("_cp_c", "_cp_x").alias("_cp_bl"))
     buckets = stage.select(*keys).distinct().join(last_in_bucket, keys, "left")
     before = Window.partitionBy(*gcols).orderBy("_cp_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = buckets.select(*keys, F.last("_cp_bl", ignorenulls=True).over(before).alias("_cp_carry"))
-    first = cands.groupBy(*gcols).agg(F.min_by(F.col(cand), F.struct(F.col(start), F.col(cand))).alias("_cp_first"))
+    first = cands.groupBy(*gcols).agg(F.min_by(F.col(cand), F.col(start)).alias("_cp_first"))
     picked = stage.where(F.col("_cp_kind") == 0).join(carried, keys, "left").join(first, gcols, "left")
     return picked.select(
         *gcols, F.col("_cp_d").alias("draw"),
