@@ -169,6 +169,9 @@ def apply_batch(
 ) -> DataFrame:
     """the open collate hook: ``fn(pandas.DataFrame) -> pandas.DataFrame``
     once per batch (groups are bounded by the batch size)."""
+    from convprep.session import ship_package
+
+    ship_package(df.sparkSession)
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 

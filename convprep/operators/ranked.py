@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convprep.session import cut_lineage
+from convprep.session import cut_lineage, ship_package
 
 
 def _g(cols) -> list[str]:
@@ -36,6 +36,7 @@ def ranked_running_sum(
     ``_prev`` (the sum before it; 0 for the first row) within each group.
     Without ``weight`` the sums count rows. ``(group, cand)`` must be unique:
     the order, and so the written stage, is then the same on every run."""
+    ship_package(df.sparkSession)  # the running sums run in executor Python workers
     gcols, ccols = _g(group), _g(cand)
     w = weight or "_cp_one"
     staged = df if weight else df.withColumn("_cp_one", F.lit(1.0))
@@ -123,6 +124,7 @@ def ranked_draws(
     """
     from convprep.functions.random import uniform
 
+    ship_package(cands.sparkSession)
     gcols = _g(group)
     ctype = cands.schema[cand].dataType
     gkey = gcols[0] if len(gcols) == 1 else F.concat_ws("/", *[F.col(c).cast("string") for c in gcols])

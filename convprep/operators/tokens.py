@@ -344,6 +344,9 @@ def subword_pieces(
     once per task); pieces are joined back to every occurrence and
     re-collected per key in order.
     """
+    from convprep.session import ship_package
+
+    ship_package(df.sparkSession)  # the replay runs in executor Python workers
     # The merge list is bounded by n_merges; it ships to tasks with the closure.
     ranks = merge_ranks([(r["left"], r["right"]) for r in merges.orderBy("rank").collect()])
     key = list(key)
@@ -401,6 +404,9 @@ def apply_tokenizer(
     """
     if fn is None and factory is None:
         raise ValueError("give fn or factory")
+    from convprep.session import ship_package
+
+    ship_package(df.sparkSession)
 
     @F.pandas_udf(return_type)
     def _tok(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

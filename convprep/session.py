@@ -36,6 +36,7 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "co
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -89,6 +90,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``convprep`` importable in executor Python workers (pandas UDFs,
+    ``mapInPandas``): zip the package once per SparkContext and add it with
+    ``addPyFile``, as ``--py-files`` would on a cluster."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_convprep_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, path = tempfile.mkstemp(prefix="convprep-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._convprep_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder, for written stages."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
