@@ -96,8 +96,12 @@ def ship_package(spark: SparkSession) -> None:
     ``addPyFile``, as ``--py-files`` would on a cluster."""
     import zipfile
 
-    sc = spark.sparkContext
-    if getattr(sc, "_convprep_shipped", False):
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    holder = sc if sc is not None else spark
+    if getattr(holder, "_convprep_shipped", False):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
@@ -109,8 +113,11 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    sc._convprep_shipped = True
+    if sc is not None:
+        sc.addPyFile(path)
+    else:
+        spark.addArtifacts(path, pyfile=True)
+    holder._convprep_shipped = True
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
