@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convprep.llm import jaccard, mixing, packing, pii, quality, sharding
+from convprep.llm import jaccard, language, mixing, packing, pii, quality, sharding, substrings
 from convprep.llm.common import load
 
 
@@ -12,6 +12,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op1_quality_rules(load(spark, sf_dir, "documents"))
 
 
+def op3_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op3_super_kmers(load(spark, sf_dir, "documents"))
+
+
 def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.op5_minhash_join(load(spark, sf_dir, "documents"))
 
@@ -32,16 +36,23 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9_virtual_slots(load(spark, sf_dir, "documents"))
 
 
+def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op10_string_kernel(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_super_kmers": op3_super_kmers,
     "op5_minhash_join": op5_minhash_join,
     "op6_pareto_mix": op6_pareto_mix,
     "op7_anchor_pii": op7_anchor_pii,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_virtual_slots": op9_virtual_slots,
+    "op10_string_kernel": op10_string_kernel,
 }
 
 ORACLE = {
     "op1_quality_rules": quality.ORACLE_OP1,
+    "op3_super_kmers": substrings.ORACLE_OP3,
     "op6_pareto_mix": mixing.ORACLE_OP6,
 }
