@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convprep.llm import jaccard, language, mixing, packing, pii, quality, sharding, substrings
+from convprep.llm import jaccard, language, lm, mixing, neardup, packing, pii, quality, sharding, substrings
 from convprep.llm.common import load
 
 
@@ -12,10 +12,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op1_quality_rules(load(spark, sf_dir, "documents"))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op2_nn_descent(load(spark, sf_dir, "embeddings"))
+
+
 def op3_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.op3_super_kmers(load(spark, sf_dir, "documents"))
 
 
+def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op4_cross_entropy(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.op5_minhash_join(load(spark, sf_dir, "documents"))
 
@@ -42,7 +50,9 @@ def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_nn_descent": op2_nn_descent,
     "op3_super_kmers": op3_super_kmers,
+    "op4_cross_entropy": op4_cross_entropy,
     "op5_minhash_join": op5_minhash_join,
     "op6_pareto_mix": op6_pareto_mix,
     "op7_anchor_pii": op7_anchor_pii,
@@ -53,6 +63,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_quality_rules": quality.ORACLE_OP1,
+    "op2_nn_descent": neardup.ORACLE_OP2,
     "op3_super_kmers": substrings.ORACLE_OP3,
     "op6_pareto_mix": mixing.ORACLE_OP6,
 }
