@@ -26,7 +26,7 @@ from convprep.llm.common import row_key, written
 
 VOCABULARY = 50_000
 MIN_COUNT = 2
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_500_000
 PSEUDO = 8.0
 
 _WIDTH = 65_536
