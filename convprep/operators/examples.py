@@ -112,8 +112,8 @@ def stored_sequences(
     """A stored set with id lists as text -> parsed -> padded batches.
 
     ``stored`` is a DataFrame (lists as text, or native arrays from a Parquet
-    stage) or the path of a stored CSV set (S2); rows whose list does not
-    parse are left out.
+    stage) or the path of a stored CSV set (S2). A list that does not parse
+    stops the run; rows without a list are left out.
     """
     if isinstance(stored, str):
         from pyspark.sql import SparkSession
@@ -127,6 +127,8 @@ def stored_sequences(
         ids = F.col(sample_column).cast("array<int>")  # Parquet stage (S9): native lists
     else:
         ids = parse_id_list(sample_column)  # CSV stage (S7): lists as text
+        bad = F.concat(F.lit("not a list of ids: "), F.col(sample_column))
+        ids = F.when(F.col(sample_column).isNull() | ids.isNotNull(), ids).otherwise(F.raise_error(bad))
     parsed = stored.select(F.col(key), ids.alias("ids")).where(F.col("ids").isNotNull())
     assigned = assign_batches(parsed.select(key, F.size("ids").alias("_cp_n")), batch_size, epochs, seed, row_id=key)
     return pad_batches(assigned, parsed, "ids", pad_id, key, sizes="_cp_n")

@@ -3,20 +3,22 @@
 This is the equi-join behind encode (token -> id), decode (id -> token) and
 keyword translation (keyword -> synonym). Plan:
 
-1. hash-partition the input rows by their unique key: the raw rows move
-   once, and array expressions (tokenizing) run after the exchange, in
-   parallel (Spark drops this exchange when the input is already
-   partitioned by the key);
+1. give every row an internal id, a hash of all its columns, and
+   hash-partition by it: the raw rows move once, and array expressions
+   (tokenizing) run after the exchange, in parallel. Keys of the caller may
+   repeat or be null: rows that differ never share an id, and rows alike in
+   everything get the same arrays;
 2. ``explode_outer`` the arrays (narrow: partitioning is kept; rows without
    elements still reach the aggregate);
 3. join the table: broadcast when its row count is known and under
    ``max_broadcast_rows``, otherwise a shuffle join (AQE may still turn it
    into a broadcast at run time and splits skewed keys, e.g. a token that
    is a third of all tokens);
-4. re-collect per key in position order: with a broadcast table the
-   aggregation needs no exchange, since rows are still partitioned by key;
-5. join the arrays back to the rows on the key (same partitioning), or,
-   with ``join_back=False``, return key and arrays only.
+4. re-collect per id in position order (a set, so rows alike add nothing):
+   with a broadcast table the aggregation needs no exchange, since rows are
+   still partitioned by id;
+5. join the arrays back to the rows on the id (same partitioning); with
+   ``join_back=False`` only to the key columns.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Broadcast bounds for tables whose row count the caller proved. Scalar
 # lookup rows (a token and an id) take tens of bytes in the hashed relation,
@@ -40,20 +43,23 @@ def max_broadcast_rows_for(row_bytes: int, budget: int = DEFAULT_MAX_BROADCAST_B
 SELF = object()  # default marker: a miss keeps the looked-up element
 
 
-def partition_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows with a non-null key, hash-partitioned by it: the exact exchange
-    :func:`lookup_arrays` uses, so other branches built on this frame (a
-    vocabulary fit, say) read the same shuffle instead of a second scan."""
-    not_null = None
-    for k in key:
-        c = F.col(k).isNotNull()
-        not_null = c if not_null is None else not_null & c
-    return df.where(not_null).repartition(*[F.col(k) for k in key])
+def row_id(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row, nulls and their places included
+    (``xxhash64`` alone passes over nulls; maps, which have no hash, are left out)."""
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.MapType):
+            c = F.array_sort(F.map_keys(c))
+        parts += [c, c.isNull()]
+        if isinstance(f.dataType, T.ArrayType):
+            parts.append(F.transform(c, lambda x: x.isNull()))
+    return F.xxhash64(*parts)
 
 
 def null_key_salt(key: Sequence[str], key_type: str) -> Column:
     """A join key for rows without a real one, spread over partitions by
-    the row key: a string starting with NUL, or a negative number below -1."""
+    the row id: a string starting with NUL, or a negative number below -1."""
     h = F.xxhash64(*[F.col(k) for k in key])
     if key_type == "string":
         return F.concat(F.lit("\u0000"), h.cast("string"))
@@ -89,19 +95,15 @@ def lookup_arrays(
     ``cols`` are column names or array expressions (e.g. ``pretokenize``);
     expressions are evaluated once, after the rows are partitioned by key,
     so the shuffle moves the raw rows and the work runs in parallel.
-    ``key`` must identify rows uniquely; rows with a null key are dropped.
+    Every row comes back once, whether ``key`` is null, repeated or neither.
     A miss gives ``default``: None keeps null, :data:`SELF` keeps the
     element, else a literal; ``inner=True`` drops misses instead. Null input
     arrays give null, empty ones empty arrays. ``table`` must have unique
     ``table_key`` values; ``key_type`` is the element type of the inputs.
-    With ``join_back=False`` only ``key`` and ``outs`` are returned: every
-    key reaches the aggregate, so the join back to the rows (and a second
-    evaluation of an expensive input) is skipped.
+    With ``join_back=False`` only ``key`` and ``outs`` are returned.
     """
-    key = list(key)
-    # Null keys cannot be grouped back to one row. The same filter is
-    # inferred for the other join branch, so both read one shared exchange.
-    base = partition_rows(df, key)
+    asked, key = list(key), ["_cp_row"]
+    base = df.withColumn("_cp_row", row_id(df)).repartition("_cp_row")
     staged = base.select(*key, *[(F.col(c) if isinstance(c, str) else c).alias(f"_cp_in{j}")
                                  for j, c in enumerate(cols)])
     no_keys = F.array().cast(f"array<{key_type}>")
@@ -122,8 +124,11 @@ def lookup_arrays(
         # Rows without elements would all carry a null join key, i.e. one hot
         # shuffle partition; a per-row salt spreads them. Whatever a salt may
         # match is discarded below (those rows have no element tag).
-        exploded = exploded.withColumn("_cp_k", F.coalesce(F.col("_cp_k"), null_key_salt(key, key_type)))
-    joined = exploded.join(t, "_cp_k", "left")
+        # The salt has a column of its own: it never becomes a value.
+        exploded = exploded.withColumn("_cp_j", F.coalesce(F.col("_cp_k"), null_key_salt(key, key_type)))
+        t = t.withColumnRenamed("_cp_k", "_cp_j")
+    joined = exploded.join(t, "_cp_j" if "_cp_j" in exploded.columns else "_cp_k", "left").withColumn(
+        "_cp_v", F.when(F.col("_cp_k").isNotNull(), F.col("_cp_v")))
     if default is None or inner:
         v = F.col("_cp_v")
     elif default is SELF:
@@ -135,7 +140,7 @@ def lookup_arrays(
         keep = keep & F.col("_cp_v").isNotNull()
     grouped = joined.groupBy(*key).agg(
         *[F.max(f"_cp_null{j}").alias(f"_cp_null{j}") for j in range(len(cols))],
-        F.array_sort(F.collect_list(F.when(keep, F.struct("c", "p", v.alias("v"))))).alias("_cp_arr"),
+        F.array_sort(F.collect_set(F.when(keep, F.struct("c", "p", v.alias("v"))))).alias("_cp_arr"),
     )
     empty = F.array().cast(f"array<{value_type}>")
     sel = [*key]
@@ -145,5 +150,5 @@ def lookup_arrays(
                    .otherwise(F.coalesce(picked, empty)).alias(out))
     arrays = grouped.select(*sel)
     if not join_back:
-        return arrays
-    return base.join(arrays, key, "inner")
+        base = base.select(*asked, "_cp_row")
+    return base.join(arrays, "_cp_row", "inner").select(*[c for c in base.columns if c != "_cp_row"], *outs)

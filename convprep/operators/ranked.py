@@ -28,6 +28,30 @@ def _g(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+def join_groups(rows: DataFrame, stats: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the further columns of ``stats``, one row per group; null
+    groups join like any other."""
+    on = None
+    for c in cols:
+        same = F.col(f"_l.`{c}`").eqNullSafe(F.col(f"_r.`{c}`"))
+        on = same if on is None else on & same
+    own = [F.col(f"_l.`{c}`") for c in rows.columns]
+    return rows.alias("_l").join(stats.alias("_r"), on, how).select(
+        *own, *[F.col(f"_r.`{c}`") for c in stats.columns if c not in cols])
+
+
+def _segments(kdf: pd.DataFrame) -> pd.Series:
+    """Running number of the groups of sorted rows; nulls and NaN are one group each."""
+    before = kdf.shift()
+    new = (kdf.ne(before) & ~(kdf.isna() & before.isna())).any(axis=1)
+    new.iloc[0] = True
+    return new.cumsum()
+
+
+def _key(row: pd.Series) -> tuple:
+    return tuple(None if pd.isna(x) else x for x in row)
+
+
 def ranked_running_sum(
     df: DataFrame, group, cand, score: str, weight: str | None = None
 ) -> DataFrame:
@@ -64,8 +88,8 @@ def ranked_running_sum(
                 continue
             kdf = pdf[gcols].reset_index(drop=True)
             w = pdf["_cp_w"].astype("float64").reset_index(drop=True).copy()
-            seg = (kdf != kdf.shift()).any(axis=1).cumsum()
-            cont = last_key is not None and tuple(kdf.iloc[0]) == last_key
+            seg = _segments(kdf)
+            cont = last_key is not None and _key(kdf.iloc[0]) == last_key
             if cont:
                 w.iloc[0] = carry_cum + w.iloc[0]  # keeps the sum sequential
             cum = w.groupby(seg).cumsum()
@@ -76,7 +100,7 @@ def ranked_running_sum(
                 rn = rn.where(~first, rn + carry_rn)
                 prev = prev.where(~(first & prev.isna()), carry_cum)
             prev = prev.fillna(0.0)
-            last_key = tuple(kdf.iloc[-1])
+            last_key = _key(kdf.iloc[-1])
             carry_rn, carry_cum = int(rn.iloc[-1]), float(cum.iloc[-1])
             yield pdf.assign(_cp_b=part, _cp_lrn=rn.to_numpy(), _cp_lcum=cum.to_numpy(),
                              _cp_lprev=prev.to_numpy())
@@ -90,7 +114,7 @@ def ranked_running_sum(
         F.coalesce(F.sum("_cp_n").over(before), F.lit(0)).alias("_cp_on"),
         F.coalesce(F.sum("_cp_s").over(before), F.lit(0.0)).alias("_cp_os"),
     )
-    out = local.join(offsets, keys).select(
+    out = join_groups(local, offsets, keys).select(
         *df.columns,
         (F.col("_cp_on") + F.col("_cp_lrn")).alias("_rn"),
         (F.col("_cp_os") + F.col("_cp_lcum")).alias("_cum"),
@@ -153,14 +177,14 @@ def ranked_draws(
                 yield pdf.assign(_cp_b=part, _cp_last=pdf["_cp_c"])
                 continue
             kdf = pdf[gcols].reset_index(drop=True)
-            seg = (kdf != kdf.shift()).any(axis=1).cumsum()
+            seg = _segments(kdf)
             seen = pdf["_cp_c"].reset_index(drop=True).astype(object)
             seen = seen.where(pdf["_cp_kind"].reset_index(drop=True) == 1, None)
-            if carry is not None and tuple(kdf.iloc[0]) == carry_key and seen.iloc[0] is None:
+            if carry is not None and _key(kdf.iloc[0]) == carry_key and seen.iloc[0] is None:
                 seen.iloc[0] = carry  # the group continues from the previous batch
             last = seen.groupby(seg).ffill()
             tail = last[seg == seg.iloc[-1]].dropna()
-            carry_key = tuple(kdf.iloc[-1])
+            carry_key = _key(kdf.iloc[-1])
             carry = tail.iloc[-1] if len(tail) else None
             yield pdf.assign(_cp_b=part, _cp_last=last.to_numpy())
 
@@ -172,11 +196,13 @@ def ranked_draws(
     # by the start alone is exact and keeps these hash aggregates.
     last_in_bucket = stage.where(F.col("_cp_kind") == 1).groupBy(*keys).agg(
         F.max_by("_cp_c", "_cp_x").alias("_cp_bl"))
-    buckets = stage.select(*keys).distinct().join(last_in_bucket, keys, "left")
+    buckets = stage.select(*keys).distinct()
+    buckets = join_groups(buckets, last_in_bucket, keys, "left")
     before = Window.partitionBy(*gcols).orderBy("_cp_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = buckets.select(*keys, F.last("_cp_bl", ignorenulls=True).over(before).alias("_cp_carry"))
     first = cands.groupBy(*gcols).agg(F.min_by(F.col(cand), F.col(start)).alias("_cp_first"))
-    picked = stage.where(F.col("_cp_kind") == 0).join(carried, keys, "left").join(first, gcols, "left")
+    picked = join_groups(stage.where(F.col("_cp_kind") == 0), carried, keys, "left")
+    picked = join_groups(picked, first, gcols, "left")
     return picked.select(
         *gcols, F.col("_cp_d").alias("draw"),
         F.coalesce("_cp_last", "_cp_carry", "_cp_first").alias(cand),

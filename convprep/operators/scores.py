@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convprep.functions.random import uniform
+from convprep.operators.ranked import join_groups
 
 
 def _g(group) -> list[str]:
@@ -42,9 +43,9 @@ def softmax_by_group(
         gcols = _g(group)
         s = F.col(score) / F.lit(float(temperature))
         m = df.groupBy(*gcols).agg(F.max(s).alias("_cp_m"))
-        staged = df.join(m, gcols).withColumn("_cp_e", F.exp(s - F.col("_cp_m")))
+        staged = join_groups(df, m, gcols).withColumn("_cp_e", F.exp(s - F.col("_cp_m")))
         z = staged.groupBy(*gcols).agg(F.sum("_cp_e").alias("_cp_z"))
-        return staged.join(z, gcols).withColumn(out, F.col("_cp_e") / F.col("_cp_z")).select(*df.columns, out)
+        return join_groups(staged, z, gcols).withColumn(out, F.col("_cp_e") / F.col("_cp_z")).select(*df.columns, out)
     g = Window.partitionBy(*_g(group))
     s = F.col(score) / F.lit(float(temperature))
     e = F.exp(s - F.max(s).over(g))
@@ -77,7 +78,7 @@ def top_k_filter(
         gcols = _g(group)
         r = ranked_running_sum(df, gcols, cand, score)
         kth = r.where(F.col("_rn") == k).select(*gcols, F.col(score).alias("_cp_kth"))
-        kept = r.join(kth, gcols, "left").where(F.col("_cp_kth").isNull() | (F.col(score) >= F.col("_cp_kth")))
+        kept = join_groups(r, kth, gcols, "left").where(F.col("_cp_kth").isNull() | (F.col(score) >= F.col("_cp_kth")))
         return kept.select(*df.columns)
     w = Window.partitionBy(*_g(group)).orderBy(F.col(score).desc())
     return df.withColumn("_cp_r", F.rank().over(w)).where(F.col("_cp_r") <= k).drop("_cp_r")
@@ -156,11 +157,12 @@ def _top_p_hot(df: DataFrame, gcols, cand, score: str, p: float, min_keep: int,
 
     if weight is None:
         m = df.groupBy(*gcols).agg(F.max(score).alias("_cp_m"))
-        staged = df.join(m, gcols).withColumn("_cp_wt", F.exp(F.col(score) - F.col("_cp_m"))).drop("_cp_m")
+        staged = join_groups(df, m, gcols).withColumn("_cp_wt", F.exp(F.col(score) - F.col("_cp_m"))).drop("_cp_m")
     else:
         staged = df.withColumn("_cp_wt", F.col(weight).cast("double"))
     tot = staged.groupBy(*gcols).agg(F.sum("_cp_wt").alias("_cp_tot"))
-    r = ranked_running_sum(staged, gcols, cand, score, "_cp_wt").join(tot, gcols)
+    r = ranked_running_sum(staged, gcols, cand, score, "_cp_wt")
+    r = join_groups(r, tot, gcols)
     prev_share = F.try_divide(F.col("_prev"), F.col("_cp_tot"))
     keep = (F.col("_rn") == 1) | (prev_share <= F.lit(float(p)))
     if min_keep > 1:
@@ -176,7 +178,7 @@ def argmax_by_group(df: DataFrame, group, cand: str = "cand", score: str = "scor
     """
     gcols = _g(group)
     return df.groupBy(*gcols).agg(
-        F.max_by(F.col(cand), F.struct(F.col(score), -F.col(cand))).alias(out)
+        F.min_by(F.col(cand), F.struct(F.col(score).isNull().alias("n"), (-F.col(score)).alias("s"), F.col(cand))).alias(out)
     )
 
 
@@ -277,7 +279,7 @@ def cross_entropy(
     gcols = _g(group)
     if hot_groups:
         m = df.groupBy(*gcols).agg(F.max(score).alias("_cp_m"))
-        staged = df.join(m, gcols)
+        staged = join_groups(df, m, gcols)
     else:
         g = Window.partitionBy(*gcols)
         staged = df.withColumn("_cp_m", F.max(score).over(g))

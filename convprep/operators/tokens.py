@@ -188,6 +188,8 @@ def _safe_batch(top: list, cutoff: int) -> list:
     """
     chosen = [top[0]]
     for i in range(1, len(top)):
+        if chosen[-1][0] == chosen[-1][1]:
+            break  # a pair of equal symbols makes new pairs with itself
         a, b, c = top[i]
         if c <= cutoff:
             break

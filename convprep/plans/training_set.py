@@ -21,8 +21,8 @@ from convprep.operators.rows import (
     filter_sender,
     rename_text,
 )
-from convprep.operators.lookup import partition_rows
 from convprep.operators.tokens import encode, fit_vocabulary
+from convprep.sources.messages import file_order
 
 # The reference's sequence limits.
 MAX_LEN = 1023
@@ -63,10 +63,7 @@ def sender_training_set(
         order = ("file_name", "pos")
     picked = rename_text(select_sender_messages(messages, sender), "content")
     picked = drop_missing_text(picked, "text").select(*order, "text")
-    # Encode on the natural unique key, straight from the filtered scan: the
-    # fit branch, the token branch and the join-back all read one key
-    # exchange, and tokens are computed after it.
-    rows = partition_rows(picked, list(order))
+    rows = picked
     if vocab is None:
         vocab = fit_vocabulary(rows, [pretokenize("text", pattern)])
         # The fit wrote its stage; counting it is cheap and proves the bound
@@ -77,7 +74,8 @@ def sender_training_set(
     # Row ids over the narrow keys only (the index writes its bucketed
     # stage); joined onto rows already partitioned by these keys, so only
     # the narrow side moves.
-    ids = dense_index(picked.select(*order), list(order), out="row_id")
+    by = [*file_order("file_name"), *[c for c in order if c != "file_name"]] if "file_name" in order else list(order)
+    ids = dense_index(picked.select(*order), by, out="row_id")
     kept = drop_short_sequences(cut.join(ids, list(order)), "token_ids", min_len)
     out = kept.select("row_id", *order, "text", "token_ids", size_of("token_ids").alias("n_tokens"))
     return out, vocab

@@ -45,21 +45,18 @@ def recommended_conf(
     executors: int,
     cores_per_executor: int,
     target_partition_bytes: int = 1024**3,
-    max_partitions: int = 100_000,
 ) -> dict[str, str]:
     """Settings that keep tasks spill-friendly for an input of ``input_bytes``.
 
     Shuffle partitions are sized so one partition of the largest shuffle
     (token triples run about 2-3x the text) stays near
-    ``target_partition_bytes``, with at least two waves of tasks and at most
-    ``max_partitions`` (beyond that the map x reduce block count, not data,
-    dominates; sorts and aggregates spill instead). The dense index and the
+    ``target_partition_bytes``, with at least two waves of tasks. The dense index and the
     lookups take their bucket counts from this value. AQE coalesces small
     partitions and splits skewed join partitions at run time.
     """
     slots = max(1, executors * cores_per_executor)
     shuffle_bytes = 3 * input_bytes
-    partitions = min(max_partitions, max(2 * slots, -(-shuffle_bytes // target_partition_bytes)))
+    partitions = max(2 * slots, -(-shuffle_bytes // target_partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(int(partitions)),
         "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
@@ -76,8 +73,9 @@ def recommended_conf(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is; a private
-    temporary folder is set only when the session has none (local tests).
+    The folder named by ``spark.checkpoint.dir`` is used as is. Without one a
+    local session gets a private temporary folder (tests); on a cluster that
+    would be another disk on each machine, so the call fails.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -85,6 +83,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="convprep-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

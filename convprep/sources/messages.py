@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,9 +40,10 @@ def read_message_export(
     ``path`` is a file, folder or glob (many files = one scan, UNION ALL
     semantics, ragged keys become NULL). Adds ``file_name`` and ``pos`` (the
     index inside the file's ``messages`` list) as the order columns.
-    ``multi_line`` files are read whole, one task per file.
+    ``multi_line`` files are read whole, one task per file. A file that does
+    not parse stops the run.
     """
-    reader = spark.read.schema(export_schema(message_fields)).option("multiLine", multi_line)
+    reader = spark.read.schema(export_schema(message_fields)).option("multiLine", multi_line).option("mode", "FAILFAST")
     raw = reader.json(path if isinstance(path, str) else list(path))
     names = [f.name for f in message_fields.fields]
     return raw.select(
@@ -51,6 +52,13 @@ def read_message_export(
     ).select("file_name", F.col("pos").cast("bigint").alias("pos"), *[F.col(f"m.{n}").alias(n) for n in names])
 
 
+def file_order(file_name: str = "file_name") -> list[Column]:
+    """Order of numbered files: the last number of the name without folder and
+    extension (files without one first), then the name."""
+    stem = F.regexp_extract(F.col(file_name), r"([^/]*?)(?:\.[^./]*)*$", 1)
+    return [F.regexp_extract(stem, r"(\d{1,18})\D*$", 1).try_cast("bigint").asc_nulls_first(), F.col(file_name).asc()]
+
+
 def union_exports(dfs: Sequence[DataFrame]) -> DataFrame:
     """UNION ALL by name of frames with ragged columns."""
     out = dfs[0]
@@ -62,7 +70,7 @@ def union_exports(dfs: Sequence[DataFrame]) -> DataFrame:
 def read_records(spark: SparkSession, path: str, text_field: str, schema=None, multi_line: bool = False) -> DataFrame:
     """S3: JSON records (JSON lines, or one JSON array per file with
     ``multi_line``), text field renamed to ``text``."""
-    reader = spark.read.option("multiLine", multi_line)
+    reader = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
     return rename_text(reader.json(path), text_field)
@@ -73,7 +81,7 @@ def read_keyed_records(spark: SparkSession, path: str, record_schema: str, text_
     becomes ``id``. ``record_schema`` is a DDL struct type string such as
     ``'struct<text:string,kind:string>'``. Parallelism is per file."""
     text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.from_json("value", f"map<string,{record_schema}>").alias("m"))
+    parsed = text.select(F.from_json("value", f"map<string,{record_schema}>", {"mode": "FAILFAST"}).alias("m"))
     rows = parsed.select(F.explode("m").alias("id", "r")).select("id", "r.*")
     return rename_text(rows, text_field)
 
@@ -124,7 +132,7 @@ def load_comments(
     df = drop_missing_text(select_source(spark, source, text_field, kind, **kw), "text")
     if order is None:
         if {"file_name", "pos"} <= set(df.columns):
-            order = ["file_name", "pos"]
+            order = [*file_order("file_name"), "pos"]
         elif "id" in df.columns:
             order = ["id"]
         else:

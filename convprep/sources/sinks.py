@@ -24,7 +24,8 @@ def _json_arrays(df: DataFrame) -> DataFrame:
 def write_csv_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header and ``"`` escaping; lists written as JSON text;
     no index column."""
-    _json_arrays(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    _json_arrays(df).write.mode(mode).options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_per_sender(df: DataFrame, path: str, sender_col: str = "sender_name", mode: str = "overwrite") -> None:

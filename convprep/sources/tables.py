@@ -47,6 +47,8 @@ def chunk_text(
     """
     if size <= 0 or step <= 0:
         raise ValueError("size and step must be positive")
+    if step > size:
+        raise ValueError("step must not exceed size: the tokens between windows would be lost")
     toks = df.select(key, pretokenize(text_col, pattern).alias("_cp_t")).where(F.size("_cp_t") > 0)
     starts = F.sequence(F.lit(0), F.size("_cp_t") - 1, F.lit(step))
     windows = F.transform(starts, lambda i: F.slice("_cp_t", i + 1, size))

@@ -2,8 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
+from convprep.plans.catalog import QUERIES as LIBRARY
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas")
 PYTHON_OK = {"udf_tokenize", "batch_summaries", "subword_pieces", "subword_encode", "supplier_nucleus_hot",
@@ -17,16 +17,16 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(LIBRARY) - SKIP))
 def test_no_cartesian_and_python_only_where_declared(spark, name):
-    plan = _plan(entry.queries()[name](spark, SF_SMALL))
+    plan = _plan(LIBRARY[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in PYTHON_OK:
         assert not any(n in plan for n in PYTHON_NODES), name
 
 
 def test_parquet_scan_prunes_and_pushes(spark):
-    df = entry.queries()["sender_messages"](spark, SF_SMALL)
+    df = LIBRARY["sender_messages"](spark, SF_SMALL)
     plan = _plan(df)
     assert "ReadSchema: struct<conv_id:bigint,turn:bigint,role:string,text:string>" in plan
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,assistant)" in plan
@@ -49,11 +49,11 @@ def test_single_partition_exchange_only_over_bucket_sizes(spark):
             assert "HashAggregate" in below, below
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(LIBRARY) - SKIP))
 def test_single_partition_steps_are_over_aggregates(spark, name):
     """No query funnels rows into one task: every single-partition exchange
     reads an aggregate's output (bucket sizes, a global count)."""
-    plan = _plan(entry.queries()[name](spark, SF_SMALL))
+    plan = _plan(LIBRARY[name](spark, SF_SMALL))
     lines = plan.splitlines()
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:

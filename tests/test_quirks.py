@@ -298,7 +298,7 @@ def test_recommended_conf_bounds():
     from convprep.session import recommended_conf
 
     big = recommended_conf(100 * 2**40, executors=1000, cores_per_executor=8)
-    assert big["spark.sql.shuffle.partitions"] == "100000"  # capped
+    assert big["spark.sql.shuffle.partitions"] == str(3 * 100 * 2**10)  # 1 GiB each, no cap
     small = recommended_conf(2**30, executors=2, cores_per_executor=4)
     assert int(small["spark.sql.shuffle.partitions"]) >= 16  # at least two waves
     assert big["spark.cleaner.referenceTracking.cleanCheckpoints"] == "true"

@@ -68,8 +68,10 @@ def test_pieces_concatenate_back_to_pretokens(spark):
     assert joined.where(F.col("a") != F.col("b")).count() == 0
 
 
-def test_separator_char_is_removed_from_input():
-    assert re.escape("\u0001") is not None
+def test_batched_merges_of_equal_symbols_equal_one_by_one(spark):
+    df = spark.createDataFrame([("aaaa",)] * 100 + [("bc",)] * 50, "text string")
+    one, many = ([tuple(r) for r in fit_subword_merges(df, "text", n_merges=3, batch=b).orderBy("rank").collect()] for b in (1, 32))
+    assert one == many and [r[3] for r in one] == ["aa", "aaaa", "bc"]
 
 
 def test_rank_first_equals_sequential_replay():
