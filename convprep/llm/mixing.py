@@ -21,6 +21,7 @@ from convprep.llm.common import words, written
 
 CAP = 3
 BUCKETS = 4096
+SALTS = 64
 SOURCE_WEIGHTS = (5, 2, 1)
 
 
@@ -113,20 +114,28 @@ def mixing_rules(narrow: DataFrame) -> DataFrame:
         "b.source", "border", "cut",
         (F.col("asked") - F.coalesce("cut.upto", "before")).alias("short"))
     # Beyond the cut, the document that comes nearest to what is short.
-    beyond = ranked.alias("r").join(cut.alias("c"), F.expr("r.source <=> c.source")).where(
-        F.col("r.q").isNotNull() & ~_taken()).withColumn("miss", F.abs(F.col("short") - F.col("size")))
-    extra = beyond.where("miss < short").groupBy("r.source").agg(
+    beyond = _salted_join(ranked.where("q is not null"), cut, ["source"]).where(~_taken()).withColumn(
+        "miss", F.abs(F.col("short") - F.col("size")))
+    extra = beyond.where("miss < short").groupBy("source").agg(
         F.min(F.struct("miss", *_RANK)).alias("extra"))
     rules = cells.alias("s").join(cut.drop("short").alias("c"), F.expr("s.source <=> c.source"), "left").join(
         extra.alias("x"), F.expr("s.source <=> x.source"), "left")
     return written(rules.select("s.*", "border", "cut", "extra"), "mixing-rules")
 
 
+def _salted_join(df: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Join the one row that ``few`` has for ``keys`` (nulls are equal). Its rows are
+    repeated for each salt, so the documents of a hot source spread over as many tasks."""
+    salt = F.pmod(F.xxhash64("key", "size", "u"), F.lit(SALTS)).cast("int")
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = " and ".join(f"d.{k} <=> k.{k}" for k in [*keys, "_salt"])
+    return df.withColumn("_salt", salt).alias("d").join(spread.alias("k"), F.expr(on)).select(
+        *[f"d.{c}" for c in df.columns], *[f"k.{c}" for c in few.columns if c not in keys])
+
+
 def _with_cells(df: DataFrame, cells: DataFrame) -> DataFrame:
-    """Join the rows of the cells by source and tier (AQE splits a hot source)."""
-    own = [c for c in cells.columns if c not in ("source", "tier")]
-    return df.alias("d").join(cells.alias("k"), F.expr("d.source <=> k.source and d.tier <=> k.tier")).select(
-        "d.*", *[f"k.{c}" for c in own])
+    """Join the rows of the cells by source and tier."""
+    return _salted_join(df, cells, ["source", "tier"])
 
 
 def _taken() -> Column:
