@@ -67,7 +67,7 @@ def take_last(arr, n: int | None = None) -> Column:
     """T5: ``pop()`` n times: the last n elements, last first; all when
     ``n`` is None; ``n <= 0`` gives an empty list; null list = empty."""
     c = F.coalesce(_col(arr), F.array().cast("array<string>"))
-    rev = F.reverse(c)
+    rev = reverse_array(c)
     if n is None:
         return rev
     return F.slice(rev, 1, max(int(n), 0))

@@ -6,8 +6,8 @@ the order key (Spark samples the key, so a hot leading value is split
 across buckets as long as the full key is unique), each bucket is sorted
 locally and numbered by ``monotonically_increasing_id``, and that stage is
 written once to the shared checkpoint folder. The per-bucket sizes (one row
-per bucket and group, a bounded table) give running offsets, and a broadcast
-join of those offsets makes the numbers global. No step funnels the table
+per bucket and group) give running offsets, and a join of those offsets makes
+the numbers global; it is a broadcast join while their number allows one. No step funnels the table
 through one task. Pass narrow frames (keys and what must travel with them):
 the bucketed stage is written.
 
@@ -17,11 +17,14 @@ The order key must be unique: ties would be numbered in arbitrary order.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convprep.functions.random import md5_key
+from convprep.operators.limits import DEFAULT_MAX_BROADCAST_ROWS
 from convprep.session import cut_lineage
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row
@@ -44,8 +47,10 @@ def dense_index(
     """Number rows 0..n-1 in ``order`` (restarting per ``partition_by``).
 
     ``order`` holds column names (ascending) or sort expressions such as
-    ``F.desc("n")``. ``partition_by`` is meant for few groups (epochs): the
-    offset table has at most ``buckets + groups`` rows and is broadcast.
+    ``F.desc("n")``. The offset table has at most ``buckets + groups`` rows.
+    Without ``partition_by`` that is the number of buckets, and it is
+    broadcast; with it the table is written and counted, and broadcast up to
+    :data:`DEFAULT_MAX_BROADCAST_ROWS` rows. Null groups are numbered like others.
     """
     parts = list(partition_by)
     sort = [F.col(p).asc() for p in parts] + _sort_exprs(order)
@@ -72,10 +77,14 @@ def dense_index(
     )
     before = Window.partitionBy(*parts).orderBy("_cp_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_cp_first", F.coalesce(F.sum("_cp_n").over(before), F.lit(0)).alias("_cp_off"))
-    joined = local.join(F.broadcast(offsets), keys)
-    return joined.withColumn(
-        out, (F.col("_cp_off") + F.col("_cp_local") - F.col("_cp_first")).cast("bigint")
-    ).drop("_cp_b", "_cp_local", "_cp_first", "_cp_off")
+    if parts:
+        offsets = cut_lineage(offsets)
+    if not parts or offsets.count() <= DEFAULT_MAX_BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    on = reduce(and_, [F.col(f"l.`{k}`").eqNullSafe(F.col(f"o.`{k}`")) for k in keys])
+    number = (F.col("o._cp_off") + F.col("l._cp_local") - F.col("o._cp_first")).cast("bigint")
+    return local.alias("l").join(offsets.alias("o"), on).select(
+        *[F.col(f"l.`{c}`") for c in df.columns if c != out], number.alias(out))
 
 
 def shuffle_key(seed, epoch, row_id: str = "row_id") -> Column:

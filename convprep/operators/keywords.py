@@ -8,12 +8,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convprep.functions.arrays import map_lookup_or_self, take_last
+from convprep.functions.arrays import dedupe, map_lookup_or_self, take_last, topic_field
 from convprep.functions.text import strip_sentiment
 from convprep.operators.lookup import SELF, lookup_arrays
 
-# A synonym dict up to this many entries is inlined as a map literal; larger
-# ones (or DataFrames) go through a join.
+# A synonym dict up to this many entries is inlined as a map literal, which
+# spares a shuffle; larger ones (or DataFrames) go through a join. Both give
+# the same rows.
 MAX_INLINE_SYNONYMS = 10_000
 
 TOPIC_LINK_TYPE = (
@@ -28,7 +29,7 @@ def non_empty_elements(links, field: str) -> Column:
     Null link lists count as empty.
     """
     c = F.col(links) if isinstance(links, str) else links
-    picked = F.transform(F.filter(c, lambda x: F.length(x[field]) > 0), lambda x: x[field])
+    picked = topic_field(F.filter(c, lambda x: F.length(x[field]) > 0), field)
     return F.coalesce(picked, F.array().cast("array<string>"))
 
 
@@ -50,9 +51,9 @@ def prepare_keywords(
     types = non_empty_elements(topic_link_field, "type")
     if not sentiment:
         types = F.transform(types, lambda t: strip_sentiment(t))
-    keywords = F.array_distinct(types)
+    keywords = dedupe(types)
     if cluster:
-        keywords = F.concat(keywords, F.array_distinct(non_empty_elements(topic_link_field, "cluster")))
+        keywords = F.concat(keywords, dedupe(non_empty_elements(topic_link_field, "cluster")))
     return df.select(
         F.col(id_field).alias("id"), F.col(text_field).alias("text"), keywords.alias("keywords")
     )

@@ -29,16 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Broadcast bounds for tables whose row count the caller proved. Scalar
-# lookup rows (a token and an id) take tens of bytes in the hashed relation,
-# so 2M rows stay near 100 MB; wide rows (vectors) use the byte budget.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-
-
-def max_broadcast_rows_for(row_bytes: int, budget: int = DEFAULT_MAX_BROADCAST_BYTES) -> int:
-    """Row bound for broadcasting rows of about ``row_bytes`` each."""
-    return max(1, budget // max(1, row_bytes))
+from convprep.operators.limits import DEFAULT_MAX_BROADCAST_ROWS
 
 SELF = object()  # default marker: a miss keeps the looked-up element
 

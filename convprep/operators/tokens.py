@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from convprep.functions.text import pretokenize
 from convprep.operators.index import dense_index
-from convprep.operators.lookup import DEFAULT_MAX_BROADCAST_ROWS, lookup_arrays
+from convprep.operators.limits import DEFAULT_MAX_BROADCAST_ROWS
+from convprep.operators.lookup import lookup_arrays, row_id
 from convprep.session import cut_lineage
 
 UNK_ID = -1
@@ -143,7 +144,7 @@ def tokenize_dataset(
 
 # ---------------------------------------------------------------- sub-words
 
-_SEP = "\u0001"  # symbol separator inside a word; stripped from input text
+_SEP = "\u0001"  # symbol separator inside a word
 
 
 def _symbols(word_col) -> F.Column:
@@ -229,16 +230,18 @@ def fit_subword_merges(
     pairs subtracted and new pairs added. ``batch=1`` is one merge per round.
     Word and pair tables are cached between rounds and written to the shared
     checkpoint folder every ``checkpoint_every`` rounds, which bounds the
-    lineage an executor loss can replay. Returns ``(rank, left, right,
-    merged, n)``.
+    lineage an executor loss can replay. The character U+0001 stands between
+    symbols: where a text has it, it never merges with its neighbours. Returns
+    ``(rank, left, right, merged, n)``.
     """
     from pyspark import StorageLevel
 
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = (
-        df.select(F.explode_outer(pretokenize(F.regexp_replace(col, _SEP, ""), pattern)).alias("w"))
-        .where(F.col("w").isNotNull())
+        df.select(F.explode_outer(pretokenize(col, pattern)).alias("w"))
+        .select(F.explode_outer(F.split("w", _SEP)).alias("w"))
+        .where(F.length("w") > 0)
         .groupBy("w").agg(F.count(F.lit(1)).alias("n"))
         .select(_symbols(F.col("w")).alias("sym"), "n")
     )
@@ -344,15 +347,16 @@ def subword_pieces(
     Only the distinct pre-tokens go through the merge replay
     (``mapInPandas``; the merge list is bounded by ``n_merges`` and shipped
     once per task); pieces are joined back to every occurrence and
-    re-collected per key in order.
+    re-collected per row in order. Rows are told apart by a hash of all their
+    columns, so ``key`` may repeat or be null.
     """
     from convprep.session import ship_package
 
     ship_package(df.sparkSession)  # the replay runs in executor Python workers
     # The merge list is bounded by n_merges; it ships to tasks with the closure.
     ranks = merge_ranks([(r["left"], r["right"]) for r in merges.orderBy("rank").collect()])
-    key = list(key)
-    exploded = df.select(*key, F.posexplode(pretokenize(F.regexp_replace(col, _SEP, ""), pattern)).alias("p", "w"))
+    base = df.withColumn("_cp_row", row_id(df))
+    exploded = base.select("_cp_row", F.posexplode(pretokenize(col, pattern)).alias("p", "w"))
     distinct_words = exploded.select("w").distinct()
 
     def _replay(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -361,11 +365,11 @@ def subword_pieces(
 
     pieces = distinct_words.mapInPandas(_replay, "w string, pieces array<string>")
     joined = exploded.join(pieces, "w")
-    grouped = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("p", "pieces"))).alias("_cp"))
-    per_key = grouped.select(*key, F.flatten(F.transform("_cp", lambda x: x["pieces"])).alias(out))
-    return df.join(per_key, key, "left").withColumn(
+    grouped = joined.groupBy("_cp_row").agg(F.array_sort(F.collect_set(F.struct("p", "pieces"))).alias("_cp"))
+    per_row = grouped.select("_cp_row", F.flatten(F.transform("_cp", lambda x: x["pieces"])).alias(out))
+    return base.join(per_row, "_cp_row", "left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast("array<string>"))
-    )
+    ).drop("_cp_row")
 
 
 def encode_subwords(

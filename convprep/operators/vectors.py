@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convprep.functions.random import uniform
-from convprep.operators.lookup import max_broadcast_rows_for
+from convprep.operators.limits import max_broadcast_rows_for
 
 
 def _vector_rows_bound(dim: int) -> int:

@@ -822,7 +822,7 @@ left join a on a.row_id = d.row_id and a.dim = d.dim""",
             ("m", "select conv_id, turn, text, row_number() over (order by conv_id, turn) - 1 as row_id from conversations"),
             ("t", "select row_id, unnest(regexp_extract_all(text, '(\\S+)', 1)) as tok from m"),
             ("v", "select tok, row_number() over (order by n desc, tok) - 1 as id from (select tok, count(*) as n from t group by tok)"),
-            ("f", "select t.row_id, e.embedding from t join v using (tok) join embeddings e on e.vec_id = v.id"),
+            ("f", "select t.row_id, e.embedding from t join v using (tok) join embeddings e on e.vec_id = v.id % (select count(*) from embeddings)"),
             ("a", """select row_id, i - 1 as dim, avg(embedding[i]::double) as value, count(*) as n
                from (select row_id, embedding, unnest(range(1, len(embedding) + 1)) as i from f) group by row_id, i"""),
         ),
@@ -834,11 +834,16 @@ def q_control_vectors(spark, sf_dir):
 
     enc = _conversation_ids(spark, sf_dir)
     emb = fx.load(spark, sf_dir, "embeddings")
-    vec = control_vectors(enc, "row_id", emb, ids="ids", dim=64, seed=_CTRL_SEED, emb_key="vec_id")
+    vec = control_vectors(_on_vectors(enc, emb), "row_id", emb, ids="ids", dim=64, seed=_CTRL_SEED, emb_key="vec_id")
     return vec.select("row_id", "n_vectors", F.posexplode("vector").alias("dim", "value")).select(
         "row_id", "n_vectors", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
 
 
+def _on_vectors(enc, emb):
+    """Token ids as ids of the given vectors: id modulo their number, so every token has one."""
+    return enc.withColumn("ids", F.transform("ids", lambda i: (i % emb.count()).cast("int")))
+
+
 def _conversation_ids(spark, sf_dir):
     """Messages with dense row ids, encoded with a vocabulary fitted on them."""
     from convprep.functions.text import pretokenize
@@ -864,7 +869,7 @@ from m left join a using (row_id)""",
                from (select row_id, w, unnest(range(1, len(w) + 1)) as i
                      from (select row_id, regexp_extract_all(text, '(\\S+)', 1) as w from m))"""),
             ("v", "select tok, row_number() over (order by n desc, tok) - 1 as id from (select tok, count(*) as n from t group by tok)"),
-            ("f", "select t.row_id, t.pos, e.embedding from t join v using (tok) join embeddings e on e.vec_id = v.id"),
+            ("f", "select t.row_id, t.pos, e.embedding from t join v using (tok) join embeddings e on e.vec_id = v.id % (select count(*) from embeddings)"),
             ("a", """select row_id, count(*) as n, avg(embedding[1]::double) as first_mean,
                       arg_max(embedding[1]::double, pos) as last_first from f group by row_id"""),
         ),
@@ -875,10 +880,10 @@ def q_control_prefixed_inputs(spark, sf_dir):
     from convprep.operators.lookup import lookup_arrays
     from convprep.operators.vectors import control_vectors, prefix_control
 
-    enc = _conversation_ids(spark, sf_dir)
     emb = fx.load(spark, sf_dir, "embeddings")
+    enc = _on_vectors(_conversation_ids(spark, sf_dir), emb)
     ctrl = control_vectors(enc, "row_id", emb, ids="ids", dim=64, seed=_CTRL_SEED, emb_key="vec_id")
-    # J2 per position: the token vectors in order, ids without a vector dropped.
+    # J2 per position: the token vectors in order.
     tokvecs = lookup_arrays(enc, ["row_id"], ["ids"], ["vectors"], emb, "vec_id", "embedding", "array<double>",
                             inner=True, key_type="int", join_back=False)
     inputs = prefix_control(ctrl.join(tokvecs, "row_id"), "vector", "vectors", "inputs")
@@ -1322,3 +1327,200 @@ def q_supplier_draws_hot(spark, sf_dir):
     # may hold a large share of all lines, so the draw runs over range partitions.
     return sample_by_group(li, "l_suppkey", "line", "l_extendedprice", seed=17, draws=5,
                            weight="l_extendedprice", out="line", hot_groups=True)
+
+
+# ------------------- rows with null and repeated keys: J1, J3 by row, not by key
+
+
+@register(
+    "encode_repeated_ids",
+    """with m as (select row_number() over () as r, case when turn % 3 = 0 then null else conv_id end as id, text
+  from conversations),
+t as (select r, i, w[i] as tok from (
+  select r, w, unnest(range(1, len(w) + 1)) as i from (
+    select r, regexp_extract_all(text, '(\\S+)', 1) as w from m))),
+v as (select tok, row_number() over (order by n desc, tok) - 1 as vid from (select tok, count(*) as n from t group by tok)),
+s as (select r, list(vid order by i) as ids from t join v using (tok) group by r)
+select id, text, coalesce(array_to_string(s.ids, ','), '') as ids from m left join s using (r)""",
+)
+def q_encode_repeated_ids(spark, sf_dir):
+    from convprep.functions.text import pretokenize
+    from convprep.operators.tokens import encode, fit_vocabulary
+
+    conv = fx.load(spark, sf_dir, "conversations").select(
+        F.when(F.col("turn") % 3 != 0, F.col("conv_id")).alias("id"), "text")
+    vocab = fit_vocabulary(conv, [pretokenize("text")])
+    enc = encode(conv, ["id"], [pretokenize("text")], ["ids"], vocab)
+    return enc.select("id", "text", F.coalesce(ids_text("ids"), F.lit("")).alias("ids"))
+
+
+@register(
+    "translated_repeated_ids",
+    with_views(
+        f"""select case when id % 3 = 0 then null else id % 50 end as id,
+       array_to_string({_KW_DEDUPE.format(l="r")}, '|') as used_keywords
+from (select id, list_transform(list_reverse(k), lambda x: coalesce({_SYN_MAP}[x], x)) as r from k)""",
+        "v_topic_links",
+        extra=_KEYWORD_CTES,
+    ),
+)
+def q_translated_repeated_ids(spark, sf_dir):
+    from convprep.operators.keywords import translate_keywords
+
+    kw = _keywords(spark, sf_dir).withColumn("id", F.when(F.col("id") % 3 != 0, F.col("id") % 50))
+    out = translate_keywords(kw, fx.synonyms_view(spark), None)
+    return out.select("id", F.array_join("used_keywords", "|").alias("used_keywords"))
+
+
+# --------------------------------- frames, registry, lookups: S5, P2, P10, C4
+
+
+@register("registered_documents", "select doc_id, text, source, n_chars from documents")
+def q_registered_documents(spark, sf_dir):
+    from convprep.operators.rows import drop_columns
+    from convprep.sources.messages import from_table
+    from convprep.sources.sinks import dataset, register_dataset
+
+    docs = from_table(fx.load(spark, sf_dir, "documents").withColumnRenamed("text", "body"), "body")  # S5
+    key = register_dataset(drop_columns(docs, ["lang"]))  # P2, C4
+    return dataset(spark, key).select("doc_id", "text", "source", "n_chars")
+
+
+@register(
+    "row_lookup",
+    """select row_id, conv_id, turn, text from (
+  select conv_id, turn, text, row_number() over (order by conv_id, turn) - 1 as row_id from conversations)
+where row_id = 17""",
+)
+def q_row_lookup(spark, sf_dir):
+    from convprep.operators.index import dense_index
+    from convprep.operators.rows import lookup_row
+
+    conv = fx.load(spark, sf_dir, "conversations")
+    found = lookup_row(dense_index(conv.select("conv_id", "turn"), ["conv_id", "turn"]), 17)
+    return found.join(conv, ["conv_id", "turn"]).select("row_id", "conv_id", "turn", "text")
+
+
+# ------------------------------------------------ list helpers: A3, H6, H14, H15
+
+
+@register(
+    "distinct_words",
+    """select doc_id, cast(len(w) as bigint) as n_words, cast(len(list_distinct(w)) as bigint) as n_distinct
+from (select doc_id, regexp_extract_all(text, '(\\S+)', 1) as w from documents)""",
+)
+def q_distinct_words(spark, sf_dir):
+    from convprep.functions.arrays import dedupe, size_of
+    from convprep.functions.text import pretokenize
+
+    docs = fx.load(spark, sf_dir, "documents").select("doc_id", pretokenize("text").alias("w"))
+    return docs.select("doc_id", size_of("w").alias("n_words"), size_of(dedupe("w")).alias("n_distinct"))
+
+
+@register(
+    "topic_fields",
+    with_views(
+        """select doc_id, array_to_string(list_transform(topic_links, lambda x: x.phrase), '|') as phrases,
+       array_to_string(list_reverse(list_transform(topic_links, lambda x: x.type)), '|') as types_reversed
+from v_topic_links""",
+        "v_topic_links",
+    ),
+)
+def q_topic_fields(spark, sf_dir):
+    from convprep.functions.arrays import reverse_array, topic_field
+
+    links = _keyword_source(spark, sf_dir)
+    return links.select("doc_id", F.array_join(topic_field("topic_links", "phrase"), "|").alias("phrases"),
+                        F.array_join(reverse_array(topic_field("topic_links", "type")), "|").alias("types_reversed"))
+
+
+# ------------------------------------------------------ vectors: J2 and A4 alone
+
+
+@register(
+    "mean_embeddings",
+    """select source, cast(n as bigint) as n_vectors, cast(i - 1 as bigint) as dim, round(value, 6) as value from (
+  select source, i, avg(embedding[i]::double) as value, count(*) as n from (
+    select d.source, e.embedding, unnest(range(1, len(e.embedding) + 1)) as i
+    from documents d join embeddings e on e.vec_id = d.doc_id % (select count(*) from embeddings))
+  group by source, i)""",
+)
+def q_mean_embeddings(spark, sf_dir):
+    from convprep.operators.vectors import lookup_embeddings, mean_vector
+
+    emb = fx.load(spark, sf_dir, "embeddings")
+    ids = fx.load(spark, sf_dir, "documents").select("source", (F.col("doc_id") % emb.count()).alias("token_id"))
+    found = lookup_embeddings(ids, emb, emb_key="vec_id")
+    mean = mean_vector(found.withColumn("embedding", F.col("embedding").cast("array<double>")), ["source"])
+    return mean.select("source", "n_vectors", F.posexplode("vector").alias("dim", "value")).select(
+        "source", "n_vectors", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
+
+
+# --------------------------------------- files: S2, S7, S11; corpus shards: A6
+
+
+@register(
+    "message_text_csv",
+    with_views(
+        """select conv_id, turn, '  ' || content || chr(9) || '"q", \\ ' || chr(10) || 'end ' as text
+from v_messages where content is not null""",
+        "v_messages",
+    ),
+)
+def q_message_text_csv(spark, sf_dir):
+    from convprep.session import scratch_path
+    from convprep.sources.sinks import write_csv_table
+    from convprep.sources.tables import read_csv_table
+
+    msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations")).dropna(subset=["content"])
+    path = scratch_path(spark, "text-csv")
+    write_csv_table(msgs.select("conv_id", "turn", F.concat(
+        F.lit("  "), "content", F.lit('\t"q", \\ \nend ')).alias("text")), path)
+    return read_csv_table(spark, path, schema="conv_id bigint, turn bigint, text string")
+
+
+@register(
+    "metric_history",
+    "select cast(turn as bigint) as epoch, cast(count(*) as bigint) as n, round(avg(length(text)), 6) as mean_chars "
+    "from conversations group by turn",
+)
+def q_metric_history(spark, sf_dir):
+    from convprep.session import scratch_path
+    from convprep.sources.sinks import write_metric_history
+    from convprep.sources.tables import read_csv_table
+
+    conv = fx.load(spark, sf_dir, "conversations")
+    path = scratch_path(spark, "metrics")
+    write_metric_history(conv.groupBy(F.col("turn").alias("epoch")).agg(
+        F.count("*").alias("n"), F.round(F.avg(F.length("text")), 6).alias("mean_chars")), path)
+    return read_csv_table(spark, path, schema="epoch bigint, n bigint, mean_chars double")
+
+
+@register("conversation_corpus_shards", ORACLE["conversation_corpus"])
+def q_conversation_corpus_shards(spark, sf_dir):
+    from convprep.operators.corpus import concat_corpus_shards
+
+    shards = concat_corpus_shards(fx.load(spark, sf_dir, "conversations"), "text", ["turn"], ["conv_id"])
+    # A conversation is small enough to be put together again.
+    whole = shards.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("shard", "corpus"))), lambda x: x["corpus"]), "")
+        .alias("corpus"))
+    return whole.select("conv_id", F.md5("corpus").alias("digest"), F.length("corpus").cast("bigint").alias("n_chars"))
+
+
+# ------------------------------------------------- softmax over hot groups
+
+
+@register(
+    "softmax_by_label_hot",
+    with_views(
+        """select vec_id, tok, round(exp(l - m) / sum(exp(l - m)) over (partition by label), 9) as p
+from (select *, max(l) over (partition by label) as m from v_logits)""",
+        "v_logits",
+    ),
+)
+def q_softmax_by_label_hot(spark, sf_dir):
+    from convprep.operators.scores import softmax_by_group
+
+    out = softmax_by_group(_logits(spark, sf_dir), "label", "l", hot_groups=True)
+    return out.select("vec_id", "tok", F.round("p", 9).alias("p"))

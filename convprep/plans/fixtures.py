@@ -32,8 +32,9 @@ def synonyms_view(spark: SparkSession) -> DataFrame:
 
 
 def topic_links_view(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """v_topic_links: three links per labelled document (one with an empty
-    cluster, one with an empty type); ``keep`` carries document columns."""
+    """v_topic_links: every document, with three links if it is labelled (one
+    with an empty cluster, one with an empty type) and none otherwise; ``keep``
+    carries document columns."""
     def link(cluster, type_):
         return F.struct(
             cluster.alias("cluster"), F.col("lang").alias("phrase"), F.col("lang").alias("phrase_synonym"),
@@ -42,9 +43,10 @@ def topic_links_view(documents: DataFrame, labels: DataFrame, keep: tuple[str, .
 
     q = F.concat(F.lit("quality"), F.when(F.col("quality") == 1, "+").otherwise("-"))
     t = F.concat(F.lit("toxic"), F.when(F.col("toxic") == 1, "+").otherwise("-"))
-    return documents.join(labels, "doc_id").select(
-        "doc_id",
-        F.array(link(F.col("source"), q), link(F.lit(""), t), link(F.col("source"), F.lit(""))).alias("topic_links"),
+    links = F.array(link(F.col("source"), q), link(F.lit(""), t), link(F.col("source"), F.lit("")))
+    rows = documents.join(labels.withColumn("_labelled", F.lit(True)), "doc_id", "left")
+    return rows.select(
+        "doc_id", F.when(F.col("_labelled"), links).otherwise(F.filter(links, lambda x: F.lit(False))).alias("topic_links"),
         *keep,
     )
 
@@ -75,14 +77,14 @@ from conversations""",
     "v_synonyms": """
 select * from (values ('quality', 'good'), ('toxic', 'harmful')) as t(keyword, translation)""",
     "v_topic_links": """
-select d.doc_id, [
+select d.doc_id, case when l.doc_id is null then [] else [
   {'cluster': d.source, 'phrase': d.lang, 'phrase_synonym': d.lang, 'disease': '',
    'type': 'quality' || case when l.quality = 1 then '+' else '-' end},
   {'cluster': '', 'phrase': d.lang, 'phrase_synonym': d.lang, 'disease': '',
    'type': 'toxic' || case when l.toxic = 1 then '+' else '-' end},
   {'cluster': d.source, 'phrase': d.lang, 'phrase_synonym': d.lang, 'disease': '',
-   'type': ''}] as topic_links
-from documents d join labels l on d.doc_id = l.doc_id""",
+   'type': ''}] end as topic_links
+from documents d left join labels l on d.doc_id = l.doc_id""",
     "v_tokens": """
 select doc_id, i - 1 as pos, w[i] as tok
 from (select doc_id, w, unnest(range(1, len(w) + 1)) as i

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from convprep.operators.examples import stored_sequences
-from convprep.operators.keywords import translate_keywords
+from convprep.operators.index import dense_index
+from convprep.operators.keywords import prepare_keywords, translate_keywords
 from convprep.operators.scores import argmax_by_group, cross_entropy, softmax_by_group, top_k_filter, top_p_filter
-from convprep.operators.tokens import encode, fit_vocabulary, pretokenize
+from convprep.operators.tokens import encode, fit_subword_merges, fit_vocabulary, pretokenize, subword_pieces
+from convprep.plans.fixtures import topic_links_view
 from convprep.sources.messages import load_comments, read_keyed_records, read_message_export, read_records
 from convprep.sources.sinks import write_csv_table
 from convprep.sources.tables import chunk_text, read_csv_table
@@ -84,3 +86,27 @@ def test_broken_input_stops_the_run(spark, tmp_dir):
         stored_sequences(spark.createDataFrame([(1, "[1, 2]"), (2, "[1, x")], "id long, token_ids string")).collect()
     with pytest.raises(ValueError):
         chunk_text(spark.createDataFrame([(1, "a b")], "id long, text string"), "id", size=2, step=3)
+
+
+def test_subword_pieces_give_the_text_back(spark):
+    rows = [(None, "ab\u0001cd ab"), (1, "ab ab"), (1, "cd"), (2, None), (2, "ab\u0001cd ab")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    merges = fit_subword_merges(df, n_merges=4)
+    assert all("\u0001" not in r["merged"] for r in merges.collect())
+    out = subword_pieces(df, ["id"], merges).collect()
+    key = str
+    assert sorted(((r["id"], "".join(r["pieces"])) for r in out), key=key) == sorted(
+        ((i, t or "") for i, t in rows), key=key)
+
+
+def test_dense_index_numbers_null_groups(spark):
+    df = spark.createDataFrame([(None, i) for i in range(5)] + [(g, i) for g in range(40) for i in range(3)], "g long, i long")
+    got = sorted((str(r["g"]), r["i"], r["n"]) for r in dense_index(df, ["i"], out="n", partition_by=["g"]).collect())
+    assert got == sorted((str(r["g"]), r["i"], r["i"]) for r in df.collect())
+
+
+def test_documents_without_labels_have_no_keywords(spark):
+    docs = spark.createDataFrame([(1, "a", "s", "en"), (2, "b", "s", "en")], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
+    kw = prepare_keywords(topic_links_view(docs, labels, keep=("text",)), "doc_id", "text", cluster=True)
+    assert {r["id"]: r["keywords"] for r in kw.collect()} == {1: [], 2: ["quality", "toxic", "s"]}
