@@ -32,6 +32,13 @@ from pyspark.sql import types as T
 from convprep.operators.limits import DEFAULT_MAX_BROADCAST_ROWS
 
 SELF = object()  # default marker: a miss keeps the looked-up element
+FAIL = object()  # default marker: a miss stops the run
+
+
+def or_fail(value: Column, key: Column, what: str) -> Column:
+    """``value``, or an error naming ``key`` where it is null."""
+    return F.coalesce(value, F.raise_error(F.concat(
+        F.lit(f"no {what} for "), F.coalesce(key.cast("string"), F.lit("null")))))
 
 
 def row_id(df: DataFrame) -> Column:
@@ -88,7 +95,8 @@ def lookup_arrays(
     so the shuffle moves the raw rows and the work runs in parallel.
     Every row comes back once, whether ``key`` is null, repeated or neither.
     A miss gives ``default``: None keeps null, :data:`SELF` keeps the
-    element, else a literal; ``inner=True`` drops misses instead. Null input
+    element, :data:`FAIL` stops the run, else a literal; ``inner=True`` drops
+    misses instead. Null input
     arrays give null, empty ones empty arrays. ``table`` must have unique
     ``table_key`` values; ``key_type`` is the element type of the inputs.
     With ``join_back=False`` only ``key`` and ``outs`` are returned.
@@ -124,6 +132,8 @@ def lookup_arrays(
         v = F.col("_cp_v")
     elif default is SELF:
         v = F.coalesce(F.col("_cp_v"), F.col("_cp_k").cast(value_type))
+    elif default is FAIL:
+        v = or_fail(F.col("_cp_v"), F.col("_cp_k"), table_value)
     else:
         v = F.coalesce(F.col("_cp_v"), F.lit(default).cast(value_type))
     keep = F.col("c").isNotNull()

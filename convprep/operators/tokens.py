@@ -8,6 +8,7 @@ the built-in path.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from convprep.functions.text import pretokenize
 from convprep.operators.index import dense_index
 from convprep.operators.limits import DEFAULT_MAX_BROADCAST_ROWS
-from convprep.operators.lookup import lookup_arrays, row_id
+from convprep.operators.lookup import lookup_arrays
 from convprep.session import cut_lineage
 
 UNK_ID = -1
@@ -145,6 +146,7 @@ def tokenize_dataset(
 # ---------------------------------------------------------------- sub-words
 
 _SEP = "\u0001"  # symbol separator inside a word
+_REMEMBERED = 200_000  # words whose pieces a task keeps
 
 
 def _symbols(word_col) -> F.Column:
@@ -344,32 +346,24 @@ def subword_pieces(
 ) -> DataFrame:
     """H2, sub-word form: split ``col`` into learned sub-word pieces.
 
-    Only the distinct pre-tokens go through the merge replay
-    (``mapInPandas``; the merge list is bounded by ``n_merges`` and shipped
-    once per task); pieces are joined back to every occurrence and
-    re-collected per row in order. Rows are told apart by a hash of all their
-    columns, so ``key`` may repeat or be null.
+    One pass over the text, no shuffle: pre-tokens are cut in the JVM, and an
+    Arrow-batched iterator UDF replays the merges (the merge list is bounded by
+    ``n_merges`` and shipped once per task), each task remembering the pieces
+    of the words it met last. Null texts have no pieces; ``key`` is not read.
     """
     from convprep.session import ship_package
 
     ship_package(df.sparkSession)  # the replay runs in executor Python workers
     # The merge list is bounded by n_merges; it ships to tasks with the closure.
     ranks = merge_ranks([(r["left"], r["right"]) for r in merges.orderBy("rank").collect()])
-    base = df.withColumn("_cp_row", row_id(df))
-    exploded = base.select("_cp_row", F.posexplode(pretokenize(col, pattern)).alias("p", "w"))
-    distinct_words = exploded.select("w").distinct()
 
-    def _replay(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            yield pd.DataFrame({"w": pdf["w"], "pieces": [apply_merges(w, ranks) for w in pdf["w"]]})
+    @F.pandas_udf("array<string>")
+    def _replay(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cut = functools.lru_cache(_REMEMBERED)(lambda w: apply_merges(w, ranks))
+        for s in batches:
+            yield pd.Series([[p for w in (() if ws is None else ws) for p in cut(w)] for ws in s], dtype=object)
 
-    pieces = distinct_words.mapInPandas(_replay, "w string, pieces array<string>")
-    joined = exploded.join(pieces, "w")
-    grouped = joined.groupBy("_cp_row").agg(F.array_sort(F.collect_set(F.struct("p", "pieces"))).alias("_cp"))
-    per_row = grouped.select("_cp_row", F.flatten(F.transform("_cp", lambda x: x["pieces"])).alias(out))
-    return base.join(per_row, "_cp_row", "left").withColumn(
-        out, F.coalesce(F.col(out), F.array().cast("array<string>"))
-    ).drop("_cp_row")
+    return df.withColumn(out, _replay(pretokenize(col, pattern)))
 
 
 def encode_subwords(
@@ -381,10 +375,11 @@ def encode_subwords(
     out: str = "ids",
     pattern: str = "words",
 ) -> tuple[DataFrame, DataFrame]:
-    """H2, sub-word form end to end: pieces (distinct pre-tokens replayed
-    once), a piece vocabulary (fitted when not given) and the id lists.
+    """H2, sub-word form end to end: pieces (replayed once, and written: the
+    vocabulary fit and the encoding read that stage), a piece vocabulary
+    (fitted when not given) and the id lists.
     Returns ``(df with pieces and out, vocab)``."""
-    pieces = subword_pieces(df, key, merges, col, "pieces", pattern)
+    pieces = cut_lineage(subword_pieces(df, key, merges, col, "pieces", pattern))
     rows = None
     if vocab is None:
         vocab = fit_vocabulary(pieces, ["pieces"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convprep.functions.random import uniform
 from convprep.operators.limits import max_broadcast_rows_for
+from convprep.operators.lookup import null_key_salt, or_fail
 
 
 def _vector_rows_bound(dim: int) -> int:
@@ -24,14 +25,19 @@ def lookup_embeddings(
     emb_col: str = "embedding",
     emb_rows: int | None = None,
     dim: int | None = None,
+    skip_missing: bool = False,
 ) -> DataFrame:
-    """Gather embedding rows by id (inner equi-join; repeated ids keep
-    their multiplicity). Broadcast when ``emb_rows`` is known and the table
-    (``emb_rows`` x ``dim`` doubles) fits the broadcast byte budget."""
+    """Gather embedding rows by id (repeated ids keep their multiplicity).
+    An id without an embedding stops the run; ``skip_missing`` drops it.
+    Broadcast when ``emb_rows`` is known and the table (``emb_rows`` x ``dim``
+    doubles) fits the broadcast byte budget."""
     table = emb.select(F.col(emb_key).alias(id_col), F.col(emb_col).alias("embedding"))
     if emb_rows is not None and dim is not None and emb_rows <= _vector_rows_bound(dim):
         table = F.broadcast(table)
-    return ids.join(table, id_col)
+    if skip_missing:
+        return ids.join(table, id_col)
+    return ids.join(table, id_col, "left").withColumn(
+        "embedding", or_fail(F.col("embedding"), F.col(id_col), "embedding"))
 
 
 def mean_vector(df: DataFrame, key: Sequence[str], vec: str = "embedding", out: str = "vector") -> DataFrame:
@@ -66,10 +72,12 @@ def control_vectors(
     emb_key: str = "token_id",
     emb_col: str = "embedding",
     emb_rows: int | None = None,
+    skip_missing: bool = False,
 ) -> DataFrame:
     """C11: the bag-of-words control vector of each row: the mean embedding
-    of its ids (J2 + A4), or a seeded random vector (A5) when none of its ids
-    has an embedding (or the list is empty). Output ``key, n_vectors, vector``.
+    of its ids (J2 + A4), or a seeded random vector (A5) when it has no ids.
+    An id without an embedding stops the run; with ``skip_missing`` it is left
+    out of the mean. Null ids are no ids. Output ``key, n_vectors, vector``.
 
     One pass, no join back: ``explode_outer`` keeps rows without ids, a left
     join finds embeddings, and one aggregate per key takes the mean over all
@@ -89,12 +97,11 @@ def control_vectors(
     else:
         # Rows without ids get a spread-out salt instead of one hot null key;
         # a salt's match is dropped just below.
-        from convprep.operators.lookup import null_key_salt
-
         salt = null_key_salt([key], exploded.schema["_cp_id"].dataType.simpleString())
         exploded = exploded.withColumn("token_id", F.coalesce(F.col("_cp_id"), salt))
+    hit = F.col("_cp_t") if skip_missing else or_fail(F.col("_cp_t"), F.col("_cp_id"), "embedding")
     found = exploded.join(table, "token_id", "left").withColumn(
-        "_cp_e", F.when(F.col("_cp_id").isNotNull(), F.col("_cp_t")))
+        "_cp_e", F.when(F.col("_cp_id").isNotNull(), hit))
     zeros = F.array_repeat(F.lit(0.0), dim)
     agg = found.groupBy(key).agg(
         Summarizer.mean(array_to_vector(F.coalesce(F.col("_cp_e"), zeros))).alias("_cp_m"),

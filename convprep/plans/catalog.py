@@ -159,7 +159,7 @@ def q_decode_documents(spark, sf_dir):
     from convprep.operators.tokens import decode
 
     enc, vocab = _encoded_documents(spark, sf_dir)
-    return decode(enc.select("doc_id", "ids"), ["doc_id"], "ids", vocab, join_back=False)
+    return decode(enc.select("doc_id", "ids"), ["doc_id"], "ids", vocab, vocab_rows=vocab.count(), join_back=False)
 
 
 @register(
@@ -255,7 +255,7 @@ def q_tokenized_documents(spark, sf_dir):
 
     docs = fx.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     vocab = fit_vocabulary(tokenize(docs, "text", "tokens"), ["tokens"])
-    d11 = project_schema(tokenize_dataset(docs, vocab), "tokenized")
+    d11 = project_schema(tokenize_dataset(docs, vocab, vocab_rows=vocab.count()), "tokenized")
     return d11.select("id", F.size("tokenized_text").cast("bigint").alias("n_tokenized"),
                       ids_text("token_ids").alias("token_ids"))
 
@@ -841,7 +841,8 @@ def q_control_vectors(spark, sf_dir):
 
 def _on_vectors(enc, emb):
     """Token ids as ids of the given vectors: id modulo their number, so every token has one."""
-    return enc.withColumn("ids", F.transform("ids", lambda i: (i % emb.count()).cast("int")))
+    n = emb.count()
+    return enc.withColumn("ids", F.transform("ids", lambda i: (i % n).cast("int")))
 
 
 def _conversation_ids(spark, sf_dir):
@@ -877,7 +878,7 @@ from m left join a using (row_id)""",
         str(_CTRL_SEED), "m.row_id", "0")),
 )
 def q_control_prefixed_inputs(spark, sf_dir):
-    from convprep.operators.lookup import lookup_arrays
+    from convprep.operators.lookup import FAIL, lookup_arrays
     from convprep.operators.vectors import control_vectors, prefix_control
 
     emb = fx.load(spark, sf_dir, "embeddings")
@@ -885,7 +886,7 @@ def q_control_prefixed_inputs(spark, sf_dir):
     ctrl = control_vectors(enc, "row_id", emb, ids="ids", dim=64, seed=_CTRL_SEED, emb_key="vec_id")
     # J2 per position: the token vectors in order.
     tokvecs = lookup_arrays(enc, ["row_id"], ["ids"], ["vectors"], emb, "vec_id", "embedding", "array<double>",
-                            inner=True, key_type="int", join_back=False)
+                            default=FAIL, key_type="int", join_back=False)
     inputs = prefix_control(ctrl.join(tokvecs, "row_id"), "vector", "vectors", "inputs")
     return inputs.select(
         "row_id",
@@ -964,13 +965,13 @@ def q_stripped_types(spark, sf_dir):
 _CONVS_PER_EXPORT = 50
 
 
-def _write_exports(spark, sf_dir, name):
+def _write_exports(spark, sf_dir, name, per_file=_CONVS_PER_EXPORT):
     """Export files from v_messages: ``{"messages": [...]}`` per file, each
-    holding the messages of 50 consecutive conversations in order."""
+    holding the messages of ``per_file`` consecutive conversations in order."""
     from convprep.session import scratch_path
 
     msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
-    exports = msgs.groupBy(F.floor(F.col("conv_id") / _CONVS_PER_EXPORT).alias("export")).agg(
+    exports = msgs.groupBy(F.floor(F.col("conv_id") / per_file).alias("export")).agg(
         F.array_sort(F.collect_list(F.struct("conv_id", "turn", "sender_name", "content", "type"))).alias("messages"))
     path = scratch_path(spark, name)
     exports.write.partitionBy("export").json(path)
@@ -1003,6 +1004,26 @@ def q_message_export_roundtrip(spark, sf_dir):
     return back.select("conv_id", "pos", "turn", "sender_name", "content", "type")
 
 
+_CONVS_PER_NUMBERED = 8
+
+
+@register(
+    "numbered_export_rows",
+    with_views(
+        f"""select cast(row_number() over (order by conv_id // {_CONVS_PER_NUMBERED}, conv_id, turn) - 1 as bigint) as row_id,
+       conv_id, turn, sender_name, content as text from v_messages where content is not null""",
+        "v_messages",
+    ),
+)
+def q_numbered_export_rows(spark, sf_dir):
+    """Files numbered 0, 1, 2, ... 10, 11, ...: rows follow the numbers, not the names."""
+    from convprep.sources.messages import load_comments
+
+    path = _write_exports(spark, sf_dir, "numbered", _CONVS_PER_NUMBERED)
+    rows = load_comments(spark, f"{path}/export=*/*.json", "content", kind="export", message_fields=_export_fields())
+    return rows.select("row_id", "conv_id", "turn", "sender_name", "text")
+
+
 @register(
     "records_roundtrip",
     with_views(
@@ -1115,32 +1136,69 @@ def q_udf_tokenize(spark, sf_dir):
 # ------------------------------------------------------- sub-words: H3, H2
 
 
-@register("subword_merges", None)
+_MERGES = 10
+
+
+def _subword_sql(final: str) -> str:
+    """The sub-word fit in SQL, its rounds unrolled. A word's symbols stand
+    between chr(1) and chr(2), so a plain left-to-right replace merges a pair.
+    ``m`` has the merges, ``p`` the pieces of each pre-token of each document."""
+    ctes = ["""tok as materialized (select doc_id, i, w[i] as w from (
+  select doc_id, w, unnest(range(1, len(w) + 1)) as i from (
+    select doc_id, regexp_extract_all(text, '( ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+)', 1) as w from documents)))""",
+            """s0 as materialized (select w, n,
+  chr(1) || array_to_string(regexp_extract_all(w, '(?s).'), chr(2) || chr(1)) || chr(2) as sym
+  from (select w, count(*) as n from tok group by w))"""]
+    for r in range(_MERGES):
+        ctes += [f"""b{r} as materialized (
+  select x[i] as a, x[i + 1] as b, cast(sum(n) as bigint) as n from (
+    select n, x, unnest(range(1, len(x))) as i from (
+      select n, string_split(substr(sym, 2, length(sym) - 2), chr(2) || chr(1)) as x from s{r}))
+  group by all having sum(n) >= 2 order by n desc, a, b limit 1)""",
+                 f"""s{r + 1} as materialized (select w, s.n, coalesce(replace(sym, chr(1) || a || chr(2) || chr(1) || b || chr(2),
+  chr(1) || a || b || chr(2)), sym) as sym from s{r} s left join b{r} on true)"""]
+    ctes.append("m as (" + " union all ".join(
+        f"select {r} as rank, a as \"left\", b as \"right\", a || b as merged, n from b{r}" for r in range(_MERGES)) + ")")
+    ctes.append(f"""p as materialized (select doc_id, i, string_split(substr(sym, 2, length(sym) - 2), chr(2) || chr(1)) as x
+  from tok join s{_MERGES} using (w))""")
+    return "with " + ",\n".join(ctes) + "\n" + final
+
+
+@register("subword_merges", _subword_sql('select cast(rank as integer) as rank, "left", "right", merged, n from m'))
 def q_subword_merges(spark, sf_dir):
     from convprep.operators.tokens import fit_subword_merges
 
-    return fit_subword_merges(fx.load(spark, sf_dir, "documents"), "text", n_merges=10)
+    return fit_subword_merges(fx.load(spark, sf_dir, "documents"), "text", n_merges=_MERGES)
 
 
-@register("subword_encode", None)
+@register("subword_encode", _subword_sql("""select d.doc_id, cast(coalesce(n_ids, 0) as bigint) as n_ids,
+       md5(coalesce(ids, '')) as digest from documents d left join (
+  select doc_id, count(*) as n_ids, string_agg(id, ',' order by i, k) as ids
+  from (select doc_id, i, unnest(x) as piece, unnest(range(1, len(x) + 1)) as k from p) join (
+    select piece, row_number() over (order by count(*) desc, piece) - 1 as id
+    from (select unnest(x) as piece from p) group by piece) using (piece)
+  group by doc_id) using (doc_id)"""))
 def q_subword_encode(spark, sf_dir):
     from convprep.operators.tokens import encode_subwords, fit_subword_merges
 
     docs = fx.load(spark, sf_dir, "documents").select("doc_id", "text")
-    merges = fit_subword_merges(docs, "text", n_merges=10)
+    merges = fit_subword_merges(docs, "text", n_merges=_MERGES)
     enc, _ = encode_subwords(docs, ["doc_id"], merges)
     return enc.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(ids_text("ids")).alias("digest"))
 
 
-@register("subword_pieces", None)
+@register("subword_pieces", _subword_sql("""select d.doc_id, cast(coalesce(n, 0) as bigint) as n_pieces,
+       md5(coalesce(t, '')) as digest from documents d left join (
+  select doc_id, sum(len(x)) as n, string_agg(array_to_string(x, '|'), '|' order by i) as t
+  from p group by doc_id) using (doc_id)"""))
 def q_subword_pieces(spark, sf_dir):
     from convprep.operators.tokens import fit_subword_merges, subword_pieces
 
     docs = fx.load(spark, sf_dir, "documents").select("doc_id", "text")
-    merges = fit_subword_merges(docs, "text", n_merges=10)
+    merges = fit_subword_merges(docs, "text", n_merges=_MERGES)
     out = subword_pieces(docs, ["doc_id"], merges, "text")
     return out.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"),
-                      F.md5(F.array_join("pieces", "")).alias("digest"))
+                      F.md5(F.array_join("pieces", "|")).alias("digest"))
 
 
 # --------------------------------------------- streaming parity (optional)

@@ -54,8 +54,11 @@ def read_message_export(
 
 def file_order(file_name: str = "file_name") -> list[Column]:
     """Order of numbered files: the last number of the name without folder and
-    extension (files without one first), then the name."""
-    stem = F.regexp_extract(F.col(file_name), r"([^/]*?)(?:\.[^./]*)*$", 1)
+    extension (files without one first), then the name. A part file that Spark
+    wrote goes by the number of its folder."""
+    own = F.regexp_extract(F.col(file_name), r"([^/]*?)(?:\.[^./]*)*$", 1)
+    folder = F.regexp_extract(F.col(file_name), r"([^/]*)/part-[^/]*$", 1)
+    stem = F.when(folder != "", folder).otherwise(own)
     return [F.regexp_extract(stem, r"(\d{1,18})\D*$", 1).try_cast("bigint").asc_nulls_first(), F.col(file_name).asc()]
 
 

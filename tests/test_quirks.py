@@ -187,12 +187,43 @@ def test_control_vector_random_when_no_keyword(spark):
     from convprep.operators.vectors import control_vectors
 
     emb = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "token_id long, embedding array<float>")
-    rows = spark.createDataFrame([(1, [0, 1, 1]), (2, []), (3, [7])], "id long, keyword_ids array<long>")
+    rows = spark.createDataFrame([(1, [0, 1, 1]), (2, []), (3, None)], "id long, keyword_ids array<long>")
     got = {r["id"]: r for r in control_vectors(rows, "id", emb, dim=2, seed=3).collect()}
     assert got[1]["n_vectors"] == 3 and [round(x, 6) for x in got[1]["vector"]] == [round(7 / 3, 6), round(10 / 3, 6)]
     assert got[2]["n_vectors"] == 0 and all(0 <= x < 1 for x in got[2]["vector"])
     again = {r["id"]: r for r in control_vectors(rows, "id", emb, dim=2, seed=3).collect()}
     assert again[2]["vector"] == got[2]["vector"]  # seeded, repeatable
+    assert got[3]["n_vectors"] == 0
+
+
+@pytest.mark.parametrize("emb_rows", [None, 2])
+def test_ids_without_embedding_stop_the_run(spark, emb_rows):
+    from convprep.operators.lookup import FAIL, lookup_arrays
+    from convprep.operators.vectors import control_vectors, lookup_embeddings
+
+    emb = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "token_id long, embedding array<double>")
+    rows = spark.createDataFrame([(1, [0, 1]), (2, [1, 7])], "id long, keyword_ids array<long>")
+    with pytest.raises(Exception, match="no embedding for 7"):
+        control_vectors(rows, "id", emb, dim=2, emb_rows=emb_rows).collect()
+    got = {r["id"]: r["n_vectors"] for r in control_vectors(rows, "id", emb, dim=2, emb_rows=emb_rows, skip_missing=True).collect()}
+    assert got == {1: 2, 2: 1}
+    ids = spark.createDataFrame([(0,), (0,), (7,)], "token_id long")
+    with pytest.raises(Exception, match="no embedding for 7"):
+        lookup_embeddings(ids, emb, emb_rows=emb_rows, dim=2).collect()
+    assert lookup_embeddings(ids, emb, emb_rows=emb_rows, dim=2, skip_missing=True).count() == 2
+    with pytest.raises(Exception, match="no embedding for 7"):
+        lookup_arrays(rows, ["id"], ["keyword_ids"], ["v"], emb, "token_id", "embedding", "array<double>",
+                      default=FAIL, key_type="long", table_rows=emb_rows).collect()
+
+
+def test_part_files_go_by_the_number_of_their_folder(spark):
+    from convprep.sources.messages import file_order
+
+    names = ["x/export=10/part-00000-9a1.c000.json", "x/export=2/part-00001-7.c000.json",
+             "x/export=2/part-00000-8.c000.json", "x/message_3.json", "x/notes.json"]
+    df = spark.createDataFrame([(n,) for n in names], "file_name string")
+    got = [r[0] for r in df.orderBy(*file_order("file_name")).collect()]
+    assert got == [names[4], names[2], names[1], names[3], names[0]]
 
 
 def test_lookup_row_and_union_and_shuffle(spark):
