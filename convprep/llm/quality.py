@@ -238,10 +238,16 @@ def quality_cascade(
 
 
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
-    """The rows that no rule rejects, with the columns of ``docs``."""
-    verdict = _free_name(docs, "failed_rule")
+    """The rows that no rule rejects, with the columns of ``docs``.
+
+    Catalyst pushes a filter below the projections by putting their expressions
+    in its condition, each feature once per use. The row number, which is never
+    negative, keeps the filter above them.
+    """
+    verdict, number = _free_name(docs, "failed_rule"), _free_name(docs, "row_number")
     out = quality_cascade(docs, rules=rules, text=text, verdict=verdict)
-    return out.where(F.col(verdict).isNull()).drop(verdict)
+    out = out.withColumn(number, F.monotonically_increasing_id())
+    return out.where(F.col(verdict).isNull() & (F.col(number) >= 0)).drop(verdict, number)
 
 
 def op1_quality_rules(docs: DataFrame) -> DataFrame:
