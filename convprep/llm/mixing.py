@@ -179,8 +179,8 @@ def mix(docs: DataFrame, **names) -> DataFrame:
 
     ``tier`` may name a column of small positive whole numbers: documents of
     tier 2 are wanted twice as often as those of tier 1 of the same source,
-    within the cap. The texts are read twice, for the sizes and for the copies,
-    and never shuffled. Null texts and texts without words have size 0 and are
+    within the cap. The texts are read twice, for the sizes and for the copies;
+    they are shuffled only where the rules are too many for Spark to broadcast. Null texts and texts without words have size 0 and are
     never taken; an empty table gives an empty mix.
     """
     rules = mixing_rules(written(narrowed(docs, **names), "mixing"))
