@@ -7,9 +7,12 @@ Lists whose farthest entry is still a near-duplicate are saturated and grow. The
 graph is audited against brute force on a bounded set of vectors; below the
 recall asked for, further rounds run with longer lists.
 
-Edges near the threshold join vectors into candidate components. Every two
-members of a component are compared in double precision, in blocks of bounded
-size, which also supplies what saturated lists had no room for.
+Edges near the threshold join vectors into candidate components. A saturated list
+may have had no room for an edge to another component, so the vectors of such
+lists are searched again, with lists of vectors of other components only, until
+no edge between components is found. Every two members of a component are
+compared in double precision, in blocks of bounded size, which supplies the
+links within it that lists had no room for.
 
 Vectors alike in all components are one node throughout. Refinement works on
 8-bit copies of the vectors; the results do not.
@@ -99,27 +102,29 @@ def _tables(nodes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
 
 
 def _start(nodes: DataFrame, count: int, k: int, seed: int) -> DataFrame:
-    """First lists: the nearest within each bucket of each table. A bucket of many
-    vectors is dealt into parts."""
+    """First lists: the nearest within each bucket of each table, other than those of
+    the vector's own ``component``. A bucket of many vectors is dealt into parts."""
     bits = max(0, min(30, math.ceil(math.log2(max(1, count) / LEAF))))
     placed = _tables(nodes, bits, TABLES, seed)
     full = placed.groupBy("t", "dim", "bucket").agg(F.count("*").alias("n")).where(f"n > {2 * LEAF}")
     placed = placed.join(full, ["t", "dim", "bucket"], "left").withColumn(
         "part", F.coalesce(F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("n") / (2 * LEAF))), F.lit(0)))
     keys = ["t", "dim", "bucket", "part"]
-    met = placed.drop("n").repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, "node")
+    placed = placed.drop("n").join(nodes.select("node", "component"), "node")
+    met = placed.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, "node")
 
     def near(batches):
         for g in groups_of(batches, keys):
             if len(g) > 1:
-                yield from _local_join([(g["node"].to_numpy(), _unpack8(g["v8"].tolist()), np.full(len(g), -2.0))], k)
+                yield from _local_join([(g["node"].to_numpy(), _unpack8(g["v8"].tolist()), np.full(len(g), -2.0),
+                                         g["component"].to_numpy())], k)
 
     return met.mapInPandas(near, _LIST)
 
 
 def _local_join(parts, k: int):
-    """Compare the members of each part with each other; lists of up to ``k`` per
-    node, of those nearer than what its own list ends with."""
+    """Compare the members of each part that are of different components; lists of
+    up to ``k`` per node, of those nearer than what its own list ends with."""
     held: list = [[], [], []]
     size = 0
 
@@ -128,9 +133,9 @@ def _local_join(parts, k: int):
         held[:] = [], [], []
         return out
 
-    for node, unit, last in parts:
+    for node, unit, last, component in parts:
         sim = unit @ unit.T
-        np.fill_diagonal(sim, -2.0)
+        sim[component[:, None] == component] = -2.0
         if len(node) > k + 1:
             cut = np.partition(sim, len(node) - k, axis=1)[:, len(node) - k][:, None]
             x, y = np.nonzero((sim > last[:, None]) & (sim >= cut) & (sim > -1.5))
@@ -169,18 +174,71 @@ def _round(graph: DataFrame, small: DataFrame, k: int, more: int, near: float) -
     thin = forward.join(degree, "node").where(
         F.pmod(F.xxhash64("at", "node"), F.lit(1 << 20)) < F.lit(k << 20) / F.col("n"))
     pairs = forward.union(thin.select(F.col("node").alias("at"), F.col("at").alias("node"))).distinct()
-    last = graph.select("node", F.when(F.size("nbrs") >= k, F.element_at("sims", -1)).otherwise(F.lit(-2.0)).alias("last"))
+    # A list with room, be it for more near-duplicates, takes any.
+    full = (F.size("nbrs") >= more) | ((F.size("nbrs") >= k) & (F.element_at("sims", -1) < near))
+    last = graph.select("node", F.when(full, F.element_at("sims", -1)).when(
+        F.size("nbrs") >= k, F.lit(near)).otherwise(F.lit(-2.0)).alias("last"))
     met = pairs.join(small.join(last, "node", "left"), "node").repartition("at").sortWithinPartitions("at", "node")
 
     def join(batches):
         yield from _local_join(
-            ((g["node"].to_numpy(), _unpack8(g["v8"].tolist()), np.nan_to_num(g["last"].to_numpy(float), nan=-2.0))
+            ((g["node"].to_numpy(), _unpack8(g["v8"].tolist()), np.nan_to_num(g["last"].to_numpy(float), nan=-2.0),
+              g["component"].to_numpy())
              for g in groups_of(batches, ["at"]) if len(g) > 1), k)
 
-    found = met.select("at", "node", "v8", "last").mapInPandas(join, _LIST)
+    found = met.select("at", "node", "v8", "last", "component").mapInPandas(join, _LIST)
     return _merge(graph.union(found), k, more, near)
 
 
+def _descent(nodes: DataFrame, small: DataFrame, count: int, rounds: int, k: int, more: int, near: float,
+             seed: int, graph: DataFrame | None = None) -> DataFrame:
+    """Neighbour lists of ``nodes``, of vectors of other components than their own,
+    refined in rounds from ``graph`` or from buckets."""
+    if graph is None:
+        graph = written(_merge(_start(nodes, count, k, seed), k, more, near), "neighbours")
+    for _ in range(rounds):
+        known = graph.agg(F.sum(F.aggregate("sims", F.lit(0.0), lambda a, x: a + x))).first()[0] or 0.0
+        graph = written(_round(graph, small, k, more, near), "neighbours")
+        total = graph.agg(F.sum(F.aggregate("sims", F.lit(0.0), lambda a, x: a + x))).first()[0] or 0.0
+        if total - known <= 0.001 * abs(known):
+            break
+    return graph
+
+
+def _near_edges(graph: DataFrame, near: float) -> DataFrame:
+    return graph.select(F.col("node").alias("a"), F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).where(
+        F.col("e.sims") >= near).select("a", F.col("e.nbrs").alias("b"))
+
+
+def _candidates(nodes: DataFrame, small: DataFrame, count: int, rounds: int, k: int, more: int, near: float,
+                seed: int, graph: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The neighbour lists, and the members of the candidate components.
+
+    An edge is missed for want of room only if the lists at both its ends are
+    full of near-duplicates. The vectors of such lists are searched again among
+    themselves, within other components only; every edge found joins two
+    components, and it ends when there is none or no list is full.
+    """
+    alone = F.col("node").alias("component")
+    graph = first = _descent(nodes.select("node", "vector", alone), small.select("node", "v8", alone),
+                             count, rounds, k, more, near, seed, graph)
+    edges = written(_near_edges(graph, near), "vector-edges")
+    while True:
+        members = written(components(edges, "vector-candidates"), "vector-members")
+        full = graph.where((F.size("nbrs") >= k) & (F.element_at("sims", -1) >= near)).select("node")
+        full = written(full.join(members, "node"), "vector-full")
+        left = full.agg(F.count("*"), F.count_distinct("component")).first()
+        if left[1] < 2:
+            return first, members
+        seed += 1
+        graph = _descent(nodes.select("node", "vector").join(full, "node"), small.join(full, "node"),
+                         left[0], rounds, k, more, near, seed)
+        new = written(_near_edges(graph, near), "vector-edges")
+        if new.isEmpty():
+            return first, members
+        edges = edges.union(new)
+
+
 def _compared(members: DataFrame, nodes: DataFrame, threshold: float, per_block: int) -> DataFrame:
     """Compare all members of each component in double precision; rows (node, links,
     label) as in the Jaccard join."""
@@ -268,17 +326,9 @@ def near_duplicates(
     small = nodes.select("node", "vector").mapInPandas(small8, "node long, v8 binary")
     small = written(small, "vectors8")
     k, more = neighbours, SATURATED
-    graph = written(_merge(_start(nodes, count, k, seed), k, more, near), "neighbours")
+    graph = None
     for attempt in range(3):
-        for _ in range(rounds):
-            known = graph.agg(F.sum(F.aggregate("sims", F.lit(0.0), lambda a, x: a + x))).first()[0] or 0.0
-            graph = written(_round(graph, small, k, more, near), "neighbours")
-            total = graph.agg(F.sum(F.aggregate("sims", F.lit(0.0), lambda a, x: a + x))).first()[0] or 0.0
-            if total - known <= 0.001 * abs(known):
-                break
-        edges = graph.select(F.col("node").alias("a"), F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).where(
-            F.col("e.sims") >= near).select("a", F.col("e.nbrs").alias("b"))
-        members = written(components(edges, "vector-candidates"), "vector-members")
+        graph, members = _candidates(nodes, small, count, rounds, k, more, near, seed, graph)
         met = written(_compared(members, nodes, threshold, per_block), "vector-links")
         links = met.groupBy("node").agg(F.sum("links").alias("links"))
         if audit(nodes, links, threshold) >= recall:

@@ -461,6 +461,20 @@ def test_nn_descent_equals_brute_force(spark):
     assert neardup.op2_nn_descent(empty).count() == 0
 
 
+def test_nn_descent_joins_crowded_groups(spark):
+    """Tight groups, larger than a list, that are near-duplicates of each other."""
+    r = np.random.default_rng(5)
+    rows, want = [], {}
+    for pair in range(6):
+        a, b = np.linalg.qr(r.standard_normal((32, 2)))[0].T
+        for centre in (a, 0.96 * a + 0.28 * b):
+            for _ in range(50):
+                want[len(rows)] = (99, 100 * pair)
+                rows.append((len(rows), (centre + 1e-4 * r.standard_normal(32)).tolist()))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)).collect()
+    assert {x["vec_id"]: (x["n_links"], x["component_id"]) for x in got} == want
+
+
 # ---- registered queries and the pipeline -----------------------------------
 
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op2_nn_descent", "op3_super_kmers", "op6_pareto_mix"])
