@@ -475,6 +475,26 @@ def test_nn_descent_joins_crowded_groups(spark):
     assert {x["vec_id"]: (x["n_links"], x["component_id"]) for x in got} == want
 
 
+def test_audit_weighs_vectors_alike(spark, monkeypatch):
+    """One hot group found whole, and 100 pairs all missed, among vectors without links."""
+    r = np.random.default_rng(6)
+    hot = r.standard_normal(32) + 1e-3 * r.standard_normal((300, 32))
+    pairs = np.repeat(r.standard_normal((100, 32)), 2, axis=0) + 1e-3 * r.standard_normal((200, 32))
+    v = np.concatenate([hot, pairs, r.standard_normal((300, 32))])
+    nodes = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "node long, vector array<double>, copies long")
+    met = spark.createDataFrame([(i, 299, 0) for i in range(300)], "node long, links long, label long")
+    linked = met.select("node", F.lit(0).cast("long").alias("component"))
+    assert neardup.audit(nodes, met, linked, 0.95) < 0.1
+    whole = met.union(spark.createDataFrame([(i, 1, i - i % 2) for i in range(300, 500)], met.schema))
+    assert neardup.audit(nodes, whole, linked, 0.95) == 1.0
+    # A recall that stays too low is an error.
+    monkeypatch.setattr(neardup, "audit", lambda *a: 0.5)
+    monkeypatch.setattr(neardup, "ATTEMPTS", 1)
+    df = nodes.limit(20).selectExpr("node as vec_id", "vector as embedding")
+    with pytest.raises(RuntimeError, match="recall of 0.5"):
+        neardup.near_duplicates(df)
+
+
 # ---- registered queries and the pipeline -----------------------------------
 
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op2_nn_descent", "op3_super_kmers", "op6_pareto_mix"])
