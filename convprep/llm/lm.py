@@ -8,6 +8,9 @@ background model: the lower, the more it is like the target.
 A document's own tokens are left out of the model of its side when it is scored,
 so no document is judged by a model that has seen it.
 
+The vocabulary is every word that occurs ``min_count`` times, however many there
+are: words travel as 64-bit hashes, and no table of all words is in one place.
+
 Documents are dealt into blocks. A block sends its distinct bigrams with their
 counts, and gets back the corpus counts of just these: a bigram travels once per
 block, not once per token, and no table of all bigrams is ever in one place.
@@ -15,7 +18,7 @@ block, not once per token, and no table of all bigrams is ever in one place.
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -24,59 +27,46 @@ from pyspark.sql import functions as F
 
 from convprep.llm.common import row_key, written
 
-VOCABULARY = 50_000
 MIN_COUNT = 2
 BLOCK_TOKENS = 1_500_000
 PSEUDO = 8.0
 
-_WIDTH = 65_536
-_START, _ANY = _WIDTH - 2, _WIDTH - 1  # the place before a text; any word
+# In place of a word's hash: the place before a text; any word; a word outside the vocabulary.
+_START, _ANY, _RARE = np.array([0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.int64)
+_COUNTS, _TARGET, _RARE_WORD = 0, 1, 2
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[bytes]:
     return text.lower().encode().split() if text else []
 
 
-def vocabulary(docs: DataFrame, text: str, size: int = VOCABULARY, min_count: int = MIN_COUNT) -> tuple[list[bytes], int]:
-    """Words that make up 1/``size`` of all tokens or more (hence at most ``size`` of
-    them) and occur ``min_count`` times, most frequent first; and the number of
-    tokens. Counted over all texts; a task adds up its own words first."""
-    def count(batches):
-        held: Counter = Counter()
-        total = 0
-        for pdf in batches:
-            for t in pdf["text"]:
-                w = tokens(t)
-                total += len(w)
-                held.update(w)
-                if len(held) > 300_000:
-                    yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
-                    held = Counter()
-        yield pd.DataFrame({"word": [None, *held.keys()], "n": [total, *held.values()]})
+def _hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+
 
-    counts = docs.select(F.col(f"`{text}`").alias("text")).mapInPandas(count, "word binary, n long")
-    counts = counts.groupBy("word").agg(F.sum("n").alias("n")).where(f"word is null or n >= {min_count}")
-    counts = written(counts, "word-counts")
-    total = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("word").isNotNull() & (F.col("n") * size >= total)).collect()
-    return [bytes(r["word"]) for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))], total
+def _key(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit key of a bigram, of hashes that are uniform."""
+    return (previous.view(np.uint64) * _BASE + word.view(np.uint64)).view(np.int64)
 
 
-def _bigrams(codes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (previous, word) of all tokens of the texts, and the text of each."""
-    ids = [np.frombuffer(c, np.uint16).astype(np.int64) for c in codes]
+def _bigrams(codes, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The previous word and the word of all tokens of the texts, and the text of
+    each; ``rare`` are the hashes of words outside the vocabulary."""
+    ids = [np.frombuffer(c, np.int64) for c in codes]
     sizes = np.array([len(x) for x in ids], int)
     word = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    word = np.where(np.isin(word, rare), _RARE, word)
     previous = np.empty_like(word)
     previous[1:] = word[:-1]
     previous[(np.cumsum(sizes) - sizes)[sizes > 0]] = _START
-    return previous * _WIDTH + word, np.repeat(np.arange(len(ids)), sizes)
+    return previous, word, np.repeat(np.arange(len(ids)), sizes)
 
 
-def _with_marginals(key: np.ndarray) -> list[np.ndarray]:
-    """The bigrams, their contexts, their words, and all tokens, as keys."""
-    previous, word = key // _WIDTH, key % _WIDTH
-    return [key, previous * _WIDTH + _ANY, _ANY * _WIDTH + word, np.full(len(key), _ANY * _WIDTH + _ANY)]
+def _with_marginals(previous: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+    """Keys of the bigrams, their contexts, their words, and all tokens."""
+    anything = np.full(len(word), _ANY)
+    return [_key(a, b) for a, b in ((previous, word), (previous, anything), (anything, word), (anything, anything))]
 
 
 def _loss(c2, c1, cw, n, words: int, pseudo: float) -> np.ndarray:
@@ -87,7 +77,7 @@ def _loss(c2, c1, cw, n, words: int, pseudo: float) -> np.ndarray:
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", size: int = VOCABULARY,
+    docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", size: int | None = None,
     min_count: int = MIN_COUNT, block_tokens: int = BLOCK_TOKENS, pseudo: float = PSEUDO,
 ) -> DataFrame:
     """One row per document: ``key``, n_tokens, in_target, ce_target and
@@ -95,42 +85,71 @@ def cross_entropy_difference(
     difference).
 
     ``target`` has the keys of the target documents; all others are background.
-    Texts are lower-cased; words outside the vocabulary are one word. Null texts
+    Texts are lower-cased; words that occur less than ``min_count`` times are one
+    word. With ``size``, so are words that make up less than 1/``size`` of all
+    tokens (hence at most ``size`` are told apart); by default no word is. Null texts
     and texts without words have no tokens and null losses. Repeated rows are
     scored each for itself, leaving out one copy; a null key is background. An
     empty table gives an empty result; with no target, its model is the
     smoothing alone. Other columns are not read, whatever their names.
     """
-    spark = docs.sparkSession
-    words, total = vocabulary(docs, text, min(size, _WIDTH - 4), min_count)
-    number = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})  # bounded by size
-    blocks = max(1, -(-total // block_tokens))
     kind = docs.schema[key].dataType.simpleString()
 
     def encode(batches):
-        get = number.value.get
+        held: dict[bytes, int] = {}
         for pdf in batches:
-            yield pd.DataFrame({"block": pdf["block"], "id": pdf["id"], "codes": [
-                np.array([get(w, 0) for w in tokens(t)], np.uint16).tobytes() for t in pdf["text"]]})
+            codes = []
+            for t in pdf["text"]:
+                w = tokens(t)
+                for x in set(w).difference(held):
+                    held[x] = _hash(x)
+                codes.append(np.array([held[x] for x in w], np.int64).tobytes())
+                if len(held) > 300_000:
+                    held = {}
+            yield pd.DataFrame({"deal": pdf["deal"], "id": pdf["id"], "codes": codes})
 
-    block = F.pmod(row_key("id"), F.lit(blocks)).cast("int").alias("block")
-    coded = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).select(block, "id", "text")
     # A null key goes by its text, so null keys spread.
-    coded = coded.withColumn("block", F.when(F.col("id").isNull(), F.pmod(row_key("text"), F.lit(blocks)).cast("int"))
-                             .otherwise(F.col("block")))
-    coded = written(coded.mapInPandas(encode, f"block int, id {kind}, codes binary"), "lm-codes")
-    wanted = target.select(F.col(f"`{key}`").alias("id")).where("id is not null").distinct().select(block, "id")
+    coded = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).select(
+        F.when(F.col("id").isNull(), row_key("text")).otherwise(row_key("id")).alias("deal"), "id", "text")
+    coded = written(coded.mapInPandas(encode, f"deal long, id {kind}, codes binary"), "lm-codes")
+    total = (coded.agg(F.sum(F.octet_length("codes").cast("long"))).first()[0] or 0) // 8
+    blocks = max(1, -(-total // block_tokens))
+    coded = coded.select(F.pmod("deal", F.lit(blocks)).cast("int").alias("block"), "deal", "id", "codes")
+    by_block = coded.groupBy("block")
 
-    def mark(docs_pdf: pd.DataFrame, target_pdf: pd.DataFrame) -> np.ndarray:
-        return docs_pdf["id"].isin(set(target_pdf["id"])).to_numpy()
+    def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, n = np.unique(np.frombuffer(b"".join(pdf["codes"]), np.int64), return_counts=True)
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "word": u, "n": n})
+
+    lowest = max(min_count, -(-total // size) if size else 1)
+    every = by_block.applyInPandas(count_words, "block int, word long, n long").groupBy("word").agg(
+        F.sum("n").alias("n"), F.collect_list("block").alias("at"))
+    # A rare word is in few blocks; only for those is the list kept.
+    every = written(every.select("word", F.when(F.col("n") < lowest, F.col("at")).alias("at")), "lm-words")
+    n_words = every.where("at is null").count()
+    rare = every.where("at is not null").select(F.explode("at").alias("block"), "word")
+    # What a block gets: corpus counts, its target keys by hash and its rare words, a
+    # row each. No column has nulls, with which pandas would make floats of 64-bit numbers.
+    zero = F.lit(0).cast("long")
+    wanted = target.select(F.col(f"`{key}`").cast(kind).alias("id")).where("id is not null").select(
+        row_key("id").alias("key")).distinct()
+    wanted = wanted.select(F.pmod("key", F.lit(blocks)).cast("int").alias("block"), F.lit(_TARGET).alias("what"),
+                           "key", zero.alias("t"), zero.alias("b"))
+    wanted = wanted.union(rare.select("block", F.lit(_RARE_WORD), "word", zero, zero))
+
+    def sent_as(pdf: pd.DataFrame, what: int) -> np.ndarray:
+        return pdf["key"][pdf["what"] == what].to_numpy(np.int64)
+
+    def mark(docs_pdf: pd.DataFrame, sent_pdf: pd.DataFrame) -> np.ndarray:
+        return (docs_pdf["id"].notna() & docs_pdf["deal"].isin(sent_as(sent_pdf, _TARGET))).to_numpy()
 
     def count(docs_pdf: pd.DataFrame, target_pdf: pd.DataFrame) -> pd.DataFrame:
         if not len(docs_pdf):
             return pd.DataFrame({"block": [], "key": [], "t": [], "b": []})
-        bigram, owner = _bigrams(docs_pdf["codes"])
+        previous, word, owner = _bigrams(docs_pdf["codes"], sent_as(target_pdf, _RARE_WORD))
         side = mark(docs_pdf, target_pdf)[owner]
         keys, t, b = [], [], []
-        for k in _with_marginals(bigram):
+        for k in _with_marginals(previous, word):
             u, place = np.unique(k, return_inverse=True)
             keys.append(u)
             t.append(np.bincount(place, side, len(u)))
@@ -138,29 +157,25 @@ def cross_entropy_difference(
         return pd.DataFrame({"block": docs_pdf["block"].iloc[0], "key": np.concatenate(keys),
                              "t": np.concatenate(t).astype(np.int64), "b": np.concatenate(b).astype(np.int64)})
 
-    by_block = coded.groupBy("block")
     counts = by_block.cogroup(wanted.groupBy("block")).applyInPandas(count, "block int, key long, t long, b long")
     corpus = counts.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.collect_list("block").alias("at"))
     sent = written(corpus.select(F.explode("at").alias("block"), "key", "t", "b"), "lm-counts")
-    # The target keys of a block travel with its counts, in rows without a count key.
-    sent = sent.select("block", "key", "t", "b", F.lit(None).cast(kind).alias("id")).union(wanted.select(
-        "block", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long"), "id"))
-    n_words = len(words)
+    sent = sent.select("block", F.lit(_COUNTS).alias("what"), "key", "t", "b").union(wanted)
 
     def score(docs_pdf: pd.DataFrame, sent_pdf: pd.DataFrame) -> pd.DataFrame:
-        table = sent_pdf[sent_pdf["key"].notna()]
+        table = sent_pdf[sent_pdf["what"] == _COUNTS]
         order = np.argsort(table["key"].to_numpy(np.int64))
         known = table["key"].to_numpy(np.int64)[order]
         of = {c: table[c].to_numpy(np.int64)[order] for c in ("t", "b")}
-        inside = mark(docs_pdf, sent_pdf[sent_pdf["key"].isna()])
-        bigram, owner = _bigrams(docs_pdf["codes"])
+        inside = mark(docs_pdf, sent_pdf)
+        previous, word, owner = _bigrams(docs_pdf["codes"], sent_as(sent_pdf, _RARE_WORD))
         # Distinct (document, bigram) with counts; then the document's own marginals.
-        kinds, place = np.unique(bigram, return_inverse=True)
+        kinds, one, place = np.unique(_key(previous, word), return_index=True, return_inverse=True)
         pair, own = np.unique(owner * max(1, len(kinds)) + place, return_counts=True)
-        doc, bigram = pair // max(1, len(kinds)), kinds[pair % max(1, len(kinds))]
+        doc, one = pair // max(1, len(kinds)), one[pair % max(1, len(kinds))]
         losses = {c: np.zeros(len(pair)) for c in of}
         looked, mine = [], []
-        for k in _with_marginals(bigram):
+        for k in _with_marginals(previous[one], word[one]):
             # The key's number within the block serves to add up within a document.
             at = np.searchsorted(known, k)
             looked.append(at)

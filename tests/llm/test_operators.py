@@ -438,6 +438,18 @@ def test_lm_equals_brute_force(spark):
             assert got[k]["score"] == pytest.approx(ce[0] - ce[1])
 
 
+def test_lm_keeps_rare_words_on_large_corpora(spark):
+    """A word twice among many tokens is a word, whatever the size of the corpus."""
+    rows = [(i, "the of and to " * 20_000) for i in range(4)] + [(10, "the zebra the"), (11, "the zebra the"), (12, "the gnu the")]
+    rows += [(20, "the okapi the"), (21, "the okapi the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    target = {10, 11}
+    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(df, df.where("doc_id in (10, 11)"), block_tokens=100_000).collect()}
+    for k, ce in brute_lm(rows, target, 10**9, 2, lm.PSEUDO).items():
+        assert [got[k]["ce_target"], got[k]["ce_background"]] == pytest.approx(ce)
+    assert got[10]["score"] != pytest.approx(got[20]["score"])
+
+
 def test_nn_descent_equals_brute_force(spark):
     r = np.random.default_rng(8)
     base = r.standard_normal((300, 32))
