@@ -25,8 +25,10 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _PART = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]{1,200}(?::[^\s@/]{0,200})?(?=@)")
-_SECRET = re.compile(r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9_/+.-]{16,512}=*)")
+# Both without an upper bound, and linear: possessive, and no two matches scan the same characters,
+# for one starts behind "://" and stops at "/", the other starts behind ":" or "=" and stops there.
+_USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]++(?::[^\s@/]*+)?+(?=@)")
+_SECRET = re.compile(r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9_/+.-]{16,}+=*+)")
 _IBAN = re.compile(r"[ :=#.]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _ACCOUNT_NO = re.compile(r"(?:[ \t]?(?:number|no\.?|nr\.?|#))?[ \t]?[:=#][ \t]?([0-9](?:[ -]?[0-9]){5,19})(?![0-9])")
 _STREET = re.compile(r"[0-9]{1,5}[A-Za-z]? (?:[A-Z][a-z]{1,20} ){1,3}$")

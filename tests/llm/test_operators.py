@@ -256,6 +256,16 @@ def test_pii_adds_validated_accounts_and_addresses():
     assert pii.find_spans("The token was lost on the road to the account of a Street.") == []
 
 
+def test_pii_long_credentials_are_found_whole(spark):
+    secret, password = "aB3_" * 225, "p4ss" * 100
+    t = f"token={secret} see https://{'user' * 60}:{password}@host/x"
+    assert [t[a:b] for k, a, b in pii.find_spans(t) if k == "account"] == [secret, f"{'user' * 60}:{password}"]
+    row = pii.redact_documents(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    assert row["text"] == "token=<ACCOUNT> see https://<ACCOUNT>@host/x"
+    for long in ("token=" * 100_000, "token=a1" * 100_000, "://a" * 100_000, "://a:" * 100_000, "token" * 100_000 + "=" + "a1" * 100_000):
+        pii.find_spans(long)
+
+
 def test_pii_is_linear_in_long_runs():
     for t in ("a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "+1" + "(" * 200_000, "@" * 100_000):
         pii.find_spans(t)
