@@ -24,9 +24,12 @@ def virtual_slot(*keys: str | Column, n_slots: int = N_SLOTS) -> Column:
     return F.pmod(row_key(*keys), F.lit(n_slots)).cast("int")
 
 
-def slot_totals(slotted: DataFrame, slot: str = "vslot", size: str = "size") -> list[tuple[int, int, int]]:
-    """(slot, bytes, rows) of the slots in use: one aggregate, at most ``n_slots`` rows."""
-    rows = slotted.groupBy(slot).agg(F.sum(size).alias("b"), F.count("*").alias("n")).collect()
+def slot_totals(slotted: DataFrame, slot: str = "vslot", size: str = "size",
+                copies: str | None = None) -> list[tuple[int, int, int]]:
+    """(slot, bytes, rows) of the slots in use: one aggregate, at most ``n_slots`` rows.
+    A row stands for ``copies`` rows, or for itself."""
+    n = F.col(copies) if copies else F.lit(1)
+    rows = slotted.groupBy(slot).agg(F.sum(F.col(size) * n).alias("b"), F.sum(n).alias("n")).collect()
     return sorted((r[0], r["b"] or 0, r["n"]) for r in rows)
 
 
@@ -115,24 +118,39 @@ def shard_documents(
     Returns ``key``, size (UTF-8 bytes of the text, none for null, plus 8),
     text_crc32, vslot, shard and slot (the row's number within its shard). The
     slot hashes key and text, so records whose key is null spread by their
-    text; rows alike in both share a slot. Other columns, whatever their names,
-    are not read. An empty table gives an empty result. The texts are read
-    once: sizes and slots are written as a narrow table, from which the totals
-    and the numbering are made. Numbering sorts within virtual slots, thousands
-    of which spread over the tasks; no task holds a whole shard.
+    text. Rows alike in both share a slot up to a slot's fair share of the
+    bytes; more of them go by parts to slots of a hash with the part's number.
+    Other columns, whatever their names, are not read. An empty table gives an
+    empty result. The texts are read once: sizes and slots of the different
+    rows, with their counts, are written as a narrow table, from which the
+    totals and the numbering are made. Numbering sorts within virtual slots,
+    thousands of which spread over the tasks; no task holds a whole shard.
     """
     spark = docs.sparkSession
     narrow = written(docs.select(
-        F.col(f"`{key}`").alias(key),
+        F.col(f"`{key}`").alias("id"),
         (F.coalesce(F.octet_length(f"`{text}`"), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col(f"`{text}`").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        virtual_slot(f"`{key}`", f"`{text}`", n_slots=n_slots).alias("vslot")), "sharding")
-    totals = slot_totals(narrow)
+        row_key(f"`{key}`", f"`{text}`").alias("hash"),
+    ).groupBy("id", "size", "text_crc32", "hash").agg(F.count("*").alias("n")), "sharding")
+    fair = (narrow.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0) / n_slots
+    # A part is of ``most`` rows, the last one of the rest; part 0 goes by the hash alone.
+    most = F.greatest(F.lit(1), F.floor(F.lit(float(fair)) / F.col("size"))).cast("long")
+    parts = narrow.withColumn("most", most).withColumn(
+        "part", F.explode(F.expr("sequence(0, cast((n - 1) div most as bigint))")))
+    parts = parts.withColumn("n", F.least(F.col("most"), F.col("n") - F.col("part") * F.col("most")))
+    slot = F.when(F.col("part") == 0, F.col("hash")).otherwise(F.xxhash64("hash", "part"))
+    parts = written(parts.select("id", "size", "text_crc32", "hash", "part", "n",
+                                 F.pmod(slot, F.lit(n_slots)).cast("int").alias("vslot")), "sharding-parts")
+    totals = slot_totals(parts, copies="n")
     path = map_path or scratch_path(spark, "slot-map")
     store_map(spark, balance(totals, n_shards, n_slots), path, 1, totals)
-    placed = assign(narrow, load_map(spark, path, 1))
-    order = Window.partitionBy("vslot").orderBy(key, "size", "text_crc32")
-    return placed.withColumn("slot", F.col("first_row") + F.row_number().over(order) - 1).drop("first_row")
+    placed = assign(parts, load_map(spark, path, 1))
+    before = Window.partitionBy("vslot").orderBy("id", "size", "text_crc32", "hash", "part").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("end", F.col("first_row") + F.sum("n").over(before))
+    return placed.select(F.col("id").alias(key), "size", "text_crc32", "vslot", "shard",
+                         F.explode(F.expr("sequence(end - n, end - 1)")).alias("slot"))
 
 
 def op9_virtual_slots(docs: DataFrame) -> DataFrame:

@@ -342,6 +342,20 @@ def test_shards_are_even_and_gapless(spark, tmp_dir):
     assert max(size.values()) - min(size.values()) <= largest
 
 
+def test_shards_are_even_with_many_rows_alike(spark):
+    alike = [(None, "same text " * 10)] * 2000 + [(7, None)] * 1000
+    rows = [*alike, *((i, "own %d " % i * 12) for i in range(100, 6100))]
+    got = sharding.op9_virtual_slots(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    want = Counter((k, len(t or "") + 8) for k, t in rows)
+    assert Counter((r["doc_id"], r["size"]) for r in got) == want
+    size, slots = Counter(), defaultdict(list)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(slots) == 24 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(size.values()) - min(size.values()) <= 0.01 * sum(size.values()) / 24
+
+
 def test_growing_moves_slots_into_the_new_shard_only(spark, tmp_dir):
     r = random.Random(5)
     totals = [(s, r.randint(1, 1000), 3) for s in range(400)]
