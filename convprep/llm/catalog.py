@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convprep.llm import jaccard, language, lm, mixing, neardup, packing, pii, quality, sharding, substrings
+from convprep.llm import centroids, jaccard, language, lm, mixing, neardup, packing, pii, quality, sharding, substrings
 from convprep.llm.common import load
 
 
@@ -48,6 +48,10 @@ def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op10_string_kernel(load(spark, sf_dir, "documents"))
 
 
+def op12_walsh_hadamard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.op12_walsh_hadamard(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_nn_descent": op2_nn_descent,
@@ -59,6 +63,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_virtual_slots": op9_virtual_slots,
     "op10_string_kernel": op10_string_kernel,
+    "op12_walsh_hadamard": op12_walsh_hadamard,
 }
 
 ORACLE = {
@@ -66,4 +71,5 @@ ORACLE = {
     "op2_nn_descent": neardup.ORACLE_OP2,
     "op3_super_kmers": substrings.ORACLE_OP3,
     "op6_pareto_mix": mixing.ORACLE_OP6,
+    "op12_walsh_hadamard": centroids.ORACLE_OP12,
 }
