@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convprep.llm import centroids, jaccard, language, lm, mixing, neardup, packing, pii, quality, sharding, substrings
+from convprep.llm import centroids, jaccard, language, linecrf, lm, mixing, neardup, packing, pii, quality, sharding, substrings
 from convprep.llm.common import load
 
 
@@ -48,6 +48,10 @@ def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op10_string_kernel(load(spark, sf_dir, "documents"))
 
 
+def op11_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linecrf.op11_line_crf(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op12_walsh_hadamard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.op12_walsh_hadamard(load(spark, sf_dir, "embeddings"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_virtual_slots": op9_virtual_slots,
     "op10_string_kernel": op10_string_kernel,
+    "op11_line_crf": op11_line_crf,
     "op12_walsh_hadamard": op12_walsh_hadamard,
 }
 

@@ -32,7 +32,6 @@ SEED = 3
 CLUSTERS = 8
 ROUNDS = 10
 STEPS = (4, 16)  # coefficients seen when centroids are dropped; then all
-_CHUNK = 16_384  # vectors searched at a time
 _EXACT = 1 << 23  # below this, sums of squares of 64 coefficients fit 64 bits
 
 
@@ -139,25 +138,19 @@ def cluster(
     kept = df.where(_kept(column, dim)).select(F.col(f"`{key}`").alias("id"), column.alias("v"))
     whole = kept.select("id", _floors(F.col("v"), scale).alias("v"))
 
-    def to_coefficients(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = _integers(pdf["v"], dim)
-            wide = x.dtype == object
-            c = transform(x)
-            packed = [" ".join(map(str, r)).encode() for r in c] if wide else [r.tobytes() for r in c.astype(np.int64)]
-            yield pd.DataFrame({"id": pdf["id"], "wide": wide, "coef": packed})
+    @F.pandas_udf("wide boolean, coef binary")
+    def to_coefficients(vectors: pd.Series) -> pd.DataFrame:
+        x = _integers(vectors, dim)
+        wide = x.dtype == object
+        c = transform(x)
+        return pd.DataFrame({"wide": [wide] * len(x), "coef": [
+            " ".join(map(str, r)).encode() if wide else r.astype(np.int64).tobytes() for r in c]})
 
-    def unpack(pdf: pd.DataFrame) -> np.ndarray:
-        if pdf["wide"].any():
+    def unpack(wide: pd.Series, coef: pd.Series) -> np.ndarray:
+        if wide.any():
             return np.array([[int(v) for v in c.split()] if w else np.frombuffer(c, np.int64).tolist()
-                             for w, c in zip(pdf["wide"], pdf["coef"], strict=True)], object).reshape(len(pdf), dim)
-        return np.frombuffer(b"".join(pdf["coef"]), np.int64).reshape(len(pdf), dim)
-
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), _CHUNK):
-                part = pdf.iloc[lo:lo + _CHUNK]
-                yield part, unpack(part)
+                             for w, c in zip(wide, coef, strict=True)], object).reshape(len(coef), dim)
+        return np.frombuffer(b"".join(coef), np.int64).reshape(len(coef), dim)
 
     label = F.when(F.col("id").isNotNull(), F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256))
     first = whole.select("v", label.alias("h")).orderBy(F.col("h").asc_nulls_last(), "v").limit(clusters).collect()
@@ -165,7 +158,7 @@ def cluster(
     if not len(centers):
         empty = spark.createDataFrame([], f"id {kind}, cluster int, distance long")
         return empty.withColumnRenamed("id", key), centers
-    stored = written(whole.mapInPandas(to_coefficients, f"id {kind}, wide boolean, coef binary"), "centroid-coefficients")
+    stored = written(whole.select("id", to_coefficients("v").alias("c")).select("id", "c.wide", "c.coef"), "centroid-coefficients")
 
     def narrow(x: np.ndarray) -> np.ndarray:
         """Python integers as 64-bit ones where squares fit."""
@@ -175,7 +168,8 @@ def cluster(
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums = np.zeros((len(coef_centers), dim), object)
             counts = np.zeros(len(coef_centers), np.int64)
-            for _, coef in chunks(batches):
+            for pdf in batches:
+                coef = unpack(pdf["wide"], pdf["coef"])
                 best, _, _ = nearest(coef, coef_centers)
                 for c in np.unique(best):
                     sums[c] += coef[best == c].sum(axis=0).astype(object)
@@ -187,7 +181,7 @@ def cluster(
 
     for _ in range(rounds):
         here = narrow(transform(centers))
-        got = stored.mapInPandas(partial(here), "cluster int, i int, s string, n long").groupBy("cluster", "i").agg(
+        got = stored.select("wide", "coef").mapInPandas(partial(here), "cluster int, i int, s string, n long").groupBy("cluster", "i").agg(
             F.sum(F.col("s").cast("decimal(38,0)")).alias("s"), F.sum("n").alias("n")).collect()
         sums = np.zeros((len(centers), dim), object)
         counts = np.zeros(len(centers), object)
@@ -199,13 +193,13 @@ def cluster(
 
     last = narrow(transform(centers))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, coef in chunks(batches):
-            best, far, _ = nearest(coef, last)
-            yield pd.DataFrame({"id": part["id"], "cluster": best, "distance": far // dim})
+    @F.pandas_udf("cluster int, distance long")
+    def assign(wide: pd.Series, coef: pd.Series) -> pd.DataFrame:
+        best, far, _ = nearest(unpack(wide, coef), last)
+        return pd.DataFrame({"cluster": best, "distance": far // dim})
 
-    out = stored.mapInPandas(assign, f"id {kind}, cluster int, distance long")
-    return out.withColumnRenamed("id", key), centers
+    out = stored.select(F.col("id").alias(key), assign("wide", "coef").alias("_a"))
+    return out.select(F.col(f"`{key}`"), "_a.cluster", "_a.distance"), centers
 
 
 def op12_walsh_hadamard(embeddings: DataFrame) -> DataFrame:
