@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convprep.llm import centroids, jaccard, language, linecrf, lm, mixing, neardup, packing, pii, quality, sharding, substrings
+from convprep.llm import centroids, jaccard, language, linecrf, lm, mixing, neardup, packing, pii, quality, sharding, substrings, trie
 from convprep.llm.common import load
 
 
@@ -56,6 +56,10 @@ def op12_walsh_hadamard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.op12_walsh_hadamard(load(spark, sf_dir, "embeddings"))
 
 
+def op13_double_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.op13_double_array(load(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_nn_descent": op2_nn_descent,
@@ -69,6 +73,7 @@ QUERIES = {
     "op10_string_kernel": op10_string_kernel,
     "op11_line_crf": op11_line_crf,
     "op12_walsh_hadamard": op12_walsh_hadamard,
+    "op13_double_array": op13_double_array,
 }
 
 ORACLE = {
@@ -77,4 +82,5 @@ ORACLE = {
     "op3_super_kmers": substrings.ORACLE_OP3,
     "op6_pareto_mix": mixing.ORACLE_OP6,
     "op12_walsh_hadamard": centroids.ORACLE_OP12,
+    "op13_double_array": trie.ORACLE_OP13,
 }

@@ -175,6 +175,8 @@ def cluster(
                     sums[c] += coef[best == c].sum(axis=0).astype(object)
                     counts[c] += (best == c).sum()
             at = np.flatnonzero(counts)
+            if not len(at):
+                return
             yield pd.DataFrame({"cluster": np.repeat(at, dim), "i": np.tile(np.arange(dim), len(at)),
                                 "s": [str(v) for v in sums[at].flat], "n": np.repeat(counts[at], dim)})
         return run
