@@ -39,12 +39,12 @@ def flatten_ids(nested) -> Column:
 
 
 def parse_id_list(text) -> Column:
-    """``'[1, 2]'`` -> ``array<int>``; malformed -> NULL, no code is run."""
-    return F.from_json(_col(text), "array<int>")
+    """``'[1, 2]'`` -> ``array<bigint>``; malformed -> NULL, no code is run."""
+    return F.from_json(_col(text), "array<bigint>")
 
 
 def format_id_list(ids) -> Column:
-    """Inverse of :func:`parse_id_list`: ``array<int>`` -> ``'[1,2]'``."""
+    """Inverse of :func:`parse_id_list`: ``array<bigint>`` -> ``'[1,2]'``."""
     return F.to_json(_col(ids))
 
 

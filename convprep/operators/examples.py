@@ -7,14 +7,15 @@ joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convprep.functions.arrays import concat_ids, pad_sequence, parse_id_list
+from convprep.functions.arrays import concat_ids, ids_text, pad_sequence, parse_id_list
 from convprep.functions.text import prepend_text, pretokenize
-from convprep.operators.index import assign_batches
+from convprep.operators.index import ROW, assign_batches, with_row_id
 from convprep.operators.tokens import UNK_ID, encode
 
 KINDS = ("prepend_nospace", "prepend_space", "keyword")
@@ -26,7 +27,7 @@ def format_examples(
     vocab: DataFrame | None = None,
     pattern: str = "blank",
     unk_id: int | None = UNK_ID,
-    vocab_rows: int | None = None,
+    same_vocab: bool = False,
 ) -> DataFrame:
     """C5 on a D10 table (``id, text, keywords, used_keywords, text_ids,
     keyword_ids``):
@@ -34,7 +35,10 @@ def format_examples(
     * ``prepend_nospace``: ``(id, ids)`` with ``ids = keyword_ids + text_ids``;
     * ``prepend_space``: ``(id, ids)``: the text with the ``keywords``
       (not ``used_keywords``) put in front, last first, re-encoded with
-      ``vocab``;
+      ``vocab``. With ``same_vocab`` the caller says that ``text_ids`` come from
+      this vocabulary and pattern; split at blanks, the joined text has the
+      tokens of the keywords and then those of the text, so only the
+      keywords are encoded;
     * ``keyword``: ``(id, text_ids, keyword_ids)``.
     """
     if kind == "prepend_nospace":
@@ -42,10 +46,15 @@ def format_examples(
     if kind == "prepend_space":
         if vocab is None:
             raise ValueError("prepend_space re-encodes text: give vocab")
+        if same_vocab and pattern == "blank":
+            front = F.array_join(F.reverse(F.coalesce("keywords", F.array().cast("array<string>"))), " ")
+            staged = df.select("id", "text_ids", pretokenize(front, pattern).alias("_cp_t"))
+            enc = encode(staged, ["id", "text_ids"], ["_cp_t"], ["_cp_k"], vocab, unk_id=unk_id, join_back=False)
+            none = F.array().cast("array<bigint>")
+            return enc.select("id", concat_ids("_cp_k", F.coalesce("text_ids", none)).alias("ids"))
         staged = df.select("id", "text", "keywords")
         staged = staged.select("id", pretokenize(prepend_text("text", "keywords"), pattern).alias("_cp_t"))
-        return encode(staged, ["id"], ["_cp_t"], ["ids"], vocab, unk_id=unk_id, vocab_rows=vocab_rows,
-                      join_back=False)
+        return encode(staged, ["id"], ["_cp_t"], ["ids"], vocab, unk_id=unk_id, join_back=False)
     if kind == "keyword":
         return df.select("id", "text_ids", "keyword_ids")
     raise ValueError(f"unknown kind {kind!r}; one of {KINDS}")
@@ -80,26 +89,55 @@ def pad_batches(
 ) -> DataFrame:
     """Padded batches from a batch assignment (W6) and examples.
 
-    Only narrow columns take the batch-wide steps: the width is a window max
-    per ``(epoch, batch_id)`` over list sizes, and the wide lists are joined
+    Both come from one frame with surrogate row ids
+    (:func:`convprep.operators.index.with_row_id`) and are joined by them, so
+    rows with null or repeated keys come back once per epoch, with their own
+    lists. Only narrow columns take the batch-wide steps: the width is a window
+    max per ``(epoch, batch_id)`` over list sizes, and the wide lists are joined
     once at the end. When ``assigned`` already carries the list size in a
-    ``sizes`` column (assign batches on ``(key, size)``), no size join is
-    needed. ``keep`` carries extra example columns unpadded (the ragged
-    keyword ids of the ``keyword`` kind). Output ``epoch, batch_id,
-    pos_in_batch, key, width, padded_ids, keep...``.
+    ``sizes`` column, no size join is needed. ``keep`` carries extra example
+    columns unpadded (the ragged keyword ids of the ``keyword`` kind). Output
+    ``epoch, batch_id, pos_in_batch, key, width, padded_ids, keep...``.
     """
-    narrow = assigned.select("epoch", "batch_id", "pos_in_batch", key, *([sizes] if sizes else []))
+    for name, df in (("assigned", assigned), ("examples", examples)):
+        if ROW not in df.columns:
+            raise ValueError(f"{name} has no row ids: take both from with_row_id()")
+    narrow = assigned.select("epoch", "batch_id", "pos_in_batch", ROW, *([sizes] if sizes else []))
     if not sizes:
         sizes = "_cp_n"
-        narrow = narrow.join(examples.select(key, F.size(ids).alias(sizes)), key)
+        narrow = narrow.join(examples.select(ROW, F.size(ids).alias(sizes)), ROW)
     narrow = max_len_per_batch(narrow, None, "width", sizes=sizes).drop(sizes)
-    wide = narrow.join(examples.select(key, ids, *keep), key)
+    wide = narrow.join(examples.select(ROW, key, ids, *keep), ROW)
     return wide.select(
         "epoch", "batch_id", "pos_in_batch", key, "width",
         pad_sequence(ids, F.col("width"), pad_id).alias("padded_ids"), *keep,
     )
 
 
+def assign_examples(
+    examples: DataFrame, batch_size: int, epochs: int, seed: int, ids: str = "ids", key: str = "id",
+) -> tuple[DataFrame, DataFrame]:
+    """W6 over examples: ``(assigned, examples)``, both with row ids.
+
+    ``assigned`` is narrow: ``key``, the list's size ``n_ids``, and the batch.
+    The order of an epoch is that of ``md5(seed:epoch:key)``; examples that share a key go
+    by their lists, and examples alike in both are told apart by their row id.
+    """
+    staged = with_row_id(examples)
+    narrow = staged.select(ROW, key, F.size(ids).alias("n_ids"), F.md5(ids_text(ids)).alias("_cp_tie"))
+    return assign_batches(narrow, batch_size, epochs, seed, row_id=key, ties=["_cp_tie"]).drop("_cp_tie"), staged
+
+
+def batch_examples(
+    examples: DataFrame, batch_size: int, epochs: int, seed: int, ids: str = "ids", pad_id: int = 0,
+    key: str = "id", keep: Sequence[str] = (),
+) -> DataFrame:
+    """Examples -> shuffled, padded batches; every example once per
+    epoch, whatever its key."""
+    assigned, staged = assign_examples(examples.select(key, ids, *keep), batch_size, epochs, seed, ids, key)
+    return pad_batches(assigned, staged, ids, pad_id, key, keep, sizes="n_ids")
+
+
 def stored_sequences(
     stored: DataFrame | str,
     sample_column: str = "token_ids",
@@ -124,14 +162,13 @@ def stored_sequences(
     from pyspark.sql import types as T
 
     if isinstance(stored.schema[sample_column].dataType, T.ArrayType):
-        ids = F.col(sample_column).cast("array<int>")  # Parquet stage (S9): native lists
+        ids = F.col(sample_column).cast("array<bigint>")  # Parquet stage (S9): native lists
     else:
         ids = parse_id_list(sample_column)  # CSV stage (S7): lists as text
         bad = F.concat(F.lit("not a list of ids: "), F.col(sample_column))
         ids = F.when(F.col(sample_column).isNull() | ids.isNotNull(), ids).otherwise(F.raise_error(bad))
     parsed = stored.select(F.col(key), ids.alias("ids")).where(F.col("ids").isNotNull())
-    assigned = assign_batches(parsed.select(key, F.size("ids").alias("_cp_n")), batch_size, epochs, seed, row_id=key)
-    return pad_batches(assigned, parsed, "ids", pad_id, key, sizes="_cp_n")
+    return batch_examples(parsed, batch_size, epochs, seed, "ids", pad_id, key)
 
 
 def token_pairs(
@@ -170,11 +207,37 @@ def apply_batch(
     df: DataFrame, fn: Callable, schema: str, keys: Sequence[str] = ("epoch", "batch_id")
 ) -> DataFrame:
     """the open collate hook: ``fn(pandas.DataFrame) -> pandas.DataFrame``
-    once per batch (groups are bounded by the batch size)."""
+    once per batch.
+
+    Batches are ranges of the sorted keys, so rows are range-partitioned on them
+    (a batch lies in one partition) and cut where the keys change as they stream
+    by: one Python call and one result per Arrow batch of rows, however small
+    the batches are.
+    """
     from convprep.session import ship_package
 
     ship_package(df.sparkSession)
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+    by = list(keys)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            at = pdf[by]
+            before = at.shift()
+            new = (at.ne(before) & ~(at.isna() & before.isna())).any(axis=1).to_numpy()
+            starts = [0, *[i for i in new.nonzero()[0].tolist() if i]]
+            done = [fn(pdf.iloc[a:b].reset_index(drop=True)) for a, b in zip(starts, starts[1:], strict=False)]
+            held = pdf.iloc[starts[-1]:].reset_index(drop=True)  # may go on in the next Arrow batch
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held is not None:
+            yield fn(held)
+
+    return df.repartitionByRange(*by).sortWithinPartitions(*by).mapInPandas(cut, schema)
 
 
 def next_token_pairs(df: DataFrame, key: Sequence[str], col: str) -> DataFrame:

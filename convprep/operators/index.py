@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convprep.functions.random import md5_key
-from convprep.operators.limits import DEFAULT_MAX_BROADCAST_ROWS
-from convprep.session import cut_lineage
+from convprep.session import cut_lineage, stored
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row
 
@@ -49,8 +48,7 @@ def dense_index(
     ``order`` holds column names (ascending) or sort expressions such as
     ``F.desc("n")``. The offset table has at most ``buckets + groups`` rows.
     Without ``partition_by`` that is the number of buckets, and it is
-    broadcast; with it the table is written and counted, and broadcast up to
-    :data:`DEFAULT_MAX_BROADCAST_ROWS` rows. Null groups are numbered like others.
+    broadcast; with it Spark joins the table as its size in bytes allows. Null groups are numbered like others.
     """
     parts = list(partition_by)
     sort = [F.col(p).asc() for p in parts] + _sort_exprs(order)
@@ -77,10 +75,8 @@ def dense_index(
     )
     before = Window.partitionBy(*parts).orderBy("_cp_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_cp_first", F.coalesce(F.sum("_cp_n").over(before), F.lit(0)).alias("_cp_off"))
-    if parts:
-        offsets = cut_lineage(offsets)
-    if not parts or offsets.count() <= DEFAULT_MAX_BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
+    if not parts:
+        offsets = F.broadcast(offsets)  # a row per bucket
     on = reduce(and_, [F.col(f"l.`{k}`").eqNullSafe(F.col(f"o.`{k}`")) for k in keys])
     number = (F.col("o._cp_off") + F.col("l._cp_local") - F.col("o._cp_first")).cast("bigint")
     return local.alias("l").join(offsets.alias("o"), on).select(
@@ -99,6 +95,20 @@ def shuffle_rows(df: DataFrame, seed: int, epoch: int = 0, row_id: str = "row_id
     return dense_index(keyed, ["_cp_key", row_id], out=out).drop("_cp_key")
 
 
+ROW = "_cp_row"  # surrogate row id
+
+
+def with_row_id(df: DataFrame) -> DataFrame:
+    """``df`` with a surrogate id of each row in :data:`ROW`.
+
+    The ids are given as the rows are written, once, to the shared folder: all
+    that reads the result sees the same id for a row, and rows with null or
+    repeated keys are rows of their own. An id says nothing about order, and
+    another run may give other ids.
+    """
+    return stored(df.drop(ROW).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def assign_batches(
     df: DataFrame,
     batch_size: int,
@@ -106,21 +116,26 @@ def assign_batches(
     seed: int,
     row_id: str = "row_id",
     num_buckets: int | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """One shuffled pass over all rows per epoch, cut into batches.
 
     Adds ``epoch, batch_id, pos_in_batch`` (the last batch may be short).
     The order is ``md5(seed:epoch:row_id)``, so each epoch is a fresh,
-    repeatable permutation. Only keys are range-shuffled; join wide columns
-    back afterwards (see :func:`convprep.operators.examples.pad_batches`).
+    repeatable permutation. Rows that share ``row_id`` (or have none) go by the
+    columns ``ties`` and at last by their surrogate id, if there is one. Only
+    what ``df`` holds is range-shuffled; pass narrow frames and join
+    wide columns back by the surrogate id (:func:`with_row_id`,
+    :func:`convprep.operators.examples.batch_examples`).
     """
     if batch_size <= 0 or epochs <= 0:
         raise ValueError("batch_size and epochs must be positive")
     keyed = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn(
         "_cp_key", md5_key(seed, "epoch", row_id)
     )
+    last = [ROW] if ROW in df.columns else []
     ranked = dense_index(
-        keyed, ["_cp_key", row_id], out="_cp_rn", partition_by=["epoch"], num_buckets=num_buckets
+        keyed, ["_cp_key", row_id, *ties, *last], out="_cp_rn", partition_by=["epoch"], num_buckets=num_buckets
     )
     return (
         ranked.withColumn("batch_id", F.floor(F.col("_cp_rn") / batch_size).cast("bigint"))

@@ -5,17 +5,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convprep.functions.arrays import dedupe, map_lookup_or_self, take_last, topic_field
+from convprep.functions.arrays import dedupe, take_last, topic_field
 from convprep.functions.text import strip_sentiment
 from convprep.operators.lookup import SELF, lookup_arrays
-
-# A synonym dict up to this many entries is inlined as a map literal, which
-# spares a shuffle; larger ones (or DataFrames) go through a join. Both give
-# the same rows.
-MAX_INLINE_SYNONYMS = 10_000
+from convprep.session import ship_package
 
 TOPIC_LINK_TYPE = (
     "array<struct<cluster:string,phrase:string,phrase_synonym:string,disease:string,type:string>>"
@@ -64,6 +63,21 @@ def synonym_table(synonyms: DataFrame, key: str = "keyword", value: str = "trans
     return synonyms.groupBy(F.col(key).alias("keyword")).agg(F.max(value).alias("translation"))
 
 
+def _translate(synonyms: dict[str, str]):
+    """Arrow function: the elements of string lists, translated where ``synonyms`` has them."""
+    keys, values = list(synonyms), list(synonyms.values())
+
+    @F.arrow_udf("array<string>")
+    def translate(lists: pa.Array) -> pa.Array:
+        words = lists.flatten()
+        place = pc.index_in(words, value_set=pa.array(keys, words.type))
+        found = pc.coalesce(pa.array(values, words.type).take(place), words)
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), found)
+
+    return translate
+
+
 def translate_keywords(
     df: DataFrame,
     synonyms: Mapping[str, str] | DataFrame | None = None,
@@ -77,29 +91,18 @@ def translate_keywords(
     With ``synonyms`` each is translated (a miss keeps the keyword) and the
     result de-duplicated (first occurrence kept); without, the picked
     keywords are kept as they are, duplicates included. Null keyword lists
-    count as empty. A dict up to :data:`MAX_INLINE_SYNONYMS` entries becomes a
-    map literal (no join); a DataFrame ``(keyword, translation)`` or a larger
-    dict is joined (``key`` must be unique).
+    count as empty. A dict, which the driver holds, goes to the tasks with the
+    function and is looked up by hash, an Arrow batch at a time; a DataFrame
+    ``(keyword, translation)`` goes through the block dictionaries of
+    :func:`lookup_arrays`. Neither depends on how many entries there are, and both give the
+    same rows. ``key`` is only carried along.
     """
     picked = take_last(col, number_of_keywords)
     if synonyms is None:
         return df.withColumn(out, picked)
-    if isinstance(synonyms, Mapping) and len(synonyms) <= MAX_INLINE_SYNONYMS:
-        if not synonyms:
-            return df.withColumn(out, F.array_distinct(picked))
-        m = F.create_map(*[F.lit(x) for kv in sorted(synonyms.items()) for x in kv])
-        translated = F.transform(picked, lambda k: map_lookup_or_self(k, m))
-        return df.withColumn(out, F.array_distinct(translated))
     if isinstance(synonyms, Mapping):
-        spark = df.sparkSession
-        table = spark.createDataFrame(list(synonyms.items()), "keyword string, translation string")
-        rows = len(synonyms)
-    else:
-        table = synonym_table(synonyms)
-        rows = None
-    staged = df.withColumn("_cp_picked", picked)
-    looked = lookup_arrays(
-        staged, [key], ["_cp_picked"], ["_cp_tr"], table, "keyword", "translation", "string",
-        default=SELF, table_rows=rows,
-    )
-    return looked.withColumn(out, F.array_distinct("_cp_tr")).drop("_cp_picked", "_cp_tr")
+        ship_package(df.sparkSession)
+        return df.withColumn(out, F.array_distinct(_translate(dict(synonyms))(picked)))
+    table = synonym_table(synonyms)
+    looked = lookup_arrays(df, [key], [picked], ["_cp_tr"], table, "keyword", "translation", "string", default=SELF)
+    return looked.withColumn(out, F.array_distinct("_cp_tr")).drop("_cp_tr")

@@ -1,39 +1,42 @@
-"""Element-wise lookup of array columns through a key/value table.
+"""Element-wise lookup of array columns through a key/value table, by block
+dictionaries.
 
 This is the equi-join behind encode (token -> id), decode (id -> token) and
 keyword translation (keyword -> synonym). Plan:
 
-1. give every row an internal id, a hash of all its columns, and
-   hash-partition by it: the raw rows move once, and array expressions
-   (tokenizing) run after the exchange, in parallel. Keys of the caller may
-   repeat or be null: rows that differ never share an id, and rows alike in
-   everything get the same arrays;
-2. ``explode_outer`` the arrays (narrow: partitioning is kept; rows without
-   elements still reach the aggregate);
-3. join the table: broadcast when its row count is known and under
-   ``max_broadcast_rows``, otherwise a shuffle join (AQE may still turn it
-   into a broadcast at run time and splits skewed keys, e.g. a token that
-   is a third of all tokens);
-4. re-collect per id in position order (a set, so rows alike add nothing):
-   with a broadcast table the aggregation needs no exchange, since rows are
-   still partitioned by id;
-5. join the arrays back to the rows on the id (same partitioning); with
-   ``join_back=False`` only to the key columns.
+1. the rows are cut into blocks of about ``block_elements`` elements where
+   they lie, without a shuffle: each block's elements become codes into the
+   block's dictionary of distinct elements (Arrow's dictionary encoding).
+   This stage is written once; the dictionary sits in the block's first row.
+   A row's place in its block is its identity: keys of the caller may repeat
+   or be null, and rows alike are rows of their own;
+2. each dictionary entry is joined to the table once per block, however often
+   the element occurs, so a frequent element is no hot key;
+3. the found values go back to their block as one array, and every code is
+   replaced by the value at its place, in codegen and without a hash.
+
+No element, key or row hash is shuffled. The rows move at most once, by
+block, and not at all where Spark finds the value arrays small enough to
+broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from convprep.operators.limits import DEFAULT_MAX_BROADCAST_ROWS
+from convprep.session import ship_package, stored
 
 SELF = object()  # default marker: a miss keeps the looked-up element
 FAIL = object()  # default marker: a miss stops the run
 
+BLOCK_ELEMENTS = 200_000  # for scalar values
+BLOCK_ELEMENTS_WIDE = 20_000  # where a value is an array or struct
+
 
 def or_fail(value: Column, key: Column, what: str) -> Column:
     """``value``, or an error naming ``key`` where it is null."""
@@ -41,35 +44,113 @@ def or_fail(value: Column, key: Column, what: str) -> Column:
         F.lit(f"no {what} for "), F.coalesce(key.cast("string"), F.lit("null")))))
 
 
-def row_id(df: DataFrame) -> Column:
-    """A 64-bit hash of all columns of a row, nulls and their places included
-    (``xxhash64`` alone passes over nulls; maps, which have no hash, are left out)."""
-    parts = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.MapType):
-            c = F.array_sort(F.map_keys(c))
-        parts += [c, c.isNull()]
-        if isinstance(f.dataType, T.ArrayType):
-            parts.append(F.transform(c, lambda x: x.isNull()))
-    return F.xxhash64(*parts)
-
-
-def null_key_salt(key: Sequence[str], key_type: str) -> Column:
-    """A join key for rows without a real one, spread over partitions by
-    the row id: a string starting with NUL, or a negative number below -1."""
-    h = F.xxhash64(*[F.col(k) for k in key])
-    if key_type == "string":
-        return F.concat(F.lit("\u0000"), h.cast("string"))
-    return (F.lit(-2) - F.pmod(h, F.lit(1 << 30))).cast(key_type)
-
-
-def _tagger(j: int):
-    return lambda x, i: F.struct(F.lit(j).alias("c"), i.alias("p"), x.alias("k"))
-
-
-def _is_tag(j: int):
-    return lambda x: x["c"] == j
+def code_blocks(
+    df: DataFrame, cols: Sequence[str | Column], key_type: str = "string",
+    block_elements: int = BLOCK_ELEMENTS, keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """``df`` (or its columns ``keep``) with a struct ``_cp``: block ``b``, the
+    codes ``c0, c1, ...`` of the arrays ``cols``, and in the first row of each
+    block its dictionary ``d`` with the counts ``n`` of its elements.
+
+    Columns of ``cols`` are names or array expressions (e.g. ``pretokenize``),
+    evaluated once. A null array has null codes, a null element a null code. A
+    block ends with the row that reaches ``block_elements``; an Arrow batch ends
+    it too. Written once, so that all that reads it sees the same blocks.
+    """
+    ship_package(df.sparkSession)
+    codes = ",".join(f"c{j}:array<int>" for j in range(len(cols)))
+    names = ["b", *[f"c{j}" for j in range(len(cols))], "d", "n"]
+
+    @F.arrow_udf(f"struct<b:bigint,{codes},d:array<{key_type}>,n:array<bigint>>")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            arrays = batch.flatten()
+            lengths = [a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for a in arrays]
+            before = np.cumsum(sum(lengths)) - sum(lengths)
+            number = before // block_elements
+            starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else before
+            stops = np.append(starts[1:], len(number))
+            values: list[list] = [[] for _ in arrays]
+            dictionaries, counts, sizes = [], [], np.zeros(len(number), np.int64)
+            for lo, hi in zip(starts.tolist(), stops.tolist(), strict=True):
+                parts = [a.slice(lo, hi - lo).flatten() for a in arrays]
+                coded = (parts[0] if len(parts) == 1 else pa.concat_arrays(parts)).dictionary_encode()
+                at = 0
+                for v, p in zip(values, parts, strict=True):
+                    v.append(coded.indices.slice(at, len(p)).cast(pa.int32()))
+                    at += len(p)
+                dictionaries.append(coded.dictionary)
+                counts.append(np.bincount(coded.indices.drop_null().to_numpy(zero_copy_only=False),
+                                          minlength=len(coded.dictionary)))
+                sizes[lo] = len(coded.dictionary)
+            first = np.zeros(len(number), bool)
+            first[starts] = True
+
+            def lists(lengths, flat, missing):
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+                return pa.ListArray.from_arrays(offsets, flat, mask=pa.array(missing))
+
+            yield pa.StructArray.from_arrays([
+                pa.array(block + np.cumsum(first) - 1),
+                *[lists(n, pa.concat_arrays(v) if v else pa.array([], pa.int32()), a.is_null().to_numpy(zero_copy_only=False))
+                  for n, v, a in zip(lengths, values, arrays, strict=True)],
+                lists(sizes, pa.concat_arrays(dictionaries) if dictionaries else pa.array([], arrays[0].type.value_type), ~first),
+                lists(sizes, pa.array(np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64)), ~first),
+            ], names=names)
+            block += int(first.sum())
+
+    arrays = [(F.col(f"`{c}`") if isinstance(c, str) else c).cast(f"array<{key_type}>").alias(f"c{j}")
+              for j, c in enumerate(cols)]
+    kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
+    return stored(df.select(*kept, code(F.struct(*arrays)).alias("_cp")), "blocks")
+
+
+def block_counts(stage: DataFrame) -> DataFrame:
+    """``(tok, n)``: how often each element occurs in the arrays of ``stage``
+    (:func:`code_blocks`); a block sends each of its elements once."""
+    entries = stage.where("_cp.d is not null").select(F.explode(F.arrays_zip("_cp.d", "_cp.n")).alias("e"))
+    return entries.groupBy(F.col("e.d").alias("tok")).agg(F.sum("e.n").alias("n"))
+
+
+def lookup_codes(
+    stage: DataFrame, outs: Sequence[str], table: DataFrame, table_key: str, table_value: str, value_type: str,
+    default=None, inner: bool = False,
+) -> DataFrame:
+    """The rows of ``stage`` (:func:`code_blocks`) with the value of each element
+    in ``outs``, one column for each coded array; see :func:`lookup_arrays`."""
+    entries = stage.where("_cp.d is not null").select(
+        F.col("_cp.b").alias("_cp_b"), F.posexplode("_cp.d").alias("_cp_p", "_cp_k"))
+    t = table.select(F.col(f"`{table_key}`").alias("_cp_k"), F.col(f"`{table_value}`").cast(value_type).alias("_cp_v"),
+                     F.lit(True).alias("_cp_f"))
+    joined = entries.join(t, "_cp_k", "left")
+    value, key = F.col("_cp_v"), F.col("_cp_k")
+    at_null = F.lit(None).cast(value_type)
+    if default is SELF:
+        value = F.coalesce(value, key.cast(value_type))
+    elif default is FAIL and not inner:
+        value = or_fail(value, key, table_value)
+        at_null = or_fail(at_null, F.lit(None), table_value)
+    elif default is not None and not inner:
+        at_null = F.lit(default).cast(value_type)
+        value = F.coalesce(value, at_null)
+    found = F.coalesce(F.col("_cp_f"), F.lit(False)) & F.col("_cp_v").isNotNull()
+    entry = F.struct("_cp_p", value.alias("v"), *([found.alias("f")] if inner else []))
+    packed = joined.groupBy("_cp_b").agg(F.sort_array(F.collect_list(entry)).alias("_cp_s"))
+    packed = packed.select("_cp_b", F.transform("_cp_s", lambda x: x["v"]).alias("_cp_v"),
+                           *([F.transform("_cp_s", lambda x: x["f"]).alias("_cp_f")] if inner else []))
+    rows = stage.withColumn("_cp_b", F.col("_cp.b")).join(packed, "_cp_b", "left")
+    new = []
+    for j, out in enumerate(outs):
+        codes = F.col(f"_cp.c{j}")
+        if inner:
+            codes = F.filter(codes, lambda c: F.coalesce(F.get("_cp_f", c), F.lit(False)))
+        looked = F.transform(codes, lambda c: F.when(c.isNull(), at_null).otherwise(F.get("_cp_v", c)))
+        new.append(looked.cast(f"array<{value_type}>").alias(out))
+    kept = [F.col(f"`{c}`") for c in stage.columns if c != "_cp" and c not in outs]
+    return rows.select(*kept, *new)
 
 
 def lookup_arrays(
@@ -82,74 +163,22 @@ def lookup_arrays(
     table_value: str,
     value_type: str,
     default=None,
-    table_rows: int | None = None,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     inner: bool = False,
     key_type: str = "string",
     join_back: bool = True,
+    block_elements: int | None = None,
 ) -> DataFrame:
     """Map every element of each array in ``cols`` through ``table``.
 
-    ``cols`` are column names or array expressions (e.g. ``pretokenize``);
-    expressions are evaluated once, after the rows are partitioned by key,
-    so the shuffle moves the raw rows and the work runs in parallel.
-    Every row comes back once, whether ``key`` is null, repeated or neither.
-    A miss gives ``default``: None keeps null, :data:`SELF` keeps the
-    element, :data:`FAIL` stops the run, else a literal; ``inner=True`` drops
-    misses instead. Null input
-    arrays give null, empty ones empty arrays. ``table`` must have unique
+    Every row comes back once, whether ``key`` is null, repeated or neither;
+    it is only carried along. A miss gives ``default``: None keeps null,
+    :data:`SELF` keeps the element, :data:`FAIL` stops the run, else a literal;
+    ``inner=True`` drops misses and null elements instead. Null input arrays
+    give null, empty ones empty arrays. ``table`` must have unique
     ``table_key`` values; ``key_type`` is the element type of the inputs.
     With ``join_back=False`` only ``key`` and ``outs`` are returned.
     """
-    asked, key = list(key), ["_cp_row"]
-    base = df.withColumn("_cp_row", row_id(df)).repartition("_cp_row")
-    staged = base.select(*key, *[(F.col(c) if isinstance(c, str) else c).alias(f"_cp_in{j}")
-                                 for j, c in enumerate(cols)])
-    no_keys = F.array().cast(f"array<{key_type}>")
-    tagged = [F.transform(F.coalesce(F.col(f"_cp_in{j}"), no_keys), _tagger(j)) for j in range(len(cols))]
-    allc = tagged[0] if len(tagged) == 1 else F.concat(*tagged)
-    flags = [F.col(f"_cp_in{j}").isNull().alias(f"_cp_null{j}") for j in range(len(cols))]
-    # explode_outer keeps rows with no element (so every key reaches the
-    # aggregate) and, unlike explode, makes Catalyst add no filter that would
-    # evaluate the array expression a second time.
-    exploded = staged.select(*key, *flags, F.explode_outer(allc).alias("_cp_e")).select(
-        *key, *[f"_cp_null{j}" for j in range(len(cols))],
-        "_cp_e.c", "_cp_e.p", F.col("_cp_e.k").alias("_cp_k"),
-    )
-    t = table.select(F.col(table_key).alias("_cp_k"), F.col(table_value).cast(value_type).alias("_cp_v"))
-    if table_rows is not None and table_rows <= max_broadcast_rows:
-        t = F.broadcast(t)
-    else:
-        # Rows without elements would all carry a null join key, i.e. one hot
-        # shuffle partition; a per-row salt spreads them. Whatever a salt may
-        # match is discarded below (those rows have no element tag).
-        # The salt has a column of its own: it never becomes a value.
-        exploded = exploded.withColumn("_cp_j", F.coalesce(F.col("_cp_k"), null_key_salt(key, key_type)))
-        t = t.withColumnRenamed("_cp_k", "_cp_j")
-    joined = exploded.join(t, "_cp_j" if "_cp_j" in exploded.columns else "_cp_k", "left").withColumn(
-        "_cp_v", F.when(F.col("_cp_k").isNotNull(), F.col("_cp_v")))
-    if default is None or inner:
-        v = F.col("_cp_v")
-    elif default is SELF:
-        v = F.coalesce(F.col("_cp_v"), F.col("_cp_k").cast(value_type))
-    elif default is FAIL:
-        v = or_fail(F.col("_cp_v"), F.col("_cp_k"), table_value)
-    else:
-        v = F.coalesce(F.col("_cp_v"), F.lit(default).cast(value_type))
-    keep = F.col("c").isNotNull()
-    if inner:
-        keep = keep & F.col("_cp_v").isNotNull()
-    grouped = joined.groupBy(*key).agg(
-        *[F.max(f"_cp_null{j}").alias(f"_cp_null{j}") for j in range(len(cols))],
-        F.array_sort(F.collect_set(F.when(keep, F.struct("c", "p", v.alias("v"))))).alias("_cp_arr"),
-    )
-    empty = F.array().cast(f"array<{value_type}>")
-    sel = [*key]
-    for j, out in enumerate(outs):
-        picked = F.transform(F.filter("_cp_arr", _is_tag(j)), lambda x: x["v"])
-        sel.append(F.when(F.col(f"_cp_null{j}"), F.lit(None).cast(f"array<{value_type}>"))
-                   .otherwise(F.coalesce(picked, empty)).alias(out))
-    arrays = grouped.select(*sel)
-    if not join_back:
-        base = base.select(*asked, "_cp_row")
-    return base.join(arrays, "_cp_row", "inner").select(*[c for c in base.columns if c != "_cp_row"], *outs)
+    if block_elements is None:
+        block_elements = BLOCK_ELEMENTS_WIDE if "<" in value_type else BLOCK_ELEMENTS
+    stage = code_blocks(df, cols, key_type, block_elements, None if join_back else list(dict.fromkeys(key)))
+    return lookup_codes(stage, outs, table, table_key, table_value, value_type, default, inner)

@@ -16,10 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convprep.functions.text import pretokenize
+from convprep.functions.text import clean_decoded, pretokenize
 from convprep.operators.index import dense_index
-from convprep.operators.limits import DEFAULT_MAX_BROADCAST_ROWS
-from convprep.operators.lookup import lookup_arrays
+from convprep.operators.lookup import block_counts, code_blocks, lookup_arrays, lookup_codes
 from convprep.session import cut_lineage
 
 UNK_ID = -1
@@ -30,6 +29,16 @@ def tokenize(df: DataFrame, col: str = "text", out: str = "tokens", pattern: str
     return df.withColumn(out, pretokenize(col, pattern))
 
 
+def _numbered(counts: DataFrame, min_count: int, max_size: int | None, num_buckets: int | None) -> DataFrame:
+    """``(tok, id, n)`` of ``(tok, n)``: ids by count desc then token asc."""
+    if min_count > 1:
+        counts = counts.where(F.col("n") >= min_count)
+    indexed = dense_index(counts, [F.desc("n"), F.asc("tok")], out="id", num_buckets=num_buckets)
+    if max_size is not None:
+        indexed = indexed.where(F.col("id") < max_size)
+    return indexed.select("tok", F.col("id").cast("bigint").alias("id"), F.col("n").cast("bigint").alias("n"))
+
+
 def fit_vocabulary(
     df: DataFrame,
     cols: Sequence[str],
@@ -37,14 +46,13 @@ def fit_vocabulary(
     max_size: int | None = None,
     num_buckets: int | None = None,
 ) -> DataFrame:
-    """A10: ``(tok, id int, n bigint)``, ids by count desc then token asc.
+    """A10: ``(tok, id bigint, n bigint)``, ids by count desc then token asc.
 
     Tokens come from one or more ``array<string>`` columns (names or
     expressions such as ``pretokenize("text")``). Counting is a
     partial + final hash aggregate (hot tokens collapse map-side), the ids
     come from the range-partitioned dense index, never a global window.
-    ``max_size`` keeps the most frequent tokens and bounds the table, which
-    makes it safe to broadcast.
+    ``max_size`` keeps the most frequent tokens.
     """
     toks = None
     for c in cols:
@@ -53,12 +61,27 @@ def fit_vocabulary(
         part = df.select(F.explode_outer(F.col(c) if isinstance(c, str) else c).alias("tok"))
         toks = part if toks is None else toks.unionByName(part)
     counts = toks.where(F.col("tok").isNotNull()).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
-    if min_count > 1:
-        counts = counts.where(F.col("n") >= min_count)
-    indexed = dense_index(counts, [F.desc("n"), F.asc("tok")], out="id", num_buckets=num_buckets)
-    if max_size is not None:
-        indexed = indexed.where(F.col("id") < max_size)
-    return indexed.select("tok", F.col("id").cast("int").alias("id"), F.col("n").cast("bigint").alias("n"))
+    return _numbered(counts, min_count, max_size, num_buckets)
+
+
+def fit_encode(
+    df: DataFrame,
+    tokens: Sequence[str],
+    outs: Sequence[str],
+    min_count: int = 1,
+    max_size: int | None = None,
+    unk_id: int | None = UNK_ID,
+    keep: Sequence[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """A10 and J3 over the same rows: fit a vocabulary on the token columns and
+    encode them with it. Returns ``(df or its columns keep, with outs; vocab)``.
+
+    The texts are tokenized once: the blocks' dictionaries give the counts, and
+    the codes the ids.
+    """
+    stage = code_blocks(df, tokens, keep=keep)
+    vocab = _numbered(block_counts(stage), min_count, max_size, None)
+    return lookup_codes(stage, outs, vocab, "tok", "id", "bigint", default=unk_id), vocab
 
 
 def encode(
@@ -68,21 +91,15 @@ def encode(
     outs: Sequence[str],
     vocab: DataFrame,
     unk_id: int | None = UNK_ID,
-    vocab_rows: int | None = None,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     join_back: bool = True,
 ) -> DataFrame:
     """Token arrays -> id arrays through ``vocab(tok, id)``.
 
-    Several token columns are encoded in one pass. Unknown tokens get
-    ``unk_id`` (None keeps a null). ``vocab_rows``, when known (for instance
-    the ``max_size`` of the fit), allows a broadcast join. ``join_back=False``
-    returns only ``key`` and the id columns.
+    Several token columns are encoded in one pass, by block dictionaries
+    (:mod:`convprep.operators.lookup`). Unknown tokens get ``unk_id`` (None
+    keeps a null). ``join_back=False`` returns only ``key`` and the id columns.
     """
-    return lookup_arrays(
-        df, key, tokens, outs, vocab, "tok", "id", "int",
-        default=unk_id, table_rows=vocab_rows, max_broadcast_rows=max_broadcast_rows, join_back=join_back,
-    )
+    return lookup_arrays(df, key, tokens, outs, vocab, "tok", "id", "bigint", default=unk_id, join_back=join_back)
 
 
 def decode(
@@ -92,21 +109,18 @@ def decode(
     vocab: DataFrame,
     out: str = "decoded",
     joiner: str = " ",
-    vocab_rows: int | None = None,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     join_back: bool = True,
+    clean: bool = False,
 ) -> DataFrame:
     """Id arrays -> text, tokens joined by ``joiner`` in position order.
 
-    Unknown ids are skipped (``array_join`` drops nulls). ``join_back=False``
-    returns only ``key`` and the text.
+    Unknown ids are skipped (``array_join`` drops nulls). ``clean`` takes out
+    the blank before ``. , ! ?``. ``join_back=False`` returns only ``key`` and the text.
     """
-    looked = lookup_arrays(
-        df, key, [ids], ["_cp_toks"], vocab, "id", "tok", "string",
-        default=None, table_rows=vocab_rows, max_broadcast_rows=max_broadcast_rows, key_type="int",
-        join_back=join_back,
-    )
-    return looked.withColumn(out, F.array_join("_cp_toks", joiner)).drop("_cp_toks")
+    looked = lookup_arrays(df, key, [ids], ["_cp_toks"], vocab, "id", "tok", "string", default=None,
+                           key_type="bigint", join_back=join_back)
+    text = F.array_join("_cp_toks", joiner)
+    return looked.withColumn(out, clean_decoded(text) if clean else text).drop("_cp_toks")
 
 
 def tokenize_dataset(
@@ -116,7 +130,6 @@ def tokenize_dataset(
     number_of_keywords: int | None = None,
     pattern: str = "blank",
     unk_id: int | None = UNK_ID,
-    vocab_rows: int | None = None,
 ) -> DataFrame:
     """The tokenized dataset.
 
@@ -133,13 +146,13 @@ def tokenize_dataset(
             F.flatten(F.transform("used_keywords", lambda k: pretokenize(k, pattern))),
         )
         enc = encode(step, ["id"], ["tokenized_text", "tokenized_keywords"], ["text_ids", "keyword_ids"],
-                     vocab, unk_id=unk_id, vocab_rows=vocab_rows)
+                     vocab, unk_id=unk_id)
         return enc.select(
             "id", "text", "keywords", "used_keywords",
             "tokenized_text", "tokenized_keywords", "text_ids", "keyword_ids",
         )
     step = df.select("id", "text").withColumn("tokenized_text", pretokenize("text", pattern))
-    enc = encode(step, ["id"], ["tokenized_text"], ["token_ids"], vocab, unk_id=unk_id, vocab_rows=vocab_rows)
+    enc = encode(step, ["id"], ["tokenized_text"], ["token_ids"], vocab, unk_id=unk_id)
     return enc.select("id", "text", "tokenized_text", "token_ids")
 
 
@@ -375,16 +388,13 @@ def encode_subwords(
     out: str = "ids",
     pattern: str = "words",
 ) -> tuple[DataFrame, DataFrame]:
-    """H2, sub-word form end to end: pieces (replayed once, and written: the
-    vocabulary fit and the encoding read that stage), a piece vocabulary
+    """H2, sub-word form end to end: pieces (replayed once), a piece vocabulary
     (fitted when not given) and the id lists.
     Returns ``(df with pieces and out, vocab)``."""
-    pieces = cut_lineage(subword_pieces(df, key, merges, col, "pieces", pattern))
-    rows = None
+    pieces = subword_pieces(df, key, merges, col, "pieces", pattern)
     if vocab is None:
-        vocab = fit_vocabulary(pieces, ["pieces"])
-        rows = vocab.count()  # the fit wrote its stage: a cheap, proven bound
-    return encode(pieces, key, ["pieces"], [out], vocab, vocab_rows=rows), vocab
+        return fit_encode(pieces, ["pieces"], [out])
+    return encode(pieces, key, ["pieces"], [out], vocab), vocab
 
 
 # ---------------------------------------------------------------- UDF hook
@@ -431,6 +441,7 @@ __all__ = [
     "decode",
     "encode",
     "encode_subwords",
+    "fit_encode",
     "fit_subword_merges",
     "fit_vocabulary",
     "merge_ranks",

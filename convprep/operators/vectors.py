@@ -8,13 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convprep.functions.random import uniform
-from convprep.operators.limits import max_broadcast_rows_for
-from convprep.operators.lookup import null_key_salt, or_fail
-
-
-def _vector_rows_bound(dim: int) -> int:
-    """Broadcast row bound for vectors of ``dim`` doubles (plus key/overhead)."""
-    return max_broadcast_rows_for(8 * dim + 64)
+from convprep.operators.index import ROW, with_row_id
+from convprep.operators.lookup import or_fail
 
 
 def lookup_embeddings(
@@ -23,17 +18,12 @@ def lookup_embeddings(
     id_col: str = "token_id",
     emb_key: str = "token_id",
     emb_col: str = "embedding",
-    emb_rows: int | None = None,
-    dim: int | None = None,
     skip_missing: bool = False,
 ) -> DataFrame:
     """Gather embedding rows by id (repeated ids keep their multiplicity).
-    An id without an embedding stops the run; ``skip_missing`` drops it.
-    Broadcast when ``emb_rows`` is known and the table (``emb_rows`` x ``dim``
-    doubles) fits the broadcast byte budget."""
+    An id without an embedding stops the run; ``skip_missing`` drops it. Spark
+    broadcasts the table where its bytes allow it."""
     table = emb.select(F.col(emb_key).alias(id_col), F.col(emb_col).alias("embedding"))
-    if emb_rows is not None and dim is not None and emb_rows <= _vector_rows_bound(dim):
-        table = F.broadcast(table)
     if skip_missing:
         return ids.join(table, id_col)
     return ids.join(table, id_col, "left").withColumn(
@@ -71,39 +61,38 @@ def control_vectors(
     seed: int = 0,
     emb_key: str = "token_id",
     emb_col: str = "embedding",
-    emb_rows: int | None = None,
     skip_missing: bool = False,
 ) -> DataFrame:
     """C11: the bag-of-words control vector of each row: the mean embedding
     of its ids (J2 + A4), or a seeded random vector (A5) when it has no ids.
     An id without an embedding stops the run; with ``skip_missing`` it is left
-    out of the mean. Null ids are no ids. Output ``key, n_vectors, vector``.
-
-    One pass, no join back: ``explode_outer`` keeps rows without ids, a left
-    join finds embeddings, and one aggregate per key takes the mean over all
-    exploded rows with misses as zero vectors plus both counts; the mean of
-    the found vectors is ``mean_all * n_all / n_found``.
+    out of the mean. Null ids are no ids. Output ``key, n_vectors, vector``, a
+    row for each row of ``df``: rows are told apart by a surrogate id, so
+    ``key`` may be null or repeat (rows of one key without ids draw the same vector).
+
+    ``explode_outer`` keeps rows without ids, a left join finds embeddings, and
+    one aggregate per row takes the mean over all exploded rows with misses as
+    zero vectors plus both counts; the mean of the found vectors is
+    ``mean_all * n_all / n_found``. ``dim`` is read off the embeddings when not given.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     if dim is None:
         dim = len(emb.select(emb_col).first()[0])
-    exploded = df.select(key, F.explode_outer(ids).alias("_cp_id"))
-    table = emb.select(F.col(emb_key).alias("token_id"), F.col(emb_col).cast("array<double>").alias("_cp_t"))
-    if emb_rows is not None and emb_rows <= _vector_rows_bound(dim):
-        table = F.broadcast(table)
-        exploded = exploded.withColumn("token_id", F.col("_cp_id"))
-    else:
-        # Rows without ids get a spread-out salt instead of one hot null key;
-        # a salt's match is dropped just below.
-        salt = null_key_salt([key], exploded.schema["_cp_id"].dataType.simpleString())
-        exploded = exploded.withColumn("token_id", F.coalesce(F.col("_cp_id"), salt))
+    staged = with_row_id(df.select(F.col(f"`{key}`").alias("_cp_key"), F.col(f"`{ids}`").alias("_cp_ids")))
+    exploded = staged.select(ROW, "_cp_key", F.explode_outer("_cp_ids").alias("_cp_id"))
+    # Rows without ids get a spread-out salt instead of one hot null key: a negative
+    # number below -1. A salt's match is dropped just below.
+    kind = exploded.schema["_cp_id"].dataType.simpleString()
+    salt = (F.lit(-2) - F.pmod(F.xxhash64(ROW), F.lit(1 << 30))).cast(kind)
+    exploded = exploded.withColumn("_cp_token", F.coalesce(F.col("_cp_id"), salt))
+    table = emb.select(F.col(emb_key).cast(kind).alias("_cp_token"), F.col(emb_col).cast("array<double>").alias("_cp_t"))
     hit = F.col("_cp_t") if skip_missing else or_fail(F.col("_cp_t"), F.col("_cp_id"), "embedding")
-    found = exploded.join(table, "token_id", "left").withColumn(
+    found = exploded.join(table, "_cp_token", "left").withColumn(
         "_cp_e", F.when(F.col("_cp_id").isNotNull(), hit))
     zeros = F.array_repeat(F.lit(0.0), dim)
-    agg = found.groupBy(key).agg(
+    agg = found.groupBy(ROW, "_cp_key").agg(
         Summarizer.mean(array_to_vector(F.coalesce(F.col("_cp_e"), zeros))).alias("_cp_m"),
         F.count(F.lit(1)).alias("_cp_all"),
         F.count("_cp_e").cast("bigint").alias("n_vectors"),
@@ -111,9 +100,9 @@ def control_vectors(
     scale = F.col("_cp_all") / F.col("n_vectors")
     mean = F.transform(vector_to_array("_cp_m"), lambda x: x * scale)
     return agg.select(
-        key,
+        F.col("_cp_key").alias(key),
         "n_vectors",
-        F.when(F.col("n_vectors") > 0, mean).otherwise(random_vector(seed, key, dim)).alias("vector"),
+        F.when(F.col("n_vectors") > 0, mean).otherwise(random_vector(seed, "_cp_key", dim)).alias("vector"),
     )
 
 

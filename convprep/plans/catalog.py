@@ -116,12 +116,10 @@ _SEQ_ORACLE_BASE = ("v_tokens", "v_vocab", "v_sequences")
 def _encoded_documents(spark, sf_dir):
     """v_sequences in Spark: blank tokens -> fitted vocabulary -> ids."""
     from convprep.functions.text import pretokenize
-    from convprep.operators.tokens import encode, fit_vocabulary
+    from convprep.operators.tokens import fit_encode
 
     docs = fx.load(spark, sf_dir, "documents").select("doc_id", "text")
-    vocab = fit_vocabulary(docs, [pretokenize("text")])
-    n = vocab.count()  # cheap: the fit wrote its stage; proves the broadcast bound
-    return encode(docs, ["doc_id"], [pretokenize("text")], ["ids"], vocab, vocab_rows=n, join_back=False), vocab
+    return fit_encode(docs, [pretokenize("text")], ["ids"], keep=["doc_id"])
 
 
 @register(
@@ -159,7 +157,7 @@ def q_decode_documents(spark, sf_dir):
     from convprep.operators.tokens import decode
 
     enc, vocab = _encoded_documents(spark, sf_dir)
-    return decode(enc.select("doc_id", "ids"), ["doc_id"], "ids", vocab, vocab_rows=vocab.count(), join_back=False)
+    return decode(enc.select("doc_id", "ids"), ["doc_id"], "ids", vocab, join_back=False)
 
 
 @register(
@@ -255,7 +253,7 @@ def q_tokenized_documents(spark, sf_dir):
 
     docs = fx.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     vocab = fit_vocabulary(tokenize(docs, "text", "tokens"), ["tokens"])
-    d11 = project_schema(tokenize_dataset(docs, vocab, vocab_rows=vocab.count()), "tokenized")
+    d11 = project_schema(tokenize_dataset(docs, vocab), "tokenized")
     return d11.select("id", F.size("tokenized_text").cast("bigint").alias("n_tokenized"),
                       ids_text("token_ids").alias("token_ids"))
 
@@ -383,15 +381,9 @@ _D10_VIEWS = ("v_topic_links", "v_tokens", "v_vocab", "v_sequences")
 def _d10(spark, sf_dir):
     from convprep.operators.tokens import fit_vocabulary, tokenize, tokenize_dataset
 
-    from convprep.session import cut_lineage
-
     docs = tokenize(fx.load(spark, sf_dir, "documents").select("text"), "text", "tokens")
     vocab = fit_vocabulary(docs, ["tokens"])
-    # The prepared data set is a stored stage (the reference keeps prepared
-    # sets in a registry); example formats read it instead of recomputing.
-    n = vocab.count()  # cheap: the fit wrote its stage; proves the broadcast bound
-    d10 = cut_lineage(tokenize_dataset(_keywords(spark, sf_dir), vocab, synonyms=fx.SYNONYMS, vocab_rows=n))
-    return d10, vocab, n
+    return tokenize_dataset(_keywords(spark, sf_dir), vocab, synonyms=fx.SYNONYMS), vocab
 
 
 @register(
@@ -405,7 +397,7 @@ def _d10(spark, sf_dir):
     ),
 )
 def q_tokenized_keywords(spark, sf_dir):
-    d10, _, _ = _d10(spark, sf_dir)
+    d10, _ = _d10(spark, sf_dir)
     return d10.select(
         "id",
         F.array_join("keywords", "|").alias("keywords"),
@@ -432,7 +424,7 @@ def q_tokenized_keywords(spark, sf_dir):
 def q_examples_prepend_nospace(spark, sf_dir):
     from convprep.operators.examples import prepend_control_examples
 
-    d10, _, _ = _d10(spark, sf_dir)
+    d10, _ = _d10(spark, sf_dir)
     ex = prepend_control_examples(d10)
     return ex.select("id", F.size("ids").cast("bigint").alias("n_ids"), ids_text("ids").alias("ids"))
 
@@ -448,7 +440,7 @@ def q_examples_prepend_nospace(spark, sf_dir):
 def q_examples_keyword(spark, sf_dir):
     from convprep.operators.examples import bag_of_words_examples
 
-    d10, _, _ = _d10(spark, sf_dir)
+    d10, _ = _d10(spark, sf_dir)
     ex = bag_of_words_examples(d10)
     return ex.select("id", ids_text("text_ids").alias("text_ids"), ids_text("keyword_ids").alias("keyword_ids"))
 
@@ -469,8 +461,8 @@ left join (select tok, id as vid from v_vocab) v using (tok) group by id""",
 def q_examples_prepend_space(spark, sf_dir):
     from convprep.operators.examples import format_examples
 
-    d10, vocab, n = _d10(spark, sf_dir)
-    ex = format_examples(d10, "prepend_space", vocab=vocab, vocab_rows=n)
+    d10, vocab = _d10(spark, sf_dir)
+    ex = format_examples(d10, "prepend_space", vocab=vocab, same_vocab=True)
     return ex.select("id", F.size("ids").cast("bigint").alias("n_ids"), ids_text("ids").alias("ids"))
 
 
@@ -517,13 +509,9 @@ def _training_sequences(spark, sf_dir):
     from convprep.functions.arrays import truncate_sequence
     from convprep.operators.rows import drop_short_sequences
 
-    from convprep.session import cut_lineage
-
     enc, _ = _encoded_documents(spark, sf_dir)
     seqs = enc.select(F.col("doc_id").alias("id"), truncate_sequence("ids", 1023).alias("ids"))
-    # The training set is a stored stage (written once to the shared
-    # checkpoint folder), as the reference stores it between steps.
-    return cut_lineage(drop_short_sequences(seqs, "ids", 2))
+    return drop_short_sequences(seqs, "ids", 2)
 
 
 def _padded_out(df, extra=()):
@@ -535,13 +523,9 @@ def _padded_out(df, extra=()):
 
 @register("padded_batches", _batch_sql(_TRAIN_SEQS, 4, 3, 7, _PADDED_FINAL))
 def q_padded_batches(spark, sf_dir):
-    from convprep.operators.examples import pad_batches
-    from convprep.operators.index import assign_batches
+    from convprep.operators.examples import batch_examples
 
-    seqs = _training_sequences(spark, sf_dir)
-    assigned = assign_batches(seqs.select("id", F.size("ids").alias("n_ids")), batch_size=4, epochs=3, seed=7,
-                              row_id="id")
-    return _padded_out(pad_batches(assigned, seqs, "ids", pad_id=0, key="id", sizes="n_ids"))
+    return _padded_out(batch_examples(_training_sequences(spark, sf_dir), batch_size=4, epochs=3, seed=7))
 
 
 @register(
@@ -554,12 +538,10 @@ from (select epoch, batch_id, avg(len(ids)) as v, count(*) as n from b group by
     ),
 )
 def q_epoch_rollup(spark, sf_dir):
-    from convprep.operators.index import assign_batches
+    from convprep.operators.examples import assign_examples
     from convprep.operators.scores import epoch_rollup
 
-    seqs = _training_sequences(spark, sf_dir)
-    assigned = assign_batches(seqs.select("id", F.size("ids").alias("n_ids")), batch_size=4, epochs=3, seed=7,
-                              row_id="id")
+    assigned, _ = assign_examples(_training_sequences(spark, sf_dir), batch_size=4, epochs=3, seed=7)
     metrics = assigned.groupBy("epoch", "batch_id").agg(
         F.avg("n_ids").alias("value"), F.count(F.lit(1)).alias("n_samples"))
     out = epoch_rollup(metrics)
@@ -580,14 +562,10 @@ def q_epoch_rollup(spark, sf_dir):
 def q_batch_summaries(spark, sf_dir):
     import pandas as pd
 
-    from convprep.operators.examples import apply_batch, pad_batches
-    from convprep.operators.index import assign_batches
+    from convprep.operators.examples import apply_batch, batch_examples
 
-    seqs = _training_sequences(spark, sf_dir)
-    assigned = assign_batches(seqs.select("id", F.size("ids").alias("n")), batch_size=4, epochs=3, seed=7,
-                              row_id="id")
-    padded = pad_batches(assigned, seqs.withColumn("n_ids", F.size("ids")), "ids", key="id", keep=["n_ids"],
-                         sizes="n")
+    seqs = _training_sequences(spark, sf_dir).withColumn("n", F.size("ids"))
+    padded = batch_examples(seqs, batch_size=4, epochs=3, seed=7, keep=["n"]).withColumnRenamed("n", "n_ids")
 
     def collate(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({
@@ -849,12 +827,11 @@ def _conversation_ids(spark, sf_dir):
     """Messages with dense row ids, encoded with a vocabulary fitted on them."""
     from convprep.functions.text import pretokenize
     from convprep.operators.index import dense_index
-    from convprep.operators.tokens import encode, fit_vocabulary
+    from convprep.operators.tokens import fit_encode
 
-    conv = fx.load(spark, sf_dir, "conversations").select("conv_id", "turn", pretokenize("text").alias("tokens"))
+    conv = fx.load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     rows = dense_index(conv, ["conv_id", "turn"], out="row_id")
-    vocab = fit_vocabulary(rows, ["tokens"])
-    return encode(rows, ["row_id"], ["tokens"], ["ids"], vocab, vocab_rows=vocab.count(), join_back=False)
+    return fit_encode(rows, [pretokenize("text")], ["ids"], keep=["row_id"])[0]
 
 
 @register(
@@ -886,7 +863,7 @@ def q_control_prefixed_inputs(spark, sf_dir):
     ctrl = control_vectors(enc, "row_id", emb, ids="ids", dim=64, seed=_CTRL_SEED, emb_key="vec_id")
     # J2 per position: the token vectors in order.
     tokvecs = lookup_arrays(enc, ["row_id"], ["ids"], ["vectors"], emb, "vec_id", "embedding", "array<double>",
-                            default=FAIL, key_type="int", join_back=False)
+                            default=FAIL, key_type="bigint", join_back=False)
     inputs = prefix_control(ctrl.join(tokvecs, "row_id"), "vector", "vectors", "inputs")
     return inputs.select(
         "row_id",
@@ -1279,8 +1256,7 @@ def q_encode_bounded_vocabulary(spark, sf_dir):
 
     docs = fx.load(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = fit_vocabulary(docs, [pretokenize("text")], max_size=_TOP)
-    # max_size bounds the table: the lookup may broadcast it.
-    enc = encode(docs, ["doc_id"], [pretokenize("text")], ["ids"], vocab, vocab_rows=_TOP, join_back=False)
+    enc = encode(docs, ["doc_id"], [pretokenize("text")], ["ids"], vocab, join_back=False)
     return enc.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_ids"),
         F.size(F.filter("ids", lambda x: x == -1)).cast("bigint").alias("n_unknown"),
@@ -1306,13 +1282,11 @@ from (select *, max(len(ids)) over (partition by epoch, batch_id) as width from
     ),
 )
 def q_keyword_batches(spark, sf_dir):
-    from convprep.operators.examples import bag_of_words_examples, pad_batches
-    from convprep.operators.index import assign_batches
+    from convprep.operators.examples import bag_of_words_examples, batch_examples
 
-    d10, _, _ = _d10(spark, sf_dir)
+    d10, _ = _d10(spark, sf_dir)
     ex = bag_of_words_examples(d10).withColumnRenamed("text_ids", "ids")
-    assigned = assign_batches(ex.select("id", F.size("ids").alias("n")), batch_size=2, epochs=2, seed=9, row_id="id")
-    padded = pad_batches(assigned, ex, "ids", pad_id=0, key="id", keep=["keyword_ids"], sizes="n")
+    padded = batch_examples(ex, batch_size=2, epochs=2, seed=9, keep=["keyword_ids"])
     return _padded_out(padded, extra=[ids_text("keyword_ids").alias("keyword_ids")])
 
 
@@ -1412,6 +1386,92 @@ def q_encode_repeated_ids(spark, sf_dir):
     return enc.select("id", "text", F.coalesce(ids_text("ids"), F.lit("")).alias("ids"))
 
 
+_ROWS = """m as (select row_number() over () as r, conv_id, turn, text,
+       case when turn % 3 = 0 then null else turn % 3 end as id from conversations)"""
+_ROW_IDS = _ROWS + """,
+t as (select r, i, w[i] as tok from (
+  select r, w, unnest(range(1, len(w) + 1)) as i from (
+    select r, regexp_extract_all(text, '(\\S+)', 1) as w from m))),
+v as (select tok, row_number() over (order by n desc, tok) - 1 as vid from (select tok, count(*) as n from t group by tok)),
+s as (select r, list(vid order by i) as ids from t join v using (tok) group by r)"""
+
+
+def _repeated_ids(spark, sf_dir):
+    """Messages whose id is null or one of two numbers, and their token ids."""
+    from convprep.functions.text import pretokenize
+    from convprep.operators.tokens import fit_encode
+
+    conv = fx.load(spark, sf_dir, "conversations").select(
+        F.when(F.col("turn") % 3 != 0, F.col("turn") % 3).alias("id"), "conv_id", "turn", "text")
+    return fit_encode(conv, [pretokenize("text")], ["ids"])[0]
+
+
+_REPEATED_BATCHES = f"""with {_ROW_IDS},
+q as (select id, s.ids, array_to_string(s.ids, ',') as tie, unnest(range(0, 2)) as epoch from m join s using (r)),
+rn as (select *, row_number() over (partition by epoch order by md5(concat_ws(':', 5, epoch, id)), id nulls first, md5(tie)) - 1 as rn
+       from q),
+b as (select *, rn // 4 as batch_id, rn % 4 as pos_in_batch from rn),
+w as (select *, max(len(ids)) over (partition by epoch, batch_id) as width from b)
+{_PADDED_FINAL}"""
+
+
+@register("batches_repeated_ids", _REPEATED_BATCHES)
+def q_batches_repeated_ids(spark, sf_dir):
+    from convprep.operators.examples import batch_examples
+
+    ex = _repeated_ids(spark, sf_dir).where(F.size("ids") > 0).select("id", "ids")
+    return _padded_out(batch_examples(ex, batch_size=4, epochs=2, seed=5))
+
+
+@register("stored_repeated_ids", _REPEATED_BATCHES)
+def q_stored_repeated_ids(spark, sf_dir):
+    from convprep.operators.examples import stored_sequences
+    from convprep.session import scratch_path
+    from convprep.sources.sinks import write_dataset
+
+    stage = scratch_path(spark, "stage")
+    write_dataset(_repeated_ids(spark, sf_dir).where(F.size("ids") > 0).select("id", F.col("ids").alias("token_ids")), stage)
+    return _padded_out(stored_sequences(spark.read.parquet(stage), batch_size=4, epochs=2, seed=5))
+
+
+@register(
+    "training_set_repeated_order",
+    f"""with {_ROWS},
+r as (select row_number() over (order by id nulls first, text) - 1 as row_id, id, text,
+       regexp_extract_all(text, '(\\S+)', 1) as w from m)
+select row_id, id, text, cast(len(w[1:1023]) as bigint) as n_tokens, array_to_string(w[1:1023], ' ') as tokens
+from r where len(w) >= 2""",
+)
+def q_training_set_repeated_order(spark, sf_dir):
+    """C10 with an order column that is null or repeats: every message keeps its own row and ids."""
+    from convprep.operators.tokens import decode
+
+    msgs = fx.load(spark, sf_dir, "conversations").select(
+        F.when(F.col("turn") % 3 != 0, F.col("turn") % 3).alias("id"), F.lit("all").alias("sender_name"),
+        F.col("text").alias("content"), F.lit("Generic").alias("type"))
+    ts, vocab = sender_training_set(msgs, "all", order=["id"])
+    back = decode(ts, ["row_id"], "token_ids", vocab, out="tokens")
+    return back.select("row_id", "id", "text", "n_tokens", "tokens")
+
+
+@register(
+    "control_vectors_repeated_ids",
+    f"""with {_ROW_IDS}
+select id, cast(n as bigint) as n_vectors, round(v1, 6) as first_value, round(v64, 6) as last_value
+from (select m.r, m.id, count(*) as n, avg(e.embedding[1]::double) as v1, avg(e.embedding[64]::double) as v64
+      from m join t using (r) join v using (tok) join embeddings e on e.vec_id = v.vid % (select count(*) from embeddings)
+      group by m.r, m.id)""",
+)
+def q_control_vectors_repeated_ids(spark, sf_dir):
+    from convprep.operators.vectors import control_vectors
+
+    emb = fx.load(spark, sf_dir, "embeddings")
+    enc = _on_vectors(_repeated_ids(spark, sf_dir).where(F.size("ids") > 0), emb)
+    vec = control_vectors(enc, "id", emb, ids="ids", dim=64, emb_key="vec_id")
+    return vec.select("id", "n_vectors", F.round(F.element_at("vector", 1), 6).alias("first_value"),
+                      F.round(F.element_at("vector", -1), 6).alias("last_value"))
+
+
 @register(
     "translated_repeated_ids",
     with_views(

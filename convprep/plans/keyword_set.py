@@ -23,10 +23,9 @@ def prepare_keyword_dataset(
     number_of_keywords: int | None = None,
     pattern: str = "blank",
     unk_id: int | None = UNK_ID,
-    vocab_rows: int | None = None,
 ) -> tuple[str, DataFrame]:
     """Returns ``(key, D10 frame)``; the frame is also registered as a
     temporary view under ``key`` (generated when None)."""
     kw = prepare_keywords(df, id_field, text_field, topic_link_field, sentiment=sentiment, cluster=cluster)
-    d10 = tokenize_dataset(kw, vocab, synonyms, number_of_keywords, pattern, unk_id, vocab_rows)
+    d10 = tokenize_dataset(kw, vocab, synonyms, number_of_keywords, pattern, unk_id)
     return register_dataset(d10, key), d10

@@ -21,7 +21,7 @@ from convprep.operators.rows import (
     filter_sender,
     rename_text,
 )
-from convprep.operators.tokens import encode, fit_vocabulary
+from convprep.operators.tokens import encode, fit_encode
 from convprep.sources.messages import file_order
 
 # The reference's sequence limits.
@@ -39,7 +39,6 @@ def sender_training_set(
     sender: str,
     order: Sequence[str] = ("conv_id", "turn"),
     vocab: DataFrame | None = None,
-    vocab_rows: int | None = None,
     max_len: int = MAX_LEN,
     min_len: int = MIN_LEN,
     pattern: str = "blank",
@@ -63,20 +62,16 @@ def sender_training_set(
         order = ("file_name", "pos")
     picked = rename_text(select_sender_messages(messages, sender), "content")
     picked = drop_missing_text(picked, "text").select(*order, "text")
-    rows = picked
-    if vocab is None:
-        vocab = fit_vocabulary(rows, [pretokenize("text", pattern)])
-        # The fit wrote its stage; counting it is cheap and proves the bound
-        # that lets the lookup broadcast (up to DEFAULT_MAX_BROADCAST_ROWS).
-        vocab_rows = vocab.count() if vocab_rows is None else vocab_rows
-    enc = encode(rows, list(order), [pretokenize("text", pattern)], ["token_ids"], vocab, vocab_rows=vocab_rows)
-    cut = enc.withColumn("token_ids", truncate_sequence("token_ids", max_len))
-    # Row ids over the narrow keys only (the index writes its bucketed
-    # stage); joined onto rows already partitioned by these keys, so only
-    # the narrow side moves.
+    # Numbered once, as the first written stage; the number is the row's identity
+    # from here on, so order columns may be null or repeat (then the text decides).
     by = [*file_order("file_name"), *[c for c in order if c != "file_name"]] if "file_name" in order else list(order)
-    ids = dense_index(picked.select(*order), by, out="row_id")
-    kept = drop_short_sequences(cut.join(ids, list(order)), "token_ids", min_len)
+    rows = dense_index(picked, [*by, "text"], out="row_id")
+    tokens = [pretokenize("text", pattern)]
+    if vocab is None:
+        enc, vocab = fit_encode(rows, tokens, ["token_ids"])
+    else:
+        enc = encode(rows, ["row_id"], tokens, ["token_ids"], vocab)
+    kept = drop_short_sequences(enc.withColumn("token_ids", truncate_sequence("token_ids", max_len)), "token_ids", min_len)
     out = kept.select("row_id", *order, "text", "token_ids", size_of("token_ids").alias("n_tokens"))
     return out, vocab
 

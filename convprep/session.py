@@ -7,6 +7,7 @@ Library operators never change session settings; only :func:`get_spark`
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -122,9 +123,33 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder, for written stages."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/convprep-scratch/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared checkpoint folder, for written stages.
+    The folders of an application are removed when its Python process ends."""
+    app = f"{ensure_checkpoint_dir(spark).rstrip('/')}/convprep-scratch/{spark.sparkContext.applicationId}"
+    if app not in _SCRATCH:
+        _SCRATCH.add(app)
+        atexit.register(_remove, spark.sparkContext, app)
+    return f"{app}/{name}-{uuid.uuid4().hex}"
+
+
+_SCRATCH: set[str] = set()
+
+
+def _remove(sc, path: str) -> None:
+    """Delete a folder through Spark's file system; a stopped gateway leaves it."""
+    try:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+    except Exception:
+        pass
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a Parquet folder in the shared folder and read it back: cuts
+    the lineage, survives the loss of executors, and later reads prune columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

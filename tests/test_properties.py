@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from convprep.operators.examples import format_examples, pad_batches
-from convprep.operators.index import assign_batches, dense_index
+from convprep.operators.index import ROW, assign_batches, dense_index, with_row_id
 from convprep.operators.scores import cumulative_share, softmax_by_group, top_p_filter
 from convprep.operators.tokens import decode, encode, fit_vocabulary, tokenize, tokenize_dataset
 from convprep.plans import fixtures as fx
@@ -57,7 +57,8 @@ def test_batches_are_permutations_and_padded_to_width(spark, docs):
     vocab = fit_vocabulary(docs, ["tokens"])
     seqs = encode(docs, ["doc_id"], ["tokens"], ["ids"], vocab).select(F.col("doc_id").alias("id"), "ids")
     n = seqs.count()
-    assigned = assign_batches(seqs.select("id"), batch_size=3, epochs=4, seed=1, row_id="id", num_buckets=5)
+    seqs = with_row_id(seqs)
+    assigned = assign_batches(seqs.select("id", ROW), batch_size=3, epochs=4, seed=1, row_id="id", num_buckets=5)
     per_epoch = assigned.groupBy("epoch").agg(F.countDistinct("id").alias("d"), F.count("*").alias("c")).collect()
     assert sorted(r["epoch"] for r in per_epoch) == [0, 1, 2, 3]
     assert all(r["d"] == n and r["c"] == n for r in per_epoch)

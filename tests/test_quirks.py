@@ -196,24 +196,23 @@ def test_control_vector_random_when_no_keyword(spark):
     assert got[3]["n_vectors"] == 0
 
 
-@pytest.mark.parametrize("emb_rows", [None, 2])
-def test_ids_without_embedding_stop_the_run(spark, emb_rows):
+def test_ids_without_embedding_stop_the_run(spark):
     from convprep.operators.lookup import FAIL, lookup_arrays
     from convprep.operators.vectors import control_vectors, lookup_embeddings
 
     emb = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "token_id long, embedding array<double>")
     rows = spark.createDataFrame([(1, [0, 1]), (2, [1, 7])], "id long, keyword_ids array<long>")
     with pytest.raises(Exception, match="no embedding for 7"):
-        control_vectors(rows, "id", emb, dim=2, emb_rows=emb_rows).collect()
-    got = {r["id"]: r["n_vectors"] for r in control_vectors(rows, "id", emb, dim=2, emb_rows=emb_rows, skip_missing=True).collect()}
+        control_vectors(rows, "id", emb, dim=2).collect()
+    got = {r["id"]: r["n_vectors"] for r in control_vectors(rows, "id", emb, dim=2, skip_missing=True).collect()}
     assert got == {1: 2, 2: 1}
     ids = spark.createDataFrame([(0,), (0,), (7,)], "token_id long")
     with pytest.raises(Exception, match="no embedding for 7"):
-        lookup_embeddings(ids, emb, emb_rows=emb_rows, dim=2).collect()
-    assert lookup_embeddings(ids, emb, emb_rows=emb_rows, dim=2, skip_missing=True).count() == 2
+        lookup_embeddings(ids, emb).collect()
+    assert lookup_embeddings(ids, emb, skip_missing=True).count() == 2
     with pytest.raises(Exception, match="no embedding for 7"):
         lookup_arrays(rows, ["id"], ["keyword_ids"], ["v"], emb, "token_id", "embedding", "array<double>",
-                      default=FAIL, key_type="long", table_rows=emb_rows).collect()
+                      default=FAIL, key_type="bigint").collect()
 
 
 def test_part_files_go_by_the_number_of_their_folder(spark):

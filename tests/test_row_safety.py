@@ -6,12 +6,15 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from convprep.operators.examples import stored_sequences
-from convprep.operators.index import dense_index
+from convprep.operators.examples import apply_batch, batch_examples, pad_batches, stored_sequences
+from convprep.operators.index import assign_batches, dense_index
 from convprep.operators.keywords import prepare_keywords, translate_keywords
 from convprep.operators.scores import argmax_by_group, cross_entropy, softmax_by_group, top_k_filter, top_p_filter
-from convprep.operators.tokens import encode, fit_subword_merges, fit_vocabulary, pretokenize, subword_pieces
+from convprep.operators.lookup import block_counts, code_blocks, lookup_arrays
+from convprep.operators.tokens import decode, encode, fit_encode, fit_subword_merges, fit_vocabulary, pretokenize, subword_pieces
+from convprep.operators.vectors import control_vectors
 from convprep.plans.fixtures import topic_links_view
+from convprep.plans.training_set import sender_training_set
 from convprep.sources.messages import load_comments, read_keyed_records, read_message_export, read_records
 from convprep.sources.sinks import write_csv_table
 from convprep.sources.tables import chunk_text, read_csv_table
@@ -32,8 +35,7 @@ def test_translation_is_one_answer_for_dict_and_table(spark):
 def test_encode_keeps_rows_of_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a"), (2, "a"), (2, "b c"), (2, "b c"), (3, None)], "id long, text string")
     vocab = fit_vocabulary(df, [pretokenize("text")])
-    for rows in (None, 10):
-        out = encode(df, ["id"], [pretokenize("text")], ["ids"], vocab, vocab_rows=rows)
+    for out in (encode(df, ["id"], [pretokenize("text")], ["ids"], vocab), fit_encode(df, [pretokenize("text")], ["ids"])[0]):
         got = sorted((str(r["id"]), r["text"] or "", len(r["ids"] or [])) for r in out.select("id", "text", "ids").collect())
         assert got == [("2", "a", 1), ("2", "b c", 2), ("2", "b c", 2), ("3", "", 0), ("None", "a", 1)]
 
@@ -110,3 +112,113 @@ def test_documents_without_labels_have_no_keywords(spark):
     labels = spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
     kw = prepare_keywords(topic_links_view(docs, labels, keep=("text",)), "doc_id", "text", cluster=True)
     assert {r["id"]: r["keywords"] for r in kw.collect()} == {1: [], 2: ["quality", "toxic", "s"]}
+
+
+# ---- a row is a row, whatever its key --------------------------------------
+
+THREE = [(1, [1, 2, 3]), (1, [4, 5]), (None, [6, 7])]
+
+
+def three(spark):
+    return spark.createDataFrame(THREE, "id long, ids array<long>")
+
+
+def test_batches_of_repeated_and_null_keys(spark):
+    got = batch_examples(three(spark), batch_size=2, epochs=3, seed=1).collect()
+    for e in range(3):
+        rows = [r for r in got if r["epoch"] == e]
+        assert sorted((str(r["id"]), r["padded_ids"][:2]) for r in rows) == [("1", [1, 2]), ("1", [4, 5]), ("None", [6, 7])]
+        assert sorted((r["batch_id"], r["pos_in_batch"]) for r in rows) == [(0, 0), (0, 1), (1, 0)]
+        for r in rows:
+            assert len(r["padded_ids"]) == r["width"] == max(
+                len([i for i in x["padded_ids"] if i]) for x in rows if x["batch_id"] == r["batch_id"])
+    with pytest.raises(ValueError, match="row ids"):
+        pad_batches(assign_batches(three(spark), 2, 1, 1, row_id="id"), three(spark))
+
+
+def test_batch_order_of_repeated_keys_is_the_same_on_every_run(spark):
+    df = spark.createDataFrame([(i % 3, [i, i + 1]) for i in range(60)], "id long, ids array<long>")
+
+    def run(n):
+        return sorted((r["epoch"], r["batch_id"], r["pos_in_batch"], r["padded_ids"])
+                      for r in batch_examples(df.repartition(n), batch_size=4, epochs=2, seed=3).collect())
+
+    assert run(1) == run(7)
+
+
+def test_stored_sequences_of_repeated_and_null_keys(spark):
+    got = stored_sequences(three(spark).withColumnRenamed("ids", "token_ids"), batch_size=3).collect()
+    assert sorted((str(r["id"]), [i for i in r["padded_ids"] if i]) for r in got) == sorted((str(i), x) for i, x in THREE)
+
+
+def test_training_set_of_repeated_and_null_order(spark):
+    rows = [(1, 1, "a b"), (1, 1, "c d e"), (None, 2, "f g")]
+    msgs = spark.createDataFrame([(c, t, "u", x, "Generic") for c, t, x in rows],
+                                 "conv_id long, turn long, sender_name string, content string, type string")
+    ts, vocab = sender_training_set(msgs, "u")
+    got = decode(ts, ["row_id"], "token_ids", vocab).orderBy("row_id").collect()
+    assert [(r["row_id"], r["conv_id"], r["decoded"]) for r in got] == [(0, None, "f g"), (1, 1, "a b"), (2, 1, "c d e")]
+    given, _ = sender_training_set(msgs, "u", vocab=vocab)
+    assert sorted(given.collect()) == sorted(ts.collect())
+
+
+def test_control_vectors_of_repeated_and_null_keys(spark):
+    emb = spark.createDataFrame([(0, [0.0, 2.0]), (1, [1.0, 4.0])], "token_id long, embedding array<double>")
+    df = spark.createDataFrame([(1, [0]), (1, [1]), (None, [0, 1]), (None, None)], "id long, keyword_ids array<long>")
+    got = control_vectors(df, "id", emb, dim=2, seed=4).collect()
+    assert sorted((str(r["id"]), r["n_vectors"], r["vector"]) for r in got if r["n_vectors"]) == [
+        ("1", 1, [0.0, 2.0]), ("1", 1, [1.0, 4.0]), ("None", 2, [0.5, 3.0])]
+    assert len(got) == 4
+
+
+def test_maps_and_alike_rows_keep_their_own_tokens(spark):
+    df = spark.createDataFrame([(1, {"k": "x y"}), (1, {"k": "z w"}), (1, {"k": "z w"})], "id long, m map<string,string>")
+    enc, vocab = fit_encode(df, [pretokenize(F.col("m")["k"])], ["ids"])
+    back = decode(enc, ["id"], "ids", vocab).collect()
+    assert sorted((r["m"]["k"], r["decoded"]) for r in back) == [("x y", "x y"), ("z w", "z w"), ("z w", "z w")]
+
+
+# ---- block dictionaries ----------------------------------------------------
+
+@pytest.mark.parametrize("size", [1, 3, 200_000])
+def test_block_lookup_of_several_arrays_and_sizes(spark, size):
+    import random
+
+    rng = random.Random(size)
+    rows = [(i % 5 if i % 7 else None, [rng.choice(["a", "b", "c", "zz", None]) for _ in range(rng.randrange(6))] if i % 11 else None,
+             [rng.choice(["c", "q"])] * (i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, x array<string>, y array<string>").repartition(4)
+    table = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v long")
+    val = {"a": 1, "b": 2, "c": 3}
+
+    def run(**kw):
+        out = lookup_arrays(df, ["id"], ["x", "y"], ["vx", "vy"], table, "k", "v", "bigint", block_elements=size, **kw)
+        return sorted((str(r["id"]), str(r["x"]), str(r["y"]), str(r["vx"]), str(r["vy"])) for r in out.collect())
+
+    def want(fn):
+        return sorted((str(i), str(x), str(y), str(None if x is None else fn(x)), str(fn(y))) for i, x, y in rows)
+
+    assert run() == want(lambda x: [val.get(e) for e in x])
+    assert run(default=-1) == want(lambda x: [val.get(e, -1) for e in x])
+    assert run(inner=True) == want(lambda x: [val[e] for e in x if e in val])
+
+
+def test_block_counts_are_token_counts(spark):
+    df = spark.createDataFrame([(["a", "b", "a", None],), ([],), (None,), (["a"],)], "t array<string>").repartition(3)
+    assert sorted(tuple(r) for r in block_counts(code_blocks(df, ["t"], block_elements=2)).collect()) == [("a", 3), ("b", 1)]
+
+
+def test_apply_batch_cuts_where_keys_change(spark):
+    import pandas as pd
+
+    df = spark.createDataFrame([(i // 3, i) for i in range(2000)], "batch_id long, v long").repartition(9)
+
+    def total(pdf):
+        return pd.DataFrame({"batch_id": [pdf["batch_id"].iloc[0]], "n": [len(pdf)], "s": [pdf["v"].sum()]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = apply_batch(df, total, "batch_id long, n long, s long", keys=["batch_id"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in got) == [(b, len(v), sum(v)) for b in range(667) for v in [range(3 * b, min(2000, 3 * b + 3))]]
