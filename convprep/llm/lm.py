@@ -11,9 +11,12 @@ so no document is judged by a model that has seen it.
 The vocabulary is every word that occurs ``min_count`` times, however many there
 are: words travel as 64-bit hashes, and no table of all words is in one place.
 
-Documents are dealt into blocks. A block sends its distinct bigrams with their
-counts, and gets back the corpus counts of just these: a bigram travels once per
-block, not once per token, and no table of all bigrams is ever in one place.
+Documents are cut into blocks where they lie; a block is one row, its words coded by
+its own dictionary. Words and then bigrams are counted in the block, and their sorted
+keys go out packed, some bytes a key, to the part of the key space they belong to.
+What comes back to a block are the corpus counts of the keys that another block
+has too: of all others its own counts are those of the corpus. No table of all words
+or bigrams is ever in one place, and no token is shuffled on its own.
 """
 
 from __future__ import annotations
@@ -25,15 +28,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convprep.llm.common import row_key, written
+from convprep.llm.common import written
 
 MIN_COUNT = 2
 BLOCK_TOKENS = 1_500_000
+PART_TOKENS = 1_000_000  # tokens of the corpus for each part of the key space
 PSEUDO = 8.0
 
 # In place of a word's hash: the place before a text; any word; a word outside the vocabulary.
 _START, _ANY, _RARE = np.array([0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.int64)
-_COUNTS, _TARGET, _RARE_WORD = 0, 1, 2
+_MARKS = -1  # in place of a part: the target documents of a block
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,17 +54,12 @@ def _key(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (previous.view(np.uint64) * _BASE + word.view(np.uint64)).view(np.int64)
 
 
-def _bigrams(codes, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The previous word and the word of all tokens of the texts, and the text of
-    each; ``rare`` are the hashes of words outside the vocabulary."""
-    ids = [np.frombuffer(c, np.int64) for c in codes]
-    sizes = np.array([len(x) for x in ids], int)
-    word = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    word = np.where(np.isin(word, rare), _RARE, word)
+def _bigrams(word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The previous word of all tokens of texts of ``sizes`` tokens, and the text of each."""
     previous = np.empty_like(word)
     previous[1:] = word[:-1]
     previous[(np.cumsum(sizes) - sizes)[sizes > 0]] = _START
-    return previous, word, np.repeat(np.arange(len(ids)), sizes)
+    return previous, np.repeat(np.arange(len(sizes)), sizes)
 
 
 def _with_marginals(previous: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
@@ -76,9 +75,110 @@ def _loss(c2, c1, cw, n, words: int, pseudo: float) -> np.ndarray:
     return -np.log((c2 + pseudo * unigram) / (c1 + pseudo))
 
 
+# ---- packed keys -----------------------------------------------------------
+
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of the numbers, all first bytes first: sorted keys and small counts pack well."""
+    return np.ascontiguousarray(values.astype(values.dtype.newbyteorder(">")).view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T)
+    return raw.view(np.dtype(kind).newbyteorder(">")).ravel().astype(kind)
+
+
+_SENT = "part int, block long, keys binary, t binary, b binary"
+_BACK = "block long, part int, n long, at binary, t binary, b binary"
+
+
+def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each part of the key space starts in sorted keys, and their end."""
+    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+    return np.append(np.searchsorted(keys, starts), len(keys))
+
+
+def _send(block: int, keys: np.ndarray, t: np.ndarray, b: np.ndarray, bits: int) -> pd.DataFrame:
+    """Rows of the sorted distinct ``keys`` of a block, one for each part that has some."""
+    cuts = _cuts(keys, bits)
+    parts = np.flatnonzero(np.diff(cuts))
+    spans = [slice(cuts[p], cuts[p + 1]) for p in parts]
+    return pd.DataFrame({"part": parts, "block": block, "keys": [_planes(keys[s]) for s in spans],
+                         "t": [_planes(t[s].astype(np.uint32)) for s in spans],
+                         "b": [_planes(b[s].astype(np.uint32)) for s in spans]})
+
+
+def _merge(lowest: int):
+    """Per part: to each block that has them the places and corpus counts of keys
+    that another block has too; and one row, block -1, with the number of keys counted
+    ``lowest`` times or more."""
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["part"].iloc[0])
+        lists = [_from_planes(k, "uint64") for k in pdf["keys"]]
+        sizes = np.array([len(x) for x in lists])
+        keys = np.concatenate(lists)
+        t, b = (np.concatenate([_from_planes(x, "uint32") for x in pdf[c]]).astype(np.int64) for c in ("t", "b"))
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        run = np.diff(np.append(first, len(keys)))
+        total = {"t": np.add.reduceat(t[order], first), "b": np.add.reduceat(b[order], first)}
+        many = np.repeat(run > 1, run)
+        shared = np.zeros(len(keys), bool)
+        shared[order] = many
+        all_t, all_b = np.empty_like(t), np.empty_like(b)
+        all_t[order], all_b[order] = np.repeat(total["t"], run), np.repeat(total["b"], run)
+        rows = [(-1, part, int((total["t"] + total["b"] >= lowest).sum()), b"", b"", b"")]
+        for block, lo, n in zip(pdf["block"], np.cumsum(sizes) - sizes, sizes, strict=True):
+            at = np.flatnonzero(shared[lo:lo + n])
+            if len(at):
+                rows.append((int(block), part, len(at), _planes(at.astype(np.uint32)), _planes(all_t[lo + at].astype(np.uint64)),
+                             _planes(all_b[lo + at].astype(np.uint64))))
+        return pd.DataFrame(rows, columns=["block", "part", "n", "at", "t", "b"])
+
+    return merge
+
+
+def _corpus(keys: np.ndarray, t: np.ndarray, b: np.ndarray, back: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus counts of a block's sorted keys from its own and those that came back."""
+    t, b = t.astype(np.int64), b.astype(np.int64)
+    cuts = _cuts(keys, bits)
+    for part, at, st, sb in zip(back["part"], back["at"], back["t"], back["b"], strict=True):
+        place = cuts[part] + _from_planes(at, "uint32").astype(np.int64)
+        t[place], b[place] = _from_planes(st, "uint64"), _from_planes(sb, "uint64")
+    return t, b
+
+
+class _Block:
+    """A block: its sorted word hashes, the code of each token, the documents' sizes."""
+
+    def __init__(self, row):
+        self.number, self.ids = int(row["block"]), row["ids"]
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.codes = np.frombuffer(row["codes"], np.int32)
+        self.sizes = np.frombuffer(row["sizes"], np.int64)
+        self.counts = np.bincount(self.codes, minlength=len(self.words))
+
+    def tokens(self, back: pd.DataFrame, bits: int, lowest: int) -> np.ndarray:
+        """Hashes of all tokens, words that are rare in the corpus as one."""
+        total, _ = _corpus(self.words, self.counts, np.zeros_like(self.counts), back, bits)
+        return np.where(total < lowest, _RARE, self.words.view(np.int64))[self.codes] if len(self.codes) else np.zeros(0, np.int64)
+
+    def inside(self, back: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(len(self.sizes), bool)
+        for at in back["at"][back["part"] == _MARKS]:
+            out[_from_planes(at, "uint32")] = True
+        return out
+
+    def keys(self, previous: np.ndarray, word: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct keys of bigrams and marginals with their counts on both sides."""
+        u, place = np.unique(np.concatenate(_with_marginals(previous, word)).view(np.uint64), return_inverse=True)
+        four = np.tile(side, 4)
+        return u, np.bincount(place, four, len(u)).astype(np.int64), np.bincount(place, ~four, len(u)).astype(np.int64)
+
+
 def cross_entropy_difference(
     docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", size: int | None = None,
-    min_count: int = MIN_COUNT, block_tokens: int = BLOCK_TOKENS, pseudo: float = PSEUDO,
+    min_count: int = MIN_COUNT, block_tokens: int = BLOCK_TOKENS, pseudo: float = PSEUDO, part_tokens: int = PART_TOKENS,
 ) -> DataFrame:
     """One row per document: ``key``, n_tokens, in_target, ce_target and
     ce_background (nats per token, the document itself left out), score (their
@@ -91,84 +191,92 @@ def cross_entropy_difference(
     and texts without words have no tokens and null losses. Repeated rows are
     scored each for itself, leaving out one copy; a null key is background. An
     empty table gives an empty result; with no target, its model is the
-    smoothing alone. Other columns are not read, whatever their names.
+    smoothing alone. Other columns are not read, whatever their names. A block holds
+    about ``block_tokens`` tokens, or one longer text.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def encode(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
         held: dict[bytes, int] = {}
+        ids, sizes, hashes, n = [], [], [], 0
+
+        def block():
+            words, codes = np.unique(np.concatenate(hashes).view(np.uint64), return_inverse=True)
+            return pd.DataFrame({"block": [number], "ids": [ids], "words": [words.tobytes()],
+                                 "codes": [codes.astype(np.int32).tobytes()], "sizes": [np.array(sizes, np.int64).tobytes()]})
+
         for pdf in batches:
-            codes = []
-            for t in pdf["text"]:
+            for i, t in zip(pdf["id"], pdf["text"], strict=True):
                 w = tokens(t)
                 for x in set(w).difference(held):
                     held[x] = _hash(x)
-                codes.append(np.array([held[x] for x in w], np.int64).tobytes())
+                ids.append(i)
+                sizes.append(len(w))
+                hashes.append(np.array([held[x] for x in w], np.int64))
+                n += len(w) + 1  # so that blocks of empty texts end too
                 if len(held) > 300_000:
                     held = {}
-            yield pd.DataFrame({"deal": pdf["deal"], "id": pdf["id"], "codes": codes})
-
-    # A null key goes by its text, so null keys spread.
-    coded = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).select(
-        F.when(F.col("id").isNull(), row_key("text")).otherwise(row_key("id")).alias("deal"), "id", "text")
-    coded = written(coded.mapInPandas(encode, f"deal long, id {kind}, codes binary"), "lm-codes")
-    total = (coded.agg(F.sum(F.octet_length("codes").cast("long"))).first()[0] or 0) // 8
-    blocks = max(1, -(-total // block_tokens))
-    coded = coded.select(F.pmod("deal", F.lit(blocks)).cast("int").alias("block"), "deal", "id", "codes")
-    by_block = coded.groupBy("block")
-
-    def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, n = np.unique(np.frombuffer(b"".join(pdf["codes"]), np.int64), return_counts=True)
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "word": u, "n": n})
-
+                if n >= block_tokens:
+                    yield block()
+                    number, ids, sizes, hashes, n = number + 1, [], [], [], 0
+        if ids:
+            yield block()
+
+    # Keys travel as text: within pandas, nulls would make floats of 64-bit numbers.
+    named = docs.select(F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text"))
+    blocks = written(named.mapInPandas(
+        encode, "block long, ids array<string>, words binary, codes binary, sizes binary"), "lm-blocks")
+    total = (blocks.agg(F.sum(F.octet_length("codes").cast("long"))).first()[0] or 0) // 4
+    bits = max(0, (max(1, total // part_tokens) - 1).bit_length())
     lowest = max(min_count, -(-total // size) if size else 1)
-    every = by_block.applyInPandas(count_words, "block int, word long, n long").groupBy("word").agg(
-        F.sum("n").alias("n"), F.collect_list("block").alias("at"))
-    # A rare word is in few blocks; only for those is the list kept.
-    every = written(every.select("word", F.when(F.col("n") < lowest, F.col("at")).alias("at")), "lm-words")
-    n_words = every.where("at is null").count()
-    rare = every.where("at is not null").select(F.explode("at").alias("block"), "word")
-    # What a block gets: corpus counts, its target keys by hash and its rare words, a
-    # row each. No column has nulls, with which pandas would make floats of 64-bit numbers.
-    zero = F.lit(0).cast("long")
-    wanted = target.select(F.col(f"`{key}`").cast(kind).alias("id")).where("id is not null").select(
-        row_key("id").alias("key")).distinct()
-    wanted = wanted.select(F.pmod("key", F.lit(blocks)).cast("int").alias("block"), F.lit(_TARGET).alias("what"),
-                           "key", zero.alias("t"), zero.alias("b"))
-    wanted = wanted.union(rare.select("block", F.lit(_RARE_WORD), "word", zero, zero))
-
-    def sent_as(pdf: pd.DataFrame, what: int) -> np.ndarray:
-        return pdf["key"][pdf["what"] == what].to_numpy(np.int64)
-
-    def mark(docs_pdf: pd.DataFrame, sent_pdf: pd.DataFrame) -> np.ndarray:
-        return (docs_pdf["id"].notna() & docs_pdf["deal"].isin(sent_as(sent_pdf, _TARGET))).to_numpy()
-
-    def count(docs_pdf: pd.DataFrame, target_pdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs_pdf):
-            return pd.DataFrame({"block": [], "key": [], "t": [], "b": []})
-        previous, word, owner = _bigrams(docs_pdf["codes"], sent_as(target_pdf, _RARE_WORD))
-        side = mark(docs_pdf, target_pdf)[owner]
-        keys, t, b = [], [], []
-        for k in _with_marginals(previous, word):
-            u, place = np.unique(k, return_inverse=True)
-            keys.append(u)
-            t.append(np.bincount(place, side, len(u)))
-            b.append(np.bincount(place, ~side, len(u)))
-        return pd.DataFrame({"block": docs_pdf["block"].iloc[0], "key": np.concatenate(keys),
-                             "t": np.concatenate(t).astype(np.int64), "b": np.concatenate(b).astype(np.int64)})
-
-    counts = by_block.cogroup(wanted.groupBy("block")).applyInPandas(count, "block int, key long, t long, b long")
-    corpus = counts.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.collect_list("block").alias("at"))
-    sent = written(corpus.select(F.explode("at").alias("block"), "key", "t", "b"), "lm-counts")
-    sent = sent.select("block", F.lit(_COUNTS).alias("what"), "key", "t", "b").union(wanted)
-
-    def score(docs_pdf: pd.DataFrame, sent_pdf: pd.DataFrame) -> pd.DataFrame:
-        table = sent_pdf[sent_pdf["what"] == _COUNTS]
-        order = np.argsort(table["key"].to_numpy(np.int64))
-        known = table["key"].to_numpy(np.int64)[order]
-        of = {c: table[c].to_numpy(np.int64)[order] for c in ("t", "b")}
-        inside = mark(docs_pdf, sent_pdf)
-        previous, word, owner = _bigrams(docs_pdf["codes"], sent_as(sent_pdf, _RARE_WORD))
+
+    def send_words(batches):
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                x = _Block(row)
+                yield _send(x.number, x.words, x.counts, np.zeros_like(x.counts), bits)
+
+    words = blocks.mapInPandas(send_words, _SENT).groupBy("part").applyInPandas(_merge(lowest), _BACK)
+    words = written(words, "lm-words")
+    n_words = words.where("block = -1").agg(F.sum("n")).first()[0] or 0
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [_MARKS], "n": [len(pdf)],
+                             "at": [_planes(pdf["i"].to_numpy(np.uint32))], "t": [b""], "b": [b""]})
+
+    wanted = target.select(F.col(f"`{key}`").cast(kind).cast("string").alias("id")).where("id is not null").distinct()
+    places = blocks.select("block", F.posexplode("ids").alias("i", "id"))
+    marks = places.join(wanted, "id", "left_semi").groupBy("block").applyInPandas(pack, _BACK)
+    known = written(words.where("block >= 0").union(marks), "lm-known")
+    by_block = blocks.groupBy("block")
+
+    def send_bigrams(block_pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        if not len(block_pdf):
+            return pd.DataFrame(columns=[c.split()[0] for c in _SENT.split(", ")])
+        x = _Block(block_pdf.iloc[0])
+        word = x.tokens(back[back["part"] != _MARKS], bits, lowest)
+        previous, owner = _bigrams(word, x.sizes)
+        return _send(x.number, *x.keys(previous, word, x.inside(back)[owner]), bits)
+
+    shared = by_block.cogroup(known.groupBy("block")).applyInPandas(send_bigrams, _SENT).groupBy("part").applyInPandas(
+        _merge(lowest), _BACK)
+    shared = written(shared.where("block >= 0"), "lm-bigrams")
+    everything = known.withColumn("what", F.lit(0)).union(shared.withColumn("what", F.lit(1)))
+
+    def score(block_pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        if not len(block_pdf):
+            return pd.DataFrame(columns=["id", "n_tokens", "in_target", "ce_target", "ce_background", "score"])
+        x = _Block(block_pdf.iloc[0])
+        first, second = back[back["what"] == 0], back[back["what"] == 1]
+        word = x.tokens(first[first["part"] != _MARKS], bits, lowest)
+        inside = x.inside(first)
+        previous, owner = _bigrams(word, x.sizes)
+        keys, t, b = x.keys(previous, word, inside[owner])
+        t, b = _corpus(keys, t, b, second, bits)
+        of = {"t": t, "b": b}
         # Distinct (document, bigram) with counts; then the document's own marginals.
         kinds, one, place = np.unique(_key(previous, word), return_index=True, return_inverse=True)
         pair, own = np.unique(owner * max(1, len(kinds)) + place, return_counts=True)
@@ -177,23 +285,23 @@ def cross_entropy_difference(
         looked, mine = [], []
         for k in _with_marginals(previous[one], word[one]):
             # The key's number within the block serves to add up within a document.
-            at = np.searchsorted(known, k)
+            at = np.searchsorted(keys, k.view(np.uint64))
             looked.append(at)
-            _, group = np.unique(doc * (len(known) + 1) + at, return_inverse=True)
+            _, group = np.unique(doc * (len(keys) + 1) + at, return_inverse=True)
             mine.append(np.bincount(group, own)[group] if len(group) else np.zeros(0))
         for c, on in (("t", inside), ("b", ~inside)):
             values = [of[c][at] - np.where(on[doc], m, 0) for at, m in zip(looked, mine, strict=True)]
             losses[c] = _loss(*values, n_words, pseudo) * own
-        size = np.bincount(doc, own, len(docs_pdf))
+        n = np.bincount(doc, own, len(x.sizes))
         with np.errstate(invalid="ignore", divide="ignore"):
-            ce = {c: np.bincount(doc, losses[c], len(docs_pdf)) / size for c in of}
-        out = pd.DataFrame({"id": docs_pdf["id"], "n_tokens": size.astype(np.int64), "in_target": inside,
+            ce = {c: np.bincount(doc, losses[c], len(x.sizes)) / n for c in of}
+        out = pd.DataFrame({"id": list(x.ids), "n_tokens": n.astype(np.int64), "in_target": inside,
                             "ce_target": ce["t"], "ce_background": ce["b"], "score": ce["t"] - ce["b"]})
-        return out.astype({"ce_target": object, "ce_background": object, "score": object}).where(out.notna(), None)
+        return out.astype({c: object for c in ("ce_target", "ce_background", "score")}).where(out.notna(), None)
 
-    out = by_block.cogroup(sent.groupBy("block")).applyInPandas(
-        score, f"id {kind}, n_tokens long, in_target boolean, ce_target double, ce_background double, score double")
-    return out.withColumnRenamed("id", key)
+    out = by_block.cogroup(everything.groupBy("block")).applyInPandas(
+        score, "id string, n_tokens long, in_target boolean, ce_target double, ce_background double, score double")
+    return out.select(F.col("id").cast(kind).alias(key), "n_tokens", "in_target", "ce_target", "ce_background", "score")
 
 
 def op4_cross_entropy(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -452,7 +452,7 @@ def test_lm_equals_brute_force(spark):
     target = set(range(0, 40, 3))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     wanted = spark.createDataFrame([(i,) for i in [*target, 0, 12345]], "doc_id long")
-    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(df, wanted, size=30, block_tokens=40).collect()}
+    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(df, wanted, size=30, block_tokens=40, part_tokens=16).collect()}
     for k, ce in brute_lm(rows, target, 30, 2, lm.PSEUDO).items():
         assert got[k]["in_target"] == (k in target)
         if ce is None:
