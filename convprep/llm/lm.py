@@ -25,13 +25,14 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convprep.llm.common import written
 
 MIN_COUNT = 2
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 3_000_000
 PART_TOKENS = 1_000_000  # tokens of the corpus for each part of the key space
 PSEUDO = 8.0
 
@@ -54,20 +55,6 @@ def _key(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (previous.view(np.uint64) * _BASE + word.view(np.uint64)).view(np.int64)
 
 
-def _bigrams(word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The previous word of all tokens of texts of ``sizes`` tokens, and the text of each."""
-    previous = np.empty_like(word)
-    previous[1:] = word[:-1]
-    previous[(np.cumsum(sizes) - sizes)[sizes > 0]] = _START
-    return previous, np.repeat(np.arange(len(sizes)), sizes)
-
-
-def _with_marginals(previous: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
-    """Keys of the bigrams, their contexts, their words, and all tokens."""
-    anything = np.full(len(word), _ANY)
-    return [_key(a, b) for a, b in ((previous, word), (previous, anything), (anything, word), (anything, anything))]
-
-
 def _loss(c2, c1, cw, n, words: int, pseudo: float) -> np.ndarray:
     """Minus log of the smoothed bigram probability: ``pseudo`` tokens of the unigram
     model, itself with one more of each word, are added to each context."""
@@ -108,10 +95,11 @@ def _send(block: int, keys: np.ndarray, t: np.ndarray, b: np.ndarray, bits: int)
                          "b": [_planes(b[s].astype(np.uint32)) for s in spans]})
 
 
-def _merge(lowest: int):
+def _merge(lowest: int, flags: bool):
     """Per part: to each block that has them the places and corpus counts of keys
-    that another block has too; and one row, block -1, with the number of keys counted
-    ``lowest`` times or more."""
+    that another block has too. With ``flags`` only the places of keys that the block's
+    own counts call rare (below ``lowest``) and the corpus does not, and one
+    row, block -1, with the number of keys that are not rare."""
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])
         lists = [_from_planes(k, "uint64") for k in pdf["keys"]]
@@ -119,61 +107,113 @@ def _merge(lowest: int):
         keys = np.concatenate(lists)
         t, b = (np.concatenate([_from_planes(x, "uint32") for x in pdf[c]]).astype(np.int64) for c in ("t", "b"))
         order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         run = np.diff(np.append(first, len(keys)))
-        total = {"t": np.add.reduceat(t[order], first), "b": np.add.reduceat(b[order], first)}
-        many = np.repeat(run > 1, run)
-        shared = np.zeros(len(keys), bool)
-        shared[order] = many
+        total_t, total_b = np.add.reduceat(t[order], first), np.add.reduceat(b[order], first)
+        sent = np.empty(len(keys), bool)
+        sent[order] = np.repeat(run > 1, run)
         all_t, all_b = np.empty_like(t), np.empty_like(b)
-        all_t[order], all_b[order] = np.repeat(total["t"], run), np.repeat(total["b"], run)
-        rows = [(-1, part, int((total["t"] + total["b"] >= lowest).sum()), b"", b"", b"")]
+        all_t[order], all_b[order] = np.repeat(total_t, run), np.repeat(total_b, run)
+        if flags:
+            sent &= (t + b < lowest) & (all_t + all_b >= lowest)
+        rows = [(-1, part, int((total_t + total_b >= lowest).sum()), b"", b"", b"")] if flags else []
         for block, lo, n in zip(pdf["block"], np.cumsum(sizes) - sizes, sizes, strict=True):
-            at = np.flatnonzero(shared[lo:lo + n])
+            at = np.flatnonzero(sent[lo:lo + n])
             if len(at):
-                rows.append((int(block), part, len(at), _planes(at.astype(np.uint32)), _planes(all_t[lo + at].astype(np.uint64)),
-                             _planes(all_b[lo + at].astype(np.uint64))))
+                counts = (b"", b"") if flags else (_planes(all_t[lo + at].astype(np.uint64)), _planes(all_b[lo + at].astype(np.uint64)))
+                rows.append((int(block), part, len(at), _planes(at.astype(np.uint32)), *counts))
         return pd.DataFrame(rows, columns=["block", "part", "n", "at", "t", "b"])
 
     return merge
 
 
-def _corpus(keys: np.ndarray, t: np.ndarray, b: np.ndarray, back: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Corpus counts of a block's sorted keys from its own and those that came back."""
-    t, b = t.astype(np.int64), b.astype(np.int64)
-    cuts = _cuts(keys, bits)
-    for part, at, st, sb in zip(back["part"], back["at"], back["t"], back["b"], strict=True):
-        place = cuts[part] + _from_planes(at, "uint32").astype(np.int64)
-        t[place], b[place] = _from_planes(st, "uint64"), _from_planes(sb, "uint64")
-    return t, b
-
-
 class _Block:
     """A block: its sorted word hashes, the code of each token, the documents' sizes."""
 
     def __init__(self, row):
         self.number, self.ids = int(row["block"]), row["ids"]
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.codes = np.frombuffer(row["codes"], np.int32)
+        self.codes = _from_planes(zstandard.decompress(row["codes"]), "int32") if row["codes"] else np.zeros(0, np.int32)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.counts = np.bincount(self.codes, minlength=len(self.words))
 
-    def tokens(self, back: pd.DataFrame, bits: int, lowest: int) -> np.ndarray:
-        """Hashes of all tokens, words that are rare in the corpus as one."""
-        total, _ = _corpus(self.words, self.counts, np.zeros_like(self.counts), back, bits)
-        return np.where(total < lowest, _RARE, self.words.view(np.int64))[self.codes] if len(self.codes) else np.zeros(0, np.int64)
-
-    def inside(self, back: pd.DataFrame) -> np.ndarray:
+    def inside(self, known: pd.DataFrame) -> np.ndarray:
+        """Whether each document is a target."""
         out = np.zeros(len(self.sizes), bool)
-        for at in back["at"][back["part"] == _MARKS]:
+        for at in known["at"][known["part"] == _MARKS]:
             out[_from_planes(at, "uint32")] = True
         return out
 
-    def keys(self, previous: np.ndarray, word: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct keys of bigrams and marginals with their counts on both sides."""
-        u, place = np.unique(np.concatenate(_with_marginals(previous, word)).view(np.uint64), return_inverse=True)
-        four = np.tile(side, 4)
-        return u, np.bincount(place, four, len(u)).astype(np.int64), np.bincount(place, ~four, len(u)).astype(np.int64)
+
+class _Bigrams:
+    """The bigrams of a block, with rare words as one, and their keys.
+
+    ``hashes`` are those of the block's words, of the rare word and of the place
+    before a text; tokens are places in it. ``keys`` are sorted: of the distinct bigrams,
+    contexts and words, and of all tokens; ``of`` leads from each of these to its key.
+    """
+
+    def __init__(self, block: _Block, known: pd.DataFrame, bits: int, lowest: int):
+        rare = block.counts < lowest
+        cuts = _cuts(block.words, bits)
+        for part, at in zip(known["part"], known["at"], strict=True):
+            if part != _MARKS:
+                rare[cuts[part] + _from_planes(at, "uint32").astype(np.int64)] = False
+        n = len(block.words)
+        self.hashes = np.concatenate([block.words.view(np.int64), [_RARE, _START]])
+        names = np.where(rare, n, np.arange(n))
+        self.word = names[block.codes] if len(block.codes) else np.zeros(0, np.int64)
+        self.previous = np.empty_like(self.word)
+        self.previous[1:] = self.word[:-1]
+        self.previous[(np.cumsum(block.sizes) - block.sizes)[block.sizes > 0]] = n + 1
+        self.owner = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        pairs, self.pair = np.unique(self.previous * (n + 2) + self.word, return_inverse=True)
+        self.pair_context, self.pair_word = pairs // (n + 2), pairs % (n + 2)
+        h, anything = self.hashes, np.full(n + 2, _ANY)
+        every = np.concatenate([_key(h[self.pair_context], h[self.pair_word]), _key(h, anything), _key(anything, h),
+                                _key(anything[:1], anything[:1])])
+        self.keys, place = np.unique(every.view(np.uint64), return_inverse=True)
+        self.of = np.split(place, np.cumsum([len(pairs), n + 2, n + 2]))
+
+    def counts(self, side: np.ndarray) -> np.ndarray:
+        """How often each key occurs in the tokens of ``side``."""
+        n, out = len(self.hashes), np.zeros(len(self.keys), np.int64)
+        for place, values in zip(self.of, (
+                np.bincount(self.pair[side], minlength=len(self.pair_word)), np.bincount(self.previous[side], minlength=n),
+                np.bincount(self.word[side], minlength=n), np.array([side.sum()])), strict=True):
+            np.add.at(out, place, values)
+        return out
+
+    def corpus(self, own: np.ndarray, back: pd.DataFrame, column: str, bits: int) -> np.ndarray:
+        """Corpus counts of the keys from the block's own and those that came back."""
+        out, cuts = own.copy(), _cuts(self.keys, bits)
+        for part, at, values in zip(back["part"], back["at"], back[column], strict=True):
+            out[cuts[part] + _from_planes(at, "uint32").astype(np.int64)] = _from_planes(values, "uint64").astype(np.int64)
+        return out
+
+
+def _losses(x: _Bigrams, inside: np.ndarray, t: np.ndarray, b: np.ndarray, n_words: int, pseudo: float):
+    """Per document the number of tokens and the mean losses under both models, its
+    own tokens left out of its side's."""
+    kinds = max(1, len(x.pair_word))
+    entry, own = np.unique(x.owner * kinds + x.pair, return_counts=True)
+    doc, pair = entry // kinds, entry % kinds
+    n = len(x.hashes)
+    looked, mine = [x.of[0][pair]], [own]
+    for place, code in ((x.of[1], x.pair_context[pair]), (x.of[2], x.pair_word[pair])):
+        _, group = np.unique(doc * n + code, return_inverse=True)
+        looked.append(place[code])
+        mine.append(np.bincount(group, own)[group] if len(group) else own)
+    size = np.bincount(doc, own, len(inside))
+    looked.append(np.full(len(pair), x.of[3][0]))
+    mine.append(size[doc])
+    out = []
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for of, on in ((t, inside), (b, ~inside)):
+            values = [of[at] - np.where(on[doc], m, 0) for at, m in zip(looked, mine, strict=True)]
+            out.append(np.bincount(doc, _loss(*values, n_words, pseudo) * own, len(inside)) / size)
+    return size.astype(np.int64), *out
 
 
 def cross_entropy_difference(
@@ -206,7 +246,8 @@ def cross_entropy_difference(
         def block():
             words, codes = np.unique(np.concatenate(hashes).view(np.uint64), return_inverse=True)
             return pd.DataFrame({"block": [number], "ids": [ids], "words": [words.tobytes()],
-                                 "codes": [codes.astype(np.int32).tobytes()], "sizes": [np.array(sizes, np.int64).tobytes()]})
+                                 "codes": [zstandard.compress(_planes(codes.astype(np.int32)), 1) if len(codes) else b""], "n": [len(codes)],
+                                 "sizes": [np.array(sizes, np.int64).tobytes()]})
 
         for pdf in batches:
             for i, t in zip(pdf["id"], pdf["text"], strict=True):
@@ -228,8 +269,9 @@ def cross_entropy_difference(
     # Keys travel as text: within pandas, nulls would make floats of 64-bit numbers.
     named = docs.select(F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text"))
     blocks = written(named.mapInPandas(
-        encode, "block long, ids array<string>, words binary, codes binary, sizes binary"), "lm-blocks")
-    total = (blocks.agg(F.sum(F.octet_length("codes").cast("long"))).first()[0] or 0) // 4
+        encode, "block long, ids array<string>, words binary, codes binary, n long, sizes binary"), "lm-blocks")
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    blocks = blocks.drop("n")
     bits = max(0, (max(1, total // part_tokens) - 1).bit_length())
     lowest = max(min_count, -(-total // size) if size else 1)
 
@@ -239,7 +281,7 @@ def cross_entropy_difference(
                 x = _Block(row)
                 yield _send(x.number, x.words, x.counts, np.zeros_like(x.counts), bits)
 
-    words = blocks.mapInPandas(send_words, _SENT).groupBy("part").applyInPandas(_merge(lowest), _BACK)
+    words = blocks.mapInPandas(send_words, _SENT).groupBy("part").applyInPandas(_merge(lowest, True), _BACK)
     words = written(words, "lm-words")
     n_words = words.where("block = -1").agg(F.sum("n")).first()[0] or 0
 
@@ -253,50 +295,31 @@ def cross_entropy_difference(
     known = written(words.where("block >= 0").union(marks), "lm-known")
     by_block = blocks.groupBy("block")
 
-    def send_bigrams(block_pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+    def send_bigrams(block_pdf: pd.DataFrame, known_pdf: pd.DataFrame) -> pd.DataFrame:
         if not len(block_pdf):
             return pd.DataFrame(columns=[c.split()[0] for c in _SENT.split(", ")])
-        x = _Block(block_pdf.iloc[0])
-        word = x.tokens(back[back["part"] != _MARKS], bits, lowest)
-        previous, owner = _bigrams(word, x.sizes)
-        return _send(x.number, *x.keys(previous, word, x.inside(back)[owner]), bits)
+        block = _Block(block_pdf.iloc[0])
+        x = _Bigrams(block, known_pdf, bits, lowest)
+        side = block.inside(known_pdf)[x.owner]
+        return _send(block.number, x.keys, x.counts(side), x.counts(~side), bits)
 
+    # Both joins read one exchange of the blocks; what is sent back is not written in between.
     shared = by_block.cogroup(known.groupBy("block")).applyInPandas(send_bigrams, _SENT).groupBy("part").applyInPandas(
-        _merge(lowest), _BACK)
-    shared = written(shared.where("block >= 0"), "lm-bigrams")
+        _merge(lowest, False), _BACK)
     everything = known.withColumn("what", F.lit(0)).union(shared.withColumn("what", F.lit(1)))
 
     def score(block_pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         if not len(block_pdf):
             return pd.DataFrame(columns=["id", "n_tokens", "in_target", "ce_target", "ce_background", "score"])
-        x = _Block(block_pdf.iloc[0])
-        first, second = back[back["what"] == 0], back[back["what"] == 1]
-        word = x.tokens(first[first["part"] != _MARKS], bits, lowest)
-        inside = x.inside(first)
-        previous, owner = _bigrams(word, x.sizes)
-        keys, t, b = x.keys(previous, word, inside[owner])
-        t, b = _corpus(keys, t, b, second, bits)
-        of = {"t": t, "b": b}
-        # Distinct (document, bigram) with counts; then the document's own marginals.
-        kinds, one, place = np.unique(_key(previous, word), return_index=True, return_inverse=True)
-        pair, own = np.unique(owner * max(1, len(kinds)) + place, return_counts=True)
-        doc, one = pair // max(1, len(kinds)), one[pair % max(1, len(kinds))]
-        losses = {c: np.zeros(len(pair)) for c in of}
-        looked, mine = [], []
-        for k in _with_marginals(previous[one], word[one]):
-            # The key's number within the block serves to add up within a document.
-            at = np.searchsorted(keys, k.view(np.uint64))
-            looked.append(at)
-            _, group = np.unique(doc * (len(keys) + 1) + at, return_inverse=True)
-            mine.append(np.bincount(group, own)[group] if len(group) else np.zeros(0))
-        for c, on in (("t", inside), ("b", ~inside)):
-            values = [of[c][at] - np.where(on[doc], m, 0) for at, m in zip(looked, mine, strict=True)]
-            losses[c] = _loss(*values, n_words, pseudo) * own
-        n = np.bincount(doc, own, len(x.sizes))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            ce = {c: np.bincount(doc, losses[c], len(x.sizes)) / n for c in of}
-        out = pd.DataFrame({"id": list(x.ids), "n_tokens": n.astype(np.int64), "in_target": inside,
-                            "ce_target": ce["t"], "ce_background": ce["b"], "score": ce["t"] - ce["b"]})
+        block = _Block(block_pdf.iloc[0])
+        known_pdf, counts = back[back["what"] == 0], back[back["what"] == 1]
+        x = _Bigrams(block, known_pdf, bits, lowest)
+        inside = block.inside(known_pdf)
+        side = inside[x.owner]
+        t, b = (x.corpus(x.counts(s), counts, c, bits) for c, s in (("t", side), ("b", ~side)))
+        n, ce_t, ce_b = _losses(x, inside, t, b, n_words, pseudo)
+        out = pd.DataFrame({"id": list(block.ids), "n_tokens": n, "in_target": inside,
+                            "ce_target": ce_t, "ce_background": ce_b, "score": ce_t - ce_b})
         return out.astype({c: object for c in ("ce_target", "ce_background", "score")}).where(out.notna(), None)
 
     out = by_block.cogroup(everything.groupBy("block")).applyInPandas(
