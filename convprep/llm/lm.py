@@ -95,9 +95,14 @@ def _send(block: int, keys: np.ndarray, t: np.ndarray, b: np.ndarray, bits: int)
                          "b": [_planes(b[s].astype(np.uint32)) for s in spans]})
 
 
+def _places(start: int, n: int, bits: bytes) -> np.ndarray:
+    """Places, from ``start`` on, whose bit is set."""
+    return start + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
+
+
 def _merge(lowest: int, flags: bool):
-    """Per part: to each block that has them the places and corpus counts of keys
-    that another block has too. With ``flags`` only the places of keys that the block's
+    """Per part: to each block that has them the places (a bit for each key it
+    sent) and corpus counts of keys that another block has too. With ``flags`` only the places of keys that the block's
     own counts call rare (below ``lowest``) and the corpus does not, and one
     row, block -1, with the number of keys that are not rare."""
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,10 +124,10 @@ def _merge(lowest: int, flags: bool):
             sent &= (t + b < lowest) & (all_t + all_b >= lowest)
         rows = [(-1, part, int((total_t + total_b >= lowest).sum()), b"", b"", b"")] if flags else []
         for block, lo, n in zip(pdf["block"], np.cumsum(sizes) - sizes, sizes, strict=True):
-            at = np.flatnonzero(sent[lo:lo + n])
-            if len(at):
-                counts = (b"", b"") if flags else (_planes(all_t[lo + at].astype(np.uint64)), _planes(all_b[lo + at].astype(np.uint64)))
-                rows.append((int(block), part, len(at), _planes(at.astype(np.uint32)), *counts))
+            at = sent[lo:lo + n]
+            if at.any():
+                counts = (b"", b"") if flags else tuple(_planes(x[lo:lo + n][at].astype(np.uint64)) for x in (all_t, all_b))
+                rows.append((int(block), part, n, np.packbits(at).tobytes(), *counts))
         return pd.DataFrame(rows, columns=["block", "part", "n", "at", "t", "b"])
 
     return merge
@@ -157,9 +162,9 @@ class _Bigrams:
     def __init__(self, block: _Block, known: pd.DataFrame, bits: int, lowest: int):
         rare = block.counts < lowest
         cuts = _cuts(block.words, bits)
-        for part, at in zip(known["part"], known["at"], strict=True):
+        for part, size, at in zip(known["part"], known["n"], known["at"], strict=True):
             if part != _MARKS:
-                rare[cuts[part] + _from_planes(at, "uint32").astype(np.int64)] = False
+                rare[_places(cuts[part], size, at)] = False
         n = len(block.words)
         self.hashes = np.concatenate([block.words.view(np.int64), [_RARE, _START]])
         names = np.where(rare, n, np.arange(n))
@@ -188,8 +193,8 @@ class _Bigrams:
     def corpus(self, own: np.ndarray, back: pd.DataFrame, column: str, bits: int) -> np.ndarray:
         """Corpus counts of the keys from the block's own and those that came back."""
         out, cuts = own.copy(), _cuts(self.keys, bits)
-        for part, at, values in zip(back["part"], back["at"], back[column], strict=True):
-            out[cuts[part] + _from_planes(at, "uint32").astype(np.int64)] = _from_planes(values, "uint64").astype(np.int64)
+        for part, size, at, values in zip(back["part"], back["n"], back["at"], back[column], strict=True):
+            out[_places(cuts[part], size, at)] = _from_planes(values, "uint64").astype(np.int64)
         return out
 
 
