@@ -75,6 +75,15 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
     return raw.view(np.dtype(kind).newbyteorder(">")).ravel().astype(kind)
 
 
+def _counts(values: np.ndarray) -> bytes:
+    """Counts are small and random, which takes an entropy coder."""
+    return zstandard.compress(_planes(values), 1) if len(values) else b""
+
+
+def _from_counts(data: bytes, kind: str) -> np.ndarray:
+    return _from_planes(zstandard.decompress(data), kind) if data else np.zeros(0, kind)
+
+
 _SENT = "part int, block long, keys binary, t binary, b binary"
 _BACK = "block long, part int, n long, at binary, t binary, b binary"
 
@@ -91,8 +100,8 @@ def _send(block: int, keys: np.ndarray, t: np.ndarray, b: np.ndarray, bits: int)
     parts = np.flatnonzero(np.diff(cuts))
     spans = [slice(cuts[p], cuts[p + 1]) for p in parts]
     return pd.DataFrame({"part": parts, "block": block, "keys": [_planes(keys[s]) for s in spans],
-                         "t": [_planes(t[s].astype(np.uint32)) for s in spans],
-                         "b": [_planes(b[s].astype(np.uint32)) for s in spans]})
+                         "t": [_counts(t[s].astype(np.uint32)) for s in spans],
+                         "b": [_counts(b[s].astype(np.uint32)) for s in spans]})
 
 
 def _places(start: int, n: int, bits: bytes) -> np.ndarray:
@@ -110,7 +119,7 @@ def _merge(lowest: int, flags: bool):
         lists = [_from_planes(k, "uint64") for k in pdf["keys"]]
         sizes = np.array([len(x) for x in lists])
         keys = np.concatenate(lists)
-        t, b = (np.concatenate([_from_planes(x, "uint32") for x in pdf[c]]).astype(np.int64) for c in ("t", "b"))
+        t, b = (np.concatenate([_from_counts(x, "uint32") for x in pdf[c]]).astype(np.int64) for c in ("t", "b"))
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -126,7 +135,7 @@ def _merge(lowest: int, flags: bool):
         for block, lo, n in zip(pdf["block"], np.cumsum(sizes) - sizes, sizes, strict=True):
             at = sent[lo:lo + n]
             if at.any():
-                counts = (b"", b"") if flags else tuple(_planes(x[lo:lo + n][at].astype(np.uint64)) for x in (all_t, all_b))
+                counts = (b"", b"") if flags else tuple(_counts(x[lo:lo + n][at].astype(np.uint64)) for x in (all_t, all_b))
                 rows.append((int(block), part, n, np.packbits(at).tobytes(), *counts))
         return pd.DataFrame(rows, columns=["block", "part", "n", "at", "t", "b"])
 
@@ -138,8 +147,8 @@ class _Block:
 
     def __init__(self, row):
         self.number, self.ids = int(row["block"]), row["ids"]
-        self.words = np.frombuffer(row["words"], np.uint64)
-        self.codes = _from_planes(zstandard.decompress(row["codes"]), "int32") if row["codes"] else np.zeros(0, np.int32)
+        self.words = _from_planes(row["words"], "uint64")
+        self.codes = _from_counts(row["codes"], "int32")
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.counts = np.bincount(self.codes, minlength=len(self.words))
 
@@ -194,7 +203,7 @@ class _Bigrams:
         """Corpus counts of the keys from the block's own and those that came back."""
         out, cuts = own.copy(), _cuts(self.keys, bits)
         for part, size, at, values in zip(back["part"], back["n"], back["at"], back[column], strict=True):
-            out[_places(cuts[part], size, at)] = _from_planes(values, "uint64").astype(np.int64)
+            out[_places(cuts[part], size, at)] = _from_counts(values, "uint64").astype(np.int64)
         return out
 
 
@@ -250,8 +259,8 @@ def cross_entropy_difference(
 
         def block():
             words, codes = np.unique(np.concatenate(hashes).view(np.uint64), return_inverse=True)
-            return pd.DataFrame({"block": [number], "ids": [ids], "words": [words.tobytes()],
-                                 "codes": [zstandard.compress(_planes(codes.astype(np.int32)), 1) if len(codes) else b""], "n": [len(codes)],
+            return pd.DataFrame({"block": [number], "ids": [ids], "words": [_planes(words)],
+                                 "codes": [_counts(codes.astype(np.int32))], "n": [len(codes)],
                                  "sizes": [np.array(sizes, np.int64).tobytes()]})
 
         for pdf in batches:
