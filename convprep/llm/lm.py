@@ -35,6 +35,8 @@ MIN_COUNT = 2
 BLOCK_TOKENS = 1_500_000
 PART_TOKENS = 1_000_000  # tokens of the corpus for each part of the key space
 PSEUDO = 8.0
+_AT_ONCE = 250_000  # tokens scored at a time
+_REMEMBERED = 100_000  # words whose hashes a task keeps
 
 # In place of a word's hash: the place before a text; any word; a word outside the vocabulary.
 _START, _ANY, _RARE = np.array([0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.int64)
@@ -66,7 +68,7 @@ def _loss(c2, c1, cw, n, words: int, pseudo: float) -> np.ndarray:
 
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of the numbers, all first bytes first: sorted keys and small counts pack well."""
-    return np.ascontiguousarray(values.astype(values.dtype.newbyteorder(">")).view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.astype(values.dtype.newbyteorder(">")).view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def _from_planes(data: bytes, kind: str) -> np.ndarray:
@@ -176,13 +178,13 @@ class _Bigrams:
                 rare[_places(cuts[part], size, at)] = False
         n = len(block.words)
         self.hashes = np.concatenate([block.words.view(np.int64), [_RARE, _START]])
-        names = np.where(rare, n, np.arange(n))
-        self.word = names[block.codes] if len(block.codes) else np.zeros(0, np.int64)
+        names = np.where(rare, n, np.arange(n)).astype(np.int32)
+        self.word = names[block.codes] if len(block.codes) else np.zeros(0, np.int32)
         self.previous = np.empty_like(self.word)
         self.previous[1:] = self.word[:-1]
         self.previous[(np.cumsum(block.sizes) - block.sizes)[block.sizes > 0]] = n + 1
         self.owner = np.repeat(np.arange(len(block.sizes)), block.sizes)
-        pairs, self.pair = np.unique(self.previous * (n + 2) + self.word, return_inverse=True)
+        pairs, self.pair = np.unique(self.previous.astype(np.int64) * (n + 2) + self.word, return_inverse=True)
         self.pair_context, self.pair_word = pairs // (n + 2), pairs % (n + 2)
         h, anything = self.hashes, np.full(n + 2, _ANY)
         every = np.concatenate([_key(h[self.pair_context], h[self.pair_word]), _key(h, anything), _key(anything, h),
@@ -207,11 +209,25 @@ class _Bigrams:
         return out
 
 
-def _losses(x: _Bigrams, inside: np.ndarray, t: np.ndarray, b: np.ndarray, n_words: int, pseudo: float):
-    """Per document the number of tokens and the mean losses under both models, its
-    own tokens left out of its side's."""
+def _losses(x: _Bigrams, sizes: np.ndarray, inside: np.ndarray, t: np.ndarray, b: np.ndarray, n_words: int, pseudo: float):
+    """Per document the mean losses under both models, its own tokens left out of
+    its side's. Some documents at a time, to bound memory."""
+    ends = np.cumsum(sizes)
+    out = np.full((2, len(sizes)), np.nan)
+    lo = 0
+    while lo < len(sizes):
+        start = ends[lo] - sizes[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, start + _AT_ONCE, "right")))
+        out[:, lo:hi] = _some_losses(x, x.pair[start:ends[hi - 1]], x.owner[start:ends[hi - 1]] - lo, sizes[lo:hi],
+                                     inside[lo:hi], t, b, n_words, pseudo)
+        lo = hi
+    return out
+
+
+def _some_losses(x: _Bigrams, pairs: np.ndarray, owner: np.ndarray, sizes: np.ndarray, inside: np.ndarray,
+                 t: np.ndarray, b: np.ndarray, n_words: int, pseudo: float):
     kinds = max(1, len(x.pair_word))
-    entry, own = np.unique(x.owner * kinds + x.pair, return_counts=True)
+    entry, own = np.unique(owner * kinds + pairs, return_counts=True)
     doc, pair = entry // kinds, entry % kinds
     n = len(x.hashes)
     looked, mine = [x.of[0][pair]], [own]
@@ -219,15 +235,14 @@ def _losses(x: _Bigrams, inside: np.ndarray, t: np.ndarray, b: np.ndarray, n_wor
         _, group = np.unique(doc * n + code, return_inverse=True)
         looked.append(place[code])
         mine.append(np.bincount(group, own)[group] if len(group) else own)
-    size = np.bincount(doc, own, len(inside))
     looked.append(np.full(len(pair), x.of[3][0]))
-    mine.append(size[doc])
+    mine.append(sizes[doc])
     out = []
     with np.errstate(invalid="ignore", divide="ignore"):
         for of, on in ((t, inside), (b, ~inside)):
             values = [of[at] - np.where(on[doc], m, 0) for at, m in zip(looked, mine, strict=True)]
-            out.append(np.bincount(doc, _loss(*values, n_words, pseudo) * own, len(inside)) / size)
-    return size.astype(np.int64), *out
+            out.append(np.bincount(doc, _loss(*values, n_words, pseudo) * own, len(sizes)) / sizes)
+    return out
 
 
 def cross_entropy_difference(
@@ -272,7 +287,7 @@ def cross_entropy_difference(
                 sizes.append(len(w))
                 hashes.append(np.array([held[x] for x in w], np.int64))
                 n += len(w) + 1  # so that blocks of empty texts end too
-                if len(held) > 300_000:
+                if len(held) > _REMEMBERED:
                     held = {}
                 if n >= block_tokens:
                     yield block()
@@ -331,8 +346,8 @@ def cross_entropy_difference(
         inside = block.inside(known_pdf)
         side = inside[x.owner]
         t, b = (x.corpus(x.counts(s), counts, c, bits) for c, s in (("t", side), ("b", ~side)))
-        n, ce_t, ce_b = _losses(x, inside, t, b, n_words, pseudo)
-        out = pd.DataFrame({"id": list(block.ids), "n_tokens": n, "in_target": inside,
+        ce_t, ce_b = _losses(x, block.sizes, inside, t, b, n_words, pseudo)
+        out = pd.DataFrame({"id": list(block.ids), "n_tokens": block.sizes, "in_target": inside,
                             "ce_target": ce_t, "ce_background": ce_b, "score": ce_t - ce_b})
         return out.astype({c: object for c in ("ce_target", "ce_background", "score")}).where(out.notna(), None)
 
