@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from convprep.llm.common import written
 
 MIN_COUNT = 2
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 2_000_000
 PART_TOKENS = 1_000_000  # tokens of the corpus for each part of the key space
 PSEUDO = 8.0
 _AT_ONCE = 250_000  # tokens scored at a time
