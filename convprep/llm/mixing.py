@@ -62,14 +62,16 @@ def _ranked(df: DataFrame) -> DataFrame:
     return df.withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS).cast("int"))
 
 
-_RANK = ("bucket", "q", "key", "size")
+_RANK = ("bucket", "q", "key", "size", "tie", "copy")
+_ALIKE = ["key", "source", "tier", "size", "tie"]
+_SPREAD = 1000  # copies of a row that one task makes at a time
 
 
 def mixing_rules(narrow: DataFrame) -> DataFrame:
     """One row per (source, tier): target and size of source and cell, ``cut``
     (rank of the last document taken) and ``extra`` (a document taken beside).
 
-    ``narrow`` has key, source, tier, size and u. The number of rows returned is
+    ``narrow`` has key, source, tier, size, tie, copy and u. The number of rows returned is
     that of the sources and tiers. ``extra`` is the document beyond the cut that
     fills best what the cut leaves short; it matters for small sources.
     """
@@ -126,7 +128,7 @@ def mixing_rules(narrow: DataFrame) -> DataFrame:
 def _salted_join(df: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     """Join the one row that ``few`` has for ``keys`` (nulls are equal). Its rows are
     repeated for each salt, so the documents of a hot source spread over as many tasks."""
-    salt = F.pmod(F.xxhash64("key", "size", "u"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("key", "tie", "copy"), F.lit(SALTS)).cast("int")
     spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     on = " and ".join(f"d.{k} <=> k.{k}" for k in [*keys, "_salt"])
     return df.withColumn("_salt", salt).alias("d").join(spread.alias("k"), F.expr(on)).select(
@@ -158,51 +160,97 @@ def with_copies(narrow: DataFrame, rules: DataFrame) -> DataFrame:
         "rate", "whole", "p", "q", "bucket", "cell_size", "cell_target", "border", "cut", "extra")
 
 
-def narrowed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-             tier: str | None = None, seed: int = 11, keep: bool = False) -> DataFrame:
-    """key, source, tier, size (words; none for null) and u of every document;
-    with ``keep`` also the document as struct ``row``. Null keys draw one
-    number, and so do rows of one key: they are ranked by size then, and rows
-    alike in both are taken or left together."""
-    key_col = F.col(f"`{key}`")
-    out = [key_col.alias("key"), F.col(f"`{source}`").alias("source"),
+def _entries(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+             tier: str | None = None, keep: bool = False) -> DataFrame:
+    """key, source, tier, size (words; none for null) and tie of every document;
+    with ``keep`` also the document as struct ``row``. ``tie`` tells documents apart
+    that share a key, or have none: the md5 of the text and of the further columns."""
+    others = []
+    for f in docs.schema.fields:
+        if f.name not in (key, text, source, tier):
+            c = F.col(f"`{f.name}`")
+            deep = f.dataType.typeName() in ("array", "map", "struct", "variant")
+            others.append(F.coalesce(F.to_json(F.struct(c)) if deep else c.cast("string"), F.lit("null")))
+    tie = F.coalesce(F.md5(F.col(f"`{text}`").cast("binary")), F.lit("null"))
+    if others:
+        tie = F.concat(tie, F.lit("-"), F.md5(F.concat_ws("|", *others).cast("binary")))
+    out = [F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"),
            (F.lit(1) if tier is None else F.col(f"`{tier}`")).cast("long").alias("tier"),
-           F.size(words(F.col(f"`{text}`"))).cast("long").alias("size"), uniform(key_col, seed).alias("u")]
+           F.size(words(F.col(f"`{text}`"))).cast("long").alias("size"), tie.alias("tie")]
     if keep:
         out.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return docs.select(*out)
 
 
-def mix(docs: DataFrame, **names) -> DataFrame:
+def _draw(seed: int) -> Column:
+    """The number that a copy draws: of its key, its tie and which of the rows alike it is."""
+    return uniform(F.concat(F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit(":"), F.col("tie"), F.lit(":"),
+                            F.col("copy").cast("string")), seed)
+
+
+def _repeat(df: DataFrame, times: str, out: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 in ``out``; runs of ``_SPREAD`` copies go to
+    different tasks, so no task makes all copies of a row."""
+    runs = df.withColumn("_run", F.explode(F.expr(f"sequence(0L, ({times} - 1) div {_SPREAD})"))).where(f"{times} > 0")
+    runs = runs.withColumn("_salt", F.when(F.col("_run") > 0, F.xxhash64("_run", F.monotonically_increasing_id())))
+    many = runs.where("_run > 0").repartition("_salt")
+    both = runs.where("_run = 0").unionByName(many)
+    return both.withColumn(out, F.explode(F.expr(
+        f"sequence(_run * {_SPREAD}, least((_run + 1) * {_SPREAD}, {times}) - 1)"))).drop("_run", "_salt")
+
+
+def narrowed(docs: DataFrame, seed: int = 11, **names) -> DataFrame:
+    """One row per document: key, source, tier, size, tie, copy and u. Documents alike in all
+    columns are counted before they meet, and numbered (``copy``) from their count,
+    so each draws a number of its own and none are sorted together."""
+    counts = _entries(docs, **names).groupBy(*_ALIKE).agg(F.count("*").alias("_n"))
+    return _repeat(counts, "_n", "copy").drop("_n").withColumn("u", _draw(seed))
+
+
+def mix(docs: DataFrame, seed: int = 11, **names) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with the
     columns of ``docs``, whatever their names.
 
     ``tier`` may name a column of small positive whole numbers: documents of
     tier 2 are wanted twice as often as those of tier 1 of the same source,
     within the cap. The texts are read twice, for the sizes and for the copies;
-    they are shuffled only where the rules are too many for Spark to broadcast. Null texts and texts without words have size 0 and are
+    they are shuffled only where rules or repeated rows are too many for Spark to broadcast. Rows alike in all
+    columns are one row with the sum of their copies. Null texts and texts without words have size 0 and are
     never taken; an empty table gives an empty mix.
     """
-    rules = mixing_rules(written(narrowed(docs, **names), "mixing"))
-    chosen = with_copies(narrowed(docs, keep=True, **names), rules).where("copies > 0")
-    return chosen.select("row", F.explode(F.expr("sequence(1L, copies)")).alias("_n")).select("row.*")
+    narrow = written(narrowed(docs, seed, **names), "mixing")
+    rules = mixing_rules(narrow)
+    rows = _entries(docs, keep=True, **names).withColumn("copy", F.lit(0).cast("long")).withColumn("u", _draw(seed))
+    alike = F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in _ALIKE]))
+    taken = with_copies(rows, rules).select("row", "copies", alike.alias("alike"))
+    repeated = narrow.groupBy(*_ALIKE).agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return taken.where("copies > 0").select("row", F.explode(F.expr("sequence(1L, copies)")).alias("_n")).select("row.*")
+    on = " and ".join(f"a.{c} <=> b.{c}" for c in _ALIKE)
+    sums = with_copies(narrow.alias("a").join(repeated.alias("b"), F.expr(on), "left_semi"), rules)
+    sums = written(sums.groupBy(alike.alias("alike")).agg(F.sum("copies").alias("sum")), "mixing-repeated")
+    once = taken.join(sums, "alike", "left_anti").where("copies > 0").select(
+        "row", F.explode(F.expr("sequence(1L, copies)")).alias("_n"))
+    more = taken.join(sums.where("sum > 0"), "alike").groupBy("alike").agg(F.first("row").alias("row"), F.first("sum").alias("sum"))
+    return once.select("row").union(_repeat(more, "sum", "_n").select("row")).select("row.*")
 
 
 def op6_pareto_mix(docs: DataFrame) -> DataFrame:
-    """Digest of the contract."""
-    narrow = written(narrowed(docs), "mixing")
+    """Digest of the contract. Documents alike in doc_id, source and text are interchangeable here."""
+    narrow = written(narrowed(docs.select("doc_id", "text", "source")), "mixing")
     out = with_copies(narrow, mixing_rules(narrow))
     return out.select(F.col("key").alias("doc_id"), "size", "source_size", F.col("source_target").alias("target"),
                       (F.col("copies") * F.col("size")).alias("taken"))
 
 
 ORACLE_OP6 = r"""
-WITH d AS (
-  SELECT doc_id, source,
-         CAST(coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) AS BIGINT) AS size,
-         (CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE)
-           / 4503599627370496.0::DOUBLE AS u
+WITH d0 AS (
+  SELECT doc_id, source, coalesce(md5(text), 'null') AS tie,
+         row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS copy,
+         CAST(coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) AS BIGINT) AS size
   FROM documents),
+d AS (SELECT *, (CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || tie || ':' || copy), 1, 13) AS BIGINT)
+                 + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d0),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
               sum(source_size) OVER () AS total FROM s0),
@@ -223,12 +271,12 @@ r2 AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN u * (1 - p) / ((1 - u) * p) E
 r3 AS (SELECT *, CAST(floor(q / (1 + q) * 4096) AS INT) AS bucket,
               target - sum(whole * size) OVER (PARTITION BY source) AS asked FROM r2),
 r4 AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source, q IS NULL
-                   ORDER BY bucket, q, doc_id, size) END AS upto FROM r3),
+                   ORDER BY bucket, q, doc_id, size, tie, copy) END AS upto FROM r3),
 r5 AS (SELECT *, coalesce(upto <= asked, false) AS taken,
               asked - coalesce(max(CASE WHEN upto <= asked THEN upto END) OVER (PARTITION BY source), 0) AS short FROM r4),
 r6 AS (SELECT *, CASE WHEN q IS NOT NULL AND NOT taken AND abs(short - size) < short THEN abs(short - size) END AS miss FROM r5),
-x AS (SELECT source, min(row(miss, bucket, q, doc_id, size)) AS best FROM r6 WHERE miss IS NOT NULL GROUP BY source),
-r7 AS (SELECT r6.*, miss IS NOT NULL AND row(miss, bucket, q, doc_id, size) = x.best AS extra
+x AS (SELECT source, min(row(miss, bucket, q, doc_id, size, tie, copy)) AS best FROM r6 WHERE miss IS NOT NULL GROUP BY source),
+r7 AS (SELECT r6.*, miss IS NOT NULL AND row(miss, bucket, q, doc_id, size, tie, copy) = x.best AS extra
        FROM r6 LEFT JOIN x ON r6.source IS NOT DISTINCT FROM x.source)
 SELECT doc_id, size, source_size, target,
        CAST((whole + CASE WHEN taken OR coalesce(extra, false) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken

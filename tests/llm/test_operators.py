@@ -388,6 +388,40 @@ def test_mix_meets_targets_and_reruns(spark):
     assert sorted(rows) == sorted(mixing.op6_pareto_mix(docs.repartition(7)).collect())
 
 
+REPEATED = {
+    "one id": [(7, f"a b c d {i}", "s") for i in range(3000)] + [(10_000 + i, f"w x y z {i}", "s") for i in range(3000)],
+    "null ids": [(None, f"a b c d {i}", "s") for i in range(3000)] + [(i, f"w x y z {i}", "s") for i in range(3000)],
+    "alike": [(None, "a b c d e", "s")] * 4000 + [(i, f"w x y z {i}", "s") for i in range(2000)],
+    "alike, with id": [(1, "a b c d e", "s")] * 2500 + [(i, f"w x y z {i}", "s") for i in range(2000)],
+}
+
+
+@pytest.mark.parametrize("name", REPEATED)
+def test_mix_meets_targets_with_repeated_and_null_ids(spark, name):
+    rows = REPEATED[name] + [(20_000 + i, "o p", None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.op6_pareto_mix(df).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    for size in {r["source_size"] for r in got}:
+        part = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in part) / part[0]["target"] - 1) < 0.01
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in part)
+    again = mixing.op6_pareto_mix(df.repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64"}))
+    want = con.sql(mixing.ORACLE_OP6)
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == Counter(
+        (r[0], r[1], r[4]) for r in want.fetchall())
+    # The copies themselves, made from the same decisions.
+    extra = df.withColumn("more", F.lit(1))
+    mixed = mixing.mix(extra)
+    assert mixed.columns == extra.columns
+    for s, n in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " ")))).collect():
+        target = next(r["target"] for r in got if r["source_size"] == sum(len(x[1].split()) for x in rows if x[2] == s))
+        assert abs(n / target - 1) < 0.01
+
+
 def test_tiers_are_mixed_by_weight(spark):
     df = spark.createDataFrame([(i, "a b c d", "s" if i % 2 else "t", 1 + i % 4 // 2) for i in range(2000)],
                                "doc_id long, text string, source string, grade long")
@@ -563,8 +597,10 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
         elif name == "mixing":
             con = duckdb.connect()
             con.register("documents", docs.toPandas())
-            want = {k: t // max(1, s) for k, s, t in con.execute(
-                f"select doc_id, size, taken from ({mixing.ORACLE_OP6})").fetchall()}
+            # The stage also tells rows apart by their other columns.
+            sql = mixing.ORACLE_OP6.replace("AS tie,", """|| '-' || md5(concat_ws('|', coalesce(lang, 'null'),
+                coalesce(CAST(n_chars AS VARCHAR), 'null'))) AS tie,""", 1)
+            want = {k: t // max(1, s) for k, s, t in con.execute(f"select doc_id, size, taken from ({sql})").fetchall()}
             assert Counter(after) == Counter({r: want[r[0]] for r in before if want[r[0]]})
         else:
             words_in = Counter()
