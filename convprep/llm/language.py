@@ -1,7 +1,7 @@
 """Language identification with string kernels.
 
-A text is the set of its letter n-grams (n = 1, 2, 3 blended, as presence, not
-counts). The kernel of two texts is |A and B| / sqrt(|A| |B|). Landmark texts
+A text is the set of its n-grams of code points (n = 1, 2, 3 blended, as presence, not
+counts), letters of any script each for itself. The kernel of two texts is |A and B| / sqrt(|A| |B|). Landmark texts
 give a Nyström approximation, in which one kernel ridge regression per language
 is fitted against the rest. A text's kernel values against all landmarks, times
 the regression weights, is one product of its presence vector with a fixed
@@ -11,6 +11,7 @@ matrix; texts are scored in batches of such products.
 from __future__ import annotations
 
 import functools
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,50 +22,47 @@ from pyspark.sql import functions as F
 from convprep.llm.common import written
 from convprep.llm.jaccard import common_counts
 
-BASE = 64  # classes of characters: 0 no letter, 1 other letter, the alphabet
 PER_LANGUAGE = 400
 LANDMARKS = 160
 RIDGE = 1e-4
-_STEPS = (0, BASE, BASE + BASE**2, BASE + BASE**2 + BASE**3)
+_POINTS = np.uint64(0x110000)  # code points there are
 
 
 @functools.cache
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000).astype(np.uint8)
+    return np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000).astype(np.uint8)
 
 
-def classes(alphabet: str) -> np.ndarray:
-    """Class of every code point."""
-    table = _letters().copy()
-    for i, c in enumerate(alphabet[:BASE - 2]):
-        table[ord(c)] = i + 2
-    return table
+def presence(text: str) -> np.ndarray:
+    """Sorted distinct n-grams of a text, n = 1 to 3, as numbers; none if it has no letter.
 
-
-def presence(text: str, table: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Distinct n-grams of a text as numbers below ``_STEPS[-1]``; none if it has no
-    letter. ``seen`` is scratch space of that size."""
-    c = table[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)].astype(np.int32)
+    An n-gram is a run of code points of the lower-cased text, each letter or mark
+    itself and all others one sign; its number is these code points as digits, so
+    no two n-grams share one.
+    """
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(_letters()[points] > 0, points, 0).astype(np.uint64)
     if not c.any():
-        return np.zeros(0, np.int32)
-    pair = c[:-1] * BASE + c[1:]
-    grams = np.concatenate([c, pair + _STEPS[1], pair[:-1] * BASE + c[2:] + _STEPS[2]])
-    number = np.arange(len(grams), dtype=np.int32)
-    seen[grams] = number
-    return grams[seen[grams] == number]
+        return np.zeros(0, np.uint64)
+    pair = (c[:-1] + np.uint64(1)) * _POINTS + c[1:]
+    return np.unique(np.concatenate([c, pair, pair[:-1] * _POINTS + c[2:]]))
 
 
 @dataclass
 class Model:
-    """Languages, alphabet, and per n-gram the row of ``weights`` (0: none)."""
+    """Languages, the n-grams of the landmarks (sorted), and a row of ``weights`` for each."""
 
     languages: list[str]
-    alphabet: str
-    row: np.ndarray
+    known: np.ndarray
     weights: np.ndarray
 
+    def rows(self, grams: np.ndarray) -> np.ndarray:
+        """The rows of those n-grams that a landmark has."""
+        at = np.minimum(np.searchsorted(self.known, grams), max(0, len(self.known) - 1))
+        return at[self.known[at] == grams] if len(self.known) else at[:0]
+
 
-def fit(sets: list[np.ndarray], labels: list[str], alphabet: str,
+def fit(sets: list[np.ndarray], labels: list[str],
         landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Nyström kernel ridge regression, one language against the rest."""
     languages = sorted(set(labels))
@@ -73,29 +71,28 @@ def fit(sets: list[np.ndarray], labels: list[str], alphabet: str,
     size = np.array([len(s) for s in sets], float)
     marks = np.array(chosen, dtype=int)
     kernel = common_counts(sets, np.arange(len(sets)), marks) / np.sqrt(size[:, None] * size[marks][None, :])
+    kernel[marks, np.arange(len(marks))] = 1.0  # common_counts leaves out what only one text has
     target = np.array([[x == k for k in languages] for x in labels], float)
     # Subset of regressors: (C'C + ridge n W) a = C'Y with C all against landmarks.
     left = kernel.T @ kernel + ridge * len(sets) * kernel[marks]
     alpha = np.linalg.solve(left + 1e-9 * np.eye(len(marks)), kernel.T @ target)
     known = np.unique(np.concatenate([sets[i] for i in chosen]))
-    row = np.zeros(_STEPS[-1], np.int32)
-    row[known] = np.arange(1, len(known) + 1)
-    weights = np.zeros((len(known) + 1, len(languages)))
+    weights = np.zeros((len(known), len(languages)))
     for i, a in zip(chosen, alpha, strict=True):
-        weights[row[sets[i]]] += a / np.sqrt(size[i])
-    return Model(languages, alphabet, row, weights.astype(np.float32))
+        weights[np.searchsorted(known, sets[i])] += a / np.sqrt(size[i])
+    return Model(languages, known, weights.astype(np.float32))
 
 
-def score_batch(model: Model, sets: list[np.ndarray], block: int = 256) -> np.ndarray:
-    """Regression values (texts x languages): presence matrix times weights, a block
-    of texts at a time, over the square root of the set sizes."""
+def score_batch(model: Model, sets: list[np.ndarray], cells: int = 8_000_000) -> np.ndarray:
+    """Regression values (texts x languages): presence matrix (of ``cells`` at most)
+    times weights, a block of texts at a time, over the square root of the set sizes."""
     out = np.zeros((len(sets), len(model.languages)))
+    block = max(1, min(256, cells // max(1, len(model.known))))
     for lo in range(0, len(sets), block):
         part = sets[lo:lo + block]
         x = np.zeros((len(part), len(model.weights)), np.float32)
         for i, s in enumerate(part):
-            x[i, model.row[s]] = 1
-        x[:, 0] = 0
+            x[i, model.rows(s)] = 1
         size = np.sqrt(np.maximum(1, [len(s) for s in part]))
         out[lo:lo + block] = (x @ model.weights) / size[:, None]
     return out
@@ -117,22 +114,17 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", draw: Column
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(counts.items())])
     # The limit binds only if thousands of rows share one hash.
     sample = written(labelled.where(F.col("u") < share).limit(2 * per_language * len(counts) + 100), "language-sample")
-    letters = sample.select(F.explode(F.split(F.lower("text"), "")).alias("c")).where(
-        F.rlike("c", F.lit(r"^\p{L}$"))).groupBy("c").agg(F.count("*").alias("n")).orderBy(
-        F.desc("n"), "c").limit(BASE - 2).collect()
-    alphabet = "".join(r["c"] for r in letters if len(r["c"]) == 1)
 
     def sets(batches):
-        table, seen = classes(alphabet), np.empty(_STEPS[-1], np.int32)
         for pdf in batches:
             yield pd.DataFrame({"u": pdf["u"], "lang": pdf["lang"],
-                                "grams": [np.sort(presence(t, table, seen)) for t in pdf["text"]]})
+                                "grams": [presence(t).view(np.int64) for t in pdf["text"]]})
 
-    got = sample.mapInPandas(sets, "u double, lang string, grams array<int>").collect()
+    got = sample.mapInPandas(sets, "u double, lang string, grams array<long>").collect()
     got = sorted((r for r in got if r["grams"]), key=lambda r: (r["u"], r["lang"], r["grams"]))
     if not got:
         return None
-    return fit([np.array(r["grams"], np.int32) for r in got], [r["lang"] for r in got], alphabet, landmarks)
+    return fit([np.array(r["grams"], np.int64).view(np.uint64) for r in got], [r["lang"] for r in got], landmarks)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -146,8 +138,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         m = held.value
         if m is None:
             return pd.DataFrame({"lang": ["und"] * len(texts), "score": [0.0] * len(texts)})
-        table, seen = classes(m.alphabet), np.empty(_STEPS[-1], np.int32)
-        sets = [presence(t or "", table, seen) for t in texts]
+        sets = [presence(t or "") for t in texts]
         value = score_batch(m, sets)
         best = value.argmax(axis=1)
         some = np.array([len(s) > 0 for s in sets], bool)

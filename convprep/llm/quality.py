@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from convprep.llm.common import let, words
 
 WINDOW = 5
+# What is not of a script that writes without blanks between words.
+UNSPACED = (r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]+")
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -88,7 +90,9 @@ FEATURES: dict[str, Feature] = {
         lambda f: (F.size(f("lines")) - F.size(F.array_distinct(f("lines")))).cast("long"),
         ("words", 2), ("lines",)),
     "n_letters": Feature(
-        lambda f: F.length(F.regexp_replace(f("text"), r"\P{L}+", "")).cast("long"), ("chars", 15)),
+        lambda f: F.length(F.regexp_replace(f("text"), r"[^\p{L}\p{M}]+", "")).cast("long"), ("chars", 15)),
+    "n_unspaced": Feature(
+        lambda f: F.length(F.regexp_replace(f("text"), UNSPACED, "")).cast("long"), ("chars", 15)),
     "n_repeat_words": Feature(lambda f: repeated_words(f("words")), ("words", 900), ("words",)),
 }
 
@@ -112,8 +116,9 @@ def default_rules(
              lambda f: 100 * f("n_dup_lines") > max_dup_line_percent * f("n_lines")),
         Rule("few_letters", ("word_chars", "n_letters"),
              lambda f: 100 * f("n_letters") < min_letter_percent * f("word_chars")),
-        Rule("word_length", ("n_words", "word_chars"),
-             lambda f: (f("word_chars") < low * f("n_words")) | (f("word_chars") > high * f("n_words"))),
+        Rule("word_length", ("n_words", "word_chars", "n_unspaced"),
+             lambda f: (f("word_chars") < low * f("n_words")) | (
+                 (f("word_chars") > high * f("n_words")) & (2 * f("n_unspaced") <= f("word_chars")))),
     ]
 
 
@@ -282,7 +287,8 @@ f AS (
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(len(lines) AS BIGINT) AS n_lines,
-         CAST(length(regexp_replace(text, '\P{L}', '', 'g')) AS BIGINT) AS n_letters,
+         CAST(length(regexp_replace(text, '[^\p{L}\p{M}]', '', 'g')) AS BIGINT) AS n_letters,
+         CAST(length(regexp_replace(text, '[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]', '', 'g')) AS BIGINT) AS n_unspaced,
          CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM k LEFT JOIN cov USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -290,6 +296,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words
             OR 100 * n_symbols > 5 * word_chars OR 100 * n_dup_lines > 30 * n_lines
             OR 100 * n_letters < 75 * word_chars
-            OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
+            OR word_chars < 2 * n_words OR (word_chars > 25 * n_words AND 2 * n_unspaced <= word_chars)) AS kept
 FROM f
 """

@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -88,11 +90,12 @@ def brute_quality(t):
         spots[tuple(w[i:i + 5])].append(i)
     cover = {i + k for s in spots.values() if len(s) > 1 for i in s for k in range(5)}
     lines = [x for x in t.split("\n") if WORD.search(x)]
-    chars, letters = sum(map(len, w)), sum(c.isalpha() for c in t)
+    chars, letters = sum(map(len, w)), sum(unicodedata.category(c)[0] in "LM" for c in t)
+    unspaced = len(regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]", t))
     n = len(w), chars, len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover)
     base = n[0] < 10 or 100 * n[4] > 20 * n[0]
     bad = (100 * n[2] > 5 * chars or 100 * n[3] > 30 * len(lines) or 100 * letters < 75 * chars
-           or chars < 2 * n[0] or chars > 25 * n[0])
+           or chars < 2 * n[0] or (chars > 25 * n[0] and 2 * unspaced <= chars))
     return (*n, base, not (base or bad))
 
 
@@ -113,6 +116,26 @@ def test_quality_order_changes_no_verdict_and_short_circuits(spark):
     assert sorted(a.collect()) == sorted(b.collect()) == sorted(quality.keep_good(docs).select("doc_id").collect())
 
 
+CLEAN = {
+    "hi": "भारत एक विशाल देश है जहाँ अनेक भाषाएँ बोली जाती हैं और लोग मिलकर त्योहार मनाते हैं। यहाँ की संस्कृति बहुत पुरानी है।",
+    "zh": " ".join(["中文文本通常不在词语之间使用空格，因此每一行都很长，读者自己分开词语。", "这是一个普通的段落，内容干净而且完整，没有任何重复的句子在里面出现。"]
+                   + [f"第{c}句话讲述了另一个城市里的人们每天如何生活和工作以及学习新的知识。" for c in "一二三四五六七八九"]),
+    "th": " ".join(f"ภาษาไทยไม่มีการเว้นวรรคระหว่างคำดังนั้นข้อความจึงยาวมาก{c}" for c in "กขคงจฉชซฌญฎ"),
+}
+
+
+def test_clean_texts_of_other_scripts_are_kept(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CLEAN.values())], "doc_id long, text string")
+    assert all(r["kept"] for r in quality.op1_quality_rules(df).collect())
+    assert quality.keep_good(df).count() == len(CLEAN)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert all(r[0] for r in con.sql(f"select kept from ({quality.ORACLE_OP1})").fetchall())
+    junk = spark.createDataFrame([(1, " ".join("x" * 40 + c for c in "abcdefghijklmnop")), (2, "12 34 5 6 7 8 9 10 11 12 13 14")],
+                                 "doc_id long, text string")
+    assert not any(r["kept"] for r in quality.op1_quality_rules(junk).collect())
+
+
 def test_repeated_words_overlap(spark):
     t = "a b c d e a b c d e x a b c d e"
     row = quality.op1_quality_rules(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
@@ -448,10 +471,57 @@ def test_language_without_letters(spark):
     assert rows[1] == rows[2] == rows[3] == ("und", 0.0) and rows[5][0] in ("en", "fr")
 
 
-def test_string_kernel_presence():
-    table, seen = language.classes("abc"), np.empty(language._STEPS[-1], np.int32)
-    assert len(language.presence("abab", table, seen)) == len({"a", "b", "ab", "ba", "aba", "bab"})
-    assert len(language.presence("12 !", table, seen)) == 0
+def test_presence_is_a_set():
+    assert len(language.presence("abab")) == len({"a", "b", "ab", "ba", "aba", "bab"})
+    assert len(language.presence("AbaB")) == len(language.presence("abab"))
+    assert len(language.presence("12 !")) == 0 and len(language.presence("")) == 0
+    assert len(language.presence("a1b")) == len({"a", "1", "b", "a1", "1b", "a1b"})
+    assert len(np.intersect1d(language.presence("\u10d0\u10d1"), language.presence("\u0561\u0562"))) == 0
+
+
+def grams(text):
+    c = [x if unicodedata.category(x)[0] in "LM" else "." for x in text.lower()]
+    return {tuple(c[i:i + n]) for n in (1, 2, 3) for i in range(len(c) - n + 1)}
+
+
+def test_scores_equal_brute_force_kernel_ridge():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices(a, k=rng.randrange(5, 60))) for a in ("abcde fg", "cdefg hij", "\u0561\u0562\u0563\u0564 ab") for _ in range(12)]
+    labels = [k for k in "xyz" for _ in range(12)]
+    model = language.fit([language.presence(t) for t in texts], labels, landmarks=9, ridge=0.01)
+    new = ["abc abd", "hij hij cde", "\u0562\u0563 x", "zz 12"]
+    got = language.score_batch(model, [language.presence(t) for t in new], cells=100)
+
+    def kernel(a, b):
+        a, b = grams(a), grams(b)
+        return len(a & b) / math.sqrt(len(a) * len(b))
+
+    marks = [texts[i] for i in (0, 1, 2, 12, 13, 14, 24, 25, 26)]
+    c = np.array([[kernel(t, m) for m in marks] for t in texts])
+    w = np.array([[kernel(t, m) for m in marks] for t in marks])
+    y = np.array([[x == k for k in "xyz"] for x in labels], float)
+    alpha = np.linalg.solve(c.T @ c + 0.01 * len(texts) * w + 1e-9 * np.eye(9), c.T @ y)
+    want = np.array([[kernel(t, m) for m in marks] for t in new]) @ alpha
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_languages_of_many_scripts(spark):
+    rng = random.Random(5)
+    letters = {"en": range(97, 123), "fr": [*range(97, 123), 233, 232, 234, 231, 224], "ka": range(0x10D0, 0x10F1),
+               "hy": range(0x561, 0x587), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "zh": range(0x4E00, 0x4F00),
+               "hi": [*range(0x905, 0x93A), *range(0x93E, 0x94D)]}
+    rows = []
+    for k, points in letters.items():
+        vocabulary = ["".join(map(chr, rng.choices(list(points), k=rng.randrange(2, 8)))) for _ in range(300)]
+        rows += [(len(rows) + i, " ".join(rng.choices(vocabulary, k=rng.randrange(8, 40))), k, "s", 1) for i in range(150)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r for r in language.op10_string_kernel(docs).collect()}
+    held = [r for r in rows if got[r[0]]["held_out"]]
+    assert len(held) > 150
+    for k in letters:
+        mine = [r for r in held if r[2] == k]
+        assert sum(got[r[0]]["lang_pred"] == k for r in mine) >= 0.97 * len(mine), k
+
 
 
 def brute_lm(rows, target, size, min_count, pseudo):
