@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convprep.functions.random import uniform
+from convprep.operators.index import dense_index
 from convprep.operators.ranked import join_groups
 
 
@@ -52,8 +53,19 @@ def softmax_by_group(
     return df.withColumn("_cp_e", e).withColumn(out, F.col("_cp_e") / F.sum("_cp_e").over(g)).drop("_cp_e")
 
 
-def sort_scores(df: DataFrame, group, cand: str = "cand", score: str = "score", out: str = "rk") -> DataFrame:
-    """Descending rank 1..n per group (ties: lower candidate first)."""
+def sort_scores(
+    df: DataFrame, group, cand="cand", score: str = "score", out: str = "rk", hot_groups: bool = False
+) -> DataFrame:
+    """Descending rank 1..n per group (ties: lower candidate first).
+
+    ``hot_groups`` sorts groups too large for one task: rows are range-partitioned
+    on (group, score, candidate), each partition is sorted and numbered, and counts
+    per partition and group make the ranks global (:func:`dense_index`).
+    Candidates must be unique in a group then.
+    """
+    if hot_groups:
+        ranked = dense_index(df, _desc_order(score, cand), out="_cp_rk", partition_by=_g(group))
+        return ranked.withColumn(out, F.col("_cp_rk") + 1).drop("_cp_rk")
     w = Window.partitionBy(*_g(group)).orderBy(*_desc_order(score, cand))
     return df.withColumn(out, F.row_number().over(w).cast("bigint"))
 

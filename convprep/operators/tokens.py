@@ -9,6 +9,7 @@ the built-in path.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -322,31 +323,40 @@ def apply_merges(word: str, merges) -> list[str]:
     """Split ``word`` into learned pieces: repeatedly merge every occurrence
     (left to right) of the adjacent pair with the lowest rank.
 
-    Same result as replaying the merges in rank order (a merge only creates
-    pairs learned after it), but the work grows with the word, not with the
-    number of merges. ``merges`` is a rank dict or a list of pairs.
+    Same result as replaying the merges in rank order. The symbols are a linked
+    list and the mergeable pairs a heap of (rank, place), so a word of n symbols
+    takes n log n steps: each merge takes one pair off the list and looks at the
+    two new neighbours alone. ``merges`` is a rank dict or a list of pairs.
     """
     ranks = merges if isinstance(merges, dict) else merge_ranks(merges)
     syms = list(word)
-    while len(syms) > 1:
-        best = None
-        for i in range(len(syms) - 1):
-            r = ranks.get((syms[i], syms[i + 1]))
-            if r is not None and (best is None or r < best):
-                best = r
-        if best is None:
-            break
-        out = []
-        i = 0
-        while i < len(syms):
-            if i + 1 < len(syms) and ranks.get((syms[i], syms[i + 1])) == best:
-                out.append(syms[i] + syms[i + 1])
-                i += 2
-            else:
-                out.append(syms[i])
-                i += 1
-        syms = out
-    return syms
+    n = len(syms)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get((syms[i], syms[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        # All places of the lowest rank, left to right, before pairs that its merges make.
+        lowest, places = heap[0][0], []
+        while heap and heap[0][0] == lowest:
+            places.append(heapq.heappop(heap)[1])
+        merged = []
+        for i in places:
+            j = after[i]
+            if syms[i] is None or j >= n or ranks.get((syms[i], syms[j])) != lowest:
+                continue  # a merge to the left has taken one of the two
+            syms[i] += syms[j]
+            syms[j] = None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            merged.append(i)
+        for i in merged:
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n:
+                    r = ranks.get((syms[k], syms[after[k]]))
+                    if r is not None:
+                        heapq.heappush(heap, (r, k))
+    return [x for x in syms if x is not None]
 
 
 def subword_pieces(

@@ -1642,3 +1642,51 @@ def q_softmax_by_label_hot(spark, sf_dir):
 
     out = softmax_by_group(_logits(spark, sf_dir), "label", "l", hot_groups=True)
     return out.select("vec_id", "tok", F.round("p", 9).alias("p"))
+
+
+# --------------------------- ranks over groups that may be a third of all rows
+
+
+@register(
+    "sorted_scores_by_label_hot",
+    with_views(
+        "select label, vec_id, cast(tok as bigint) as tok, cast(row_number() over (partition by label order by l desc, vec_id, tok) as bigint) as rk from v_logits",
+        "v_logits"),
+)
+def q_sorted_scores_by_label_hot(spark, sf_dir):
+    from convprep.operators.scores import sort_scores
+
+    out = sort_scores(_logits(spark, sf_dir), "label", ["vec_id", "tok"], "l", hot_groups=True)
+    return out.select("label", "vec_id", F.col("tok").cast("bigint").alias("tok"), "rk")
+
+
+# ----------------------- a run's data set and manifest, written and read back
+
+
+@register("written_run", ORACLE["run_manifest"])
+def q_written_run(spark, sf_dir):
+    from convprep.session import scratch_path
+    from convprep.sources.sinks import write_run
+
+    ts, _ = sender_training_set(fx.messages_view(fx.load(spark, sf_dir, "conversations")), _SENDER)
+    path = scratch_path(spark, "run")
+    write_run(spark, ts, path, {"source": "conversations", "sender": _SENDER, "max_tokens": 1023, "min_tokens": 2})
+    return spark.read.schema("source string, sender string, max_tokens string, min_tokens string, "
+                             "n_rows bigint, min_len bigint, max_len bigint").json(f"{path}/manifest")
+
+
+# ------------------------------------------------- blanks cleaned up on decode
+
+
+@register(
+    "decode_cleaned_messages",
+    """select conv_id, turn, regexp_replace(array_to_string(regexp_extract_all(text, '(\\S+)', 1), ' '), ' ([.,!?])', '\\1', 'g') as decoded
+from conversations""",
+)
+def q_decode_cleaned_messages(spark, sf_dir):
+    from convprep.functions.text import pretokenize
+    from convprep.operators.tokens import decode, fit_encode
+
+    conv = fx.load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    enc, vocab = fit_encode(conv, [pretokenize("text")], ["ids"], keep=["conv_id", "turn"])
+    return decode(enc, ["conv_id", "turn"], "ids", vocab, join_back=False, clean=True)

@@ -30,8 +30,10 @@ def write_csv_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_per_sender(df: DataFrame, path: str, sender_col: str = "sender_name", mode: str = "overwrite") -> None:
     """One data set per sender in a single pass (partition folders), so
-    a later sender filter prunes partitions."""
-    df.write.mode(mode).partitionBy(sender_col).parquet(path)
+    a later sender filter prunes partitions. Rows are rebalanced by sender first:
+    Spark joins small senders into a task and splits large ones by bytes (its
+    advisory partition size), so a sender is neither many tiny files nor one task."""
+    df.hint("rebalance", F.col(sender_col)).write.mode(mode).partitionBy(sender_col).parquet(path)
 
 
 def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -63,6 +65,13 @@ def write_run_manifest(spark: SparkSession, path: str, params: Mapping[str, obje
     run_manifest(spark, params, df, ids_col).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_run(spark: SparkSession, df: DataFrame, path: str, params: Mapping[str, object], ids_col: str = "token_ids") -> None:
+    """S9 and S10 in one go: the data set a run was trained on, under ``path``/data, and
+    the manifest of what was written there, under ``path``/manifest."""
+    write_dataset(df, f"{path}/data")
+    write_run_manifest(spark, f"{path}/manifest", params, spark.read.parquet(f"{path}/data"), ids_col)
+
+
 def write_metric_history(df: DataFrame, path: str, order_col: str = "epoch") -> None:
     """Per-epoch metric values as one small ordered CSV (the input is
     one row per epoch)."""

@@ -36,3 +36,16 @@ def test_corpus_requires_groups(spark):
     df = spark.createDataFrame([(1, "a")], "turn long, text string")
     with pytest.raises(ValueError):
         concat_corpus(df, "text", ["turn"], [])
+
+
+def test_shards_are_bounded_in_bytes(spark):
+    rows = [(g, i, "é" * (i % 40)) for g in ("a", "b/c", None) for i in range(200)] + [("a", 1000, "x" * 500)]
+    df = spark.createDataFrame(rows, "g string, turn long, text string").repartition(5)
+    full = {r["g"]: r["corpus"] for r in concat_corpus(df, "text", ["turn"], ["g"]).collect()}
+    shards = sorted(concat_corpus_shards(df, "text", ["turn"], ["g"], max_bytes=100).collect(), key=lambda r: r["shard"])
+    joined = {}
+    for r in shards:
+        joined[r["g"]] = joined.get(r["g"], "") + r["corpus"]
+    assert joined == full
+    assert [len(r["corpus"]) for r in shards if len(r["corpus"].encode()) > 100] == [501]
+    assert len(shards) < 2.2 * sum(len(t.encode()) + 1 for t in full.values()) / 100 + 20

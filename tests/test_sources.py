@@ -78,6 +78,16 @@ def test_per_sender_store_prunes_partitions(spark, tmp_dir):
     assert "PartitionFilters: [isnotnull(sender_name" in plan
 
 
+def test_per_sender_store_writes_few_files(spark, tmp_dir):
+    import glob
+
+    df = spark.range(5000).selectExpr("id", "concat('s', id % 5) as sender_name").repartition(64)
+    path = os.path.join(tmp_dir, "few")
+    write_per_sender(df, path)
+    files = glob.glob(f"{path}/*/*.parquet")
+    assert 5 <= len(files) <= 10 and spark.read.parquet(path).count() == 5000
+
+
 def test_manifest_and_metric_history(spark, tmp_dir):
     ds = spark.createDataFrame([(0, [1, 2]), (1, [1, 2, 3, 4])], "id long, token_ids array<int>")
     m = run_manifest(spark, {"epochs": 10, "batch_size": 2}, ds).first()

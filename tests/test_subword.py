@@ -132,3 +132,57 @@ def test_safe_batch_rules():
     assert len(_safe_batch([("a", "b", 100), ("x", "a", 70), ("c", "d", 60)], 5)) == 1
     # the cutoff hides competitors: stop
     assert len(_safe_batch([("a", "b", 100), ("c", "d", 60)], 60)) == 1
+
+
+def _replay(word, ranks):
+    syms = list(word)
+    while True:
+        best = min((ranks[p] for p in zip(syms, syms[1:]) if p in ranks), default=None)
+        if best is None:
+            return syms
+        out, i = [], 0
+        while i < len(syms):
+            if i + 1 < len(syms) and ranks.get((syms[i], syms[i + 1])) == best:
+                out.append(syms[i] + syms[i + 1])
+                i += 2
+            else:
+                out.append(syms[i])
+                i += 1
+        syms = out
+
+
+def test_merges_equal_a_replay_round_by_round():
+    import random
+
+    from convprep.operators.tokens import apply_merges, merge_ranks
+
+    rng = random.Random(7)
+    for _ in range(400):
+        pieces, merges = list("abc"), []
+        for _ in range(rng.randrange(1, 12)):
+            pair = (rng.choice(pieces), rng.choice(pieces))
+            merges.append(pair)
+            pieces.append("".join(pair))
+        rng.shuffle(merges)  # also lists that no fit would learn
+        ranks = merge_ranks(merges)
+        word = "".join(rng.choices("abc", k=rng.randrange(0, 40)))
+        assert apply_merges(word, ranks) == _replay(word, ranks)
+
+
+def test_time_of_merging_is_near_linear():
+    import random
+    import time
+
+    from convprep.operators.tokens import apply_merges, merge_ranks
+
+    rng = random.Random(1)
+    ranks = merge_ranks([("a", "b"), ("ab", "c"), ("c", "a"), ("abc", "abc"), ("b", "b"), ("a", "a"), ("aa", "b")])
+
+    def took(n):
+        word = "".join(rng.choices("abc", k=n))
+        t = time.perf_counter()
+        assert "".join(apply_merges(word, ranks)) == word
+        return time.perf_counter() - t
+
+    took(2000)
+    assert took(200_000) < 60 * max(0.005, min(took(20_000) for _ in range(3)))
