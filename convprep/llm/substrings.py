@@ -8,14 +8,14 @@ minimisers, hence meet.
 
 What cannot matter does not travel: a minimiser seen in one document only is
 dropped, super-k-mers of equal content are sent once, and a minimiser whose
-super-k-mers are all alike needs no sorting. The windows of a minimiser with
-many different contents are dealt further by a hash of the whole window.
+super-k-mers are all alike needs no sorting. The bucket of a minimiser with more
+than ``PER_BUCKET`` different contents is not gathered: its windows are counted by
+an aggregate over 128-bit digests of their words, which splits over the tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -85,46 +85,79 @@ def _cut(docs_words: DataFrame, window: int, gram: int) -> DataFrame:
 
 def _pack(texts: DataFrame, window: int) -> DataFrame:
     """Super-k-mers as packed strings. ``texts`` has text and ``parts``: structs of
-    mini, content, id, start, count and buckets. ``at`` is the string's first
-    window, counted from the super-k-mer's."""
+    mini, content, id, start and count."""
     kind = texts.schema["parts"].dataType.elementType["id"].dataType.simpleString()
-    names = ["mini", "bucket", "content", "id", "at", "packed"]
+    names = ["mini", "content", "id", "packed"]
 
     def pack(batches):
+        for pdf in batches:
+            out = []
+            for text, parts in zip(pdf["text"], pdf["parts"], strict=True):
+                w = text.encode().split()
+                out += [(p["mini"], p["content"], p["id"], b" ".join(w[p["start"]:p["start"] + p["count"] + window - 1]))
+                        for p in parts]
+            yield pd.DataFrame(out, columns=names)
+
+    return texts.mapInPandas(pack, f"mini long, content long, id {kind}, packed binary")
+
+
+def _digests(texts: DataFrame, window: int) -> DataFrame:
+    """The windows of the super-k-mers in ``parts``, one row each: a 128-bit digest
+    of the window's words, ``at``, its number in the super-k-mer, and ``salt``, by
+    which the contents of a minimiser are dealt into ``buckets``."""
+    kind = texts.schema["parts"].dataType.elementType["id"].dataType.simpleString()
+    names = ["mini", "content", "id", "at", "salt", "digest"]
+
+    def cut(batches):
         for pdf in batches:
             out = []
             for text, parts in zip(pdf["text"], pdf["parts"], strict=True):
                 w = text.encode().split()
                 for p in parts:
-                    s, n, deal = p["start"], p["count"], p["buckets"]
-                    if deal == 1:
-                        runs = [(0, 0, n)]
-                    else:  # a bucket for each window, by all of its words
-                        b = [zlib.crc32(b" ".join(w[s + i:s + i + window])) % deal for i in range(n)]
-                        cut = [0, *[i for i in range(1, n) if b[i] != b[i - 1]], n]
-                        runs = [(b[lo], lo, hi) for lo, hi in zip(cut, cut[1:], strict=False)]
-                    out += [(p["mini"], b, p["content"], p["id"], lo, b" ".join(w[s + lo:s + hi + window - 1]))
-                            for b, lo, hi in runs]
+                    run = w[p["start"]:p["start"] + p["count"] + window - 1]
+                    ends = np.cumsum([len(x) + 1 for x in run])
+                    starts = np.concatenate([[0], ends[:-1]]).tolist()
+                    ends = (ends - 1).tolist()
+                    packed = memoryview(b" ".join(run))
+                    salt = p["content"] % p["buckets"]
+                    out += [(p["mini"], p["content"], p["id"], i, salt, hashlib.blake2b(
+                        packed[starts[i]:ends[i + window - 1]], digest_size=16).digest()) for i in range(p["count"])]
             yield pd.DataFrame(out, columns=names)
 
-    return texts.select("text", "parts").mapInPandas(
-        pack, f"mini long, bucket int, content long, id {kind}, at int, packed binary")
+    return texts.mapInPandas(cut, f"mini long, content long, id {kind}, at int, salt int, digest binary")
+
+
+def _least_of_windows(texts: DataFrame, window: int) -> DataFrame:
+    """What :func:`_sort_windows` finds, for minimisers of many contents.
+
+    The least id of each window comes from an aggregate that starts before the
+    shuffle, so a window that millions of documents share is one row a task. It
+    goes back by window and salt, to the salts the window occurs in, so that the
+    rows of such a window meet it in many tasks.
+    """
+    each = written(_digests(texts, window), "windows")
+    salted = each.groupBy("mini", "digest", "salt").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    least = salted.groupBy("mini", "digest").agg(
+        F.min("lo").alias("least"), F.max("hi").alias("hi"), F.collect_list("salt").alias("salts"))
+    back = least.where("least < hi").select("mini", "digest", "least", F.explode("salts").alias("salt"))
+    met = each.join(back, ["mini", "digest", "salt"]).where("id > least")
+    return met.select("mini", "content", "at", F.lit(1).alias("n"))
 
 
 def _sort_windows(packed: DataFrame, window: int) -> DataFrame:
-    """Sort the windows of each bucket; rows (mini, content, at, n): runs of windows
-    of a content that also start in a document of smaller id."""
+    """Sort the windows of each minimiser; rows (mini, content, at, n): runs of
+    windows of a content that also start in a document of smaller id."""
     def find(batches):
-        for g in groups_of(batches, ["mini", "bucket"]):
+        for g in groups_of(batches, ["mini"]):
             codes: dict[bytes, int] = {}
             rows, owner, place = [], [], []
-            ids, ats = g["id"].to_numpy(), g["at"].to_numpy()
+            ids = g["id"].to_numpy()
             for k, s in enumerate(g["packed"]):
                 seq = np.array([codes.setdefault(x, len(codes)) for x in s.split()], np.int32)
                 view = np.lib.stride_tricks.sliding_window_view(seq, window)
                 rows.append(view)
                 owner.append(np.full(len(view), k))
-                place.append(np.arange(len(view)) + ats[k])
+                place.append(np.arange(len(view)))
             all_rows, owner, place = np.concatenate(rows), np.concatenate(owner), np.concatenate(place)
             # Windows as byte strings, sorted: neighbours that are equal are equal windows.
             key = np.ascontiguousarray(all_rows).view(np.dtype((np.void, all_rows.itemsize * window))).ravel()
@@ -140,7 +173,7 @@ def _sort_windows(packed: DataFrame, window: int) -> DataFrame:
                 "mini": g["mini"].iloc[0], "content": g["content"].to_numpy()[owner[new]], "at": place[new],
                 "n": np.diff(np.append(new, len(hit)))})
 
-    met = packed.repartition("mini", "bucket").sortWithinPartitions("mini", "bucket", "content", "at")
+    met = packed.repartition("mini").sortWithinPartitions("mini", "content")
     return met.mapInPandas(find, "mini long, content long, at int, n int")
 
 
@@ -174,7 +207,9 @@ def repeated_spans(
     parts = alive.select("rid", F.lit(None).cast(sent.schema["part"].dataType).alias("part")).distinct().union(sent)
     parts = parts.groupBy("rid").agg(F.collect_list("part").alias("parts"))
     texts = written(known.select(rid, F.col(f"`{text}`").alias("text")).join(parts, "rid"), "shared-texts")
-    found = _sort_windows(_pack(texts.where(F.size("parts") > 0), window), window)
+    few, lots = (texts.select("text", F.filter("parts", test).alias("parts")).where(F.size("parts") > 0)
+                 for test in (lambda p: p["buckets"] == 1, lambda p: p["buckets"] > 1))
+    found = _sort_windows(_pack(few, window), window).union(_least_of_windows(lots, window))
     found = found.groupBy("mini", "content").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     # A later document of a content loses all its windows, the first one those found.
     judged = alive.join(contents.select("mini", "content", F.col("first.id").alias("first")), ["mini", "content"])

@@ -5,12 +5,14 @@ import math
 import random
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -245,6 +247,22 @@ def test_substrings_equal_brute_force(spark, per_bucket, monkeypatch):
     assert sorted(map(tuple, got)) == brute_substrings(rows)
 
 
+def test_a_window_in_very_many_documents_is_counted_before_the_shuffle(spark):
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(9)] + passage[:50 + i % 11] + [f"b{i}x{k}" for k in range(45)]))
+            for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = substrings.op3_super_kmers(docs).collect()
+    assert sorted(map(tuple, got)) == brute_substrings(rows)
+    parts = [{"mini": 1, "content": i, "id": i, "start": 9, "count": 1, "buckets": 40} for i in range(1500)]
+    texts = spark.createDataFrame([(t, [p]) for (_, t), p in zip(rows, parts, strict=True)],
+                                  "text string, parts array<struct<mini:long,content:long,id:long,start:int,count:int,buckets:int>>")
+    met = substrings._digests(texts, 50)
+    assert met.select("digest").distinct().count() == 1 and met.select("salt").distinct().count() == 40
+    found = substrings._least_of_windows(texts, 50)
+    assert sorted(map(tuple, found.collect())) == [(1, i, 0, 1) for i in range(1, 1500)]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -365,6 +383,40 @@ def test_shards_are_even_and_gapless(spark, tmp_dir):
     assert max(size.values()) - min(size.values()) <= largest
 
 
+def plain_slot(doc_id, text, n_slots=4096):
+    """The hash of key and text that Spark documents (xxHash64, seed 42, column by
+    column, nulls passing the seed on), with a flag of null after each."""
+    h = 42
+    for value in (None if doc_id is None else doc_id.to_bytes(8, "little", signed=True),
+                  doc_id is None, None if text is None else text.encode(), text is None):
+        if isinstance(value, bool):
+            value = int(value).to_bytes(4, "little")
+        if value is not None:
+            h = xxhash.xxh64(value, seed=h).intdigest()
+    return (h - (1 << 64) if h >> 63 else h) % n_slots
+
+
+def test_each_row_lies_where_its_slot_and_the_map_put_it(spark):
+    docs = small(spark).select("doc_id", "text").union(spark.createDataFrame(
+        [(None, "no id"), (None, None), (-5, None), (-6, ""), (2**60, "é\U0001f600")], "doc_id long, text string"))
+    rows = [tuple(r) for r in docs.collect()]
+    want, total = [], defaultdict(lambda: (0, 0))
+    for i, t in rows:
+        raw = (t or "").encode()
+        s = plain_slot(i, t)
+        want.append((i, len(raw) + 8, zlib.crc32(raw), s))
+        total[s] = total[s][0] + len(raw) + 8, total[s][1] + 1
+    # The heaviest slot goes to the lightest shard: by bytes, rows, slots, number.
+    load_of, shard = [(0, 0, 0, k) for k in range(24)], {}
+    for s, (b, n) in sorted(total.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
+        x = min(load_of)
+        shard[s] = x[3]
+        load_of[x[3]] = x[0] + b, x[1] + n, x[2] + 1, x[3]
+    want = [(*x, shard[x[3]]) for x in want]
+    got = [tuple(r) for r in sharding.shard_documents(docs).select("doc_id", "size", "text_crc32", "vslot", "shard").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_shards_are_even_with_many_rows_alike(spark):
     alike = [(None, "same text " * 10)] * 2000 + [(7, None)] * 1000
     rows = [*alike, *((i, "own %d " % i * 12) for i in range(100, 6100))]
