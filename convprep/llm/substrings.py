@@ -19,6 +19,8 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,24 +146,43 @@ def _least_of_windows(texts: DataFrame, window: int) -> DataFrame:
     return met.select("mini", "content", "at", F.lit(1).alias("n"))
 
 
+def _equal_windows(flat: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Numbers of the windows ``flat[at:at + window]``, equal for equal windows only.
+
+    Windows are sorted by a hash; those of one hash are compared word by word with
+    the first of them, and sorted as they are should any differ.
+    """
+    power = np.full(len(flat) + 1, _BASE, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(
+        _mix(flat.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+    # Shifted to the last power instead of back to the first: one table serves both.
+    key = _mix((prefix[at + window] - prefix[at]) * power[len(flat) - at])
+    _, first, number, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    again = np.flatnonzero((counts[number] > 1) & (first[number] != np.arange(len(at))))
+    steps = np.arange(window)
+    for lo in range(0, len(again), 10_000):
+        some = again[lo:lo + 10_000]
+        if (flat[at[some][:, None] + steps] != flat[at[first[number[some]]][:, None] + steps]).any():
+            rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, window)[at])
+            return np.unique(rows.view(np.dtype((np.void, rows.itemsize * window))).ravel(), return_inverse=True)[1]
+    return number
+
+
 def _sort_windows(packed: DataFrame, window: int) -> DataFrame:
     """Sort the windows of each minimiser; rows (mini, content, at, n): runs of
     windows of a content that also start in a document of smaller id."""
     def find(batches):
         for g in groups_of(batches, ["mini"]):
-            codes: dict[bytes, int] = {}
-            rows, owner, place = [], [], []
+            split = pc.split_pattern(pa.array(g["packed"], pa.large_binary()), b" ")
+            flat = split.flatten().dictionary_encode().indices.to_numpy()
+            counts = split.value_lengths().to_numpy() - (window - 1)
+            ends = np.cumsum(counts + window - 1)
+            owner = np.repeat(np.arange(len(g)), counts)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            number = _equal_windows(flat, np.repeat(ends - counts - window + 1, counts) + place, window)
             ids = g["id"].to_numpy()
-            for k, s in enumerate(g["packed"]):
-                seq = np.array([codes.setdefault(x, len(codes)) for x in s.split()], np.int32)
-                view = np.lib.stride_tricks.sliding_window_view(seq, window)
-                rows.append(view)
-                owner.append(np.full(len(view), k))
-                place.append(np.arange(len(view)))
-            all_rows, owner, place = np.concatenate(rows), np.concatenate(owner), np.concatenate(place)
-            # Windows as byte strings, sorted: neighbours that are equal are equal windows.
-            key = np.ascontiguousarray(all_rows).view(np.dtype((np.void, all_rows.itemsize * window))).ravel()
-            _, number = np.unique(key, return_inverse=True)
             least = np.full(number.max() + 1, ids.max())
             np.minimum.at(least, number, ids[owner])
             hit = np.flatnonzero(least[number] < ids[owner])

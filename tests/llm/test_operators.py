@@ -247,6 +247,17 @@ def test_substrings_equal_brute_force(spark, per_bucket, monkeypatch):
     assert sorted(map(tuple, got)) == brute_substrings(rows)
 
 
+@pytest.mark.parametrize("blind", [False, True])
+def test_equal_windows_have_equal_numbers(blind, monkeypatch):
+    if blind:  # all hashes alike: the windows themselves are sorted
+        monkeypatch.setattr(substrings, "_mix", lambda h: h * np.uint64(0))
+    flat = np.random.default_rng(1).integers(0, 2, 400).astype(np.int32)
+    at = np.arange(395)
+    number = substrings._equal_windows(flat, at, 5)
+    windows = [tuple(flat[i:i + 5]) for i in at]
+    assert all((number[i] == number[j]) == (windows[i] == windows[j]) for i in at for j in range(0, 395, 7))
+
+
 def test_a_window_in_very_many_documents_is_counted_before_the_shuffle(spark):
     passage = [f"p{i}" for i in range(60)]
     rows = [(i, " ".join([f"a{i}x{k}" for k in range(9)] + passage[:50 + i % 11] + [f"b{i}x{k}" for k in range(45)]))
