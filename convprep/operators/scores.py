@@ -5,6 +5,12 @@ One sampling step runs for all groups at once. Every window is partitioned
 by the group key, so a group is one task's work and groups spread over the
 cluster; windows sharing a partitioning share one exchange. Ties are broken
 by the candidate id, so results do not depend on partitioning.
+
+A group too large for one task takes another form of the same operator, which
+splits it (``hot_groups``): None, the default, finds such groups by a sketch of
+the group columns (:mod:`convprep.operators.heavy`), a pass over the input when
+the operator is called, with ``heavy_rows`` as the bound; True and False choose one
+form for all groups. Candidates must be unique within a group that is split.
 """
 
 from __future__ import annotations
@@ -15,10 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convprep.functions.random import uniform
+from convprep.operators.heavy import HEAVY_ROWS, by_weight
 from convprep.operators.index import dense_index
 from convprep.operators.ranked import join_groups
 
 
+PARTS = 256  # parts that a split group is dealt into where its order does not matter
+
+
 def _g(group) -> list[str]:
     return [group] if isinstance(group, str) else list(group)
 
@@ -30,91 +40,109 @@ def _desc_order(score: str, cand) -> list[Column]:
 
 def softmax_by_group(
     df: DataFrame, group, score: str = "score", temperature: float = 1.0, out: str = "p",
-    hot_groups: bool = False,
+    hot_groups: bool | None = None, heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """``exp(s - max s) / sum exp(s - max s)`` per group, ``s`` the score
     divided by ``temperature``.
 
-    ``hot_groups=True`` takes the group max and sum from partial aggregates
-    joined back to the rows (a hot group collapses map-side; AQE splits its
-    join partition or broadcasts small statistics) instead of windows."""
+    Split groups take their max and sum from partial aggregates joined back to
+    the rows (a hot group collapses map-side; AQE splits its join partition or
+    broadcasts small statistics) instead of windows."""
     if temperature <= 0:
         raise ValueError("temperature must be positive")
-    if hot_groups:
-        gcols = _g(group)
-        s = F.col(score) / F.lit(float(temperature))
+    gcols = _g(group)
+    s = F.col(score) / F.lit(float(temperature))
+
+    def split(df: DataFrame) -> DataFrame:
         m = df.groupBy(*gcols).agg(F.max(s).alias("_cp_m"))
         staged = join_groups(df, m, gcols).withColumn("_cp_e", F.exp(s - F.col("_cp_m")))
         z = staged.groupBy(*gcols).agg(F.sum("_cp_e").alias("_cp_z"))
         return join_groups(staged, z, gcols).withColumn(out, F.col("_cp_e") / F.col("_cp_z")).select(*df.columns, out)
-    g = Window.partitionBy(*_g(group))
-    s = F.col(score) / F.lit(float(temperature))
-    e = F.exp(s - F.max(s).over(g))
-    return df.withColumn("_cp_e", e).withColumn(out, F.col("_cp_e") / F.sum("_cp_e").over(g)).drop("_cp_e")
+
+    def window(df: DataFrame) -> DataFrame:
+        g = Window.partitionBy(*gcols)
+        e = F.exp(s - F.max(s).over(g))
+        return df.withColumn("_cp_e", e).withColumn(out, F.col("_cp_e") / F.sum("_cp_e").over(g)).drop("_cp_e")
+
+    return by_weight(df, gcols, window, split, hot_groups, heavy_rows)
 
 
 def sort_scores(
-    df: DataFrame, group, cand="cand", score: str = "score", out: str = "rk", hot_groups: bool = False
+    df: DataFrame, group, cand="cand", score: str = "score", out: str = "rk", hot_groups: bool | None = None, heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
     """Descending rank 1..n per group (ties: lower candidate first).
 
-    ``hot_groups`` sorts groups too large for one task: rows are range-partitioned
-    on (group, score, candidate), each partition is sorted and numbered, and counts
-    per partition and group make the ranks global (:func:`dense_index`).
-    Candidates must be unique in a group then.
+    Rows of split groups are range-partitioned on (group, score, candidate), each
+    partition is sorted and numbered, and counts per partition and group make the
+    ranks global (:func:`dense_index`).
     """
-    if hot_groups:
-        ranked = dense_index(df, _desc_order(score, cand), out="_cp_rk", partition_by=_g(group))
+    gcols = _g(group)
+
+    def split(df: DataFrame) -> DataFrame:
+        ranked = dense_index(df, _desc_order(score, cand), out="_cp_rk", partition_by=gcols)
         return ranked.withColumn(out, F.col("_cp_rk") + 1).drop("_cp_rk")
-    w = Window.partitionBy(*_g(group)).orderBy(*_desc_order(score, cand))
-    return df.withColumn(out, F.row_number().over(w).cast("bigint"))
+
+    def window(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*gcols).orderBy(*_desc_order(score, cand))
+        return df.withColumn(out, F.row_number().over(w).cast("bigint"))
+
+    return by_weight(df, gcols, window, split, hot_groups, heavy_rows)
 
 
 def top_k_filter(
-    df: DataFrame, group, score: str = "score", k: int | None = None, hot_groups: bool = False, cand=None
+    df: DataFrame, group, score: str = "score", k: int | None = None, hot_groups: bool | None = None, heavy_rows: int = HEAVY_ROWS, cand=None
 ) -> DataFrame:
     """Keep scores not below the k-th largest (``rank``: ties with the
     k-th survive). ``k`` None or <= 0: no cut.
 
-    ``hot_groups=True`` (needs ``cand``) serves groups too large for one
-    task: positions come from :func:`ranked_running_sum`, and the k-th score
-    of each group is the threshold (``score >= kth`` is ``rank <= k``).
+    A split group is dealt into parts: the k best scores of the parts hold the
+    group's k-th, the threshold (``score >= kth`` is ``rank <= k``), so no order of
+    the whole group is needed. ``cand`` is not read.
     """
     if k is None or k <= 0:
         return df
-    if hot_groups:
-        from convprep.operators.ranked import ranked_running_sum
+    gcols = _g(group)
 
-        if cand is None:
-            raise ValueError("hot_groups=True needs cand (a unique candidate key for the order)")
-        gcols = _g(group)
-        r = ranked_running_sum(df, gcols, cand, score)
-        kth = r.where(F.col("_rn") == k).select(*gcols, F.col(score).alias("_cp_kth"))
-        kept = join_groups(r, kth, gcols, "left").where(F.col("_cp_kth").isNull() | (F.col(score) >= F.col("_cp_kth")))
+    def split(df: DataFrame) -> DataFrame:
+        narrow = df.select(*gcols, F.col(score).alias("_cp_s"), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).alias("_cp_part"))
+        for part in ([*gcols, "_cp_part"], gcols):
+            best = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("_cp_s")))
+            narrow = narrow.withColumn("_cp_r", best).where(F.col("_cp_r") <= k)
+        kth = narrow.where(F.col("_cp_r") == k).select(*gcols, F.col("_cp_s").alias("_cp_kth"))
+        kept = join_groups(df, kth, gcols, "left").where(F.col("_cp_kth").isNull() | (F.col(score) >= F.col("_cp_kth")))
         return kept.select(*df.columns)
-    w = Window.partitionBy(*_g(group)).orderBy(F.col(score).desc())
-    return df.withColumn("_cp_r", F.rank().over(w)).where(F.col("_cp_r") <= k).drop("_cp_r")
+
+    def window(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*gcols).orderBy(F.col(score).desc())
+        return df.withColumn("_cp_r", F.rank().over(w)).where(F.col("_cp_r") <= k).drop("_cp_r")
+
+    return by_weight(df, gcols, window, split, hot_groups, heavy_rows)
 
 
 def cumulative_share(
     df: DataFrame, group, cand: str = "cand", score: str = "score", weight: str = "p", out: str = "cum",
-    hot_groups: bool = False,
+    hot_groups: bool | None = None, heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Running sum of ``weight`` in descending score order.
 
-    ``hot_groups=True`` computes it with :func:`ranked_running_sum` (range
-    partitions instead of one task per group)."""
-    if hot_groups:
+    Split groups get it from :func:`ranked_running_sum` (range partitions)."""
+    gcols = _g(group)
+
+    def split(df: DataFrame) -> DataFrame:
         from convprep.operators.ranked import ranked_running_sum
 
-        r = ranked_running_sum(df, _g(group), cand, score, weight)
+        r = ranked_running_sum(df, gcols, cand, score, weight)
         return r.withColumnRenamed("_cum", out).drop("_rn", "_prev")
-    w = (
-        Window.partitionBy(*_g(group))
-        .orderBy(*_desc_order(score, cand))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return df.withColumn(out, F.sum(weight).over(w))
+
+    def window(df: DataFrame) -> DataFrame:
+        w = (
+            Window.partitionBy(*gcols)
+            .orderBy(*_desc_order(score, cand))
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        return df.withColumn(out, F.sum(weight).over(w))
+
+    return by_weight(df, gcols, window, split, hot_groups, heavy_rows)
 
 
 def top_p_filter(
@@ -125,7 +153,7 @@ def top_p_filter(
     p: float | None = None,
     min_keep: int = 1,
     weight: str | None = None,
-    hot_groups: bool = False,
+    hot_groups: bool | None = None, heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Nucleus cut. Candidates in descending order are kept while the
     share *before* them is at most ``p``; the first is always kept. With
@@ -138,12 +166,16 @@ def top_p_filter(
     if p is None or p <= 0:
         return df
     gcols = _g(group)
-    if hot_groups:
-        return _top_p_hot(df, gcols, cand, score, p, min_keep, weight)
+    return by_weight(df, gcols, lambda d: _top_p_window(d, gcols, cand, score, p, min_keep, weight),
+                     lambda d: _top_p_hot(d, gcols, cand, score, p, min_keep, weight), hot_groups, heavy_rows)
+
+
+def _top_p_window(df: DataFrame, gcols, cand, score: str, p: float, min_keep: int, weight: str | None) -> DataFrame:
+    """W4 with one window per group."""
     staged = df
     wcol = weight
     if weight is None:
-        staged = softmax_by_group(df, gcols, score, out="_cp_p")
+        staged = softmax_by_group(df, gcols, score, out="_cp_p", hot_groups=False)
         wcol = "_cp_p"
     else:
         tot = F.sum(weight).over(Window.partitionBy(*gcols))
@@ -152,7 +184,7 @@ def top_p_filter(
         staged = df.withColumn("_cp_p", F.try_divide(F.col(weight).cast("double"), tot.cast("double")))
         wcol = "_cp_p"
     order = Window.partitionBy(*gcols).orderBy(*_desc_order(score, cand))
-    staged = cumulative_share(staged, gcols, cand, score, wcol, out="_cp_cum")
+    staged = cumulative_share(staged, gcols, cand, score, wcol, out="_cp_cum", hot_groups=False)
     staged = staged.withColumn("_cp_rk", F.row_number().over(order)).withColumn(
         "_cp_prev", F.lag("_cp_cum").over(order)
     )
@@ -203,11 +235,11 @@ def sample_by_group(
     draws: int = 1,
     weight: str | None = None,
     out: str = "cand",
-    hot_groups: bool = False,
+    hot_groups: bool | None = None, heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """``draws`` seeded draws per group from ``softmax(score)`` (or from
-    ``weight``), by inverse CDF. ``hot_groups=True`` uses range partitions
-    for groups too large for one task (:func:`ranked_draws`).
+    ``weight``), by inverse CDF; from range partitions for split groups
+    (:func:`ranked_draws`).
 
     Draw ``d`` of group ``g`` uses ``u = md5(seed:g:d)`` and picks the first
     candidate in descending order whose running share reaches ``u * total``.
@@ -216,24 +248,33 @@ def sample_by_group(
     with every candidate. Result ``(group..., draw, out)``.
     """
     gcols = _g(group)
-    if hot_groups:
-        from convprep.operators.ranked import ranked_draws, ranked_running_sum
-
-        if weight is None:
-            staged = softmax_by_group(df, gcols, score, out="_cp_w", hot_groups=True)
-        else:
-            staged = df.withColumn("_cp_w", F.col(weight).cast("double"))
-        r = ranked_running_sum(staged, gcols, cand, score, "_cp_w")
-        tot = r.groupBy(*gcols).agg(F.max("_cum").alias("_tot"))
-        cands = r.where(F.col("_cp_w") > 0)
-        picked = ranked_draws(cands, gcols, cand, "_prev", tot, seed, draws)
-        return picked.withColumnRenamed(cand, out) if out != cand else picked
+    return by_weight(df, gcols, lambda d: _draws_window(d, gcols, cand, score, seed, draws, weight, out),
+                     lambda d: _draws_hot(d, gcols, cand, score, seed, draws, weight, out), hot_groups, heavy_rows)
+
+
+def _draws_hot(df: DataFrame, gcols, cand: str, score: str, seed: int, draws: int, weight: str | None, out: str) -> DataFrame:
+    """T3 from range partitions."""
+    from convprep.operators.ranked import ranked_draws, ranked_running_sum
+
     if weight is None:
-        staged = softmax_by_group(df, gcols, score, out="_cp_w")
+        staged = softmax_by_group(df, gcols, score, out="_cp_w", hot_groups=True)
+    else:
+        staged = df.withColumn("_cp_w", F.col(weight).cast("double"))
+    r = ranked_running_sum(staged, gcols, cand, score, "_cp_w")
+    tot = r.groupBy(*gcols).agg(F.max("_cum").alias("_tot"))
+    cands = r.where(F.col("_cp_w") > 0)
+    picked = ranked_draws(cands, gcols, cand, "_prev", tot, seed, draws)
+    return picked.withColumnRenamed(cand, out) if out != cand else picked
+
+
+def _draws_window(df: DataFrame, gcols, cand: str, score: str, seed: int, draws: int, weight: str | None, out: str) -> DataFrame:
+    """T3 with one window per group."""
+    if weight is None:
+        staged = softmax_by_group(df, gcols, score, out="_cp_w", hot_groups=False)
     else:
         staged = df.withColumn("_cp_w", F.col(weight).cast("double"))
     staged = staged.withColumn("_cp_sort", F.col(score))
-    staged = cumulative_share(staged, gcols, cand, "_cp_sort", "_cp_w", out="_cp_cum")
+    staged = cumulative_share(staged, gcols, cand, "_cp_sort", "_cp_w", out="_cp_cum", hot_groups=False)
     staged = staged.withColumn("_cp_tot", F.max("_cp_cum").over(Window.partitionBy(*gcols)))
     # Interval start = the running share before the candidate (exact, no
     # subtraction), so "last start below x" = "first cum reaching x".
@@ -282,19 +323,21 @@ def cross_entropy(
     target: str = "target",
     mask_padding: bool = False,
     pad_id: int = 0,
-    hot_groups: bool = False,
+    hot_groups: bool | None = None, heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Per group ``logsumexp(score) - score[target]`` (max subtracted
     for stability). With ``mask_padding`` groups whose target is ``pad_id``
-    are left out (the reference counts them). ``hot_groups=True`` takes the
-    group max from a partial aggregate joined back instead of a window."""
+    are left out (the reference counts them). Split groups take their max from
+    a partial aggregate joined back instead of a window."""
     gcols = _g(group)
-    if hot_groups:
-        m = df.groupBy(*gcols).agg(F.max(score).alias("_cp_m"))
-        staged = join_groups(df, m, gcols)
-    else:
-        g = Window.partitionBy(*gcols)
-        staged = df.withColumn("_cp_m", F.max(score).over(g))
+
+    def split(df: DataFrame) -> DataFrame:
+        return join_groups(df, df.groupBy(*gcols).agg(F.max(score).alias("_cp_m")), gcols)
+
+    def window(df: DataFrame) -> DataFrame:
+        return df.withColumn("_cp_m", F.max(score).over(Window.partitionBy(*gcols)))
+
+    staged = by_weight(df, gcols, window, split, hot_groups, heavy_rows)
     if mask_padding:
         staged = staged.where(F.col(target) != F.lit(pad_id))
     return staged.groupBy(*gcols).agg(
@@ -333,18 +376,24 @@ def sample_candidates(
     seed: int = 0,
     draws: int = 1,
     temperature: float = 1.0,
-    hot_groups: bool = False,
+    hot_groups: bool | None = None, heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """One generation step for every group: top-k, then nucleus on the
     renormalised scores, then a seeded draw; greedy arg-max when neither cut
-    is set. Result ``(group..., draw, cand)``. ``hot_groups=True`` runs each
-    step over range partitions (groups too large for one task)."""
+    is set. Result ``(group..., draw, cand)``. Heavy groups are found once, in
+    the input, and take the split form of each step."""
     gcols = _g(group)
     scaled = df.withColumn("_cp_s", F.col(score) / F.lit(float(temperature)))
     if (k is None or k <= 0) and (p is None or p <= 0):
         best = argmax_by_group(scaled, gcols, cand, "_cp_s", out=cand)
         best = best.select(*gcols, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), cand)
         return best.select(*gcols, F.col("draw").cast("int").alias("draw"), cand)
-    cut = top_k_filter(scaled, gcols, "_cp_s", k, hot_groups=hot_groups, cand=cand)
-    cut = top_p_filter(cut, gcols, cand, "_cp_s", p, min_keep, hot_groups=hot_groups)
-    return sample_by_group(cut, gcols, cand, "_cp_s", seed=seed, draws=draws, out=cand, hot_groups=hot_groups)
+
+    def steps(hot: bool):
+        def run(df: DataFrame) -> DataFrame:
+            cut = top_k_filter(df, gcols, "_cp_s", k, hot_groups=hot)
+            cut = top_p_filter(cut, gcols, cand, "_cp_s", p, min_keep, hot_groups=hot)
+            return sample_by_group(cut, gcols, cand, "_cp_s", seed=seed, draws=draws, out=cand, hot_groups=hot)
+        return run
+
+    return by_weight(scaled, gcols, steps(False), steps(True), hot_groups, heavy_rows)

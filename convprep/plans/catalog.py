@@ -1334,6 +1334,26 @@ def q_supplier_nucleus_hot(spark, sf_dir):
     return cut.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
 
 
+@register(
+    "line_nucleus_by_weight",
+    """select l_linenumber, l_orderkey, l_partkey, l_suppkey, l_quantity from (
+  select *, row_number() over w as rk,
+         coalesce(sum(l_quantity) over (w rows between unbounded preceding and 1 preceding), 0)
+           / sum(l_quantity) over (partition by l_linenumber) as prev
+  from lineitem
+  window w as (partition by l_linenumber order by l_quantity desc, l_orderkey, l_partkey, l_suppkey))
+where rk = 1 or prev <= 0.25""",
+)
+def q_line_nucleus_by_weight(spark, sf_dir):
+    from convprep.operators.scores import top_p_filter
+
+    li = fx.load(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    # Seven groups of very different size, each a large share of the table: the
+    # sketch finds those above the bound and only they are split.
+    return top_p_filter(li, "l_linenumber", ["l_orderkey", "l_partkey", "l_suppkey"], "l_quantity",
+                        p=0.25, weight="l_quantity", heavy_rows=8_000)
+
+
 @register(
     "supplier_draws_hot",
     """with c as (

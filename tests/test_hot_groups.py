@@ -136,3 +136,44 @@ def test_sample_candidates_hot(spark):
     a = sample_candidates(df, "g", "c", "l", k=400, p=0.8, seed=5, draws=10)
     b = sample_candidates(df, "g", "c", "l", k=400, p=0.8, seed=5, draws=10, hot_groups=True)
     assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+
+def test_heavy_groups_are_found_and_answers_do_not_depend_on_the_path(spark, hot):
+    """A third of the rows in one group: it alone is split, with the answers of
+    either form for all groups."""
+    from convprep.operators.heavy import heavy_groups
+    from convprep.operators.scores import cross_entropy, sample_by_group, sample_candidates, softmax_by_group, sort_scores
+
+    whole = [r[0] for r in hot.where("g = -1").select(F.xxhash64("g")).distinct().collect()]
+    assert heavy_groups(hot, ["g"], 1_000) == whole and heavy_groups(hot, ["g"]) == []
+    df = hot.groupBy("g", "l_partkey").agg(F.sum("l_quantity").alias("w"))
+    df = df.select(F.when(F.col("g") != 2, F.col("g")).alias("g"), F.col("l_partkey").alias("c"), "w",
+                   (F.col("w") / 40.0).cast("double").alias("s"))
+
+    def same(fn):
+        a, b, c = (sorted(map(str, fn(**kw).collect()))
+                   for kw in ({"hot_groups": False}, {"heavy_rows": 100}, {"hot_groups": True}))
+        assert a == b == c and a
+
+    def rounded(out, col):
+        return out.withColumn(col, F.round(F.col(col).cast("double"), 9))
+
+    same(lambda **kw: rounded(softmax_by_group(df, "g", "s", **kw), "p").select("g", "c", "p"))
+    same(lambda **kw: sort_scores(df, "g", "c", "w", **kw).select("g", "c", "rk"))
+    same(lambda **kw: top_k_filter(df, "g", "w", 7, **kw).select("g", "c"))
+    same(lambda **kw: rounded(cumulative_share(df, "g", "c", "w", "w", **kw), "cum").select("g", "c", "cum"))
+    same(lambda **kw: top_p_filter(df, "g", "c", "w", p=0.3, weight="w", **kw).select("g", "c"))
+    same(lambda **kw: sample_by_group(df, "g", "c", "w", seed=3, draws=4, weight="w", **kw).select("g", "draw", "cand"))
+    same(lambda **kw: sample_candidates(df, "g", "c", "s", k=30, p=0.8, seed=5, draws=3, **kw).select("g", "draw", "c"))
+    same(lambda **kw: rounded(cross_entropy(df.withColumn("target", F.col("c")), "g", "c", "s", **kw), "loss").select("g", "loss"))
+    types = [top_p_filter(df, "g", "c", "w", p=0.3, weight="w", heavy_rows=n).schema for n in (100, 10**9)]
+    assert [[f.dataType for f in s] for s in types[:1]] == [[f.dataType for f in s] for s in types[1:]]
+
+
+def test_more_heavy_groups_than_are_named(spark, hot, monkeypatch):
+    from convprep.operators import heavy
+
+    monkeypatch.setattr(heavy, "NAMED", 3)
+    assert heavy.heavy_groups(hot, ["g"], 1) is None
+    a, b = (_rows(top_k_filter(hot, "g", "l_quantity", 4, **kw)) for kw in ({"hot_groups": False}, {"heavy_rows": 1}))
+    assert a == b

@@ -6,7 +6,7 @@ from conftest import SF_SMALL
 from convprep.plans.catalog import QUERIES as LIBRARY
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas")
-PYTHON_OK = {"udf_tokenize", "conversation_corpus_shards", "batch_summaries", "translated_keywords", "translated_keywords_last1", "picked_keywords", "subword_pieces", "subword_encode", "supplier_nucleus_hot",
+PYTHON_OK = {"udf_tokenize", "conversation_corpus_shards", "batch_summaries", "translated_keywords", "translated_keywords_last1", "picked_keywords", "subword_pieces", "subword_encode", "supplier_nucleus_hot", "line_nucleus_by_weight",
              "supplier_draws_hot"}
 # Iterative sub-word queries (their plans hold a Python replay by design).
 SKIP = {"subword_merges", "subword_pieces", "subword_encode"}
