@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convprep.session import ship_package, stored
+from convprep.session import ship_package, spread, stored
 
 SELF = object()  # default marker: a miss keeps the looked-up element
 FAIL = object()  # default marker: a miss stops the run
@@ -105,7 +105,7 @@ def code_blocks(
     arrays = [(F.col(f"`{c}`") if isinstance(c, str) else c).cast(f"array<{key_type}>").alias(f"c{j}")
               for j, c in enumerate(cols)]
     kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
-    return stored(df.select(*kept, code(F.struct(*arrays)).alias("_cp")), "blocks")
+    return stored(spread(df).select(*kept, code(F.struct(*arrays)).alias("_cp")), "blocks")
 
 
 def block_counts(stage: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from convprep.functions.text import clean_decoded, pretokenize
 from convprep.operators.index import dense_index
 from convprep.operators.lookup import block_counts, code_blocks, lookup_arrays, lookup_codes
-from convprep.session import cut_lineage
+from convprep.session import spread, stored
 
 UNK_ID = -1
 
@@ -159,69 +159,141 @@ def tokenize_dataset(
 
 # ---------------------------------------------------------------- sub-words
 
-_SEP = "\u0001"  # symbol separator inside a word
+_SEP = "\u0001"  # parts words
 _REMEMBERED = 200_000  # words whose pieces a task keeps
+_LISTED = 1_024  # pairs whose exact counts the driver of a fit keeps
 
 
-def _symbols(word_col) -> F.Column:
-    chars = F.regexp_extract_all(word_col, F.lit(r"(?s)(.)"), 1)
-    return F.concat(F.lit(_SEP), F.array_join(chars, _SEP), F.lit(_SEP))
-
-
-def _merge_regex(left: str, right: str) -> tuple[str, str]:
-    pattern = _SEP + re.escape(left) + _SEP + re.escape(right) + "(?=" + _SEP + ")"
-    replacement = (_SEP + left + right).replace("\\", "\\\\").replace("$", "\\$")
-    return pattern, replacement
-
-
-def _pair_rows(words: DataFrame, sign: int = 1) -> DataFrame:
-    """Every adjacent symbol pair of every word, weighted by ``sign * n``."""
-    syms = F.split(F.expr("substring(sym, 2, length(sym) - 2)"), _SEP)
+def _pair_counts(words: DataFrame) -> DataFrame:
+    """``(a, b, cnt)``: adjacent symbols of ``words(syms, n)``, weighted by ``n``."""
     pairs = F.transform(
-        F.sequence(F.lit(1), F.size(syms) - 1),
-        lambda i: F.struct(F.element_at(syms, i).alias("a"), F.element_at(syms, i + 1).alias("b")),
+        F.sequence(F.lit(1), F.size("syms") - 1),
+        lambda i: F.struct(F.element_at("syms", i).alias("a"), F.element_at("syms", i + 1).alias("b")),
     )
-    return (
-        words.where(F.size(syms) >= 2)
-        .select((F.col("n") * sign).alias("cnt"), F.explode_outer(pairs).alias("pr"))
-        .select(F.col("pr.a").alias("a"), F.col("pr.b").alias("b"), "cnt")
-    )
-
-
-def _count_pairs(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("a", "b").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") != 0)
-
+    rows = words.where(F.size("syms") >= 2).select("n", F.explode_outer(pairs).alias("p"))
+    return rows.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("cnt"))
 
-def _safe_batch(top: list, cutoff: int) -> list:
-    """The longest prefix of ``top`` (pairs in merge order with counts) that
-    the one-merge-per-round fit would also take, in this order.
 
-    Pair i joins when every pair that could compete with it is listed
-    (count above ``cutoff``, the last listed count), its symbols are untouched
-    by the earlier merges of the batch (so its count is unchanged), and no
-    listed pair with count >= its count continues an earlier merge (``(x,
-    a_j)`` or ``(b_j, y)``): pairs a merge creates are bounded by those
-    counts, so none can overtake pair i. Earlier pairs drop to count 0.
-    """
-    chosen = [top[0]]
-    for i in range(1, len(top)):
-        if chosen[-1][0] == chosen[-1][1]:
-            break  # a pair of equal symbols makes new pairs with itself
-        a, b, c = top[i]
-        if c <= cutoff:
-            break
-        touched = set()
-        for aj, bj, _ in chosen:
-            touched |= {aj, bj, aj + bj}
-        if a in touched or b in touched:
-            break
-        rights = {aj for aj, _, _ in chosen}
-        lefts = {bj for _, bj, _ in chosen}
-        picked = {(aj, bj) for aj, bj, _ in chosen}
-        if any(cq >= c and (aq, bq) not in picked and (bq in rights or aq in lefts) for aq, bq, cq in top):
+def merge_pair(syms: Sequence[str], a: str, b: str) -> list[str]:
+    """``syms`` with every ``a, b`` joined, left to right."""
+    out, i, n = [], 0, len(syms)
+    while i < n:
+        if i + 1 < n and syms[i] == a and syms[i + 1] == b:
+            out.append(a + b)
+            i += 2
+        else:
+            out.append(syms[i])
+            i += 1
+    return out
+
+
+def _replay(words: list[list[str]], plan: Sequence[tuple[str, str]]) -> Iterator[tuple[int, int, list[str], list[str]]]:
+    """Apply the merges of ``plan`` in order to ``words`` (changed in place);
+    yields ``(step, word, symbols before, symbols after)`` for each change. An
+    index from the pairs of the plan to their words leads each step to the
+    words that hold its pair; no other word is looked at again."""
+    planned = set(plan)
+    where: dict[tuple[str, str], set[int]] = {}
+
+    def enter(i: int) -> None:
+        s = words[i]
+        for p in zip(s, s[1:]):
+            if p in planned:
+                where.setdefault(p, set()).add(i)
+
+    for i in range(len(words)):
+        enter(i)
+    for step, (a, b) in enumerate(plan):
+        for i in where.pop((a, b), ()):
+            old = words[i]
+            new = merge_pair(old, a, b)
+            if len(new) != len(old):  # else an earlier merge took one of the two
+                words[i] = new
+                enter(i)
+                yield step, i, old, new
+
+
+def _advance(words: DataFrame, plan: Sequence[tuple[str, str]]) -> DataFrame:
+    """``words(syms, n)`` after the merges of ``plan``, written; words of one symbol go."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            syms = [list(s) for s in pdf["syms"]]
+            for _ in _replay(syms, plan):
+                pass
+            yield pd.DataFrame({"syms": pd.Series(syms, dtype=object), "n": pdf["n"].to_numpy()})
+
+    return stored(words.mapInPandas(run, "syms array<string>, n bigint").where(F.size("syms") >= 2), "words")
+
+
+def _changes(words: DataFrame, done: Sequence[tuple[str, str]], guess: Sequence[tuple[str, str]],
+             known: set[tuple[str, str]], cutoff: int) -> list:
+    """What the merges ``guess``, after ``done``, change in the pair counts:
+    rows ``(a, b, steps[(step, d)])`` of the pairs in ``known`` and of the new
+    pairs that come to more than ``cutoff`` at once (a step has at most
+    ``2 * count / cutoff`` of those, so the driver gets a bounded number)."""
+    plan, first = [*done, *guess], len(done)
+    made = {a + b for a, b in guess}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        delta: dict[tuple[int, str, str], int] = {}
+
+        def rows() -> pd.DataFrame:
+            keys = list(delta)
+            out = pd.DataFrame({"step": [k[0] for k in keys], "a": [k[1] for k in keys], "b": [k[2] for k in keys],
+                                "d": list(delta.values()), "known": [k[1:] in known for k in keys]})
+            delta.clear()
+            return out
+
+        for pdf in batches:
+            ns = pdf["n"].tolist()
+            for step, i, old, new in _replay([list(s) for s in pdf["syms"]], plan):
+                if step < first:
+                    continue
+                for syms, n in ((old, -ns[i]), (new, ns[i])):
+                    for p in zip(syms, syms[1:]):
+                        if p in known or p[0] in made or p[1] in made:
+                            k = (step - first, *p)
+                            delta[k] = delta.get(k, 0) + n
+            if len(delta) > 200_000:
+                yield rows()
+        if delta:
+            yield rows()
+
+    found = words.mapInPandas(run, "step int, a string, b string, d bigint, known boolean").repartition("a", "b")
+    by_step = found.groupBy("a", "b", "step").agg(F.sum("d").alias("d"), F.max("known").alias("known"))
+    by_pair = by_step.groupBy("a", "b").agg(
+        F.collect_list(F.struct("step", "d")).alias("steps"), F.max("d").alias("top"), F.max("known").alias("known"))
+    return by_pair.where(F.col("known") | (F.col("top") > cutoff)).select("a", "b", "steps").collect()
+
+
+def _best(counts: dict) -> tuple[tuple[str, str], float]:
+    """The pair merged next: highest count, then smallest pair."""
+    return min(counts.items(), key=lambda e: (-e[1], e[0]))
+
+
+def _guess(counts: dict[tuple[str, str], int], size: int, floor: int) -> list[tuple[str, str]]:
+    """The next merges, the first for certain, the rest as they would be if the
+    neighbours of a pair did not depend on each other."""
+    est: dict[tuple[str, str], float] = dict(counts)
+    out: list[tuple[str, str]] = []
+    while est and len(out) < size:
+        (a, b), c = _best(est)
+        if c <= floor:
             break
-        chosen.append(top[i])
-    return chosen
+        out.append((a, b))
+        del est[a, b]
+        starts = c + sum(v for p, v in est.items() if p[0] == a)
+        ends = c + sum(v for p, v in est.items() if p[1] == b)
+        for (x, y), v in list(est.items()):
+            if y == a:
+                moved = v * c / starts
+                est[x, y] -= moved
+                est[x, a + b] = est.get((x, a + b), 0) + moved
+            if x == b:
+                moved = v * c / ends
+                est[x, y] = est[x, y] - moved
+                est[a + b, y] = est.get((a + b, y), 0) + moved
+    return out
 
 
 def fit_subword_merges(
@@ -231,82 +303,87 @@ def fit_subword_merges(
     pattern: str = "words",
     min_pair_count: int = 2,
     checkpoint_every: int = 5,
-    batch: int = 32,
+    batch: int = 64,
 ) -> DataFrame:
-    """H3: learn ``n_merges`` byte-pair style merges from the corpus.
+    """H3: learn ``n_merges`` byte-pair style merges from the corpus: always the
+    pair with the highest count, then the smallest pair.
 
     Work is on the distinct pre-tokens with their counts (a fraction of the
-    corpus). Pair counts (adjacent symbols, weighted by word count) are
-    computed once; each round fetches the ``batch`` best pairs (highest
-    count, then smallest pair), keeps the prefix that the one-at-a-time fit
-    would merge next in the same order (:func:`_safe_batch`; the merges of a
-    prefix touch disjoint symbols and commute), and updates the counts
-    incrementally: only words holding a merged pair (a substring test) are
-    rewritten with left-to-right regular-expression replaces, their old
-    pairs subtracted and new pairs added. ``batch=1`` is one merge per round.
-    Word and pair tables are cached between rounds and written to the shared
-    checkpoint folder every ``checkpoint_every`` rounds, which bounds the
-    lineage an executor loss can replay. The character U+0001 stands between
-    symbols: where a text has it, it never merges with its neighbours. Returns
-    ``(rank, left, right, merged, n)``.
+    corpus), written once. A round guesses up to ``batch`` next merges and one
+    job replays them on the words, step by step through an index from pair to
+    words in each task, and adds up what each step changes in the pair counts.
+    The driver keeps the exact counts of at most about a thousand best pairs;
+    with these changes it checks the guess and takes its merges as far as each
+    was the best pair indeed, at least the first, so the merges equal the
+    one-at-a-time fit. A pair outside the list never comes above its last
+    count: counts fall, but for pairs of a new symbol, and those are sent
+    when they pass it. When the best known pair falls to that bound, or a merge
+    makes a symbol that an earlier one made from other parts, all pairs are
+    counted and listed again.
+
+    The merges taken are written into the words every ``checkpoint_every``
+    rounds; no round depends on cached blocks, and a lost executor costs the
+    running round. The character U+0001 parts words. Returns ``(rank, left,
+    right, merged, n)``.
     """
-    from pyspark import StorageLevel
+    from convprep.session import ship_package
 
     spark = df.sparkSession
+    ship_package(spark)  # the replay runs in executor Python workers
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = (
-        df.select(F.explode_outer(pretokenize(col, pattern)).alias("w"))
+        spread(df.select(col)).select(F.explode_outer(pretokenize(col, pattern)).alias("w"))
         .select(F.explode_outer(F.split("w", _SEP)).alias("w"))
-        .where(F.length("w") > 0)
+        .where(F.length("w") > 1)
         .groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        .select(_symbols(F.col("w")).alias("sym"), "n")
+        .select(F.regexp_extract_all("w", F.lit(r"(?s)(.)"), 1).alias("syms"), "n")
     )
     # A fixed partition count (AQE does not coalesce it) keeps rounds parallel.
-    words = cut_lineage(words.repartition(parts, "sym"))
-    pairs = cut_lineage(_count_pairs(_pair_rows(words)))
-    cached: list[DataFrame] = []
+    words = stored(words.repartition(parts, "syms"), "words")
     merges: list[tuple[int, str, str, str, int]] = []
-    rounds = 0
+    made: set[str] = set()
+    done: list[tuple[str, str]] = []  # merges taken and not yet written into the words
+    counts: dict[tuple[str, str], int] = {}
+    cutoff, relist, rounds = 0, True, 0
     while len(merges) < n_merges:
-        want = max(1, min(batch, n_merges - len(merges)))
-        fetch = 1 if want == 1 else want + 1  # one extra row: the cutoff count
-        top = (
-            pairs.where(F.col("cnt") >= min_pair_count)
-            .orderBy(F.desc("cnt"), F.asc("a"), F.asc("b"))
-            .limit(fetch)
-            .collect()
-        )
-        # The tables of two rounds ago are no longer read by anything.
-        for old in cached[:-2]:
-            old.unpersist()
-        cached = cached[-2:]
-        if not top:
-            break
-        listed = [(r["a"], r["b"], int(r["cnt"])) for r in top]
-        cutoff = listed[-1][2] if len(listed) == fetch and fetch > 1 else 0
-        chosen = _safe_batch(listed[:want], cutoff)
-        hit = None
-        sym = F.col("sym")
-        for a, b, cnt in chosen:
-            merges.append((len(merges), a, b, a + b, cnt))
-            pat, rep = _merge_regex(a, b)
-            h = F.instr("sym", _SEP + a + _SEP + b + _SEP) > 0
-            hit = h if hit is None else hit | h
-            sym = F.regexp_replace(sym, F.lit(pat), F.lit(rep))
-        affected = words.where(hit)
-        delta = _pair_rows(affected.withColumn("sym", sym)).unionByName(_pair_rows(affected, -1))
-        nxt_pairs = _count_pairs(pairs.unionByName(delta))
-        nxt_words = words.withColumn("sym", F.when(hit, sym).otherwise(F.col("sym")))
+        if done and (relist or rounds % checkpoint_every == 0):
+            words, done = _advance(words, done), []
+        if relist:
+            top = (
+                _pair_counts(words).where(F.col("cnt") >= min_pair_count)
+                .orderBy(F.desc("cnt"), F.asc("a"), F.asc("b")).limit(_LISTED + 1).collect()
+            )
+            # Pairs not listed have at most this count; the last of a full list only sets it.
+            cutoff = int(top[-1]["cnt"]) if len(top) > _LISTED else min_pair_count - 1
+            counts = {(r["a"], r["b"]): int(r["cnt"]) for r in top[:_LISTED]}
+            if not counts:
+                break
+        # Straight after a listing the first is the best pair even at the cutoff.
+        guess = _guess(counts, min(batch, n_merges - len(merges)), cutoff) or [_best(counts)[0]]
+        changes: list[list[tuple[str, str, int]]] = [[] for _ in guess]
+        for r in _changes(words, done, guess, set(counts), cutoff):
+            for s in r["steps"]:
+                changes[s["step"]].append((r["a"], r["b"], int(s["d"])))
         rounds += 1
-        if rounds % checkpoint_every == 0:
-            nxt_words, nxt_pairs = cut_lineage(nxt_words), cut_lineage(nxt_pairs)
-        else:
-            nxt_words = nxt_words.persist(StorageLevel.MEMORY_AND_DISK)
-            nxt_pairs = nxt_pairs.persist(StorageLevel.MEMORY_AND_DISK)
-            cached += [nxt_words, nxt_pairs]
-        words, pairs = nxt_words, nxt_pairs
-    for old in cached:
-        old.unpersist()
+        fresh, relist = relist, False
+        for step, pair in enumerate(guess):
+            best, n = _best(counts)
+            if best != pair or not (n > cutoff or (fresh and step == 0)):
+                break
+            new = "".join(pair)
+            merges.append((len(merges), *pair, new, n))
+            done.append(pair)
+            for a, b, d in changes[step]:
+                # A pair below the list may only have lost: it stays below.
+                if (a, b) in counts or d > cutoff:
+                    counts[a, b] = counts.get((a, b), 0) + d
+            counts = {p: c for p, c in counts.items() if c > 0}
+            again = new in made
+            made.add(new)
+            if again:
+                relist = True
+                break
+        relist = relist or not counts or _best(counts)[1] <= cutoff
     schema = "rank int, left string, right string, merged string, n bigint"
     return spark.createDataFrame(merges, schema)
 

@@ -152,6 +152,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over the cluster's slots where Catalyst estimates it
+    smaller than one scan partition per slot; larger inputs stay where they lie.
+
+    For steps that do much work per row without a shuffle of their own: a file
+    that cannot be split (one row group, one JSON document) would keep all of
+    it in one task. The rows moved are bounded by slots x
+    ``spark.sql.files.maxPartitionBytes``.
+    """
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    one = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(slots) if slots > 1 and size < slots * one else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -121,17 +121,52 @@ def test_batched_rounds_equal_one_merge_per_round(spark, n):
     assert [(r["left"], r["right"], r["n"]) for r in single] == exp
 
 
-def test_safe_batch_rules():
-    from convprep.operators.tokens import _safe_batch
-
-    # disjoint symbols, nothing continuing the first merge above 50: both taken
-    assert len(_safe_batch([("a", "b", 100), ("c", "d", 60), ("x", "y", 10)], 5)) == 3
-    # second pair shares a symbol with the first: stop
-    assert len(_safe_batch([("a", "b", 100), ("b", "c", 60)], 5)) == 1
-    # a listed pair (x, a) with count >= 60 could create (x, ab) above 60: stop
-    assert len(_safe_batch([("a", "b", 100), ("x", "a", 70), ("c", "d", 60)], 5)) == 1
-    # the cutoff hides competitors: stop
-    assert len(_safe_batch([("a", "b", 100), ("c", "d", 60)], 60)) == 1
+def test_guess_starts_with_the_best_pair_and_stops_at_the_bound():
+    from convprep.operators.tokens import _guess
+
+    assert _guess({("a", "b"): 100, ("c", "d"): 100, ("x", "y"): 10}, 5, 10) == [("a", "b"), ("c", "d")]
+    # every b follows an a: merging a, b moves the count of (b, c) to (ab, c)
+    assert _guess({("a", "b"): 100, ("b", "c"): 90}, 2, 5) == [("a", "b"), ("ab", "c")]
+    assert _guess({("a", "b"): 4}, 2, 4) == []
+
+
+def test_replay_follows_its_index():
+    from convprep.operators.tokens import _replay as replay_words
+
+    words = [list("abab"), list("cab"), list("zzz"), list("abz")]
+    plan = [("a", "b"), ("ab", "ab"), ("z", "z"), ("ab", "z")]
+    seen = [(step, i) for step, i, _, _ in replay_words(words, plan)]
+    assert words == [["abab"], ["c", "ab"], ["zz", "z"], ["abz"]]
+    assert sorted(seen) == [(0, 0), (0, 1), (0, 3), (1, 0), (2, 2), (3, 3)]
+
+
+@pytest.mark.parametrize("listed", [1, 5, 1024])
+def test_any_length_of_the_list_gives_the_same_merges(spark, monkeypatch, listed):
+    import random
+
+    from convprep.operators import tokens
+
+    monkeypatch.setattr(tokens, "_LISTED", listed)
+    rng = random.Random(5)
+    # few letters and long words: symbols made from several parts, ties, equal symbols
+    texts = ["".join(rng.choices("abcd", weights=[5, 3, 2, 1], k=rng.randint(1, 30))) for _ in range(120)] + ["", "a", "aaaaaaa"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    got = fit_subword_merges(df, "text", n_merges=40, batch=16, checkpoint_every=3).orderBy("rank").collect()
+    assert [(r["left"], r["right"], r["n"]) for r in got] == brute_force(texts, 40)
+
+
+def test_merges_end_with_the_pairs(spark):
+    df = spark.createDataFrame([("ab",)] * 3 + [("c",), ("de",)], "text string")
+    got = fit_subword_merges(df, "text", n_merges=10).collect()
+    assert [(r["left"], r["right"], r["n"]) for r in got] == [("a", "b", 3)]
+    assert fit_subword_merges(df.limit(0), "text", n_merges=3).count() == 0
+
+
+def test_many_merges_of_whole_documents_equal_brute_force(spark):
+    docs = fx.load(spark, SF_SMALL, "documents")
+    got = fit_subword_merges(docs, "text", n_merges=250).orderBy("rank").collect()
+    exp = brute_force([r["text"] for r in docs.collect()], 250)
+    assert [(r["left"], r["right"], r["n"]) for r in got] == exp
 
 
 def _replay(word, ranks):
