@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from convprep.operators.index import dense_index
 from convprep.operators.rows import drop_missing_text, rename_text
+from convprep.sources.keyed import read_keyed_records
 
 MESSAGE_FIELDS = T.StructType(
     [
@@ -79,16 +80,6 @@ def read_records(spark: SparkSession, path: str, text_field: str, schema=None, m
     return rename_text(reader.json(path), text_field)
 
 
-def read_keyed_records(spark: SparkSession, path: str, record_schema: str, text_field: str) -> DataFrame:
-    """One JSON object per file mapping ``id -> record``; the outer key
-    becomes ``id``. ``record_schema`` is a DDL struct type string such as
-    ``'struct<text:string,kind:string>'``. Parallelism is per file."""
-    text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.from_json("value", f"map<string,{record_schema}>", {"mode": "FAILFAST"}).alias("m"))
-    rows = parsed.select(F.explode("m").alias("id", "r")).select("id", "r.*")
-    return rename_text(rows, text_field)
-
-
 def from_table(df: DataFrame, text_field: str) -> DataFrame:
     """An existing frame, text field renamed."""
     return rename_text(df, text_field)
