@@ -1035,12 +1035,19 @@ def q_keyed_records_roundtrip(spark, sf_dir):
     from convprep.sources.messages import read_keyed_records
 
     msgs = fx.messages_view(fx.load(spark, sf_dir, "conversations"))
-    keyed = msgs.groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
-        F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")),
-        F.struct("content", "sender_name"))))).alias("value"))
+    # Stand-in files: one JSON object each, a record a line between an opening
+    # line (an entry without a record) and a closing one.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    lines = msgs.select(
+        F.pmod(F.xxhash64("conv_id", "turn"), F.lit(n)).alias("part"), F.lit(1).alias("ord"),
+        F.concat(F.lit(',"'), key, F.lit('": '), F.to_json(F.struct("content", "sender_name"))).alias("value"))
+    ends = spark.range(n).select(F.col("id").alias("part"), F.explode(F.expr(
+        """array(struct(0 as ord, '{"": null' as value), struct(2 as ord, '}' as value))""")).alias("e"))
+    lines = lines.unionByName(ends.select("part", "e.*"))
     path = scratch_path(spark, "keyed")
-    keyed.write.partitionBy("conv_id").text(path)
-    out = read_keyed_records(spark, f"{path}/conv_id=*/*.txt", "struct<content:string,sender_name:string>", "content")
+    lines.repartition(n, "part").sortWithinPartitions("part", "ord").drop("ord").write.partitionBy("part").text(path)
+    out = read_keyed_records(spark, f"{path}/part=*", "struct<content:string,sender_name:string>", "content")
     return drop_missing_text(out, "text").select("id", "text", "sender_name")
 
 
