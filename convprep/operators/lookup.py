@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convprep.session import ship_package, spread, stored
 
@@ -56,56 +57,60 @@ def code_blocks(
     evaluated once. A null array has null codes, a null element a null code. A
     block ends with the row that reaches ``block_elements``; an Arrow batch ends
     it too. Written once, so that all that reads it sees the same blocks.
+
+    Rows stream through Python with the columns kept and nothing else, block by
+    block: what the arrays are computed from (the value arrays of an earlier
+    lookup, say) is not queued beside a UDF, and a task holds one batch of input
+    and one block of output.
     """
     ship_package(df.sparkSession)
-    codes = ",".join(f"c{j}:array<int>" for j in range(len(cols)))
-    names = ["b", *[f"c{j}" for j in range(len(cols))], "d", "n"]
-
-    @F.arrow_udf(f"struct<b:bigint,{codes},d:array<{key_type}>,n:array<bigint>>")
-    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kept = df.columns if keep is None else list(keep)
+    arrays = [(F.col(f"`{c}`") if isinstance(c, str) else c).cast(f"array<{key_type}>").alias(f"_cp_a{j}")
+              for j, c in enumerate(cols)]
+    source = spread(df).select(*[F.col(f"`{c}`") for c in kept], *arrays)
+    codes = [T.StructField(f"c{j}", T.ArrayType(T.IntegerType())) for j in range(len(cols))]
+    coded_type = T.StructType([
+        T.StructField("b", T.LongType()), *codes,
+        T.StructField("d", T.ArrayType(source.schema[-1].dataType.elementType)),
+        T.StructField("n", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*source.schema.fields[:len(kept)], T.StructField("_cp", coded_type)])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 33
         for batch in batches:
-            arrays = batch.flatten()
+            arrays = batch.columns[len(kept):]
             lengths = [a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for a in arrays]
             before = np.cumsum(sum(lengths)) - sum(lengths)
             number = before // block_elements
             starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else before
             stops = np.append(starts[1:], len(number))
-            values: list[list] = [[] for _ in arrays]
-            dictionaries, counts, sizes = [], [], np.zeros(len(number), np.int64)
             for lo, hi in zip(starts.tolist(), stops.tolist(), strict=True):
-                parts = [a.slice(lo, hi - lo).flatten() for a in arrays]
+                lists = [a.slice(lo, hi - lo) for a in arrays]
+                parts = [x.flatten() for x in lists]
                 coded = (parts[0] if len(parts) == 1 else pa.concat_arrays(parts)).dictionary_encode()
-                at = 0
-                for v, p in zip(values, parts, strict=True):
-                    v.append(coded.indices.slice(at, len(p)).cast(pa.int32()))
+                counts = np.bincount(coded.indices.drop_null().to_numpy(zero_copy_only=False),
+                                     minlength=len(coded.dictionary))
+                fields, at = [pa.array(np.full(hi - lo, block))], 0
+                for x, n, p in zip(lists, lengths, parts, strict=True):
+                    fields.append(_lists(n[lo:hi], coded.indices.slice(at, len(p)).cast(pa.int32()), x.is_null()))
                     at += len(p)
-                dictionaries.append(coded.dictionary)
-                counts.append(np.bincount(coded.indices.drop_null().to_numpy(zero_copy_only=False),
-                                          minlength=len(coded.dictionary)))
-                sizes[lo] = len(coded.dictionary)
-            first = np.zeros(len(number), bool)
-            first[starts] = True
-
-            def lists(lengths, flat, missing):
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                return pa.ListArray.from_arrays(offsets, flat, mask=pa.array(missing))
-
-            yield pa.StructArray.from_arrays([
-                pa.array(block + np.cumsum(first) - 1),
-                *[lists(n, pa.concat_arrays(v) if v else pa.array([], pa.int32()), a.is_null().to_numpy(zero_copy_only=False))
-                  for n, v, a in zip(lengths, values, arrays, strict=True)],
-                lists(sizes, pa.concat_arrays(dictionaries) if dictionaries else pa.array([], arrays[0].type.value_type), ~first),
-                lists(sizes, pa.array(np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64)), ~first),
-            ], names=names)
-            block += int(first.sum())
-
-    arrays = [(F.col(f"`{c}`") if isinstance(c, str) else c).cast(f"array<{key_type}>").alias(f"c{j}")
-              for j, c in enumerate(cols)]
-    kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
-    return stored(spread(df).select(*kept, code(F.struct(*arrays)).alias("_cp")), "blocks")
+                sizes = np.zeros(hi - lo, np.int64)
+                sizes[0] = len(coded.dictionary)
+                later = pa.array(np.arange(hi - lo) > 0)
+                fields += [_lists(sizes, coded.dictionary, later), _lists(sizes, pa.array(counts.astype(np.int64)), later)]
+                marks = pa.StructArray.from_arrays(fields, names=coded_type.names)
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.slice(lo, hi - lo) for c in batch.columns[:len(kept)]], marks], names=schema.names)
+                block += 1
+
+    return stored(source.mapInArrow(code, schema), "blocks")
+
+
+def _lists(lengths: np.ndarray, flat: pa.Array, missing: pa.Array) -> pa.ListArray:
+    """Lists of ``lengths`` cut from ``flat``; null where ``missing``."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), flat, mask=missing)
 
 
 def block_counts(stage: DataFrame) -> DataFrame:
