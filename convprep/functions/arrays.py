@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,5 +91,18 @@ def ids_text(ids) -> Column:
     return F.array_join(F.transform(_col(ids), lambda x: x.cast("string")), ",")
 
 
+def bounded_runs(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """``(lo, hi)`` of runs of neighbours whose ``sizes`` add up to ``most`` or
+    little more (a run ends with the item that reaches it); for the batches of a UDF."""
+    lo, held = 0, 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= most:
+            yield lo, i + 1
+            lo, held = i + 1, 0
+    if lo < len(sizes) or not len(sizes):
+        yield lo, len(sizes)
+
+
 # Inventory name: distinct elements per row, first occurrence kept.
 distinct_elements = dedupe

@@ -1167,7 +1167,7 @@ def q_subword_encode(spark, sf_dir):
 
     docs = fx.load(spark, sf_dir, "documents").select("doc_id", "text")
     merges = fit_subword_merges(docs, "text", n_merges=_MERGES)
-    enc, _ = encode_subwords(docs, ["doc_id"], merges)
+    enc, _ = encode_subwords(docs, ["doc_id"], merges, keep=["doc_id"])
     return enc.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(ids_text("ids")).alias("digest"))
 
 
