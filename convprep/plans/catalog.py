@@ -861,10 +861,10 @@ def q_control_prefixed_inputs(spark, sf_dir):
     emb = fx.load(spark, sf_dir, "embeddings")
     enc = _on_vectors(_conversation_ids(spark, sf_dir), emb)
     ctrl = control_vectors(enc, "row_id", emb, ids="ids", dim=64, seed=_CTRL_SEED, emb_key="vec_id")
-    # J2 per position: the token vectors in order.
-    tokvecs = lookup_arrays(enc, ["row_id"], ["ids"], ["vectors"], emb, "vec_id", "embedding", "array<double>",
-                            default=FAIL, key_type="bigint", join_back=False)
-    inputs = prefix_control(ctrl.join(tokvecs, "row_id"), "vector", "vectors", "inputs")
+    # J2 per position: the token vectors in order, looked up last, so that they are not shuffled.
+    tokvecs = lookup_arrays(enc.join(ctrl, "row_id"), ["row_id", "vector"], ["ids"], ["vectors"], emb, "vec_id",
+                            "embedding", "array<double>", default=FAIL, key_type="bigint", join_back=False)
+    inputs = prefix_control(tokvecs, "vector", "vectors", "inputs")
     return inputs.select(
         "row_id",
         F.size("inputs").cast("bigint").alias("n_positions"),
