@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convprep.llm.common import groups_of, row_key, words, written
@@ -135,15 +135,19 @@ def _least_of_windows(texts: DataFrame, window: int) -> DataFrame:
     The least id of each window comes from an aggregate that starts before the
     shuffle, so a window that millions of documents share is one row a task. It
     goes back by window and salt, to the salts the window occurs in, so that the
-    rows of such a window meet it in many tasks.
+    rows of such a window meet it in many tasks. Neighbouring windows of a content
+    that are found come back as one run.
     """
     each = written(_digests(texts, window), "windows")
     salted = each.groupBy("mini", "digest", "salt").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     least = salted.groupBy("mini", "digest").agg(
         F.min("lo").alias("least"), F.max("hi").alias("hi"), F.collect_list("salt").alias("salts"))
     back = least.where("least < hi").select("mini", "digest", "least", F.explode("salts").alias("salt"))
-    met = each.join(back, ["mini", "digest", "salt"]).where("id > least")
-    return met.select("mini", "content", "at", F.lit(1).alias("n"))
+    met = each.join(back, ["mini", "digest", "salt"]).where("id > least").select("mini", "content", "at")
+    number = F.row_number().over(Window.partitionBy("mini", "content").orderBy("at"))
+    runs = met.withColumn("run", F.col("at") - number).groupBy("mini", "content", "run").agg(
+        F.min("at").alias("at"), F.count("*").cast("int").alias("n"))
+    return runs.select("mini", "content", "at", "n")
 
 
 def _equal_windows(flat: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
@@ -234,13 +238,13 @@ def repeated_spans(
     found = found.groupBy("mini", "content").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     # A later document of a content loses all its windows, the first one those found.
     judged = alive.join(contents.select("mini", "content", F.col("first.id").alias("first")), ["mini", "content"])
+    ends = F.col("start") + F.col("count") + (window - 1)
     later = judged.where("id > first").select(
-        "rid", F.col("start").alias("lo"), (F.col("start") + F.col("count") + (window - 1)).alias("hi"))
-    first = judged.where("id = first").join(found, ["mini", "content"]).select(
-        "rid", "start", F.explode("runs").alias("r")).select(
-        "rid", (F.col("start") + F.col("r.at")).alias("lo"),
-        (F.col("start") + F.col("r.at") + F.col("r.n") + (window - 1)).alias("hi"))
-    spans = later.union(first).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+        "rid", F.array(F.struct(F.col("start").alias("lo"), ends.alias("hi"))).alias("spans"))
+    first = judged.where("id = first").join(found, ["mini", "content"]).select("rid", F.transform(
+        "runs", lambda r: F.struct((F.col("start") + r["at"]).alias("lo"),
+                                   (F.col("start") + r["at"] + r["n"] + (window - 1)).alias("hi"))).alias("spans"))
+    spans = later.union(first).groupBy("rid").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     return texts.select("rid", "text").dropDuplicates(["rid"]).join(spans, "rid")
 
 
