@@ -164,10 +164,10 @@ def stored_sequences(
     if isinstance(stored.schema[sample_column].dataType, T.ArrayType):
         ids = F.col(sample_column).cast("array<bigint>")  # Parquet stage (S9): native lists
     else:
-        ids = parse_id_list(sample_column)  # CSV stage (S7): lists as text
+        # CSV stage (S7): lists as text, each parsed once
         bad = F.concat(F.lit("not a list of ids: "), F.col(sample_column))
-        ids = F.when(F.col(sample_column).isNull() | ids.isNotNull(), ids).otherwise(F.raise_error(bad))
-    parsed = stored.select(F.col(key), ids.alias("ids")).where(F.col("ids").isNotNull())
+        ids = F.coalesce(parse_id_list(sample_column), F.raise_error(bad))
+    parsed = stored.where(F.col(sample_column).isNotNull()).select(F.col(key), ids.alias("ids"))
     return batch_examples(parsed, batch_size, epochs, seed, "ids", pad_id, key)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convprep.functions.random import md5_key
-from convprep.session import cut_lineage, stored
+from convprep.session import stored
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row
 
@@ -68,7 +68,7 @@ def dense_index(
     # the exchange instance, so the sizes and the numbering must read one
     # materialized stage, not two exchanges (column pruning can stop Spark
     # from reusing one). The written stage also cuts the lineage.
-    local = cut_lineage(local)
+    local = stored(local, "index")
     keys = parts + ["_cp_b"]
     sizes = local.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_cp_n"), F.min("_cp_local").alias("_cp_first")

@@ -12,8 +12,8 @@ keyword translation (keyword -> synonym). Plan:
    or be null, and rows alike are rows of their own;
 2. each dictionary entry is joined to the table once per block, however often
    the element occurs, so a frequent element is no hot key;
-3. the found values go back to their block as one array, and every code is
-   replaced by the value at its place, in codegen and without a hash.
+3. the found values go back to their block, and every code is replaced by the
+   value at its place, without a hash.
 
 No element, key or row hash is shuffled. The rows move at most once, by
 block, and not at all where Spark finds the value arrays small enough to
@@ -122,10 +122,15 @@ def block_counts(stage: DataFrame) -> DataFrame:
 
 def lookup_codes(
     stage: DataFrame, outs: Sequence[str], table: DataFrame, table_key: str, table_value: str, value_type: str,
-    default=None, inner: bool = False,
+    default=None, inner: bool = False, narrow: bool = False,
 ) -> DataFrame:
     """The rows of ``stage`` (:func:`code_blocks`) with the value of each element
-    in ``outs``, one column for each coded array; see :func:`lookup_arrays`."""
+    in ``outs``, one column for each coded array; see :func:`lookup_arrays`.
+
+    ``narrow`` says that all kept columns are wanted: the rows of a block and its
+    values then meet as two groups and the values are taken in Arrow. Otherwise a join
+    puts the value array beside each row, which copies it for each row but lets
+    Spark leave out columns that nobody reads."""
     entries = stage.where("_cp.d is not null").select(
         F.col("_cp.b").alias("_cp_b"), F.posexplode("_cp.d").alias("_cp_p", "_cp_k"))
     t = table.select(F.col(f"`{table_key}`").alias("_cp_k"), F.col(f"`{table_value}`").cast(value_type).alias("_cp_v"),
@@ -142,6 +147,10 @@ def lookup_codes(
         at_null = F.lit(default).cast(value_type)
         value = F.coalesce(value, at_null)
     found = F.coalesce(F.col("_cp_f"), F.lit(False)) & F.col("_cp_v").isNotNull()
+    if narrow:
+        looked = joined.select("_cp_b", "_cp_p", value.alias("_cp_v"), found.alias("_cp_f"))
+        fill = None if default is None or default is SELF or default is FAIL or inner else default
+        return _gather(stage, outs, looked, fill, inner, f"no {table_value} for null" if default is FAIL and not inner else None)
     entry = F.struct("_cp_p", value.alias("v"), *([found.alias("f")] if inner else []))
     packed = joined.groupBy("_cp_b").agg(F.sort_array(F.collect_list(entry)).alias("_cp_s"))
     packed = packed.select("_cp_b", F.transform("_cp_s", lambda x: x["v"]).alias("_cp_v"),
@@ -158,6 +167,41 @@ def lookup_codes(
     return rows.select(*kept, *new)
 
 
+def _gather(stage: DataFrame, outs: Sequence[str], looked: DataFrame, fill, inner: bool, fail: str | None) -> DataFrame:
+    """The rows of ``stage`` with the values ``looked(_cp_b, _cp_p, _cp_v, _cp_f)``
+    of their codes: null codes give ``fill`` or stop the run with ``fail``;
+    ``inner`` drops them and values not found."""
+    kept = [c for c in stage.columns if c != "_cp" and c not in outs]
+    codes = [f"_cp_c{j}" for j in range(len(outs))]
+    rows = stage.select(*[F.col(f"`{c}`") for c in kept], F.col("_cp.b").alias("_cp_b"),
+                        *[F.col(f"_cp.c{j}").alias(c) for j, c in enumerate(codes)])
+    lists = T.ArrayType(looked.schema["_cp_v"].dataType)
+    schema = T.StructType([*[stage.schema[c] for c in kept], *[T.StructField(c, lists) for c in outs]])
+
+    def gather(rows: pa.Table, values: pa.Table) -> pa.Table:
+        order = pa.array(np.argsort(values["_cp_p"].to_numpy(), kind="stable"))
+        table, found = (values[c].combine_chunks().take(order) for c in ("_cp_v", "_cp_f"))
+        new = []
+        for name in codes:
+            places = rows[name].combine_chunks()
+            lengths = places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = places.flatten()
+            if fail is not None and flat.null_count:
+                raise ValueError(fail)
+            if inner:
+                good = found.take(flat).fill_null(False)
+                before = np.concatenate([[0], np.cumsum(good.to_numpy(zero_copy_only=False).astype(np.int64))])
+                lengths = np.diff(before[np.concatenate([[0], np.cumsum(lengths)])])
+                flat = flat.filter(good)
+            taken = table.take(flat)
+            if fill is not None and taken.null_count:
+                taken = taken.fill_null(pa.scalar(fill, taken.type))
+            new.append(_lists(lengths, taken, places.is_null()))
+        return pa.Table.from_arrays([*[rows[c] for c in kept], *new], names=schema.names)
+
+    return rows.groupBy("_cp_b").cogroup(looked.groupBy("_cp_b")).applyInArrow(gather, schema)
+
+
 def lookup_arrays(
     df: DataFrame,
     key: Sequence[str],
@@ -186,4 +230,4 @@ def lookup_arrays(
     if block_elements is None:
         block_elements = BLOCK_ELEMENTS_WIDE if "<" in value_type else BLOCK_ELEMENTS
     stage = code_blocks(df, cols, key_type, block_elements, None if join_back else list(dict.fromkeys(key)))
-    return lookup_codes(stage, outs, table, table_key, table_value, value_type, default, inner)
+    return lookup_codes(stage, outs, table, table_key, table_value, value_type, default, inner, narrow=not join_back)

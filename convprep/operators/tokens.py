@@ -85,7 +85,8 @@ def fit_encode(
     """
     stage = code_blocks(df, tokens, keep=keep)
     vocab = _numbered(block_counts(stage), min_count, max_size, None)
-    return lookup_codes(stage, outs, vocab, "tok", "id", "bigint", default=unk_id), vocab
+    return lookup_codes(stage, outs, vocab, "tok", "id", "bigint", default=unk_id,
+                        narrow=keep is not None), vocab
 
 
 def encode(

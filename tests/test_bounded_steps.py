@@ -66,6 +66,49 @@ def test_control_vectors_look_an_id_up_once_a_block(spark):
         control_vectors(df, "id", emb, dim=2).collect()
 
 
+@pytest.mark.parametrize("size", [2, 200_000])
+def test_narrow_lookup_takes_a_blocks_values_once(spark, size):
+    rows = [(i % 3 or None, ["a", None, "zz", "c"][: i % 5] if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x array<string>")
+    table = spark.createDataFrame([("a", 1), ("c", 3)], "k string, v long")
+
+    def run(value_type="bigint", **kw):
+        out = lookup.lookup_arrays(df, ["id"], ["x"], ["y"], table, "k", "v", value_type, join_back=False, block_elements=size, **kw)
+        # Else each row is written beside all values of its block.
+        assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().toString()
+        return sorted((str(r["id"]), str(r["y"])) for r in out.collect())
+
+    def want(fn):
+        return sorted((str(i), str(None if x is None else fn(x))) for i, x in rows)
+
+    val = {"a": 1, "c": 3}
+    assert run() == want(lambda x: [val.get(e) for e in x])
+    assert run(default=-1) == want(lambda x: [val.get(e, -1) for e in x])
+    assert run(inner=True) == want(lambda x: [val[e] for e in x if e in val])
+    assert run("string", default=lookup.SELF) == want(lambda x: [None if e is None else str(val.get(e, e)) for e in x])
+    with pytest.raises(Exception, match="no v for"):
+        run(default=lookup.FAIL)
+
+
+def test_dense_index_writes_a_compressed_stage(spark):
+    from convprep.operators.index import dense_index
+
+    df = spark.createDataFrame([(i % 4, i) for i in range(50)], "g long, v long")
+    out = dense_index(df, ["v"], out="n", partition_by=["g"])
+    assert "parquet" in out._jdf.queryExecution().toString().lower()
+    assert sorted(tuple(r) for r in out.collect()) == sorted((i % 4, i, i // 4) for i in range(50))
+
+
+def test_stored_lists_are_parsed_once(spark):
+    from convprep.operators.examples import stored_sequences
+
+    df = spark.createDataFrame([(1, "[1,2]"), (2, None), (3, "[]")], "id long, token_ids string")
+    got = stored_sequences(df, batch_size=3).collect()
+    assert sorted((r["id"], r["padded_ids"]) for r in got) == [(1, [1, 2]), (3, [0, 0])]
+    with pytest.raises(Exception, match="not a list of ids"):
+        stored_sequences(spark.createDataFrame([(1, "[x")], df.schema), batch_size=3).collect()
+
+
 def test_windows_of_hot_minimisers_come_back_as_runs(spark):
     part = "struct<mini:long,content:long,id:long,start:int,count:int,buckets:int>"
     words = [f"w{i}" for i in range(12)]
