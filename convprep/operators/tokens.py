@@ -144,21 +144,19 @@ def tokenize_dataset(
     """
     from convprep.operators.keywords import translate_keywords
 
+    # The tokens are cut again from the stored text where they are wanted: as kept
+    # columns they would pass the workers and be written beside the arrays to code.
+    text_tokens = pretokenize("text", pattern)
     if "keywords" in df.columns:
         step = translate_keywords(df.select("id", "text", "keywords"), synonyms, number_of_keywords)
-        step = step.withColumn("tokenized_text", pretokenize("text", pattern)).withColumn(
-            "tokenized_keywords",
-            F.flatten(F.transform("used_keywords", lambda k: pretokenize(k, pattern))),
-        )
-        enc = encode(step, ["id"], ["tokenized_text", "tokenized_keywords"], ["text_ids", "keyword_ids"],
-                     vocab, unk_id=unk_id)
+        keyword_tokens = F.flatten(F.transform("used_keywords", lambda k: pretokenize(k, pattern)))
+        enc = encode(step, ["id"], [text_tokens, keyword_tokens], ["text_ids", "keyword_ids"], vocab, unk_id=unk_id)
         return enc.select(
-            "id", "text", "keywords", "used_keywords",
-            "tokenized_text", "tokenized_keywords", "text_ids", "keyword_ids",
+            "id", "text", "keywords", "used_keywords", text_tokens.alias("tokenized_text"),
+            keyword_tokens.alias("tokenized_keywords"), "text_ids", "keyword_ids",
         )
-    step = df.select("id", "text").withColumn("tokenized_text", pretokenize("text", pattern))
-    enc = encode(step, ["id"], ["tokenized_text"], ["token_ids"], vocab, unk_id=unk_id)
-    return enc.select("id", "text", "tokenized_text", "token_ids")
+    enc = encode(df.select("id", "text"), ["id"], [text_tokens], ["token_ids"], vocab, unk_id=unk_id)
+    return enc.select("id", "text", text_tokens.alias("tokenized_text"), "token_ids")
 
 
 # ---------------------------------------------------------------- sub-words

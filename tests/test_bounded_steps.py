@@ -27,6 +27,33 @@ def test_rows_are_coded_without_a_queue_of_value_arrays(spark, monkeypatch):
     assert {r["id"]: r["decoded"] for r in back} == {i: f"a b{i % 3} a c ," for i in range(20)} | {20: None, None: ""}
 
 
+@pytest.mark.parametrize("with_keywords", [True, False])
+def test_a_tokenized_set_sends_its_tokens_to_python_once(spark, monkeypatch, with_keywords):
+    stages = []
+
+    def spy(df, name):
+        stages.append(df.columns)
+        return stored(df, name)
+
+    stored = lookup.stored
+    rows = [(1, "a b  a", ["b", None, "a z"]), (1, "a b  a", ["b", None, "a z"]), (None, None, None), (2, "", [])]
+    df = spark.createDataFrame(rows, "id long, text string, keywords array<string>")
+    vocab = spark.createDataFrame([("a", 0), ("b", 1)], "tok string, id long")
+    monkeypatch.setattr(lookup, "stored", spy)
+    out = tokens.tokenize_dataset(df if with_keywords else df.drop("keywords"), vocab)
+    # Kept token columns would pass the workers, and be written, beside the same arrays to code.
+    assert stages == [["id", "text", *(["keywords", "used_keywords"] if with_keywords else []), "_cp"]]
+    ids = "text_ids" if with_keywords else "token_ids"
+    got = sorted(((r["id"], r["text"], r["tokenized_text"], r[ids]) for r in out.collect()), key=str)
+    a = (1, "a b  a", ["a", "b", "a"], [0, 1, 0])
+    assert got == sorted([a, a, (2, "", [], []), (None, None, None, None)], key=str)
+    if with_keywords:
+        first = out.where("id = 2 or id is null").select("used_keywords", "tokenized_keywords", "keyword_ids").collect()
+        assert [tuple(r) for r in first] == [([], [], [])] * 2
+        full = out.where("id = 1").selectExpr("used_keywords", "tokenized_keywords", "keyword_ids").collect()
+        assert [tuple(r) for r in full] == [(["a z", None, "b"], None, None)] * 2
+
+
 @pytest.mark.parametrize("sizes, most, want", [
     ([], 5, [(0, 0)]), ([1, 1], 5, [(0, 2)]), ([9, 1, 1], 2, [(0, 1), (1, 3)]), ([0, 0, 2, 0], 2, [(0, 3), (3, 4)]),
 ])
